@@ -34,9 +34,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary(), end_id=1, capacity=4096)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.simhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), words=4, radius=4, seed=42)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op5_token_files": op5_token_files,
+    "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
 }
 
