@@ -34,6 +34,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary(), end_id=1, capacity=4096)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.simhash import near_duplicates
 
@@ -43,6 +49,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op5_token_files": op5_token_files,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
 }
