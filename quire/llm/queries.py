@@ -21,6 +21,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_column(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.substring_dedup import dedup
+
+    return dedup(read(spark, sf_dir, "documents"), run=3, min_words=8)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.token_files import read_digests, write_token_files
 
@@ -48,6 +60,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_token_files": op5_token_files,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_simhash": op8_simhash,
