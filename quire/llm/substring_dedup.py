@@ -1,8 +1,8 @@
 """Substring deduplication over sliding spans of sentences.
 
 A text is cut into sentences, and long sentences again after words that a hash picks, so that the
-same passage falls into the same units wherever it begins. Every run of `run` consecutive units
-with at least `min_words` words is hashed. Over the corpus each hash belongs to the first document
+same passage falls into the same units wherever it begins. Every run of `run` consecutive units,
+or of as many more as it takes to have `min_words` words, is hashed. Over the corpus each hash belongs to the first document
 (smallest doc_id) that has it; in other documents, and at later places of the first one, the units
 that the run covers are removed. All else of a text stays as it is, character by character.
 
@@ -16,85 +16,94 @@ text is kept in each; an empty table gives no row. Only the id and text columns
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from quire.llm._common import map_batches, slices, texts_of
 
-_END = re.compile(r"[.!?]\s+|\n\s*")
-_WORD = re.compile(r"\S+\s*")
-
-
-def units(text: str, longest: int = 10, pick: int = 5) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Where each unit ends, its hash (of its words) and its number of words. Sentences of over
-    `longest` words are cut after about every `pick`-th word."""
-    ends, hashes, sizes = [], [], []
-    at = 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        if end == at:
-            continue
-        sentence = text[at:end]
-        words = sentence.split()
-        if len(words) <= longest:
-            ends.append(end)
-            hashes.append(xxh64_intdigest(" ".join(words)))
-            sizes.append(len(words))
-        else:
-            raw = [w.encode() for w in words]
-            cuts = [i + 1 for i, w in enumerate(raw) if not crc32(w) % pick]
-            if not cuts or cuts[-1] < len(words):
-                cuts.append(len(words))
-            stops = [m.end() for m in _WORD.finditer(sentence)]
-            lead = len(stops) - len(words)  # 0: words and matches are the same
-            a = 0
-            for b in cuts:
-                ends.append(at + stops[b - 1 + lead])
-                hashes.append(xxh64_intdigest(b" ".join(raw[a:b])))
-                sizes.append(b - a)
-                a = b
-            ends[-1] = end
-        at = end
-    return ends, np.array(hashes, np.uint64), np.array(sizes, np.int64)
-
-
-def spans(hashes: np.ndarray, sizes: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First unit and hash of each run that has enough words."""
-    n = len(hashes) - run + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, words = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for k in range(run):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-        words += sizes[k : k + n]
-    h ^= h >> np.uint64(32)
-    at = np.flatnonzero(words >= min_words)
-    return at, h[at].view(np.int64)
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_STOP = np.isin(np.arange(256), list(b".!?"))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of values[start:end] for each range, by prefix sums of a polynomial."""
+    up, down = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values.astype(np.uint64) * up[:-1], out=total[1:])
+    h = (total[end] - total[start]) * down[start]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def units(raw: bytes, longest: int = 8, pick: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each unit ends (with the white space after it), its hash and its number of words.
+    Words lie between ASCII white space; a sentence ends after . ! ? or with the line. Sentences
+    of over `longest` words are cut again after about every `pick`-th word."""
+    data = np.frombuffer(raw, np.uint8)
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = _SPACE[data]
+    start, end = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[1:-1] & space[2:]) + 1
+    n = len(start)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    words = range_hashes(data, start, end)
+    lines = np.cumsum(np.r_[0, data == 10])
+    stop = _STOP[data[end - 1]]
+    stop[:-1] |= lines[start[1:]] > lines[end[:-1]]
+    stop[-1] = True
+    last = np.flatnonzero(stop)
+    size = np.diff(np.r_[-1, last])
+    stop |= np.repeat(size > longest, size) & ((words >> np.uint64(33)) % np.uint64(pick) == 0)
+    last = np.flatnonzero(stop)
+    first = np.r_[0, last[:-1] + 1]
+    return np.r_[start[first[1:]], len(data)], range_hashes(words, first, last + 1), last + 1 - first
+
+
+def spans(hashes: np.ndarray, sizes: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First unit, end and hash of the run from each unit on: `run` units, and more until it has
+    `min_words` words. Runs that the text ends before are none."""
+    words = np.r_[0, np.cumsum(sizes)]
+    first = np.arange(len(sizes))
+    end = np.maximum(np.searchsorted(words, words[:-1] + min_words), first + run)
+    first, end = first[end <= len(sizes)], end[end <= len(sizes)]
+    return first, end, range_hashes(hashes, first, end).view(np.int64)
 
 
 def without_spans(text: str, flagged: np.ndarray, run: int, min_words: int) -> tuple[str, int, int, int]:
     """The text without units that flagged runs, or later occurrences of a run, cover; the number
     of units, of removed units and of removed words."""
-    ends, hashes, sizes = units(text)
-    at, h = spans(hashes, sizes, run, min_words)
-    out = np.zeros(len(ends) + 1, np.int64)
-    if len(at):
-        again = np.ones(len(h), bool)
-        again[np.unique(h, return_index=True)[1]] = False
-        gone = at[again | np.isin(h, flagged)]
-        np.add.at(out, gone, 1)
-        np.add.at(out, gone + run, -1)
-    covered = np.cumsum(out[:-1]) > 0
-    if not covered.any():
+    raw = text.encode()
+    ends, hashes, sizes = units(raw)
+    first, end, h = spans(hashes, sizes, run, min_words)
+    again = np.ones(len(h), bool)
+    again[np.unique(h, return_index=True)[1]] = False
+    gone = again | np.isin(h, flagged)
+    if not gone.any():
         return text, len(ends), 0, 0
-    kept = "".join(text[a:b] for a, b, c in zip([0, *ends[:-1]], ends, covered.tolist(), strict=True) if not c)
-    return kept.rstrip() if kept.strip() else "", len(ends), int(covered.sum()), int(sizes[covered].sum())
+    change = np.zeros(len(ends) + 1, np.int64)
+    np.add.at(change, first[gone], 1)
+    np.add.at(change, end[gone], -1)
+    covered = np.cumsum(change[:-1]) > 0
+    edge = np.flatnonzero(np.diff(np.r_[True, covered, True]))
+    at = np.r_[0, ends]
+    kept = b"".join([raw[at[a] : at[b]] for a, b in zip(edge[::2], edge[1::2], strict=True)]).decode().rstrip()
+    return kept, len(ends), int(covered.sum()), int(sizes[covered].sum())
 
 
 def repeated_spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
@@ -102,7 +111,7 @@ def repeated_spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [np.unique(spans(*units(t)[1:], run, min_words)[1]) for t in texts_of(batch)]
+            found = [np.unique(spans(*units(t.encode())[1:], run, min_words)[2]) for t in texts_of(batch)]
             ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), ids], names=["span", "doc_id"])
 
