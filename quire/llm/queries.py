@@ -46,6 +46,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary(), end_id=1, capacity=4096)
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.media import text_media
+
+    return text_media(read(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.embedding_dedup import near_duplicates
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_files": op5_token_files,
+    "op6_media": op6_media,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
