@@ -15,6 +15,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.html_extract import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.bpe import digest_column
 
@@ -65,6 +71,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
