@@ -14,6 +14,7 @@ as long as its parent); repeated rows give repeated results; an empty table give
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -207,24 +208,29 @@ def labelled_table() -> list[tuple[str, str]]:
         body = "".join(re.sub(r"w\*(\d+)", lambda m: " ".join(["word"] * int(m[1])), markup) for markup, _, _ in parts)
         return body, "".join(str(keep) * n for _, keep, n in ((m, k, n) for m, k, n in parts))
 
-    menu = ("<nav><ul><li><a>w*1</a></li><li><a>w*2</a></li><li><a>w*1</a></li></ul></nav>", "0", 3)
-    menu_div = ("<div><a>w*1</a></div><div><a>w*2</a></div><div><a>w*1</a> w*1</div>", "0", 3)
-    header, footer = ("<header>w*3</header>", "0", 1), ("<footer>w*9</footer>", "0", 1)
-    foot_div = ("<div>w*6</div>", "0", 1)
-    aside, form = ("<aside><p>w*30</p><p><a>w*4</a></p></aside>", "0", 2), ("<form>w*4<p>w*25</p></form>", "0", 2)
-    ad, notice = ("<div class=ad>w*14</div>", "0", 1), ("<div class='cookie notice'><p>w*28</p></div>", "0", 1)
-    comments = ("<section id=comments><h2>w*1</h2><p>w*35</p><p>w*7</p></section>", "0", 3)
+    rng = random.Random(11)
+    n = lambda low, high: f"w*{rng.randint(low, high)}"
     out = []
-    for a, b, c in ((1, 40, 12), (25, 3, 60), (2, 1, 5), (90, 150, 30)):
-        article = (f"<article><h1>w*7</h1><p>w*{a}</p><p>w*{b}</p><p>w*2 <a>w*{c}</a></p></article>", "1", 4)
-        with_list = (f"<main><h1>w*{a}</h1><ul><li>w*{b}</li><li><a>w*2</a> w*{c}</li></ul><p>w*{a}</p></main>", "1", 4)
-        inner = (f"<article><p>w*{b}</p>", "1", 1), ("<aside>w*20</aside><div class=ad>w*9</div><form>w*5</form>", "0", 3), (f"<p>w*{a}</p></article>", "1", 1)
-        plain = (f"<h1>w*6</h1><p>w*{a + 30}</p><p>w*{b + 25}</p><p>w*{c + 28} <a>w*3</a></p>", "1", 4)
-        long_ad, long_foot = (f"<div class=ad>w*{a + 20}</div>", "0", 1), (f"<footer><p>w*{b + 15}</p><p>w*{c}</p></footer>", "0", 2)
-        talk = (f"<div class=comments><p>w*{c + 40}</p><p>w*{b + 30}</p></div>", "0", 2)
-        stray = (f"<div>w*{b + 33}</div>", "0", 1)
-        out += [page(long_ad, plain, talk, long_foot), page(stray, long_ad, article, stray, talk, long_foot), page(menu, plain, long_ad, plain, notice, long_foot)]
-        out += [page(header, menu, ad, article, comments, footer), page(menu, notice, with_list, aside, footer), page(menu_div, *inner, form, footer), page(menu_div, plain, foot_div), page(menu, plain, aside, comments, footer), page(ad, article, ad, comments, form)]
+    for _ in range(160):
+        menu = ("<nav><ul><li><a>w*1</a></li><li><a>w*2</a></li><li><a>w*1</a></li></ul></nav>", "0", 3)
+        links = (f"<div><a>w*1</a></div><div><a>{n(1, 3)}</a></div><div><a>w*1</a> w*1</div>", "0", 3)
+        header, footer = (f"<header>{n(1, 30)}</header>", "0", 1), (f"<footer>{n(3, 60)}<p>{n(1, 20)}</p></footer>", "0", 2)
+        aside, form = (f"<aside><p>{n(3, 90)}</p><p><a>{n(1, 6)}</a></p></aside>", "0", 2), (f"<form>{n(1, 6)}<p>{n(2, 60)}</p></form>", "0", 2)
+        ad, notice = (f"<div class=ad>{n(3, 80)}</div>", "0", 1), (f"<div class='cookie notice'><p>{n(5, 70)}</p></div>", "0", 1)
+        talk = (f"<section id=comments><h2>w*1</h2><p>{n(1, 120)}</p><p>{n(1, 90)}</p></section>", "0", 3)
+        stray, foot = (f"<div>{n(2, 60)}</div>", "0", 1), (f"<div>{n(2, 9)}</div>", "0", 1)
+        body = [(f"<p>{n(1, 4)}</p>", "1", 1), (f"<p>{n(5, 150)}</p>", "1", 1), (f"<p>{n(0, 30)} <a>{n(1, 9)}</a></p>", "1", 1), (f"<ul><li>{n(1, 20)}</li><li><a>{n(1, 4)}</a></li></ul>", "1", 2), (f"<h2>{n(1, 9)}</h2>", "1", 1)]
+        inner = rng.choices(body, k=rng.randint(0, 6))
+        if rng.random() < 0.3:
+            inner.insert(rng.randint(0, len(inner)), rng.choice([ad, aside, form, notice]))
+        before, after = (rng.sample(x, rng.randint(0, len(x))) for x in ([header, menu, links, ad, notice, aside], [talk, aside, form, ad, footer, notice]))
+        if rng.random() < 0.7:  # a page that marks its article
+            name = rng.choice(["article", "main"])
+            some = [stray] * rng.randint(0, 2)
+            out.append(page(*before, *some, (f"<{name}>", "", 0), (f"<h1>{n(1, 12)}</h1>", "1", 1), *inner, (f"</{name}>", "", 0), *after, *some))
+        else:  # one that doesn't
+            prose = [(f"<p>{n(25, 150)}</p>", "1", 1)] * rng.randint(1, 4)
+            out.append(page(*before, *prose, (f"<p>{n(18, 40)} <a>{n(1, 4)}</a></p>", "1", 1), *prose, *after, foot))
     return out
 
 
