@@ -121,16 +121,19 @@ def repeated_spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     return rows.join(owners, "span").where("doc_id != owner").groupBy("doc_id").agg(F.collect_set("span").alias("flagged"))
 
 
-def dedup(docs: DataFrame, run: int = 3, min_words: int = 8) -> DataFrame:
-    """doc_id, text (what is left of it), n_units, n_removed, removed_words of each document."""
+def dedup(docs: DataFrame, run: int = 3, min_words: int = 8, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, text (what is left of it), n_units, n_removed, removed_words of each document, and
+    the columns named in carry."""
+    carry = carry or []
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             flagged = batch.column("flagged")
             rows = [without_spans(t, np.array(flagged[i].as_py() or [], np.int64), run, min_words) for i, t in enumerate(texts_of(batch))]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "text", "n_units", "n_removed", "removed_words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, *(batch.column(c) for c in carry)], names=["doc_id", "text", "n_units", "n_removed", "removed_words", *carry])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     joined = cols.join(repeated_spans(docs, run, min_words), "doc_id", "left")
-    return map_batches(joined, rebuild, "doc_id long, text string, n_units long, n_removed long, removed_words long")
+    return map_batches(joined, rebuild, f"doc_id long, text string, n_units long, n_removed long, removed_words long{more}")

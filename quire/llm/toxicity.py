@@ -208,18 +208,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500, rounds: int =
     return model
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score, predicted of each row."""
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, score, predicted of each row, and the columns named in carry."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    carry = carry or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)
         for batch in slices(batches, limit=1 << 20):
             s = text_scores(texts_of(batch), own)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            cols = [batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *(batch.column(c) for c in carry)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "predicted", *carry])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, predicted int")
+    kind = {c: docs.schema[c].dataType.simpleString() for c in ["doc_id", *carry]}
+    more = "".join(f", `{c}` {kind[c]}" for c in carry)
+    cols = ["doc_id", *dict.fromkeys([*carry, "text"])]
+    return map_batches(docs.select(cols), run, f"doc_id {kind['doc_id']}, score double, predicted int{more}")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 2500) -> DataFrame:
