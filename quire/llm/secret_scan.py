@@ -47,7 +47,7 @@ DICTIONARY = (
 ).split()
 
 FEATURES = ("size", "moves", "letters", "digits", "uppers", "words", "shape", "named", "near", "harmless", "path", "number", "hexes")
-MARK, END = "", ""
+MARK, END = "\ue000", "\ue001"
 
 
 def marked_parts(text: Column) -> Column:
