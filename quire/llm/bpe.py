@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -49,6 +50,20 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Characters that this Python doesn't know; libraries of other Unicode versions may."""
+    ranges, start = [], None
+    for c in range(sys.maxunicode + 2):
+        new = c <= sys.maxunicode and (unicodedata.category(chr(c)) == "Cn" or 0x2EBF0 <= c < 0x30000)
+        if new and start is None:
+            start = c
+        elif not new and start is not None:
+            ranges.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
+            start = None
+    return re.compile(f"[{''.join(ranges)}]")
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -175,6 +190,7 @@ class Encoder:
     def __init__(self, path: str, engine: str = "rounds", cache_words: int = 200_000):
         self.vocab = Vocabulary(path)
         self.merge = MergeRounds(self.vocab) if engine == "rounds" else LibraryMerges(self.vocab)
+        self.library = None
         self.words, self.parts = Cache(cache_words), Cache(cache_words)
         special = sorted(self.vocab.special, key=len, reverse=True)
         self.special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
@@ -190,13 +206,24 @@ class Encoder:
             return [w for w in _SPACES.split(text) if w]
         return text.split()
 
-    @staticmethod
-    def pieces(word: str) -> list[str]:
+    def pieces(self, word: str) -> list[str]:
+        if not word.isascii() and unassigned().search(word):
+            return self.library_pieces(word)
         core = word.rstrip(_MARKS)
         if core.isalpha():
             return [core, word[len(core) :]] if len(core) < len(word) else [core]
         return PRE_TOKEN.findall(word)
 
+    def library_pieces(self, word: str) -> list[str]:
+        """The rare words with characters of newer Unicode versions are cut as the vocabulary's own
+        library cuts them, so that both agree on what is a letter."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.vocab.path)
+        word = self.library.normalizer.normalize_str(word)
+        return [word[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(word)]
+
     def learn(self, words: set[str]) -> None:
         """Fills the cache for words that it hasn't."""
         cut = {w: self.pieces(w) for w in words}

@@ -131,6 +131,19 @@ def read_shard(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
                 yield doc, start, flat[start - at : start - at + n]
 
 
+def map_sequences(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and mask (boolean) of each sequence of a shard on a local or mounted disk. Ids are views
+    of the mapped file."""
+    _, path = file_system(uri)
+    with pa.memory_map(f"{path}.arrow") as source:
+        for batch in pa.ipc.open_stream(source):
+            ids, mask = batch.column(0), batch.column(1)
+            length = ids.type.list_size
+            flat, used = ids.flatten().to_numpy(zero_copy_only=True), mask.flatten().to_numpy(zero_copy_only=False).astype(bool)
+            for i in range(batch.num_rows):
+                yield flat[i * length : (i + 1) * length], used[i * length : (i + 1) * length]
+
+
 def read_digests(manifest: DataFrame) -> DataFrame:
     """Reads the listed files: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
 
