@@ -44,30 +44,41 @@ def book_words(counted: DataFrame) -> DataFrame:
     return g.withColumn("summary", F.when(F.col("n_chapters") > 1, F.concat(F.format_number("n_chapters", 0), F.lit(" chapters, "), about)).otherwise(about))
 
 
+def file_segments(outlines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments of each file (book_id, file_ord) and its chapters with book_title and n, their number.
+    Under a lone heading with one chapter the outline is read again without a title."""
+    keys = ["book_id", "file_ord"]
+    w = Window.partitionBy(*keys)
+    titled = O.segments(outlines, keys, detect=True)
+    with_title = O.chapters(titled, keys).join(outlines_titles(outlines, keys), keys, "left").withColumn("n", F.count("*").over(w))
+    lone = with_title.where("book_title is not null and n = 1").select(*keys).distinct()
+    again = O.segments(outlines.join(lone, keys, "left_semi"), keys, detect=False)
+    plain = O.chapters(again, keys).withColumn("book_title", F.lit(None).cast("string")).withColumn("n", F.count("*").over(w))
+    return titled.join(lone, keys, "left_anti").unionByName(again), with_title.join(lone, keys, "left_anti").unionByName(plain)
+
+
 def multi_file_chapters(outlines: DataFrame, files: DataFrame) -> DataFrame:
-    """book_id, chapter_no, file_ord, title, part, n_blocks of books of several files, whose outlines
-    are keyed by book_id, file_ord.
+    """book_id, chapter_no, file_ord, seg, title, part, n_blocks of books of several files, whose
+    outlines are keyed by book_id, file_ord.
 
     In a file, a lone top heading over several chapters is their part; over one chapter it was the
     chapter's title. A single untitled chapter is named after its file."""
     keys = ["book_id", "file_ord"]
-    titled = O.segments(outlines, keys, detect=True)
-    with_title = O.chapters(titled, keys).join(outlines_titles(outlines, keys), keys, "left")
-    w = Window.partitionBy(*keys)
-    with_title = with_title.withColumn("n", F.count("*").over(w))
-    single = F.col("book_title").isNotNull() & (F.col("n") == 1)
-    # under a lone heading with one chapter, the outline is read again without a title
-    again = outlines.join(with_title.where(single).select(*keys).distinct(), keys, "left_semi")
-    plain = O.chapters(O.segments(again, keys, detect=False), keys).withColumn("book_title", F.lit(None).cast("string")).withColumn("n", F.count("*").over(w))
-    both = with_title.where(~single).unionByName(plain)
-    both = both.withColumn("part", F.coalesce("part", "book_title"))
+    _, found = file_segments(outlines)
+    found = found.withColumn("part", F.coalesce("part", "book_title"))
     # a file without any chapter stands for one empty chapter, which its name then titles
-    both = files.select(*keys, "file_name").join(both, keys, "left")
+    both = files.select(*keys, "file_name").join(found, keys, "left")
     alone = (F.coalesce("n", F.lit(1)) == 1) & (F.coalesce("title", F.lit("")) == "")
     both = both.withColumn("title", F.when(alone, T.title_from_filename(F.col("file_name"))).otherwise(F.col("title"))).withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
-    both = both.where("title <> '' or n_blocks > 0")
-    order = Window.partitionBy("book_id").orderBy("file_ord", F.coalesce("seg", F.lit(0)))
-    return both.select("book_id", (F.row_number().over(order) - 1).cast("int").alias("chapter_no"), "file_ord", "title", "part", "n_blocks")
+    both = both.where("title <> '' or n_blocks > 0").withColumn("seg", F.coalesce("seg", F.lit(0)))
+    order = Window.partitionBy("book_id").orderBy("file_ord", "seg")
+    return both.select("book_id", (F.row_number().over(order) - 1).cast("int").alias("chapter_no"), "file_ord", "seg", "title", "part", "n_blocks")
+
+
+def multi_file_blocks(outlines: DataFrame, files: DataFrame, chapters: DataFrame) -> DataFrame:
+    """book_id, chapter_no, block_no, kind, runs of what multi_file_chapters gives."""
+    segments, _ = file_segments(outlines)
+    return O.blocks(segments, chapters, ["book_id", "file_ord"])
 
 
 def outlines_titles(outlines: DataFrame, keys: list[str]) -> DataFrame:

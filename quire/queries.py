@@ -385,7 +385,7 @@ def multi_file_chapters(s, d):
     # the events of five users are the files of a book
     o = A.outline(s, d).withColumn("file_ord", (F.col("book_id") % 5).cast("int")).withColumn("book_id", F.floor(F.col("book_id") / 5)).where("book_id < 40")
     o = o.where("kind <> 'heading' or depth = 1 or file_ord <> 3")
-    return B.multi_file_chapters(o, files)
+    return B.multi_file_chapters(o, files).drop("seg")
 
 
 @query
@@ -439,6 +439,16 @@ def parsed_markdown(s, d):
     return o.groupBy("kind", "depth").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
+@query
+def two_pass_ingest(s, d):
+    from quire.plans.ingest import ingest_text
+
+    files = A.files(s, d)
+    first = ingest_text(files)
+    answers = first.candidates.select("book_id", "id", (F.length("text") % 2 == 0).alias("is_title"))
+    return ingest_text(files, answers).chapters
+
+
 @query
 def packed_epub(s, d):
     found, blocks = built(s, d)
