@@ -31,7 +31,8 @@ class Ingested:
 
 
 def ingest_text(files: DataFrame, decisions: DataFrame | None = None) -> Ingested:
-    """files: book_id, file_ord, file_name, content. decisions: book_id, id, is_title.
+    """files: book_id, file_ord, file_name, content. decisions: book_id, id, is_title. The parsed
+    outlines are persisted, as all results use them; release them with spark.catalog.clearCache().
 
     Without decisions the books are what the undecided text gives, and candidates are to be asked
     about; with decisions confirmed lines are headings and declined ones prose."""
@@ -44,7 +45,7 @@ def ingest_text(files: DataFrame, decisions: DataFrame | None = None) -> Ingeste
         answers = L.answered(found, decisions).where("is_title is not null").select("book_id", "file_ord", "idx", "is_title")
         depths = L.promotion_depth(L.headings(rows).withColumnRenamed("line_no", "ord"), L.opens_with_heading(rows))
         ok = L.apply_decisions(rows, answers, depths).join(ok.drop("content"), ["book_id", "file_ord"])
-    parsed = parse_files(ok)
+    parsed = parse_files(ok).persist()
     items = outline(parsed)
     n_files = ok.groupBy("book_id").agg(F.count("*").alias("n_files"), F.min_by("file_name", "file_ord").alias("file_name"))
     items = items.join(n_files, "book_id")

@@ -439,16 +439,6 @@ def parsed_markdown(s, d):
     return o.groupBy("kind", "depth").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query
-def two_pass_ingest(s, d):
-    from quire.plans.ingest import ingest_text
-
-    files = A.files(s, d)
-    first = ingest_text(files)
-    answers = first.candidates.select("book_id", "id", (F.length("text") % 2 == 0).alias("is_title"))
-    return ingest_text(files, answers).chapters
-
-
 @query
 def packed_epub(s, d):
     found, blocks = built(s, d)
