@@ -20,23 +20,57 @@ CONTAINER = (
     XML + '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container">\n  <rootfiles>\n'
     '    <rootfile full-path="OEBPS/package.opf" media-type="application/oebps-package+xml"/>\n  </rootfiles>\n</container>\n'
 )
-STYLES = {
-    "body": "margin: 5% 6%; font-family: serif; line-height: 1.5;",
-    "h1.chapter-title": "text-align: center; font-weight: normal; font-size: 1.6em; margin: 3em 0 2em 0;",
-    "p": "margin: 0; text-indent: 1.25em; text-align: justify;",
-    "p.first": "text-indent: 0;",
-    "p.scene-break": "text-indent: 0; text-align: center; margin: 1em 0;",
-    ".titlepage": "text-align: center; margin-top: 30%;",
-    ".partpage": "text-align: center; margin-top: 35%;",
-    ".partpage h1": "font-weight: normal; font-size: 1.8em;",
-    ".titlepage h1": "font-weight: normal; font-size: 2em;",
-    ".titlepage p.author": "text-indent: 0; text-align: center; font-size: 1.2em; margin-top: 2em;",
-    "img.cover": "max-width: 100%; max-height: 100%;",
+STYLESHEET = """body {
+  margin: 5% 6%;
+  font-family: serif;
+  line-height: 1.5;
 }
-
-
-def stylesheet() -> str:
-    return "".join(f"{name} {{\n" + "".join(f"  {rule.strip()};\n" for rule in body.split(";") if rule.strip()) + "}\n" for name, body in STYLES.items())
+h1.chapter-title {
+  text-align: center;
+  font-weight: normal;
+  font-size: 1.6em;
+  margin: 3em 0 2em 0;
+}
+p {
+  margin: 0;
+  text-indent: 1.25em;
+  text-align: justify;
+}
+p.first {
+  text-indent: 0;
+}
+p.scene-break {
+  text-indent: 0;
+  text-align: center;
+  margin: 1em 0;
+}
+.titlepage {
+  text-align: center;
+  margin-top: 30%;
+}
+.partpage {
+  text-align: center;
+  margin-top: 35%;
+}
+.partpage h1 {
+  font-weight: normal;
+  font-size: 1.8em;
+}
+.titlepage h1 {
+  font-weight: normal;
+  font-size: 2em;
+}
+.titlepage p.author {
+  text-indent: 0;
+  text-align: center;
+  font-size: 1.2em;
+  margin-top: 2em;
+}
+img.cover {
+  max-width: 100%;
+  max-height: 100%;
+}
+"""
 
 
 def cat(*parts: Column | str) -> Column:
@@ -165,21 +199,25 @@ def package(docs: DataFrame, shown: DataFrame, cover: str | None = None) -> Data
     return d.join(shown, "book_id").select("book_id", text.alias("content"))
 
 
-def entries(books: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFrame:
+def entries(books: DataFrame, chapters: DataFrame, blocks: DataFrame, cover: str | None = None) -> DataFrame:
     """book_id, seq, path, stored, content: the archive's text files in order. books has book_id,
-    title, author, language, uuid, modified."""
+    title, author, language, uuid, modified. cover: png or jpg for books that have a cover image of
+    that kind, which `pack` takes; other books go through a call of their own."""
     b = defaults(books)
     docs = documents(books, chapters)
     at = lambda n, path, content, stored=False: F.struct(F.lit(n).alias("a"), F.lit(path).alias("path"), F.lit(stored).alias("stored"), (F.lit(content) if isinstance(content, str) else content).alias("content"))
-    own = b.select("book_id", F.explode(F.array(at(0, "mimetype", "application/epub+zip", True), at(1, "META-INF/container.xml", CONTAINER), at(2, "OEBPS/styles/style.css", stylesheet()), at(3, "OEBPS/text/titlepage.xhtml", title_page(F.col("b_title"), F.col("b_author"), F.col("b_language"))))).alias("x")).select("book_id", "x.*", F.lit(0).alias("o"))
+    own = b.select("book_id", F.explode(F.array(at(0, "mimetype", "application/epub+zip", True), at(1, "META-INF/container.xml", CONTAINER), at(2, "OEBPS/styles/style.css", STYLESHEET), at(3, "OEBPS/text/titlepage.xhtml", title_page(F.col("b_title"), F.col("b_author"), F.col("b_language"))))).alias("x")).select("book_id", "x.*", F.lit(0).alias("o"))
     d = docs.join(chapter_pages(blocks), ["book_id", "chapter_no"], "left").join(b, "book_id")
     body = page(F.col("title"), section("chapter", cat('    <h1 class="chapter-title">', T.escape_xml(F.col("title")), "</h1>\n", F.coalesce("body", F.lit("")))), F.col("b_language"))
     content = F.when(F.col("kind") == "part", part_page(F.col("title"), F.col("b_language"))).otherwise(body)
     pages = d.select("book_id", F.lit(4).alias("a"), cat("OEBPS/text/", F.col("id"), ".xhtml").alias("path"), F.lit(False).alias("stored"), content.alias("content"), F.col("ord").alias("o"))
+    tables = (("OEBPS/nav.xhtml", nav(docs, b, bool(cover))), ("OEBPS/toc.ncx", ncx(docs, b)), ("OEBPS/package.opf", package(docs, b, cover)))
     last = [
-        made(docs, b).select("book_id", F.lit(5 + n).alias("a"), F.lit(path).alias("path"), F.lit(False).alias("stored"), "content", F.lit(0).alias("o"))
-        for n, (path, made) in enumerate((("OEBPS/nav.xhtml", nav), ("OEBPS/toc.ncx", ncx), ("OEBPS/package.opf", package)))
+        made.select("book_id", F.lit(5 + n).alias("a"), F.lit(path).alias("path"), F.lit(False).alias("stored"), "content", F.lit(0).alias("o"))
+        for n, (path, made) in enumerate(tables, 1)
     ]
+    if cover:
+        last.append(b.select("book_id", F.lit(5).alias("a"), F.lit("OEBPS/text/cover.xhtml").alias("path"), F.lit(False).alias("stored"), cover_page(F.lit(cover), F.col("b_language")).alias("content"), F.lit(0).alias("o")))
     rows = own.unionByName(pages)
     for t in last:
         rows = rows.unionByName(t)
@@ -187,20 +225,29 @@ def entries(books: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFra
     return rows.select("book_id", (F.row_number().over(w) - 1).cast("int").alias("seq"), "path", "stored", "content")
 
 
-def pack(rows: DataFrame) -> DataFrame:
-    """book_id, data: the zipped archive of each book, its first entry stored."""
+def pack(rows: DataFrame, covers: DataFrame | None = None) -> DataFrame:
+    """book_id, data: the zipped archive of each book, its first entry stored. covers: book_id, image
+    (bytes), mime; anything but image/png counts as a JPEG."""
     listed = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("seq", "path", "stored", "content"))).alias("files"))
+    none = F.lit(None)
+    if covers is None:
+        listed = listed.select("*", none.cast("binary").alias("image"), none.cast("string").alias("image_path"))
+    else:
+        path = cat("OEBPS/images/cover.", F.when(F.col("mime") == "image/png", "png").otherwise("jpg"))
+        listed = listed.join(covers.select("book_id", "image", path.alias("image_path")), "book_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for files in batch.column("files").to_pylist():
+            for row in batch.to_pylist():
                 buffer = io.BytesIO()
                 with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                    for f in files:
+                    for f in row["files"]:
                         info = zipfile.ZipInfo(f["path"], (1980, 1, 1, 0, 0, 0))
                         info.compress_type = zipfile.ZIP_STORED if f["stored"] else zipfile.ZIP_DEFLATED
                         z.writestr(info, f["content"].encode())
+                    if row["image"] is not None:
+                        z.writestr(zipfile.ZipInfo(row["image_path"], (1980, 1, 1, 0, 0, 0)), row["image"])
                 out.append(buffer.getvalue())
             yield pa.RecordBatch.from_arrays([batch.column("book_id"), pa.array(out, pa.binary())], names=["book_id", "data"])
 
