@@ -36,6 +36,8 @@ from quire.llm._common import map_batches, slices, texts_of
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+BATCH = 2 << 20  # bytes of text that are encoded together
+
 _SPACES = re.compile(f"[{SPACE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _MARKS = ".,;:!?%&$*#|"
@@ -69,13 +71,12 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.path = path
-        self.ids: dict[str, int] = spec["model"]["vocab"]
-        self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+        ids: dict[str, int] = spec["model"]["vocab"]
         self.suffix: str = spec["model"]["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.size = 1 + max(max(self.ids.values()), max(self.special.values(), default=0))
+        self.size = 1 + max(max(ids.values()), max(self.special.values(), default=0))
         self.tokens: list[bytes] = [b""] * self.size
-        for text, i in [*self.ids.items(), *self.special.items()]:
+        for text, i in [*ids.items(), *self.special.items()]:
             self.tokens[i] = text.encode()
         self.ends = np.array([t.endswith(self.suffix.encode()) for t in self.tokens])
 
@@ -84,13 +85,16 @@ class MergeRounds:
     """Merges many words at once in numpy."""
 
     def __init__(self, vocab: Vocabulary):
-        ids, letters = vocab.ids, byte_letters()
+        with open(vocab.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, letters = model["vocab"], byte_letters()
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.inner = np.array([ids[c] for c in letters], dtype=np.int64)
         self.final = np.array([ids[c + vocab.suffix] for c in letters], dtype=np.int64)
-        keys = np.array([ids[a] << 32 | ids[b] for a, b in vocab.merges], dtype=np.int64)
+        keys = np.array([ids[a] << 32 | ids[b] for a, b in merges], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order
-        self.merged = np.array([ids[a + b] for a, b in vocab.merges], dtype=np.int64)
+        self.merged = np.array([ids[a + b] for a, b in merges], dtype=np.int64)
         self.none = len(keys)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -187,7 +191,7 @@ class Encoder:
 
     cache_words: entries of each of two cache generations, which bounds memory, not results."""
 
-    def __init__(self, path: str, engine: str = "rounds", cache_words: int = 200_000):
+    def __init__(self, path: str, engine: str = "rounds", cache_words: int = 160_000):
         self.vocab = Vocabulary(path)
         self.merge = MergeRounds(self.vocab) if engine == "rounds" else LibraryMerges(self.vocab)
         self.library = None
@@ -272,7 +276,7 @@ def encode_column(docs: DataFrame, path: str, engine: str = "rounds", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, engine)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH):
             rows = enc.encode(texts_of(batch))
             lists = [np.frombuffer(r, "<u4").astype(np.int32) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(lists, pa.list_(pa.int32())), pa.array([enc.decode(r).decode() for r in rows], pa.string())], names=[key, "ids", "decoded"])
@@ -287,7 +291,7 @@ def digest_column(docs: DataFrame, path: str, engine: str = "rounds", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, engine)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH):
             rows = enc.encode(texts_of(batch))
             cols = [[len(r) // 4 for r in rows], [hashlib.sha256(r).hexdigest() for r in rows], [hashlib.sha256(enc.decode(r)).hexdigest() for r in rows]]
             yield pa.RecordBatch.from_arrays([batch.column("key"), *map(pa.array, cols)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])

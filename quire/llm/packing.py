@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm._common import cut_lineage, map_batches, slices, texts_of
-from quire.llm.bpe import encoder
+from quire.llm.bpe import BATCH, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -36,13 +36,14 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, engine: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail, step = encoder(path, engine), end_id.to_bytes(4, "little"), 4 * capacity
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts_of(batch)), strict=True):
                 ids += tail
                 rows += [(doc, k, i // 4, len(part := ids[i : i + step]) // 4, zlib.crc32(part)) for k, i in enumerate(range(0, len(ids), step))]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.cache_clear()  # packing runs beside other stages, for whose tasks the worker stays
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
 
@@ -241,7 +242,7 @@ def sequences(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, eng
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail, step = encoder(path, engine), end_id.to_bytes(4, "little"), 4 * capacity
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=BATCH):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts_of(batch)), strict=True):
                 ids += tail

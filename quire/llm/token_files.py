@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm._common import cut_lineage, map_batches, scratch_dir, slices, texts_of
-from quire.llm.bpe import Vocabulary, encoder
+from quire.llm.bpe import BATCH, Vocabulary, encoder
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "shard long, path string, n_docs long, n_tokens long"
@@ -97,7 +97,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = None, len
         dtype = np.uint16 if small else np.uint32
         name = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         tail = np.array([] if end_id is None else [end_id], dtype)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH):
             writer = writer or ShardWriter(name, length, pa.uint16() if small else pa.uint32())
             rows = [np.concatenate([np.frombuffer(r, "<u4").astype(dtype), tail]) for r in enc.encode(texts_of(batch))]
             writer.add(batch.column("doc_id"), rows)

@@ -106,7 +106,7 @@ def text_scores(texts: list[str], model: Model) -> np.ndarray:
 def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each task: in how many documents of each label each bucket occurs."""
     counts = np.zeros((2, 1 << BITS), np.int32)
-    for batch in slices(batches, limit=1 << 20):
+    for batch in slices(batches, limit=1 << 18):
         for text, label in zip(texts_of(batch), batch.column("toxic").to_pylist(), strict=True):
             seen = np.zeros(1 << BITS, bool)
             for bucket, ok in grams([text]).buckets():
@@ -118,7 +118,7 @@ def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def best_windows(batches: Iterator[pa.RecordBatch], model: Model, top: int, spread: int, sure: float = 3.0) -> Iterator[pa.RecordBatch]:
     """The buckets of each document's highest windows - of a toxic one's the first, and more only
     where the model is sure - and of `spread` others if it is clean."""
-    for batch in slices(batches, limit=1 << 20):
+    for batch in slices(batches, limit=1 << 18):
         out: tuple[list, list] = ([], [])
         for text, label in zip(texts_of(batch), batch.column("toxic").to_pylist(), strict=True):
             g = grams([text])
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, carry: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=1 << 18):
             s = text_scores(texts_of(batch), own)
             cols = [batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *(batch.column(c) for c in carry)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "predicted", *carry])
