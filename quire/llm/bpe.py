@@ -266,9 +266,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, engine: str) -> Encoder:
+def encoder(path: str, engine: str, cache_words: int = 160_000) -> Encoder:
     """One for each Python worker, so that its cache serves all tasks of the worker."""
-    return Encoder(path, engine)
+    return Encoder(path, engine, cache_words)
 
 
 def encode_column(docs: DataFrame, path: str, engine: str = "rounds", text: str = "text", key: str = "doc_id") -> DataFrame:

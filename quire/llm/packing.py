@@ -31,11 +31,11 @@ from quire.llm.bpe import BATCH, encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, engine: str = "library") -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, engine: str = "library", cache_words: int = 160_000) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail, step = encoder(path, engine), end_id.to_bytes(4, "little"), 4 * capacity
+        enc, tail, step = encoder(path, engine, cache_words), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in slices(batches, limit=BATCH):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts_of(batch)), strict=True):
@@ -43,7 +43,6 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, engine: s
                 rows += [(doc, k, i // 4, len(part := ids[i : i + step]) // 4, zlib.crc32(part)) for k, i in enumerate(range(0, len(ids), step))]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        encoder.cache_clear()  # packing runs beside other stages, for whose tasks the worker stays
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECES)
 
@@ -214,10 +213,11 @@ def ranked(pieces: DataFrame) -> DataFrame:
     return salted.withColumn("rank", F.row_number().over(within) - 1).join(sizes, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("shift")).drop("shift", "salt")
 
 
-def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, engine: str = "library") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
+def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, engine: str = "library", cache_words: int = 160_000) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece. cache_words bounds
+    the encoder's memory, which a worker keeps for later tasks, not results."""
     spark = docs.sparkSession
-    pieces = cut_lineage(cut_pieces(docs, path, end_id, capacity, engine))
+    pieces = cut_lineage(cut_pieces(docs, path, end_id, capacity, engine, cache_words))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     shared = spark.sparkContext.broadcast(runs_of(plan(histogram, capacity)))
 
