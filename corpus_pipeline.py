@@ -55,8 +55,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences of at most 4096 tokens; a row for each piece."""
-    return pack(docs, vocabulary(), end_id=1, capacity=4096)
+    """Packs the texts into sequences of at most 4096 tokens; a row for each piece. The workers of
+    the stages before are still there, so the encoder keeps few words."""
+    return pack(docs, vocabulary(), end_id=1, capacity=4096, cache_words=30_000)
 
 
 STAGES = [
