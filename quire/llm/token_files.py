@@ -2,8 +2,8 @@
 
 `write_token_files` sorts documents by id over the cluster and writes, for each partition, one
 pair of Arrow stream files: `*.arrow` holds record batches with two fixed-size-list columns
-(`ids`: unsigned 16 or 32 bit, `mask`: 1 where there is an id, 0 where the last sequence is
-filled up), `*.index.arrow` holds doc_id, start (in the shard) and n_tokens. Both are uncompressed,
+(`ids`: unsigned 16 or 32 bit, `mask`: a bit, true where there is an id, false where the last
+sequence is filled up), `*.index.arrow` holds doc_id, start (in the shard) and n_tokens. Both are uncompressed,
 so a reader that maps a file gets every sequence and mask without a copy.
 
 A shard counts only if the manifest lists it. Its name is new for each attempt of a task, and the
@@ -45,7 +45,7 @@ class ShardWriter:
     def __init__(self, uri: str, length: int, kind: pa.DataType, rows: int = 512):
         self.fs, self.path = file_system(uri)
         self.length, self.rows, self.kind = length, rows, kind
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = self.fs.open_output_stream(f"{self.path}.arrow")
         self.file = pa.ipc.new_stream(self.out, self.schema)
         self.buffer: list[np.ndarray] = []
@@ -67,12 +67,12 @@ class ShardWriter:
             self.buffer, self.held = [flat[whole:]], len(flat) - whole
 
     def put(self, flat: np.ndarray, used: int | None) -> None:
-        mask = np.ones(len(flat), np.uint8)
+        mask = np.ones(len(flat), bool)
         if used is not None:
-            mask[used:] = 0
+            mask[used:] = False
         step = self.length * self.rows
         for i in range(0, len(flat), step):
-            cols = [pa.FixedSizeListArray.from_arrays(pa.array(x[i : i + step], k), self.length) for x, k in ((flat, self.kind), (mask, pa.uint8()))]
+            cols = [pa.FixedSizeListArray.from_arrays(pa.array(x[i : i + step], k), self.length) for x, k in ((flat, self.kind), (mask, pa.bool_()))]
             self.file.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
     def close(self) -> None:
@@ -126,8 +126,8 @@ def read_shard(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
             for doc, start, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 while at + len(flat) < start + n:
                     batch = next(sequences)
-                    ids, mask = (batch.column(i).flatten().to_numpy(zero_copy_only=True) for i in (0, 1))
-                    flat, at = np.concatenate([flat[start - at :], ids[mask == 1]]), start
+                    ids, mask = batch.column(0).flatten().to_numpy(zero_copy_only=True), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                    flat, at = np.concatenate([flat[start - at :], ids[mask]]), start
                 yield doc, start, flat[start - at : start - at + n]
 
 
@@ -139,7 +139,7 @@ def map_sequences(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in pa.ipc.open_stream(source):
             ids, mask = batch.column(0), batch.column(1)
             length = ids.type.list_size
-            flat, used = ids.flatten().to_numpy(zero_copy_only=True), mask.flatten().to_numpy(zero_copy_only=False).astype(bool)
+            flat, used = ids.flatten().to_numpy(zero_copy_only=True), mask.flatten().to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
                 yield flat[i * length : (i + 1) * length], used[i * length : (i + 1) * length]
 
