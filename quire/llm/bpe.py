@@ -191,7 +191,7 @@ class Encoder:
 
     cache_words: entries of each of two cache generations, which bounds memory, not results."""
 
-    def __init__(self, path: str, engine: str = "rounds", cache_words: int = 160_000):
+    def __init__(self, path: str, engine: str = "rounds", cache_words: int = 200_000):
         self.vocab = Vocabulary(path)
         self.merge = MergeRounds(self.vocab) if engine == "rounds" else LibraryMerges(self.vocab)
         self.library = None
@@ -266,7 +266,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, engine: str, cache_words: int = 160_000) -> Encoder:
+def encoder(path: str, engine: str, cache_words: int = 200_000) -> Encoder:
     """One for each Python worker, so that its cache serves all tasks of the worker."""
     return Encoder(path, engine, cache_words)
 
