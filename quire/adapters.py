@@ -39,11 +39,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """book_id, file_ord, file_name: names with numbers and extensions of all kinds."""
+    """book_id, file_ord, file_name, p_partkey: names with numbers and extensions of all kinds."""
     name = F.expr("p_partkey % 113 || CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '_' END || replace(p_name, ' ', '_') || CASE p_partkey % 11 WHEN 0 THEN '.docx' WHEN 1 THEN '.TXT' WHEN 2 THEN '.pdf' WHEN 3 THEN '.markdown' ELSE '.md' END")
     w = Window.partitionBy("book_id").orderBy("p_partkey")
     parts = table(spark, sf_dir, "part").withColumn("book_id", F.col("p_partkey") % 401)
-    return parts.select("book_id", (F.row_number().over(w) - 1).cast("int").alias("file_ord"), name.alias("file_name"))
+    return parts.select("book_id", (F.row_number().over(w) - 1).cast("int").alias("file_ord"), name.alias("file_name"), "p_partkey")
 
 
 def html(spark: SparkSession, sf_dir: str) -> DataFrame:

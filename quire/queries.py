@@ -381,10 +381,13 @@ def running_header(s, d):
 
 @query
 def multi_file_chapters(s, d):
-    files = A.named_files(s, d).where("book_id < 40 and file_ord < 5")
-    # the events of five users are the files of a book
-    o = A.outline(s, d).withColumn("file_ord", (F.col("book_id") % 5).cast("int")).withColumn("book_id", F.floor(F.col("book_id") / 5)).where("book_id < 40")
-    o = o.where("kind <> 'heading' or depth = 1 or file_ord <> 3")
+    # five users and five names are the files of a book; files without events and users without a name stay
+    keys = lambda n: [F.floor(F.col(n) / 5).alias("book_id"), (F.col(n) % 5).cast("int").alias("file_ord")]
+    names = A.named_files(s, d).select(*keys("p_partkey"), "file_name")
+    o = A.outline(s, d).withColumnRenamed("book_id", "user_id")
+    o = o.select(*keys("user_id"), *[c for c in o.columns if c not in ("user_id", "file_ord")])
+    users = A.books(s, d).select(*keys("book_id"))
+    files = names.join(users, KEY + ["file_ord"], "full").withColumn("file_name", F.coalesce("file_name", F.expr("file_ord || '-part_' || book_id || '.md'")))
     return B.multi_file_chapters(o, files).drop("seg")
 
 
