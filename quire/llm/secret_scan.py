@@ -23,9 +23,14 @@ from pyspark.sql import functions as F
 
 from quire.llm._common import cut_lineage
 
-#: Shapes of well-known keys, and names that stand before a secret.
+#: Shapes of well-known keys, and names that stand before a secret. No length has an
+#: upper bound, or what is beyond it would stay in the text; runs are possessive or begin where no
+#: other run does, so that the time stays linear. A private key goes to its END line, and one
+#: without such a line as far as its lines look like base64.
+PEM_NAME = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+PEM = rf"-----BEGIN {PEM_NAME}(?:(?:(?!-----)[\s\S])*+-----END {PEM_NAME}|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{20,}}+)*+)"
 SHAPES = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    PEM,
     r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     r"\bgh[pousr]_[A-Za-z0-9]{20,}",
     r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
@@ -33,8 +38,12 @@ SHAPES = (
     r"\b[spr]k[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}",
     r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
 )
-NAMED = r"""\b(?i:[a-z0-9_.-]{0,20}(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential))["']?\s{0,3}(?:=>|[:=])\s{0,3}["']?[^\s"'<>]{6,200}"""
-GENERIC = r"\b[A-Za-z0-9+/_-]{20,200}={0,2}"
+VALUE = r"""[^\s"'<>]{6,}+"""
+GIVES = r"""["']?(?:[ \t]++|\s{0,3})(?:=>|[:=])(?:[ \t]++|\s{0,3})["']?"""
+#: A run of name characters is looked at from its start only (or from where the finding before it ended), and once more if a value follows.
+PREFIX = rf"(?:(?<![A-Za-z0-9_.-])|\G)(?=[A-Za-z0-9_.-]++{GIVES}{VALUE})(?i:[a-z0-9_.-]*(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)(?:s?[_.-][a-z0-9_.-]*+|s|s?[0-9]++|key)?+){GIVES}"
+NAMED = PREFIX + VALUE
+GENERIC = r"\b[A-Za-z0-9+/_-]{20,}+={0,2}"
 CANDIDATE = "|".join([*SHAPES, NAMED, GENERIC])
 NAMES = r"(?i)(password|passwd|passphrase|pwd|secret|token|api.?key|access.?key|auth|private.?key|credential|bearer)"
 HARMLESS = r"(?i)(commit|revision|sha-?\d*|md5|checksum|digest|hash|uuid|guid|example|sample|etag|build|version|isbn|tracking|order|ref|docs?|see|license)"
@@ -73,7 +82,7 @@ def candidates(parts: Column) -> Column:
 def features(c: Column) -> Column:
     """The forest's features of a candidate."""
     finding, before, after = c["finding"], c["before"], c["after"]
-    value = F.regexp_replace(finding, NAMED.replace("[^\\s\"'<>]{6,200}", "", 1), "")
+    value = F.regexp_replace(finding, PREFIX, "")
     named = F.length(value) < F.length(finding)
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     share = lambda kind: F.length(F.regexp_replace(value, f"[^{kind}]", "")) / n
