@@ -67,6 +67,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(spark: SparkSession, key: str = "spark.sql.execution.arrow.maxBytesPerBatch", size: str = "4m") -> None:
+    """Batches on the way to Python workers of a few MB, where the session has only Spark's default
+    of 64 MB: each lies in memory several times over."""
+    if not spark.sparkContext.getConf().contains(key) and spark.conf.get(key) in ("64m", "67108864b", "67108864"):
+        spark.conf.set(key, size)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -74,4 +81,5 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
         finally:
             give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

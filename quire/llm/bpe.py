@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +76,18 @@ class Vocabulary:
         self.suffix: str = spec["model"]["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = 1 + max(max(ids.values()), max(self.special.values(), default=0))
-        self.tokens: list[bytes] = [b""] * self.size
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for text, i in ids.items() if text.endswith(self.suffix)]] = True
+
+    @cached_property
+    def tokens(self) -> list[bytes]:
+        """What each id decodes to; only `decode` needs it, so encoders don't hold it."""
+        with open(self.path, encoding="utf-8") as f:
+            ids = json.load(f)["model"]["vocab"]
+        found = [b""] * self.size
         for text, i in [*ids.items(), *self.special.items()]:
-            self.tokens[i] = text.encode()
-        self.ends = np.array([t.endswith(self.suffix.encode()) for t in self.tokens])
+            found[i] = text.encode()
+        return found
 
 
 class MergeRounds:
@@ -145,6 +154,7 @@ class LibraryMerges:
     """Gives words to the tokenizers library, many joined by spaces in each call."""
 
     def __init__(self, vocab: Vocabulary, group: int = 100):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; a pool's threads only hold memory
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.vocab, self.group = vocab, group
@@ -189,13 +199,14 @@ class Cache(dict):
 class Encoder:
     """encode(texts) gives for each text its ids as little-endian unsigned 32-bit bytes.
 
-    cache_words: entries of each of two cache generations, which bounds memory, not results."""
+    cache_words: entries of each of two cache generations, which bounds memory, not results. One
+    cache holds words and the pieces they are cut into: a piece by itself is a word of one piece."""
 
     def __init__(self, path: str, engine: str = "rounds", cache_words: int = 200_000):
         self.vocab = Vocabulary(path)
         self.merge = MergeRounds(self.vocab) if engine == "rounds" else LibraryMerges(self.vocab)
         self.library = None
-        self.words, self.parts = Cache(cache_words), Cache(cache_words)
+        self.words = Cache(cache_words)
         special = sorted(self.vocab.special, key=len, reverse=True)
         self.special = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
 
@@ -231,11 +242,10 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         """Fills the cache for words that it hasn't."""
         cut = {w: self.pieces(w) for w in words}
-        recall = self.parts.recall
-        new = list({p for ps in cut.values() for p in ps if p not in self.parts and recall(p) is None})
-        self.parts.update(zip(new, self.merge(new), strict=True))
-        parts = self.parts
-        self.words.update((w, b"".join([parts[p] for p in ps])) for w, ps in cut.items())
+        known, recall = self.words, self.words.recall
+        new = list({p for ps in cut.values() for p in ps if p not in known and recall(p) is None})
+        known.update(zip(new, self.merge(new), strict=True))
+        known.update((w, b"".join([known[p] for p in ps])) for w, ps in cut.items() if len(ps) != 1 or ps[0] != w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = []
@@ -256,7 +266,6 @@ class Encoder:
         for row in segments:
             out.append(b"".join([self.vocab.special[seg].to_bytes(4, "little") if isinstance(seg, str) else b"".join([words[w] for w in seg]) for seg in row]))
         self.words.turn()
-        self.parts.turn()
         return out
 
     def decode(self, ids: bytes) -> bytes:

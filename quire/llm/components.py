@@ -52,35 +52,60 @@ def contract(batches: Iterator[pa.RecordBatch], limit: int = 500_000) -> Iterato
         for h, c in zip(held, ("a", "b"), strict=True):
             h.append(batch.column(c).to_numpy())
         n += batch.num_rows
-        if n >= limit:
-            yield flush()
-            held, n = ([], []), 0
+        if n >= limit:  # the stars so far stay in hand, so that all that a task sees hangs together
+            flushed = flush()
+            held, n = ([flushed.column("a").to_numpy()], [flushed.column("b").to_numpy()]), flushed.num_rows
+            if 2 * n > limit:
+                yield flushed
+                held, n = ([], []), 0
     if n:
         yield flush()
 
 
-def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def with_least(rows: DataFrame, low: DataFrame, links: int, most: int = 50_000) -> DataFrame:
+    """Adds m, the smallest neighbour of a, from low (a, m, n: its number of neighbours). Nodes of
+    over links / most neighbours are fewer than `most`, so they are broadcast, and a hub's rows
+    stay where they are; all other nodes are joined by key."""
+    limit = max(links // most, 256)
+    hubs = F.broadcast(low.where(F.col("n") > limit).select("a", F.col("m").alias("hub_m")))
+    marked = rows.join(hubs, "a", "left")
+    rest = marked.where("hub_m is null").drop("hub_m").join(low.where(F.col("n") <= limit).select("a", "m"), "a")
+    return marked.where("hub_m is not null").withColumnRenamed("hub_m", "m").unionByName(rest)
+
+
+def connected_components(links: DataFrame, contracted: bool = False, rounds: int = 60) -> DataFrame:
     """links: a, b (long, never null). Returns node, root for every node with a link to another
-    one; root is the smallest node of the component. No links give no rows."""
-    stars = map_batches(links.where("a != b").select("a", "b"), contract, "a long, b long")
-    stars = cut_lineage(stars.distinct())  # a > b
-    seen = None
+    one; root is the smallest node of the component. No links give no rows. contracted: the links
+    are spanning stars of their partitions (what `contract` yields) already."""
+    links = links.where("a != b").select("a", "b")
+    stars = cut_lineage((links if contracted else map_batches(links, contract, "a long, b long")).distinct())  # a > b
+    seen, n = None, stars.count()
     for _ in range(rounds):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = with_least(both.where("b > a"), low, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, low, 2 * n).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
         stars = cut_lineage(small.where("a != b").distinct())
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break
-        seen = now
+        seen, n = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def named_nodes(classes: DataFrame, rep: str = "rep") -> tuple[DataFrame, int]:
+    """Classes whose name, the smallest id of their rows, is null get a number above all ids, which
+    is returned: components of such numbers only have no name. Ids are taken to be below 2**62."""
+    top, nulls = classes.agg(F.max(rep), F.count_if(F.col(rep).isNull())).first()
+    top = max(top or 0, 0)
+    if nulls:
+        classes = cut_lineage(classes.withColumn(rep, F.coalesce(rep, F.monotonically_increasing_id() + F.lit(top + 1))))
+    return classes, top
+
+
 def in_cells(rows: DataFrame, keys: list[str], key_id: str, limit: int) -> DataFrame:
     """Splits groups of over `limit` rows: adds part, cell_i, cell_j. A group of n rows becomes
     parts, and each pair of parts a cell of its own; every pair of rows meets in one cell (rows

@@ -1,14 +1,18 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
 Texts become 64-bit fingerprints (majority bits of the hashes of their shingles). Only distinct
-fingerprints are compared. Two that differ in at most r bits agree fully on at least two of r + 2
-blocks of bits, so each fingerprint goes to one bucket for each pair of blocks, and buckets are
-searched on their own. In a bucket the fingerprints lie in Gray order, in which neighbours share
-long bit patterns; runs of them are nodes that hold the bits all members agree on, upper nodes
-the bits their children agree on. Pairs of nodes are followed down from the top: the differences
-on the bits that both nodes have settled add up, and a pair with too many is dropped with all
-that is below it, as is a pair whose members are all connected already. A bucket yields the links
-of a spanning forest, never all pairs, and a bucket of a great part of all rows is split.
+fingerprints are compared. Two that differ in at most r bits agree fully on at least one of r + 1
+blocks of bits, so each fingerprint is dealt once for each block, by the block's bits. What a task
+gets of one block, it searches as a whole: the fingerprints lie in Gray order, in which neighbours
+share long bit patterns; runs of them are nodes that hold the bits all members agree on, upper
+nodes the bits their children agree on. Pairs of nodes are followed down from the top: the
+differences on the bits that both nodes have settled add up, and a pair with too many, or with any
+on the block that has to agree, is dropped with all that is below it, as is a pair whose members
+are all connected already. A task yields the links of a spanning forest, never all pairs. A block
+value that a great part of all fingerprints share is dealt again by further blocks.
+
+A fingerprint goes by the smallest id that has it, so that the smallest member of a component is
+the component's name, and nothing is grouped by component.
 
 Defined results: null and empty texts have fingerprint zero, which links like any other; a null
 id keeps its row, and is never a component's name unless all its ids are null; equal texts get
@@ -18,7 +22,7 @@ equal results; an empty table gives no row. Only the id and text columns are rea
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations, repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quire.llm._common import cut_lineage, map_batches, slices, texts_of
-from quire.llm.components import Forest, connected_components, group_runs, in_cells
+from quire.llm.components import Forest, connected_components, contract, group_runs, in_cells, named_nodes
 
 LEAF, FAN = 16, 4
 
@@ -69,20 +73,24 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def block_masks(radius: int) -> list[int]:
-    """A mask (signed) for each pair of radius + 2 blocks of the 64 bits."""
-    n = radius + 2
-    edge = [64 * i // n for i in range(n + 1)]
-    blocks = [sum(1 << b for b in range(edge[i], edge[i + 1])) for i in range(n)]
-    return [int(np.uint64(a | b).view(np.int64)) for a, b in combinations(blocks, 2)]
+def agreed_masks(radius: int, levels: int) -> list[int]:
+    """Masks of agreed bits (signed), as a tree in heap order: the children of mask k are at
+    (radius + 1) * k + 1 and after, each with one more block of the bits that k leaves open."""
+    masks, n = [0], radius + 1
+    for k in range(sum(n**i for i in range(levels))):
+        free = [b for b in range(64) if not masks[k] >> b & 1]
+        masks += [masks[k] | sum(1 << b for b in free[len(free) * i // n : len(free) * (i + 1) // n]) for i in range(n)]
+    return [int(np.uint64(m).view(np.int64)) for m in masks]
 
 
 class GrayIndex:
     """Nodes over fingerprints in Gray order: level 0 has runs of LEAF of them, each level above
-    runs of FAN nodes. A node has the mask of bits its members agree on, and their values."""
+    runs of FAN nodes. A node has the mask of bits its members agree on, and their values.
+    compared counts the pairs of fingerprints that a search looked at, dropped the pairs of nodes
+    it left out with all that is below them."""
 
     def __init__(self, fp: np.ndarray):
-        self.fp = fp
+        self.fp, self.compared, self.dropped = fp, 0, 0
         at = np.arange(0, len(fp), LEAF)
         spread = np.bitwise_or.reduceat(fp ^ np.repeat(fp[at], np.diff(np.r_[at, len(fp)])), at)
         self.levels = [(~spread, fp[at] & ~spread)]
@@ -93,12 +101,11 @@ class GrayIndex:
             up = np.bitwise_and.reduceat(mask, at) & ~spread
             self.levels.append((up, bits[at] & up))
 
-    def spanning(self, radius: int, apart: np.ndarray | None = None, block: int = 1 << 12) -> Forest:
-        """Connects members within `radius` bits. apart: only members with unlike values link."""
-        n, forest = len(self.fp), Forest(len(self.fp))
+    def spanning(self, radius: int, agreed: int = 0, block: int = 1 << 10) -> Forest:
+        """Connects members within `radius` bits; those that differ on agreed bits needn't be."""
+        n, forest, agreed = len(self.fp), Forest(len(self.fp)), np.uint64(agreed)
         top = len(self.levels) - 1
-        i, j = np.triu_indices(len(self.levels[top][0]))
-        work = [(top, i, j)]
+        work = [(top, *np.triu_indices(len(self.levels[top][0])))]
         width = [LEAF * FAN**k for k in range(top + 1)]
         one = self.uniform(forest, width)
         while work:
@@ -107,9 +114,10 @@ class GrayIndex:
                 work.append((level, i[block:], j[block:]))
                 i, j = i[:block], j[:block]
             mask, bits = self.levels[level]
-            near = np.bitwise_count((bits[i] ^ bits[j]) & mask[i] & mask[j]) <= radius
+            apart = (bits[i] ^ bits[j]) & mask[i] & mask[j]
             a, b = one[level][i], one[level][j]
-            near &= (a < 0) | (a != b)
+            near = (np.bitwise_count(apart) <= radius) & (apart & agreed == 0) & ((a < 0) | (a != b))
+            self.dropped += len(i) - int(near.sum())
             i, j = i[near], j[near]
             if not len(i):
                 continue
@@ -120,12 +128,11 @@ class GrayIndex:
             ok = (x < end) & (y < end) & ((x < y) if not level else (x <= y))
             x, y = x[ok], y[ok]
             if level:
-                order = np.argsort(y - x, kind="stable")[::1]  # near neighbours first: they connect most
+                order = np.argsort(y - x, kind="stable")  # near neighbours first: they connect most
                 work.append((level - 1, x[order], y[order]))
                 continue
+            self.compared += len(x)
             hit = np.bitwise_count(self.fp[x] ^ self.fp[y]) <= radius
-            if apart is not None:
-                hit &= apart[x] != apart[y]
             if hit.any():
                 forest.join(x[hit], y[hit])
                 one = self.uniform(forest, width)
@@ -142,45 +149,60 @@ class GrayIndex:
         return out
 
 
-def link_buckets(radius: int):
-    """Links (a, b: fingerprints) that connect what each bucket holds."""
+def links_of(radius: int, masks: list[int]):
+    """Links (a, b: nodes) that connect what each bucket holds: an index over all buckets of a
+    task that agree on the same bits."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, _ in group_runs(batches, ["tree", "masked", "cell_i", "cell_j"], limit=1 << 18):
+            fp, tree, node = table.column("fp").to_numpy().view(np.uint64), table.column("tree").to_numpy(), table.column("rep").to_numpy()
+            edge = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1], True])
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                label = GrayIndex(fp[s:e]).spanning(radius, masks[tree[s]] & (1 << 64) - 1).label
+                keep = np.flatnonzero(label != np.arange(e - s))
+                yield pa.RecordBatch.from_arrays([pa.array(node[s + keep]), pa.array(node[s + label[keep]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, first in group_runs(batches, ["bucket", "masked", "cell_i", "cell_j"]):
-            fp = table.column("fp").to_numpy().view(np.uint64)
-            part, cut = table.column("part").to_numpy(), table.column("cell_i").to_numpy() != table.column("cell_j").to_numpy()
-            ends = np.r_[first[1:], len(fp)]
-            a, b = [], []
-            # groups of one leaf: all their nodes at once, by distance in Gray order
-            group = np.repeat(np.arange(len(first)), ends - first)
-            small = (ends - first <= LEAF)[group]
-            for d in range(1, LEAF):
-                hit = small[:-d] & (group[:-d] == group[d:]) & (np.bitwise_count(fp[:-d] ^ fp[d:]) <= radius) & (~cut[:-d] | (part[:-d] != part[d:]))
-                a.append(fp[:-d][hit])
-                b.append(fp[d:][hit])
-            for s, e in zip(first.tolist(), ends.tolist(), strict=True):
-                if e - s > LEAF:
-                    label = GrayIndex(fp[s:e]).spanning(radius, part[s:e] if cut[s] else None).label
-                    keep = np.flatnonzero(label != np.arange(e - s))
-                    a.append(fp[s:e][keep])
-                    b.append(fp[s:e][label[keep]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+        return contract(found(batches))
 
     return run
 
 
-def components_of(prints: DataFrame, radius: int = 4, split_over: int = 50_000) -> DataFrame:
+def buckets(reps: DataFrame, radius: int, masks: list[int], levels: int, split_over: int) -> DataFrame:
+    """tree (which bits agree), masked (their values), fp, rep, cell_i, cell_j: two fingerprints
+    within radius meet in a bucket. Buckets of over split_over fingerprints are split on further
+    blocks, and only what is as large still after `levels` is compared in cells."""
+    n, all_ = radius + 1, F.array(*map(F.lit, masks))
+
+    def below(rows: DataFrame) -> DataFrame:
+        dealt = rows.withColumn("tree", F.explode(F.sequence(F.col("tree") * n + 1, F.col("tree") * n + n)))
+        return dealt.withColumn("masked", F.col("fp").bitwiseAND(F.get(all_, F.col("tree"))))
+
+    keys, done = ["tree", "masked"], None
+    rows = below(reps.select("fp", "rep", F.lit(0).alias("tree")))
+    for level in range(1, levels + 1):
+        hot = cut_lineage(rows.groupBy(*keys).count().where(F.col("count") > split_over).select(*keys))
+        k = hot.count()
+        if not k or level == levels:
+            break
+        hot = F.broadcast(hot) if k <= 50_000 else hot  # the bound of what is broadcast
+        rest = rows.join(hot, keys, "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        rows = below(rows.join(hot, keys, "left_semi").select("fp", "rep", "tree"))
+    last = in_cells(rows, keys, "fp", split_over).drop("part") if k else rows.withColumns({"cell_i": F.lit(0), "cell_j": F.lit(0)})
+    return last if done is None else last.unionByName(done.withColumns({"cell_i": F.lit(0), "cell_j": F.lit(0)}))
+
+
+def components_of(prints: DataFrame, radius: int = 4, split_over: int = 50_000, levels: int = 3) -> DataFrame:
     """From doc_id, fp: fp and component_id (smallest id reachable) for each distinct fingerprint."""
-    reps = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    tables = F.array(*[F.struct(F.lit(i).alias("bucket"), F.col("fp").bitwiseAND(F.lit(m)).alias("masked")) for i, m in enumerate(block_masks(radius))])
-    rows = reps.select("fp", F.explode(tables).alias("t")).select("fp", "t.*")
-    cells = in_cells(rows, ["bucket", "masked"], "fp", split_over)
-    keys = ["bucket", "masked", "cell_i", "cell_j"]
-    dealt = cells.repartition(*keys).sortWithinPartitions(*keys, gray_rank(F.col("fp")))
-    roots = connected_components(map_batches(dealt, link_buckets(radius), "a long, b long"))
-    rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    reps, top = named_nodes(cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))))
+    masks = agreed_masks(radius, levels)
+    keys = ["tree", "masked", "cell_i", "cell_j"]
+    rows = buckets(reps, radius, masks, levels, split_over)
+    dealt = rows.repartition(*keys).sortWithinPartitions("tree", gray_rank(F.col("masked")), "cell_i", "cell_j", gray_rank(F.col("fp")))
+    roots = connected_components(map_batches(dealt, links_of(radius, masks), "a long, b long"), contracted=True)
+    named = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return named.withColumn("component_id", F.when(F.col("component_id") <= top, F.col("component_id")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:

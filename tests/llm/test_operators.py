@@ -144,9 +144,9 @@ def test_simhash(spark):
     assert [got[i].component_id for i in range(len(texts))] == brute_components(len(texts), links)
 
 
-@pytest.mark.parametrize("limit", [10_000, 100])
+@pytest.mark.parametrize("limit", [10_000, 100, 20])
 def test_gray_index_in_buckets(spark, limit):
-    """Dense groups, whole and split into cells."""
+    """Dense groups, whole, split on further blocks, and split into cells."""
     centers = RNG.integers(0, 2**62, 12)
     fp = sorted({int(c) ^ sum(1 << int(b) for b in set(RNG.integers(0, 64, RNG.integers(0, 7)))) for c in centers for _ in range(150)})
     signed = np.array(fp, np.uint64).view(np.int64).tolist()
@@ -157,6 +157,24 @@ def test_gray_index_in_buckets(spark, limit):
     assert [got[s] for s in signed] == brute_components(len(fp), [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if j < i])
 
 
+def test_gray_index_prunes_groups():
+    """The hierarchy does the search: whole groups are dropped, few fingerprints are compared, and
+    all links that agree on the block are found."""
+    x = RNG.integers(0, 2**63, 6000).astype(np.uint64)
+    x = np.unique(np.r_[x, x[:600] ^ (np.uint64(1) << RNG.integers(0, 52, 600).astype(np.uint64))])
+    rank = x.copy()
+    for k in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(k)
+    x = x[np.argsort(rank)]
+    agreed = 0xFFF << 52
+    index = simhash.GrayIndex(x)
+    label = index.spanning(4, agreed).label
+    assert len(index.levels) > 3 and index.dropped > 1000 and index.compared < len(x) ** 2 / 2 / 40
+    far = np.bitwise_count(x[:, None] ^ x[None, :])
+    a, b = np.nonzero((far <= 4) & ((x[:, None] ^ x[None, :]) >> np.uint64(52) == 0))
+    assert len(a) > len(x) and (label[a] == label[b]).all()
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(1000, i) for i in range(200, 400)] + [(7, 7), (5000, 4000)]
     found = {r.node: r.root for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
