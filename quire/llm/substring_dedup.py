@@ -1,17 +1,23 @@
 """Substring deduplication over sliding spans of sentences.
 
-A text is cut into sentences, and long sentences again after words that a hash picks, so that the
-same passage falls into the same units wherever it begins. Every run of `run` consecutive units,
-or of as many more as it takes to have `min_words` words, is hashed. Over the corpus each hash belongs to the first document
-(smallest doc_id) that has it; in other documents, and at later places of the first one, the units
-that the run covers are removed. All else of a text stays as it is, character by character.
-
-Counts are pre-aggregated before they are shuffled, and the join back to the documents is one that
-adaptive execution can split, so a passage that a third of all documents share is no hot task.
-
-Defined results: null text counts as empty; texts of fewer units than a run stay; a row with a null
-id loses only its own repeats, and nobody loses text to it; rows of one id are one document, whose
-text is kept in each; an empty table gives no row. Only the id and text columns are read.
+A text is cut into sentences, and every run of `run` consecutive sentences - more, until it has
+`min_words` words - is hashed, once. Over the corpus each hash belongs to the first place that has
+it (smallest doc_id, then the earliest run). Runs at other places that follow each other as those
+of their owner do are one match. Matches are verified: the owner's words come to the document and
+are compared one by one, inwards for equality and outwards as far as they agree, since a passage
+may begin and end in mid-sentence. Verified stretches that overlap are one, and those of at least
+`passage` words are removed; shorter ones, such as licence lines and stock phrases, stay. All else
+of a text stays as it is, character by character.
+
+Counts are pre-aggregated before they are shuffled; an owner is asked for each of its stretches
+once, however many documents share it; the joins that bring owners to matches and stretches to
+documents have one row a key on one side, so adaptive execution can split a passage that a third
+of all documents share.
+
+Defined results: null text counts as empty; texts of fewer sentences than a run stay; a row with a
+null id stays whole, and nobody loses text to it; rows of one id are one document: what they have
+at the same place stays in each; of equal stretches the first stays; an empty table gives no row.
+Only the id and text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -20,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm._common import map_batches, slices, texts_of
+from quire.llm._common import cut_lineage, map_batches, slices, texts_of
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -51,33 +57,28 @@ def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return h ^ (h >> np.uint64(29))
 
 
-def units(raw: bytes, longest: int = 8, pick: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each unit ends (with the white space after it), its hash and its number of words.
-    Words lie between ASCII white space; a sentence ends after . ! ? or with the line. Sentences
-    of over `longest` words are cut again after about every `pick`-th word."""
+def units(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word begins, and of each sentence the first word, the hash and the number of
+    words. Words lie between ASCII white space; a sentence ends after . ! ? or with the line."""
     data = np.frombuffer(raw, np.uint8)
     space = np.ones(len(data) + 2, bool)
     space[1:-1] = _SPACE[data]
     start, end = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[1:-1] & space[2:]) + 1
-    n = len(start)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not len(start):
+        return start, start, np.zeros(0, np.uint64), start
     words = range_hashes(data, start, end)
     lines = np.cumsum(np.r_[0, data == 10])
     stop = _STOP[data[end - 1]]
     stop[:-1] |= lines[start[1:]] > lines[end[:-1]]
     stop[-1] = True
     last = np.flatnonzero(stop)
-    size = np.diff(np.r_[-1, last])
-    stop |= np.repeat(size > longest, size) & ((words >> np.uint64(33)) % np.uint64(pick) == 0)
-    last = np.flatnonzero(stop)
     first = np.r_[0, last[:-1] + 1]
-    return np.r_[start[first[1:]], len(data)], range_hashes(words, first, last + 1), last + 1 - first
+    return start, first, range_hashes(words, first, last + 1), last + 1 - first
 
 
 def spans(hashes: np.ndarray, sizes: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First unit, end and hash of the run from each unit on: `run` units, and more until it has
-    `min_words` words. Runs that the text ends before are none."""
+    """First sentence, end and hash of the run from each sentence on: `run` of them, and more until
+    it has `min_words` words. Runs that the text ends before are none."""
     words = np.r_[0, np.cumsum(sizes)]
     first = np.arange(len(sizes))
     end = np.maximum(np.searchsorted(words, words[:-1] + min_words), first + run)
@@ -85,55 +86,130 @@ def spans(hashes: np.ndarray, sizes: np.ndarray, run: int, min_words: int) -> tu
     return first, end, range_hashes(hashes, first, end).view(np.int64)
 
 
-def without_spans(text: str, flagged: np.ndarray, run: int, min_words: int) -> tuple[str, int, int, int]:
-    """The text without units that flagged runs, or later occurrences of a run, cover; the number
-    of units, of removed units and of removed words."""
-    raw = text.encode()
-    ends, hashes, sizes = units(raw)
-    first, end, h = spans(hashes, sizes, run, min_words)
-    again = np.ones(len(h), bool)
-    again[np.unique(h, return_index=True)[1]] = False
-    gone = again | np.isin(h, flagged)
-    if not gone.any():
-        return text, len(ends), 0, 0
-    change = np.zeros(len(ends) + 1, np.int64)
-    np.add.at(change, first[gone], 1)
-    np.add.at(change, end[gone], -1)
-    covered = np.cumsum(change[:-1]) > 0
-    edge = np.flatnonzero(np.diff(np.r_[True, covered, True]))
-    at = np.r_[0, ends]
-    kept = b"".join([raw[at[a] : at[b]] for a, b in zip(edge[::2], edge[1::2], strict=True)]).decode().rstrip()
-    return kept, len(ends), int(covered.sum()), int(sizes[covered].sum())
-
-
-def repeated_spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """doc_id, flagged: the hashes of its runs that belong to another document."""
+def matches(docs: DataFrame, run: int, min_words: int) -> DataFrame:
+    """doc_id, lo, hi (sentences), owner, owner_lo, owner_hi: stretches whose runs have the hashes of
+    an earlier place, as long as both go on together."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [np.unique(spans(*units(t.encode())[1:], run, min_words)[2]) for t in texts_of(batch)]
-            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), ids], names=["span", "doc_id"])
-
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = map_batches(cols, hashed, "span long, doc_id long").where("doc_id is not null")
-    owners = rows.groupBy("span").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("span", "owner")
-    return rows.join(owners, "span").where("doc_id != owner").groupBy("doc_id").agg(F.collect_set("span").alias("flagged"))
-
-
-def dedup(docs: DataFrame, run: int = 3, min_words: int = 8, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, text (what is left of it), n_units, n_removed, removed_words of each document, and
-    the columns named in carry."""
+            found = [spans(*units(t.encode())[2:], run, min_words) for t in texts_of(batch)]
+            again = []
+            for _, _, h in found:
+                a = np.ones(len(h), bool)
+                a[np.unique(h, return_index=True)[1]] = False
+                again.append(a)
+            first, end, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
+            yield pa.RecordBatch.from_arrays([pa.array(h), ids, pa.array(first << 32 | end), pa.array(np.concatenate(again))], names=["span", "doc_id", "place", "again"])
+
+    rows = cut_lineage(map_batches(docs.where("doc_id is not null").select("doc_id", "text"), hashed, "span long, doc_id long, place long, again boolean"))
+    owners = rows.groupBy("span").agg(F.min_by("place", F.when(~F.col("again"), F.col("doc_id"))).alias("owner_place"), F.min("doc_id").alias("owner"), F.count("*").alias("n"))
+    pairs = rows.join(owners.where("n > 1").drop("n"), "span").where("doc_id != owner or place != owner_place")
+    part = lambda c, low: F.shiftright(c, 32) if low else F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    pairs = pairs.select("doc_id", "owner", part("place", True).alias("lo"), part("place", False).alias("hi"), part("owner_place", True).alias("owner_lo"), part("owner_place", False).alias("owner_hi"))
+    keys = ["doc_id", "owner", "shift"]
+    w = Window.partitionBy(*keys).orderBy("lo")
+    pairs = pairs.withColumn("shift", F.col("lo") - F.col("owner_lo"))
+    pairs = pairs.withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    pairs = pairs.withColumn("stretch", F.sum(F.col("new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("owner_lo").alias("owner_lo"), F.max("owner_hi").alias("owner_hi")]
+    return pairs.groupBy(*keys, "stretch").agg(*ends).drop("shift", "stretch")
+
+
+def owners_words(docs: DataFrame, found: DataFrame, run: int, min_words: int) -> DataFrame:
+    """owner, owner_lo, owner_hi, words, lead for each stretch that is asked for: the owner's words
+    with a run and a sentence more on each side, lead of which lie before it. What agrees beyond
+    the stretch is shorter than that, or it would be part of it."""
+    asked = found.groupBy("owner").agg(F.collect_set(F.struct("owner_lo", "owner_hi")).alias("asked")).withColumnRenamed("owner", "doc_id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows: list[tuple] = []
+            size = 0
+            for doc, text, want in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("asked").to_pylist(), strict=True):
+                raw = text.encode()
+                start, first, _, _ = units(raw)
+                at, end = np.r_[first, len(start)], np.r_[start, len(raw)]
+                for w in want:
+                    lo, hi = w["owner_lo"], w["owner_hi"]
+                    if hi < len(at):  # else a row of the same id with another text
+                        a = min(lo - run, int(np.searchsorted(at, at[lo] - min_words, side="right")) - 1) - 1
+                        b = max(hi + run, int(np.searchsorted(at, at[hi] + min_words))) + 1
+                        a, b = max(a, 0), min(b, len(at) - 1)
+                        rows.append((doc, lo, hi, raw[end[at[a]] : end[at[b]]], int(at[lo] - at[a])))
+                        size += len(rows[-1][3])
+                        if size > 4 << 20:
+                            yield batch_of(rows)
+                            rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["owner", "owner_lo", "owner_hi", "words", "lead"])
+
+    return map_batches(docs.join(asked, "doc_id").select("doc_id", "text", "asked"), cut, "owner long, owner_lo long, owner_hi long, words binary, lead long")
+
+
+def agreeing(mine: list[bytes], lo: int, hi: int, owner: list[bytes], lead: int) -> tuple[int, int] | None:
+    """The words of `mine` that agree with the owner's, from the stretch lo to hi outwards; None if
+    the stretch itself doesn't."""
+    n = hi - lo
+    if mine[lo:hi] != owner[lead : lead + n]:
+        return None
+    while lo and lead and mine[lo - 1] == owner[lead - 1]:
+        lo, lead, n = lo - 1, lead - 1, n + 1
+    end = lead + n
+    while hi < len(mine) and end < len(owner) and mine[hi] == owner[end]:
+        hi, end = hi + 1, end + 1
+    return lo, hi
+
+
+def without_matches(text: str, found: list[dict], passage: int) -> tuple[str, int, int, int]:
+    """The text without verified stretches of at least `passage` words; the number of sentences, of
+    sentences that lost words, and of removed words."""
+    raw = text.encode()
+    start, first, _, sizes = units(raw)
+    if not found:
+        return text, len(first), 0, 0
+    words, at = raw.split(), np.r_[first, len(start)]
+    stretches = []
+    for m in found:
+        if m["hi"] < len(at) and (got := agreeing(words, int(at[m["lo"]]), int(at[m["hi"]]), m["words"].split(), m["lead"])):
+            stretches.append(got)
+    merged: list[list[int]] = []
+    for lo, hi in sorted(stretches):
+        if merged and lo < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    merged = [m for m in merged if m[1] - m[0] >= passage]
+    if not merged:
+        return text, len(first), 0, 0
+    end, kept, done, hurt = np.r_[start, len(raw)].tolist(), [], 0, np.zeros(len(first), bool)
+    for lo, hi in merged:
+        kept.append(raw[done : end[lo]])
+        done = end[hi]
+        hurt[np.searchsorted(first, lo, side="right") - 1 : np.searchsorted(first, hi)] = True
+    kept.append(raw[done:])
+    return b"".join(kept).decode().rstrip(), len(first), int(hurt.sum()), sum(hi - lo for lo, hi in merged)
+
+
+def dedup(docs: DataFrame, run: int = 2, min_words: int = 8, passage: int = 30, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, text (what is left of it), n_units (sentences), n_removed (those that lost words),
+    removed_words of each document, and the columns named in carry."""
     carry = carry or []
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            flagged = batch.column("flagged")
-            rows = [without_spans(t, np.array(flagged[i].as_py() or [], np.int64), run, min_words) for i, t in enumerate(texts_of(batch))]
+            found = batch.column("found")
+            rows = [without_matches(t, found[i].as_py() or [], passage) for i, t in enumerate(texts_of(batch))]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, *(batch.column(c) for c in carry)], names=["doc_id", "text", "n_units", "n_removed", "removed_words", *carry])
 
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
-    joined = cols.join(repeated_spans(docs, run, min_words), "doc_id", "left")
-    return map_batches(joined, rebuild, f"doc_id long, text string, n_units long, n_removed long, removed_words long{more}")
+    found = cut_lineage(matches(cols, run, min_words))
+    answered = found.join(owners_words(cols, found, run, min_words), ["owner", "owner_lo", "owner_hi"])
+    by_doc = answered.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "words", "lead")).alias("found"))
+    return map_batches(cols.join(by_doc, "doc_id", "left"), rebuild, f"doc_id long, text string, n_units long, n_removed long, removed_words long{more}")

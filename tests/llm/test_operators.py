@@ -328,44 +328,73 @@ def test_rgb_tensors(spark, docs):
 def test_substrings(spark):
     passage, other = prose(70), prose(60)
     clean = [prose(int(n)) for n in RNG.integers(5, 300, 40)]
-    rows = {1: f"{clean[0]} {passage} {clean[1]}", 2: f"{clean[2]} {passage} {clean[3]}", 3: f"{other}\n{clean[4]}\n{other}", 4: passage, **{10 + i: t for i, t in enumerate(clean[5:])}}
+    notice = "This work is free for all. Take it and go."
+    rows = {1: f"{clean[0]} {passage} {clean[1]}", 2: f"{clean[2]} {passage} {clean[3]}", 3: f"{other}\n{clean[4]}\n{other}", 4: passage, **{10 + i: f"{t}\n{notice}\nEnd." for i, t in enumerate(clean[5:])}}
     got = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
     assert got[1].text == rows[1] and all(got[i].text == t for i, t in rows.items() if i >= 10)
-    middle = " ".join(passage.split()[20:50])
-    assert middle in got[1].text and middle not in got[2].text and middle not in got[4].text
-    assert got[2].text.startswith(clean[2][: len(clean[2]) // 2]) and got[3].text.count(" ".join(other.split()[15:45])) == 1
+    # whole passages go, though they begin and end in mid-sentence
+    assert got[2].text.split() == f"{clean[2]} {clean[3]}".split() and got[2].removed_words == 70
+    assert got[4].text == "" and got[3].text == f"{other}\n{clean[4]}"
 
 
-def slow_dedup(rows, run=3, least=8):
-    """Removes by comparing the runs' words themselves."""
-    cut = {}
+def slow_dedup(rows, run=2, least=8, passage=30):
+    """Compares the words of all runs of sentences with those of all earlier places."""
+    texts = {}
     for i, t in rows.items():
-        ends, _, sizes = substring_dedup.units(t.encode())
-        at = [0, *ends.tolist()]
-        cut[i] = [t.encode()[a:b] for a, b in zip(at, at[1:], strict=False)], sizes.tolist()
-    seen, out = {}, {}
+        words = [(m.start(), m[0]) for m in re.finditer(r"\S+", t)]
+        ends = [k + 1 for k, (_, w) in enumerate(words) if w[-1] in ".!?" or k + 1 == len(words) or "\n" in t[words[k][0] : words[k + 1][0]]]
+        texts[i] = words, [0, *ends]
+    first, out = {}, {}
     for i in sorted(rows):
-        parts, sizes = cut[i]
-        gone, own = set(), []
-        for a in range(len(parts)):
+        words, at = texts[i]
+        w, hits = [x for _, x in words], []
+        for a in range(len(at) - 1):
             b = a + run
-            while b <= len(parts) and sum(sizes[a:b]) < least:
+            while b < len(at) and at[b] - at[a] < least:
                 b += 1
-            if b <= len(parts):
-                key = tuple(w for p in parts[a:b] for w in p.split()), tuple(sizes[a:b])
-                if key in seen:
-                    gone |= set(range(a, b))
-                own.append(key)
-                seen.setdefault(key, i)
-        out[i] = b"".join(p for k, p in enumerate(parts) if k not in gone).decode().rstrip() if gone else rows[i]
+            if b >= len(at):
+                continue
+            # sentence ends are part of what is compared
+            key = tuple(w[at[a] : at[b]]), tuple(x - at[a] for x in at[a : b + 1])
+            if key not in first:
+                first[key] = i, at[a]
+            elif first[key] != (i, at[a]):
+                j, p = first[key]
+                v, lo, hi, end = [x for _, x in texts[j][0]], at[a], at[b], p + at[b] - at[a]
+                while lo and p and w[lo - 1] == v[p - 1]:
+                    lo, p = lo - 1, p - 1
+                while hi < len(w) and end < len(v) and w[hi] == v[end]:
+                    hi, end = hi + 1, end + 1
+                hits.append((lo, hi))
+        joined = []
+        for lo, hi in sorted(hits):
+            if joined and lo < joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], hi)
+            else:
+                joined.append([lo, hi])
+        gone = [x for x in joined if x[1] - x[0] >= passage]
+        t, starts = rows[i], [s for s, _ in words] + [len(rows[i])]
+        cuts = [0, *[starts[k] for x in gone for k in x], len(t)]
+        out[i] = "".join(t[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)).rstrip() if gone else t
     return out
 
 
 def test_substrings_brute_force(spark):
-    pool = [prose(int(n)) for n in RNG.integers(1, 40, 60)]
+    pool = [prose(int(n)) for n in RNG.integers(1, 90, 60)]
     rows = {i: " ".join(RNG.choice(pool, RNG.integers(1, 8))) for i in range(80)}
+    rows |= {80 + i: " ".join(t.split()[5:-5]) for i, t in enumerate(list(rows.values())[:20])}
     got = {r.doc_id: r.text for r in substring_dedup.dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
-    assert got == slow_dedup(rows)
+    want = slow_dedup(rows)
+    assert got == want and sum(want[i] != t for i, t in rows.items()) > 20
+
+
+def test_substrings_verify_words():
+    """Equal hashes of unlike words remove nothing."""
+    a, b = "Aa bb cc dd. Ee ff gg hh. Ii jj kk ll.", "Mm nn oo pp. Qq rr ss tt. Uu vv ww xx."
+    found = [{"lo": 0, "hi": 3, "words": b.encode(), "lead": 0}]
+    assert substring_dedup.without_matches(a, found, 1) == (a, 3, 0, 0)
+    found[0]["words"] = ("x y. " + a + " z").encode()
+    assert substring_dedup.without_matches(a, [found[0] | {"lead": 2}], 1)[0] == ""
 
 
 def test_toxicity(spark):
