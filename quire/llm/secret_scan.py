@@ -8,8 +8,9 @@ secrets and of look-alikes (hashes of commits, identifiers, placeholders, paths)
 written out as conditional expressions, so that scoring is part of the query's generated code.
 
 Defined results: null text counts as empty and has no findings; a candidate that occurs again is
-a finding again, with its own neighbours; overlapping candidates are one, that of the longest
-first pattern; repeated rows give repeated findings; an empty table gives no row. Only the id
+a finding again, with its own neighbours; overlapping candidates are one, that which begins first
+and of those the first pattern's; a secret of any length is masked whole; private-use characters
+stay what they are; repeated rows give repeated findings; an empty table gives no row. Only the id
 and text columns are read.
 """
 
@@ -37,6 +38,7 @@ SHAPES = (
     r"\bAIza[0-9A-Za-z_-]{30,}",
     r"\b[spr]k[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}",
     r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
+    r"""(?<=://)[^\s/:@"'<>]*+:[^\s/@"'<>]{3,}+(?=@)""",  # user and password in an address
 )
 VALUE = r"""[^\s"'<>]{6,}+"""
 GIVES = r"""["']?(?:[ \t]++|\s{0,3})(?:=>|[:=])(?:[ \t]++|\s{0,3})["']?"""
@@ -56,14 +58,27 @@ DICTIONARY = (
 ).split()
 
 FEATURES = ("size", "moves", "letters", "digits", "uppers", "words", "shape", "named", "near", "harmless", "path", "number", "hexes")
-MARK, END = "\ue000", "\ue001"
+MARK, END, ESCAPE = "\ue000", "\ue001", "\ue002"
+
+
+def escaped(text: Column) -> Column:
+    """The text with characters that serve as marks written as escapes."""
+    for sign, letter in ((ESCAPE, "e"), (MARK, "m"), (END, "n")):
+        text = F.replace(text, F.lit(sign), F.lit(ESCAPE + letter))
+    return text
+
+
+def restored(text: Column) -> Column:
+    """What `escaped` was given."""
+    for sign, letter in ((END, "n"), (MARK, "m"), (ESCAPE, "e")):
+        text = F.replace(text, F.lit(ESCAPE + letter), F.lit(sign))
+    return text
 
 
 def marked_parts(text: Column) -> Column:
-    """The text cut before each candidate: the first part has none, each other begins with one,
-    which END closes. Characters that serve as marks are taken out of the text beforehand."""
-    clean = F.translate(F.coalesce(text, F.lit("")), MARK + END, "")
-    return F.split(F.regexp_replace(clean, f"({CANDIDATE})", f"{MARK}$1{END}"), MARK)
+    """The text, escaped and cut before each candidate: the first part has none, each other begins
+    with one, which END closes."""
+    return F.split(F.regexp_replace(escaped(F.coalesce(text, F.lit(""))), f"({CANDIDATE})", f"{MARK}$1{END}"), MARK)
 
 
 def candidates(parts: Column) -> Column:
@@ -82,7 +97,7 @@ def candidates(parts: Column) -> Column:
 def features(c: Column) -> Column:
     """The forest's features of a candidate."""
     finding, before, after = c["finding"], c["before"], c["after"]
-    value = F.regexp_replace(finding, PREFIX, "")
+    value = F.when(before.endswith("://"), F.regexp_replace(finding, r"\A[^:]*:", "")).otherwise(F.regexp_replace(finding, PREFIX, ""))
     named = F.length(value) < F.length(finding)
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     share = lambda kind: F.length(F.regexp_replace(value, f"[^{kind}]", "")) / n
@@ -106,8 +121,9 @@ def features(c: Column) -> Column:
     )
 
 
-def labelled_findings(spark: SparkSession, rows: int = 60) -> DataFrame:
-    """finding, before, after, label: `rows` of each kind of secret and of look-alike, by a rule."""
+def labelled_findings(spark: SparkSession, rows: int = 60, first: int = 0) -> DataFrame:
+    """finding, before, after, label: `rows` of each kind of secret and of look-alike, by a rule
+    that gives others for each number from `first` on."""
     h = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     b64 = lambda salt: F.translate(F.base64(F.unhex(h(salt))), "+/=", "xyz")
     word = lambda salt: F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(DICTIONARY))) + 1).cast("int"))
@@ -127,6 +143,7 @@ def labelled_findings(spark: SparkSession, rows: int = 60) -> DataFrame:
         (cat("token = \"", F.substr(h("f"), F.lit(1), n("f1", 24, 40))), prose),
         (cat(pick("g0", "api_key: ", "secret=", "db_password: ", "auth_token='"), F.substr(b64("g"), F.lit(1), n("g1", 10, 40))), prose),
         (F.substr(b64("i"), F.lit(1), n("i1", 24, 40)), cat(word("p3"), " ", pick("i0", "bearer ", "secret ", "password ", "token "))),
+        (cat(word("z1"), ":", F.substr(b64("z2"), F.lit(1), n("z3", 8, 20))), cat(word("p7"), " ", pick("z4", "https", "postgres", "amqp"), "://")),
         (F.substr(h("j"), F.lit(1), F.lit(40)), cat(word("p4"), " ", pick("j0", "key is secret ", "password ", "token "))),
     ]
     no = [
@@ -135,6 +152,7 @@ def labelled_findings(spark: SparkSession, rows: int = 60) -> DataFrame:
         (F.substr(h("l2"), F.lit(1), n("l3", 24, 40)), prose),
         (F.regexp_replace(F.substr(h("m"), F.lit(1), F.lit(32)), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), prose),
         (cat(pick("o0", "password=", "password: ", "token=", "secret: ", "api_key="), pick("o1", "changeme", "your_password", "example", "placeholder", "<password>", "xxxxxxxx", "required", "********")), prose),
+        (cat(word("z5"), ":", pick("z6", "password", "changeme", "example", "$PASSWORD", "xxxxxxxx", "********", "placeholder")), cat(word("p8"), " ", pick("z7", "https", "postgres", "amqp"), "://")),
         (cat(pick("q", "password: ", "token: ", "secret: "), word("q1"), "_", word("q2")), prose),
         (cat(pick("r", "token=", "secret=", "password="), "$", F.upper(word("r1"))), prose),
         (cat("/", word("s1"), "/", word("s2"), "/", word("s3"), "/", word("s4")), prose),
@@ -146,7 +164,7 @@ def labelled_findings(spark: SparkSession, rows: int = 60) -> DataFrame:
         (F.repeat(pick("y", "-", "_", "=", "ab", "-="), 15), prose),
     ]
     kinds = [F.struct(f.alias("finding"), b.alias("before"), F.lit(" ").alias("after"), F.lit(float(y)).alias("label")) for y, group in ((1, yes), (0, no)) for f, b in group]
-    return spark.range(0, rows, 1, 1).select(F.explode(F.array(*kinds)).alias("x")).select("x.*")
+    return spark.range(first, first + rows, 1, 1).select(F.explode(F.array(*kinds)).alias("x")).select("x.*")
 
 
 def as_column(tree: str, f: Column) -> Column:
@@ -195,7 +213,7 @@ def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     trees = forest(docs.sparkSession)
     parts = docs.select("doc_id", marked_parts(F.col("text")).alias("parts")).where(F.size("parts") > 1)
     rows = parts.select("doc_id", F.posexplode(scored(F.col("parts"), trees)).alias("occurrence", "c"))
-    return rows.select("doc_id", F.col("occurrence").cast("long").alias("occurrence"), "c.finding", "c.before", "c.after", "c.score", (F.col("c.score") >= threshold).alias("is_secret"))
+    return rows.select("doc_id", F.col("occurrence").cast("long").alias("occurrence"), *[restored(F.col(f"c.{c}")).alias(c) for c in ("finding", "before", "after")], "c.score", (F.col("c.score") >= threshold).alias("is_secret"))
 
 
 def redacted(docs: DataFrame, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
@@ -207,5 +225,5 @@ def redacted(docs: DataFrame, threshold: float = 0.5, mark: str = "[SECRET]") ->
     both = docs.select(row, marked_parts(F.col("text")).alias("parts"))
     both = both.withColumn("found", F.when(F.size("parts") > 1, scored(F.col("parts"), trees)))
     one = lambda p, i: F.when(i == 0, p).when(F.get(F.col("found"), i - 1)["score"] >= threshold, F.concat(F.lit(mark), F.substring_index(p, END, -1))).otherwise(F.replace(p, F.lit(END), F.lit("")))
-    text = F.when(F.exists(F.coalesce("found", F.array().cast("array<struct<finding:string,before:string,after:string,score:double>>")), lambda c: c["score"] >= threshold), F.array_join(F.transform("parts", one), "")).otherwise(F.col("row.text"))
+    text = F.when(F.exists(F.coalesce("found", F.array().cast("array<struct<finding:string,before:string,after:string,score:double>>")), lambda c: c["score"] >= threshold), restored(F.array_join(F.transform("parts", one), ""))).otherwise(F.col("row.text"))
     return both.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names])
