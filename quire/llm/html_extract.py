@@ -1,14 +1,19 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at every tag that isn't inline. A block has its number of words and link
-density, those of the blocks before and after it, and what its surroundings say: whether it lies in
-the article, in a page part that isn't article (menu, header, footer, sidebar, form), or under an
-element whose names hint at adverts, notices or reader comments. A decision tree (CART) that is
-trained on a small labelled table says which blocks are main text.
+density, those of the blocks before and after it, and what its surroundings say. These are told
+apart by depth: page parts (menu, header, footer, sidebar, form) and names that hint at adverts,
+notices or widgets count below the innermost article element and above it separately, since a
+page's wrappers are often called after what stands beside the article. Besides there are what an
+element says of reader comments, which of the page's articles a block is in, and how that one
+compares in words with the largest. A decision tree (CART) that is trained on a small labelled
+table says which blocks are main text.
 
 Defined results: null and empty html, and pages without main text, give an empty text; broken
 markup is read as far as it goes (a tag that never ends is text, an element that never ends lasts
-as long as its parent); repeated rows give repeated results; an empty table gives no row.
+as long as its parent, a comment that never ends takes the rest), in time linear in the page's
+length; very long pages are read whole; repeated rows give repeated results; an empty table gives
+no row. Only page_id, url and html are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -16,8 +21,10 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +39,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("button canvas datalist iframe math noscript object option script select style svg template textarea title audio video".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = frozenset("nav header footer aside form menu dialog fieldset".split())
 #: Words of class, id and role values that hint at what isn't article.
 HINTS = frozenset(
@@ -41,11 +49,16 @@ HINTS = frozenset(
 )
 MAIN_HINTS = frozenset("main article content post entry story".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Words that name reader comments.
+TALK = frozenset("comment comments discussion replies reply disqus respond".split())
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+_ATTRIBUTES = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
+_QUOTES = re.compile("[>\"']")
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
-_CLOSED_BY = {"p": None, "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
+_CLOSED_BY = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
 
 
 @dataclass
@@ -53,39 +66,93 @@ class Block:
     text: str
     words: int
     linked: int
-    main: int = 0
-    part: int = 0
-    hint: int = 0
+    place: Place
+
+
+@dataclass
+class Place:
+    """What is known of an element's surroundings. kind: 2 in an article element, 1 in one that
+    only its names call so, 0 in none; article: which of them; parts and hints are counted below
+    that element, parts_above and hints_above outside it."""
+
+    name: str = ""
+    kind: int = 0
+    article: int = -1
+    parts: int = 0
+    header: int = 0
+    hints: int = 0
+    parts_above: int = 0
+    hints_above: int = 0
+    talk: int = 0
     heading: int = 0
 
 
-def surroundings(name: str, attributes: str) -> tuple[int, int, int]:
-    """What an element says about its content: main, part, hint."""
+def inside(up: Place, name: str, attributes: str, articles: int) -> Place:
+    """The surroundings of what lies in an element, from those of the element."""
     names = {w for m in _NAMES.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower())} if attributes else set()
-    main = name in ("article", "main") or bool(names & MAIN_HINTS) and name in ("div", "section")
-    hint = bool(names & HINTS) or bool(attributes and _HIDDEN.search(attributes))
-    return int(main), int(name in PARTS), int(hint)
+    kind = 2 if name in ("article", "main") else int(bool(names & MAIN_HINTS) and name in ("div", "section"))
+    frame = name in ("html", "body")
+    hint = int(bool(names & HINTS) or bool(attributes and _HIDDEN.search(attributes)))
+    here = replace(up, name=name, talk=up.talk or int(bool(names & TALK) and not frame), heading=up.heading or int(name in HEADINGS))
+    if kind == 2 or kind > up.kind:
+        here.kind, here.article = kind, articles
+        here.parts_above, here.hints_above = up.parts_above + up.parts + up.header, up.hints_above + up.hints + hint
+        here.parts = here.header = here.hints = 0
+    elif frame:
+        here.hints_above += hint
+    else:
+        here.parts += int(name in PARTS and name != "header")
+        here.header += int(name == "header")
+        here.hints += hint
+    return here
+
+
+class TagEnds:
+    """Where tags end: at the first > that isn't quoted. As soon as one has no end, the ends for
+    all places where one might begin are found at once, so that broken markup costs no more."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.last = page, None, page.rfind(">")
+
+    def __call__(self, start: int) -> int | None:
+        if start > self.last:
+            return None
+        if self.at is None:
+            if m := _ATTRIBUTES.match(self.page, start):
+                return m.end() - 1
+            self.prepare()
+        return self.ends[bisect_left(self.at, start)]
+
+    def prepare(self) -> None:
+        found = [(m.start(), m[0]) for m in _QUOTES.finditer(self.page)]
+        self.at = [p for p, _ in found]
+        self.ends: list[int | None] = [None] * (len(found) + 1)
+        later: dict[str, int] = {}
+        for k in range(len(found) - 1, -1, -1):
+            place, sign = found[k]
+            if sign == ">":
+                self.ends[k] = place
+            else:
+                self.ends[k] = self.ends[later[sign] + 1] if sign in later else None
+                later[sign] = k
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = []
+    stack: list[Place] = [Place()]
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked: list[str] = []
-    links = 0
+    link_depth = articles = 0  # depth of the stack where the open link began, 0 if none is open
+    tag_end, unclosed = TagEnds(page), set()
+    known: dict[tuple[int, str], Place] = {}  # by parent and name, of elements without attributes
+    places = list(stack)
 
     def flush() -> None:
         if text:
             words = " ".join("".join(text).split())
             if words:
-                main = max((s[1] for s in stack), default=0)
-                # a part of the article's own, such as its header, counts as article if it's a heading's
-                inner = stack[max((i for i, s in enumerate(stack) if s[1]), default=-1) + 1 :] if main else stack
-                heads = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack)
-                part = any(s[2] and not (main and heads and s[0] == "header") for s in (inner if main else stack))
-                if main and not part:
-                    part = any(s[2] and s[0] in ("aside", "form", "nav", "footer", "dialog") for s in stack)
-                out.append(Block(words, words.count(" ") + 1, len("".join(linked).split()), main, int(part), max((s[3] for s in stack), default=0), int(heads)))
+                out.append(Block(words, words.count(" ") + 1, len("".join(linked).split()), stack[-1]))
             text.clear()
             linked.clear()
 
@@ -93,68 +160,109 @@ def blocks(page: str) -> list[Block]:
         if raw:
             raw = html.unescape(raw) if "&" in raw else raw
             text.append(raw)
-            if links:
+            if link_depth:
                 linked.append(raw)
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
+    def close(i: int) -> None:
+        for place in stack[i:]:
+            opened[place.name] -= 1
+        del stack[i:]
+
+    at = scan = 0
+    while (lt := page.find("<", scan)) >= 0:
+        scan = lt + 1
+        if page.startswith("<!--", lt):
+            add(page[at:lt])
+            at = scan = page.find("-->", lt + 4) + 3
+            if at == 2:
+                at = len(page)
+                break
+            continue
+        m = _NAME.match(page, lt)
         if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+            if page[scan : scan + 1] in ("!", "?", "/") and lt < tag_end.last:
+                add(page[at:lt])
+                at = scan = page.find(">", lt) + 1
+            continue
+        end = tag_end(m.end())
+        if end is None:
             continue
-        name, attributes = m[2].lower(), m[3]
-        if name in SKIPPED and not m[1]:
+        add(page[at:lt])
+        at = scan = end + 1
+        closing, name, attributes = m[1], m[2].lower(), page[m.end() : end]
+        if name in SKIPPED and not closing:
             if name not in INLINE:
                 text.append(" ")
-            if not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if close:
-                    at = close.end()
+            if not attributes.endswith("/") and name not in unclosed:
+                found = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+                if found and found.end() <= tag_end.last:
+                    at = scan = page.find(">", found.end()) + 1
                 elif name in RAW:
+                    at = len(page)
                     break
+                else:
+                    unclosed.add(name)  # nor is there an end for later ones
             continue
         if name == "br":
             add(" ")
             continue
         if name in INLINE:
             if name == "a":
-                links = max(0, links + (-1 if m[1] else 1))
-                if links:
-                    linked.append(" ")
+                link_depth = 0 if closing else len(stack)
+                linked.append(" ")
             continue
         flush()
-        links = 0
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+        if closing:
+            if opened[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name))
         elif name not in VOID and not attributes.endswith("/"):
-            if name in _CLOSED_BY or stack and stack[-1][0] == "p":
-                stop = _CLOSED_BY.get(name)
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name or not stop and stack[i][0] == "p":
-                        del stack[i:]
+            if stack[-1].name == "p" and name not in INLINE:
+                close(len(stack) - 1)
+            elif stop := _CLOSED_BY.get(name):
+                for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
+                    if stack[i].name == name:
+                        close(i)
                         break
-                    if stop is None or stack[i][0] in stop:
+                    if stack[i].name in stop:
                         break
-            stack.append((name, *surroundings(name, attributes)))
+            up = stack[-1]
+            here = None if attributes else known.get((id(up), name))
+            if here is None:
+                here = inside(up, name, attributes, articles)
+                places.append(here)  # so that its id stays its own
+                if not attributes and here.article == up.article:
+                    known[id(up), name] = here
+                articles += here.article != up.article
+            stack.append(here)
+            opened[name] += 1
+        if link_depth > len(stack):
+            link_depth = 0
+    add(page[at:])
     flush()
     return out
 
 
+FEATURES = (
+    "words", "density", "words_before", "density_before", "words_after", "density_after", "kind", "parts", "hints", "parts_above", "hints_above", "talk", "heading", "article", "share", "best_kind",
+)
+
+
 def features(found: list[Block]) -> np.ndarray:
-    """words, link density, the same of the block before and after, main, part, hint, heading, and
-    whether the page marks its article at all."""
-    own = np.array([(b.words, b.linked / b.words) for b in found], float).reshape(-1, 2)
+    """A row for each block. article: how many others the page has before the block's own; share:
+    its words by those of the page's largest article; best_kind: the highest kind of the page."""
+    own = np.array([(b.words, min(b.linked / b.words, 1.0)) for b in found], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
-    rest = np.array([(b.main, b.part, b.hint, b.heading) for b in found], float).reshape(-1, 4)
-    marked = np.full((len(found), 1), float(any(b.main for b in found)))
-    return np.hstack([own, np.vstack([edge, own])[:-1], np.vstack([own, edge])[1:], rest, marked])
+    sizes: Counter[int] = Counter()
+    for b in found:
+        sizes[b.place.article] += b.words if b.place.kind else 0
+    order = {a: i for i, a in enumerate(sorted(a for a in sizes if a >= 0))}
+    most, best = max([*sizes.values(), 1]), max((b.place.kind for b in found), default=0)
+    rest = []
+    for b in found:
+        p = b.place
+        parts = p.parts + (p.header if not (p.kind and p.heading) else 0)  # an article's own header may hold its heading
+        rest.append((p.kind, min(parts, 2), min(p.hints, 2), min(p.parts_above, 2), min(p.hints_above, 2), p.talk, p.heading, min(order.get(p.article, 0), 3), sizes[p.article] / most if p.kind else 0.0, best))
+    return np.hstack([own, np.vstack([edge, own])[:-1], np.vstack([own, edge])[1:], np.array(rest, float).reshape(-1, len(FEATURES) - 6)])
 
 
 @dataclass
@@ -166,7 +274,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 2) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 2) -> Node:
     """CART: the split with the lowest Gini impurity, as long as it lowers it."""
     node = Node(bool(2 * y.sum() > len(y)))
     if depth == 0 or y.min() == y.max():
@@ -192,7 +300,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 2) -> Node:
 
 
 def decide(node: Node, x: np.ndarray) -> np.ndarray:
-    if node.feature < 0:
+    if node.feature < 0 or not len(x):
         return np.full(len(x), node.keep)
     below = x[:, node.feature] <= node.limit
     out = np.empty(len(x), bool)
@@ -200,37 +308,72 @@ def decide(node: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_table() -> list[tuple[str, str]]:
+def labelled_table(pages: int = 400, seed: int = 11) -> list[tuple[str, str]]:
     """Small pages, and for each of their blocks in turn 1 (main text) or 0. Prose of n words is
     written w*n here, so that the table stays readable."""
+    rng = random.Random(seed)
+    n = lambda low, high: f"w*{rng.randint(low, high)}"
 
-    def page(*parts: tuple[str, str, int]) -> tuple[str, str]:
-        body = "".join(re.sub(r"w\*(\d+)", lambda m: " ".join(["word"] * int(m[1])), markup) for markup, _, _ in parts)
-        return body, "".join(str(keep) * n for _, keep, n in ((m, k, n) for m, k, n in parts))
+    def page(*parts: tuple[str, str]) -> tuple[str, str]:
+        return re.sub(r"w\*(\d+)", lambda m: " ".join(["word"] * int(m[1])), "".join(markup for markup, _ in parts)), "".join(keep for _, keep in parts)
+
+    def noise(kind: str) -> tuple[str, str]:
+        made = {
+            "menu": lambda: ("<nav><ul>" + "".join(f"<li><a>{n(1, 3)}</a></li>" for _ in range(3)) + "</ul></nav>", "000"),
+            "links": lambda: (f"<div><a>{n(1, 2)}</a></div><div><a>{n(1, 3)}</a></div><div><a>w*1</a> w*1</div>", "000"),
+            "cards": lambda: ("".join(f"<a><div>{n(2, 12)}</div></a>" for _ in range(3)), "000"),
+            "header": lambda: (f"<header>{n(1, 30)}</header>", "0"),
+            "footer": lambda: (f"<footer>{n(3, 60)}<p>{n(1, 20)}</p></footer>", "00"),
+            "aside": lambda: (f"<aside><p>{n(3, 90)}</p><p><a>{n(1, 6)}</a></p></aside>", "00"),
+            "form": lambda: (f"<form>{n(1, 6)}<p>{n(2, 60)}</p></form>", "00"),
+            "ad": lambda: (f"<div class=ad>{n(3, 80)}</div>", "0"),
+            "notice": lambda: (f"<div class='cookie notice'><p>{n(5, 70)}</p></div>", "0"),
+            "talk": lambda: (f"<section id=comments><h2>w*1</h2><p>{n(1, 120)}</p><p>{n(1, 90)}</p></section>", "000"),
+            "talks": lambda: ("<div id=comments>" + "".join(f"<article class=comment><p>{n(1, 100)}</p></article>" for _ in range(2)) + "</div>", "00"),
+            "stray": lambda: (f"<div>{n(2, 60)}</div>", "0"),
+            "foot": lambda: (f"<div>{n(2, 9)}</div>", "0"),
+        }
+        return made[kind]()
+
+    def some(kinds: str, most: int) -> list[tuple[str, str]]:
+        names = kinds.split()
+        return [noise(k) for k in rng.sample(names, rng.randint(0, min(most, len(names))))]
+
+    def prose(low: int = 5) -> tuple[str, str]:
+        return f"<p>{n(low, 150)}</p>", "1"
+
+    def body() -> list[tuple[str, str]]:
+        kinds = [
+            lambda: (f"<p>{n(1, 4)}</p>", "1"),
+            prose,
+            prose,
+            lambda: (f"<p>{n(6, 30)} <a>{n(1, 9)}</a></p>", "1"),
+            lambda: (f"<p>{n(20, 60)}</p><p><a>{n(3, 12)}</a></p><p>{n(20, 60)}</p>", "111"),  # a linked line within prose
+            lambda: (f"<ul><li>{n(3, 20)}</li><li><a>{n(1, 4)}</a></li><li>{n(3, 20)}</li></ul>", "111"),
+            lambda: (f"<h2>{n(1, 9)}</h2>" + prose(9)[0], "11"),
+        ]
+        inner = [rng.choice(kinds)() for _ in range(rng.randint(1, 6))]
+        for k in rng.sample("ad aside form notice".split(), rng.randint(0, 2)):
+            inner.insert(rng.randint(0, len(inner)), noise(k))
+        return inner + ([prose(15), noise(rng.choice(["links", "cards"]))] if rng.random() < 0.4 else [])
 
-    rng = random.Random(11)
-    n = lambda low, high: f"w*{rng.randint(low, high)}"
     out = []
-    for _ in range(160):
-        menu = ("<nav><ul><li><a>w*1</a></li><li><a>w*2</a></li><li><a>w*1</a></li></ul></nav>", "0", 3)
-        links = (f"<div><a>w*1</a></div><div><a>{n(1, 3)}</a></div><div><a>w*1</a> w*1</div>", "0", 3)
-        header, footer = (f"<header>{n(1, 30)}</header>", "0", 1), (f"<footer>{n(3, 60)}<p>{n(1, 20)}</p></footer>", "0", 2)
-        aside, form = (f"<aside><p>{n(3, 90)}</p><p><a>{n(1, 6)}</a></p></aside>", "0", 2), (f"<form>{n(1, 6)}<p>{n(2, 60)}</p></form>", "0", 2)
-        ad, notice = (f"<div class=ad>{n(3, 80)}</div>", "0", 1), (f"<div class='cookie notice'><p>{n(5, 70)}</p></div>", "0", 1)
-        talk = (f"<section id=comments><h2>w*1</h2><p>{n(1, 120)}</p><p>{n(1, 90)}</p></section>", "0", 3)
-        stray, foot = (f"<div>{n(2, 60)}</div>", "0", 1), (f"<div>{n(2, 9)}</div>", "0", 1)
-        body = [(f"<p>{n(1, 4)}</p>", "1", 1), (f"<p>{n(5, 150)}</p>", "1", 1), (f"<p>{n(0, 30)} <a>{n(1, 9)}</a></p>", "1", 1), (f"<ul><li>{n(1, 20)}</li><li><a>{n(1, 4)}</a></li></ul>", "1", 2), (f"<h2>{n(1, 9)}</h2>", "1", 1)]
-        inner = rng.choices(body, k=rng.randint(0, 6))
-        if rng.random() < 0.3:
-            inner.insert(rng.randint(0, len(inner)), rng.choice([ad, aside, form, notice]))
-        before, after = (rng.sample(x, rng.randint(0, len(x))) for x in ([header, menu, links, ad, notice, aside], [talk, aside, form, ad, footer, notice]))
+    for _ in range(pages):
+        before, after = some("header menu links ad notice aside", 4), some("talk talks aside form ad footer notice cards", 4)
+        wrap, unwrap = "", ""
+        for markup, close, chance in (("<body class='right-sidebar comments'>", "</body>", 0.2), ("<form id=aspnetForm>", "</form>", 0.15), ("<div class='page-with-sidebar'>", "</div>", 0.2), ("<div class='content-with-sidebar'>", "</div>", 0.2)):
+            if rng.random() < chance:
+                wrap, unwrap = wrap + markup, close + unwrap
         if rng.random() < 0.7:  # a page that marks its article
-            name = rng.choice(["article", "main"])
-            some = [stray] * rng.randint(0, 2)
-            out.append(page(*before, *some, (f"<{name}>", "", 0), (f"<h1>{n(1, 12)}</h1>", "1", 1), *inner, (f"</{name}>", "", 0), *after, *some))
+            name = rng.choice(["article", "article", "main", "div"])
+            names = "class=post" if name == "div" else rng.choice(["", "", "class='post tag-news tags'", "class=search", "class='entry share'", "class='story comments-open'"])
+            stray = [noise("stray") for _ in range(rng.randint(0, 2))] if "content" not in wrap else []
+            head = (f"<header><h1>{n(1, 12)}</h1></header>", "1") if rng.random() < 0.3 else (f"<h1>{n(1, 12)}</h1>", "1")
+            more = [x for _ in range(rng.randint(1, 2)) for x in ((f"<{name} {names}>", ""), *body(), (f"</{name}>", ""))] if rng.random() < 0.15 else []
+            out.append(page(*(before if "content" not in wrap else []), (wrap, ""), *stray, (f"<{name} {names}>", ""), head, *body(), (f"</{name}>", ""), *more, *some("talk talks", 1), (unwrap, ""), *after, *stray))
         else:  # one that doesn't
-            prose = [(f"<p>{n(25, 150)}</p>", "1", 1)] * rng.randint(1, 4)
-            out.append(page(*before, *prose, (f"<p>{n(18, 40)} <a>{n(1, 4)}</a></p>", "1", 1), *prose, *after, foot))
+            text = [prose(25) for _ in range(rng.randint(1, 4))]
+            out.append(page(*before, *text, (f"<p>{n(18, 40)} <a>{n(1, 4)}</a></p>", "1"), *text, *after, noise("foot")))
     return out
 
 
