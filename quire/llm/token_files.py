@@ -1,10 +1,13 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
 `write_token_files` sorts documents by id over the cluster and writes, for each partition, one
-pair of Arrow stream files: `*.arrow` holds record batches with two fixed-size-list columns
-(`ids`: unsigned 16 or 32 bit, `mask`: a bit, true where there is an id, false where the last
-sequence is filled up), `*.index.arrow` holds doc_id, start (in the shard) and n_tokens. Both are uncompressed,
-so a reader that maps a file gets every sequence and mask without a copy.
+pair of Arrow stream files: `*.arrow` holds record batches with two columns of fixed-size lists
+(`ids`: unsigned 16 or 32 bit, `mask`: a byte for each id, 1 where there is one, 0 where the last
+sequence is filled up), `*.index.arrow` holds doc_id, start (in the shard) and n_tokens. Almost all
+masks are the same, so the column is dictionary-encoded: a batch has each of its masks once, and
+an index for each sequence. All batches but the last have the same number of sequences, and nothing
+is compressed, so `Shard`, which maps a file, gives any sequence and mask by number as views of the
+mapped bytes, without a copy.
 
 A shard counts only if the manifest lists it. Its name is new for each attempt of a task, and the
 manifest is a reliable checkpoint, so a lost executor or a second attempt leaves at most an
@@ -45,7 +48,7 @@ class ShardWriter:
     def __init__(self, uri: str, length: int, kind: pa.DataType, rows: int = 512):
         self.fs, self.path = file_system(uri)
         self.length, self.rows, self.kind = length, rows, kind
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))])
         self.out = self.fs.open_output_stream(f"{self.path}.arrow")
         self.file = pa.ipc.new_stream(self.out, self.schema)
         self.buffer: list[np.ndarray] = []
@@ -60,20 +63,23 @@ class ShardWriter:
         self.total += int(sizes.sum())
         self.held += int(sizes.sum())
         self.buffer += rows
-        if self.held >= self.length * self.rows:
+        step = self.length * self.rows
+        if self.held >= step:
             flat = np.concatenate(self.buffer)
-            whole = len(flat) // self.length * self.length
-            self.put(flat[:whole], None)
+            whole = len(flat) // step * step
+            for i in range(0, whole, step):
+                self.put(flat[i : i + step], step)
             self.buffer, self.held = [flat[whole:]], len(flat) - whole
 
-    def put(self, flat: np.ndarray, used: int | None) -> None:
-        mask = np.ones(len(flat), bool)
-        if used is not None:
-            mask[used:] = False
-        step = self.length * self.rows
-        for i in range(0, len(flat), step):
-            cols = [pa.FixedSizeListArray.from_arrays(pa.array(x[i : i + step], k), self.length) for x, k in ((flat, self.kind), (mask, pa.bool_()))]
-            self.file.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
+    def put(self, flat: np.ndarray, used: int) -> None:
+        """A batch of whole sequences, of which the first `used` ids are some."""
+        masks = np.ones((1 if used == len(flat) else 2, self.length), np.uint8)
+        masks[1:, used % self.length :] = 0
+        which = np.zeros(len(flat) // self.length, np.int8)
+        which[-1] = len(masks) - 1
+        mask = pa.DictionaryArray.from_arrays(pa.array(which), pa.FixedSizeListArray.from_arrays(pa.array(masks.ravel()), self.length))
+        ids = pa.FixedSizeListArray.from_arrays(pa.array(flat, self.kind), self.length)
+        self.file.write_batch(pa.RecordBatch.from_arrays([ids, mask], schema=self.schema))
 
     def close(self) -> None:
         flat = np.concatenate(self.buffer) if self.buffer else np.zeros(0, np.uint16)
@@ -117,6 +123,13 @@ def with_bases(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
 
 
+def masks_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The masks of a batch (rows of bytes) and which of them each sequence has; views both."""
+    column = batch.column("mask")
+    masks = column.dictionary.values.to_numpy(zero_copy_only=True).reshape(-1, column.type.value_type.list_size)
+    return masks, column.indices.to_numpy(zero_copy_only=True)
+
+
 def read_shard(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """doc_id, start in the shard and ids of each document, from a shard's two files."""
     where, path = file_system(uri)
@@ -126,22 +139,34 @@ def read_shard(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
             for doc, start, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 while at + len(flat) < start + n:
                     batch = next(sequences)
-                    ids, mask = batch.column(0).flatten().to_numpy(zero_copy_only=True), batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                    flat, at = np.concatenate([flat[start - at :], ids[mask]]), start
+                    ids, (masks, which) = batch.column("ids").flatten().to_numpy(zero_copy_only=True), masks_of(batch)
+                    if len(masks) > 1:
+                        ids = ids[masks[which].ravel() == 1]
+                    flat, at = np.concatenate([flat[start - at :], ids]), start
                 yield doc, start, flat[start - at : start - at + n]
 
 
-def map_sequences(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and mask (boolean) of each sequence of a shard on a local or mounted disk. Ids are views
-    of the mapped file."""
-    _, path = file_system(uri)
-    with pa.memory_map(f"{path}.arrow") as source:
-        for batch in pa.ipc.open_stream(source):
-            ids, mask = batch.column(0), batch.column(1)
-            length = ids.type.list_size
-            flat, used = ids.flatten().to_numpy(zero_copy_only=True), mask.flatten().to_numpy(zero_copy_only=False)
-            for i in range(batch.num_rows):
-                yield flat[i * length : (i + 1) * length], used[i * length : (i + 1) * length]
+class Shard:
+    """A shard on a local or mounted disk, mapped: sequence(k) gives ids and mask of any sequence
+    as views of the file."""
+
+    def __init__(self, uri: str):
+        _, path = file_system(uri)
+        self.source = pa.memory_map(f"{path}.arrow")
+        self.batches = list(pa.ipc.open_stream(self.source))  # views too: only their heads are read here
+        self.rows = self.batches[0].num_rows if self.batches else 1
+
+    def __len__(self) -> int:
+        return sum(b.num_rows for b in self.batches)
+
+    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        batch, i = self.batches[k // self.rows], k % self.rows
+        ids = batch.column("ids")
+        length = ids.type.list_size
+        masks, which = masks_of(batch)
+        return ids.values.to_numpy(zero_copy_only=True)[i * length : (i + 1) * length], masks[which[i]]
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:

@@ -69,10 +69,32 @@ def test_token_files(docs, texts, tokenizer):
         start += len(ids)
     flat = []
     for row in manifest.orderBy("shard").collect():
-        for ids, mask in token_files.map_sequences(row.path):
-            assert len(ids) == len(mask) == 128
-            flat.append(ids[mask])
-    assert sum(map(len, flat)) == start
+        shard = token_files.Shard(row.path)
+        shard.source.seek(0)
+        mapped = shard.source.read_buffer()
+        for k in range(len(shard)):
+            pair = shard.sequence(k)
+            for x in pair:  # neither is a copy
+                assert len(x) == 128 and mapped.address <= x.__array_interface__["data"][0] < mapped.address + mapped.size
+            assert pair[1].all() or k == len(shard) - 1
+            flat.append(pair[0][pair[1] == 1])
+        with pytest.raises(IndexError):
+            shard.sequence(len(shard))
+    want = np.concatenate([[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts])
+    assert (np.concatenate(flat) == want).all() and len(want) == start
+
+
+def test_random_access_over_batches(tmp_path):
+    w = token_files.ShardWriter(f"{tmp_path}/s", 16, token_files.pa.uint16(), rows=4)
+    rows = [RNG.integers(0, 60_000, int(n)).astype(np.uint16) for n in RNG.integers(0, 200, 60)]
+    for i in range(0, 60, 7):
+        w.add(token_files.pa.array(range(i, min(i + 7, 60)), token_files.pa.int64()), rows[i : i + 7])
+    w.close()
+    shard, flat = token_files.Shard(f"{tmp_path}/s"), np.concatenate(rows)
+    for k in RNG.permutation(len(shard)).tolist():
+        ids, mask = shard.sequence(k)
+        assert (ids[mask == 1] == flat[16 * k : 16 * k + 16]).all()
+    assert all((x == y).all() and len(x) == len(y) for (_, _, x), y in zip(token_files.read_shard(f"{tmp_path}/s"), rows, strict=True))
 
 
 def test_packing(docs, texts, tokenizer):
