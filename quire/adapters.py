@@ -19,11 +19,19 @@ SHARED = {
     "uuid": "'urn:uuid:' || book_id",
     "modified": "'2024-01-01T00:00:00Z'",
 }
-#: How line n of document d (x) looks in a manuscript.
+#: What stands at line n of document d (x) in a manuscript: the line whole, marked or after a line that gives the text structure.
+GAP = "chr(10) || chr(10)"
 LINE = (
-    "CASE (d + n) % 9 WHEN 0 THEN '# ' || left(x, 30) WHEN 3 THEN chr(9) || chr(9) || left(x, 40) WHEN 4 THEN '          ' || left(x, 70) WHEN 5 THEN '  ## ' || left(x, 20) "
-    "WHEN 7 THEN '* * *' WHEN 8 THEN '~~~~' ELSE x END"
+    f"CASE (d + n) % 9 WHEN 0 THEN '# ' || x WHEN 2 THEN '          Scene ' || n || {GAP} || x WHEN 3 THEN chr(9) || chr(9) || x WHEN 4 THEN chr(9) || chr(9) || 'Song of ' || (d + n) || {GAP} || x WHEN 5 THEN '  ## ' || x "
+    f"WHEN 7 THEN '* * *' || {GAP} || x WHEN 8 THEN '~~~~' || {GAP} || x ELSE x END"
 )
+#: A line of structure before turn `turn` of conversation `conv_id`, or null.
+SPOKEN_LINE = (
+    "CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN 'Chapter ' || (conv_id % 30) || ': Rain' WHEN turn = 0 AND conv_id % 3 = 1 THEN '  Part two.  ' WHEN turn = 1 AND conv_id % 4 = 0 THEN chr(9) || chr(9) || 'Voice ' || conv_id || ' ' "
+    "WHEN turn = 2 AND conv_id % 4 = 1 THEN ' # ' WHEN turn = 3 AND conv_id % 6 = 0 THEN 'Hymn ' || conv_id END"
+)
+#: Files of a part number's books: one to six, by number.
+NAMED_BOOK = "p_partkey - p_partkey % (1 + cast(floor(p_partkey / 60) as bigint) % 6)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +50,7 @@ def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, file_ord, file_name, p_partkey: names with numbers and extensions of all kinds."""
     name = F.expr("p_partkey % 113 || CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '_' END || replace(p_name, ' ', '_') || CASE p_partkey % 11 WHEN 0 THEN '.docx' WHEN 1 THEN '.TXT' WHEN 2 THEN '.pdf' WHEN 3 THEN '.markdown' ELSE '.md' END")
     w = Window.partitionBy("book_id").orderBy("p_partkey")
-    parts = table(spark, sf_dir, "part").withColumn("book_id", F.col("p_partkey") % 401)
+    parts = table(spark, sf_dir, "part").withColumn("book_id", F.expr(NAMED_BOOK))
     return parts.select("book_id", (F.row_number().over(w) - 1).cast("int").alias("file_ord"), name.alias("file_name"), "p_partkey")
 
 
@@ -52,12 +60,10 @@ def html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as a book: signups of a low value are headings of depth 1, purchases of depth
-    2, errors scene breaks. Every third book starts at its first heading of depth 1."""
+    2, errors scene breaks. Every third book starts with a heading of depth 1."""
     w = Window.partitionBy("book_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "book_id").withColumn("item_no", (F.row_number().over(w) - 1).cast("int"))
-    e = e.withColumn("depth", F.expr("CASE WHEN event_type = 'signup' AND value < 10 THEN 1 WHEN event_type = 'purchase' THEN 2 END"))
-    e = e.withColumn("first", F.min(F.when(F.col("depth") == 1, F.col("item_no"))).over(Window.partitionBy("book_id")))
-    e = e.where("book_id % 3 <> 0 or first is null or item_no >= first")
+    e = e.withColumn("depth", F.expr("CASE WHEN book_id % 3 = 0 AND item_no = 0 OR event_type = 'signup' AND value < 10 THEN 1 WHEN event_type = 'purchase' THEN 2 END"))
     kind = F.expr("CASE WHEN depth IS NOT NULL THEN 'heading' WHEN event_type = 'error' THEN 'scene-break' ELSE 'paragraph' END")
     e = e.withColumn("kind", kind).withColumn("text", F.expr("event_type || ' ' || event_id || ' & <' || value || '>'"))
     runs = F.when(F.col("kind") == "paragraph", F.array(F.struct("text", (F.col("event_id") % 5 == 0).alias("italic"), (F.col("event_id") % 7 == 0).alias("bold")), F.struct(F.lit(" end").alias("text"), F.lit(False).alias("italic"), F.lit(False).alias("bold"))))
@@ -70,11 +76,14 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as paragraphs of 40 books; first turns read as chapter lines, some are centered."""
-    c = table(spark, sf_dir, "conversations").withColumn("book_id", F.col("conv_id") % 40)
-    w = Window.partitionBy("book_id").orderBy("conv_id", "turn")
-    text = F.expr("CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN 'Chapter ' || (conv_id % 30) || ': Rain' WHEN turn = 0 AND conv_id % 3 = 1 THEN '  Part two.  ' WHEN turn = 1 AND conv_id % 4 = 0 THEN chr(9) || chr(9) || left(text, 30) || ' ' WHEN turn = 2 AND conv_id % 4 = 1 THEN ' # ' ELSE left(text, 200) END")
-    c = c.withColumn("text", text).withColumn("para_no", (F.row_number().over(w) - 1).cast("int"))
+    """Conversations as paragraphs, four to a book, with lines of structure between them: chapter
+    lines, parts, scene breaks, titles that tabs or a style center."""
+    c = table(spark, sf_dir, "conversations").withColumn("book_id", F.floor(F.col("conv_id") / 4))
+    own = F.array(F.struct(F.lit(1).alias("k"), F.col("text").alias("text")))
+    c = c.withColumn("line", F.expr(SPOKEN_LINE))
+    c = c.select("book_id", "conv_id", "turn", F.explode(F.when(F.col("line").isNull(), own).otherwise(F.concat(F.array(F.struct(F.lit(0).alias("k"), F.col("line").alias("text"))), own))).alias("x")).select("*", "x.k", "x.text")
+    w = Window.partitionBy("book_id").orderBy("conv_id", "turn", "k")
+    c = c.withColumn("para_no", (F.row_number().over(w) - 1).cast("int"))
     runs = F.array(F.struct(F.substring("text", 1, 3).alias("text"), F.lit(True).alias("italic"), F.lit(False).alias("bold")), F.struct(F.expr("substring(text, 4)").alias("text"), F.lit(False).alias("italic"), F.lit(False).alias("bold")))
-    heading = F.expr("CASE WHEN book_id % 2 = 1 AND turn = 0 AND conv_id % 5 = 0 THEN 1 + conv_id % 2 END").cast("int")
+    heading = F.expr("CASE WHEN book_id % 2 = 1 AND turn = 0 AND k = 1 AND conv_id % 5 = 0 THEN 1 + conv_id % 2 END").cast("int")
     return c.select("book_id", "para_no", heading.alias("heading"), F.expr("conv_id % 6 = 0 AND turn = 3").alias("centered"), runs.alias("runs"), "text")

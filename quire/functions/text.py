@@ -49,12 +49,12 @@ def first_filled(*cols: Column | str) -> Column:
 
 def words(s: Column) -> Column:
     """Words between white space; 0 for blank text."""
-    t = trim(F.coalesce(s, F.lit("")))
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"[{WS}]+"))).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(s, F.lit("")), f"[{WS}]+"), lambda w: w != "")).cast("long")
 
 
 def manuscript_words(n: Column) -> Column:
-    """To the nearest 100, or 1,000 from 40,000 on; never below one step."""
+    """To the nearest 100, or 1,000 from 40,000 on; never below one step. n is used several times:
+    where it is costly, it should be a column of a projection of its own."""
     step = F.when(n >= 40_000, F.lit(1000)).otherwise(F.lit(100))
     return F.greatest(step, F.round(n / step).cast("long") * step).cast("long")
 
@@ -168,17 +168,19 @@ def run_text(runs: Column) -> Column:
 
 
 def merge_runs(runs: Column) -> Column:
-    """Neighbouring runs of one style become one; empty ones go."""
+    """Neighbouring runs of one style become one; then empty ones go. The places where the style
+    changes are found first, so each run is copied once."""
+    clean = F.transform(runs, lambda r: F.struct(F.coalesce(r["text"], F.lit("")).alias("text"), F.coalesce(r["italic"], F.lit(False)).alias("italic"), F.coalesce(r["bold"], F.lit(False)).alias("bold")))
+    style = lambda r: F.struct(r["italic"], r["bold"])
 
-    def add(acc: Column, r: Column) -> Column:
-        prev = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["bold"] == r["bold"]) & (F.try_element_at(acc, F.lit(-1))["italic"] == r["italic"])
-        joined = F.array(F.struct(F.concat(prev["text"], r["text"]).alias("text"), prev["italic"].alias("italic"), prev["bold"].alias("bold")))
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), joined)).otherwise(F.concat(acc, F.array(r)))
+    def merged(clean: Column) -> Column:
+        n = F.size(clean)
+        starts = F.filter(F.transform(clean, lambda r, i: F.when((i == 0) | (style(r) != style(F.get(clean, i - 1))), i)), lambda i: i.isNotNull())
+        stretch = lambda i, k: F.slice(clean, i + 1, F.coalesce(F.get(starts, k + 1), n) - i)
+        return F.transform(starts, lambda i, k: F.struct(F.array_join(F.transform(stretch(i, k), lambda r: r["text"]), "").alias("text"), F.get(clean, i)["italic"].alias("italic"), F.get(clean, i)["bold"].alias("bold")))
 
-    clean = F.transform(runs, lambda r: F.struct(F.coalesce(r["text"], F.lit("")).alias("text"), F.coalesce(r["italic"], F.lit(False)).alias("italic"), F.coalesce(r["bold"], F.lit(False)).alias("bold")))
-    merged = F.aggregate(clean, F.array().cast("array<struct<text:string,italic:boolean,bold:boolean>>"), add)
-    return F.filter(merged, lambda r: r["text"] != "")
+    # one bound variable, so that the cleaned runs are computed once
+    return F.filter(F.element_at(F.transform(F.array(clean), merged), 1), lambda r: r["text"] != "")
 
 
 def trim_edges(runs: Column) -> Column:

@@ -3,8 +3,16 @@ windows, lists where that has explodes."""
 
 from __future__ import annotations
 
-from quire.adapters import LINE, SHARED
-from quire.functions.text import NAMED_SECTIONS, NUMBER_WORDS
+import re
+
+from quire.adapters import LINE, NAMED_BOOK, SHARED, SPOKEN_LINE
+
+#: Fixed values, written again here so that a slip in the engine's lists shows.
+NUMBER_WORDS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
+    "thirty forty fifty sixty seventy eighty ninety hundred"
+).split()
+NAMED_SECTIONS = "prologue epilogue interlude foreword preface afterword coda".split()
 
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 NL = "chr(10)"
@@ -62,7 +70,7 @@ def chapter_line(x: str) -> str:
     return rf"({utf16(t)} <= 48 AND regexp_full_match({t}, '{whole}') AND NOT regexp_matches({t}, '(?i)^(chapter|part|book)[{WS}]+([—–:.-]|$)'))"
 
 
-LINE_SQL = LINE.replace("(d + n)", "(doc_id + i - 1)")
+LINE_SQL = re.sub(r"\bn\b", "(i - 1)", re.sub(r"\bd\b", "doc_id", LINE))
 FILES = f"""files AS (SELECT doc_id AS book_id, 'book-' || doc_id || '.md' AS file_name,
  CASE WHEN doc_id % 3 = 0 THEN '---' || {NL} || 'title: x' || {NL} || '---' || {NL} ELSE '' END ||
  array_to_string(list_transform(string_split(text, {NL}), lambda x, i: {LINE_SQL}), {NL} || {NL}) AS content FROM documents)"""
@@ -85,10 +93,10 @@ DEPTHS = f"""heads AS (SELECT book_id, line_no, {ATX} AS depth FROM lines WHERE
  depths AS (SELECT o.book_id, (CASE WHEN low IS NULL THEN 1 WHEN opens AND first = low AND n_low = 1 THEN least(low + 1, 6) ELSE low END)::BIGINT AS depth
    FROM opens o LEFT JOIN (SELECT h.book_id, min(low) AS low, min_by(h.depth, h.line_no) AS first, count(*) FILTER (h.depth = low) AS n_low FROM heads h JOIN (SELECT book_id, min(depth) AS low FROM heads GROUP BY 1) m USING (book_id) GROUP BY 1) s USING (book_id))"""
 
-OUTLINE = """ev AS (SELECT user_id AS book_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS item_no, CASE WHEN event_type = 'signup' AND value < 10 THEN 1 WHEN event_type = 'purchase' THEN 2 END AS depth FROM events),
- openings AS (SELECT book_id, min(item_no) AS f FROM ev WHERE depth = 1 GROUP BY 1),
+OUTLINE = """numbered AS (SELECT user_id AS book_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS item_no FROM events),
+ ev AS (SELECT *, CASE WHEN book_id % 3 = 0 AND item_no = 0 OR event_type = 'signup' AND value < 10 THEN 1 WHEN event_type = 'purchase' THEN 2 END AS depth FROM numbered),
  outline AS (SELECT book_id, item_no, depth, event_id, CASE WHEN depth IS NOT NULL THEN 'heading' WHEN event_type = 'error' THEN 'scene-break' ELSE 'paragraph' END AS kind, event_type || ' ' || event_id || ' & <' || value || '>' AS text
-   FROM ev LEFT JOIN openings USING (book_id) WHERE book_id % 3 <> 0 OR f IS NULL OR item_no >= f)"""
+   FROM ev)"""
 TITLES = f"""{OUTLINE}, sizes AS (SELECT book_id, min(depth) AS low, count(depth) AS n_head, min(item_no) AS first_no FROM outline GROUP BY 1),
  lows AS (SELECT o.book_id, count(*) AS n_low FROM outline o JOIN sizes s ON o.book_id = s.book_id AND o.depth = s.low GROUP BY 1),
  titles AS (SELECT o.book_id, o.item_no, o.text AS book_title FROM outline o JOIN sizes s USING (book_id) JOIN lows USING (book_id) WHERE item_no = first_no AND depth = low AND n_head >= 2 AND n_low = 1),
@@ -117,14 +125,17 @@ DOCS = f"""{BLOCKS}, {BOOKS}, {PARTED}, counted_parts AS (SELECT s.*, count(*) F
 SHOWN = f"shown AS (SELECT book_id, {FALLBACK} AS b_title, coalesce(nullif(author, ''), 'Anonymous') AS b_author, coalesce(nullif(language, ''), 'en') AS b_language, uuid AS b_uuid, modified AS b_modified FROM books)"
 XML = '<?xml version="1.0" encoding="UTF-8"?>\n'
 
-SPOKEN = """sp AS (SELECT conv_id % 40 AS book_id, row_number() OVER (PARTITION BY conv_id % 40 ORDER BY conv_id, turn) - 1 AS para_no, CASE WHEN conv_id % 40 % 2 = 1 AND turn = 0 AND conv_id % 5 = 0 THEN 1 + conv_id % 2 END AS heading, conv_id % 6 = 0 AND turn = 3 AS centered,
- CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN 'Chapter ' || (conv_id % 30) || ': Rain' WHEN turn = 0 AND conv_id % 3 = 1 THEN '  Part two.  ' WHEN turn = 1 AND conv_id % 4 = 0 THEN chr(9) || chr(9) || left(text, 30) || ' ' WHEN turn = 2 AND conv_id % 4 = 1 THEN ' # ' ELSE left(text, 200) END AS raw FROM conversations)"""
+SPOKEN = f"""sl AS (SELECT conv_id, turn, conv_id // 4 AS book_id, 0 AS k, {SPOKEN_LINE} AS raw FROM conversations UNION ALL SELECT conv_id, turn, conv_id // 4, 1, text FROM conversations),
+ sp AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY conv_id, turn, k) - 1 AS para_no, CASE WHEN book_id % 2 = 1 AND turn = 0 AND k = 1 AND conv_id % 5 = 0 THEN 1 + conv_id % 2 END AS heading, conv_id % 6 = 0 AND turn = 3 AS centered, raw FROM sl WHERE k = 1 OR raw IS NOT NULL)"""
 PARAS = f"{SPOKEN}, spt AS (SELECT *, {trim('raw')} AS text FROM sp)"
 PARA_FOUND = f"""{PARAS}, spx AS (SELECT *, lag(text) OVER w AS b, lead(text) OVER w AS a, count(*) OVER (PARTITION BY book_id) AS pop FROM spt WINDOW w AS (PARTITION BY book_id ORDER BY para_no)),
  hits AS (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM spx WHERE heading IS NULL AND (({weight('raw')} >= 8 AND {title_shaped('text')}) OR (centered AND {title_shaped('text')}))),
  found AS (SELECT book_id, para_no AS idx, text, {clip('b')} AS before, {clip('a')} AS after FROM hits WHERE NOT (n > 20 AND n * 5 > pop))"""
-EDGED = r"""CASE WHEN regexp_replace(raw, '[\t ]+', '', 'g') = '' THEN '' ELSE
- (CASE WHEN {l} <> '' THEN '<em>' || {l} || '</em>' ELSE '' END) || {r} END""".replace("{l}", r"(CASE WHEN regexp_replace(substring(raw, 4), '[\t ]+', '', 'g') = '' THEN regexp_replace(regexp_replace(left(raw, 3), '^[\t ]+', ''), '[\t ]+$', '') ELSE regexp_replace(left(raw, 3), '^[\t ]+', '') END)").replace("{r}", r"(CASE WHEN regexp_replace(left(raw, 3), '[\t ]+', '', 'g') = '' THEN regexp_replace(regexp_replace(substring(raw, 4), '^[\t ]+', ''), '[\t ]+$', '') ELSE regexp_replace(substring(raw, 4), '[\t ]+$', '') END)")
+_L = r"(CASE WHEN regexp_replace(substring(raw, 4), '[\t ]+', '', 'g') = '' THEN regexp_replace(regexp_replace(left(raw, 3), '^[\t ]+', ''), '[\t ]+$', '') ELSE regexp_replace(left(raw, 3), '^[\t ]+', '') END)"
+_R = r"(CASE WHEN regexp_replace(left(raw, 3), '[\t ]+', '', 'g') = '' THEN regexp_replace(regexp_replace(substring(raw, 4), '^[\t ]+', ''), '[\t ]+$', '') ELSE regexp_replace(substring(raw, 4), '[\t ]+$', '') END)"
+EDGED = rf"CASE WHEN regexp_replace(raw, '[\t ]+', '', 'g') = '' THEN '' ELSE (CASE WHEN {_L} <> '' THEN '<em>' || {esc(_L)} || '</em>' ELSE '' END) || {esc(_R)} END"
+PARA_DEPTHS = """tops AS (SELECT book_id, min(heading) AS low, min_by(heading, para_no) FILTER (heading IS NOT NULL) AS first, min_by(heading IS NOT NULL, para_no) AS opens FROM spt GROUP BY 1),
+ depths AS (SELECT book_id, CASE WHEN low IS NULL THEN 1 WHEN opens AND first = low AND (SELECT count(*) FROM spt s WHERE s.book_id = t.book_id AND s.heading = t.low) = 1 THEN least(low + 1, 6) ELSE low END AS depth FROM tops t)"""
 
 TOKENS = r"toks AS (SELECT page_id AS book_id, unnest(range(len(l)))::BIGINT AS tok_no, unnest(l) AS token FROM (SELECT page_id, string_split(regexp_replace(html, '(<[^>]+>)', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS l FROM pages)), tokens AS (SELECT * FROM toks WHERE token <> '')"
 TAGS = rf"{TOKENS}, tags AS (SELECT *, NOT starts_with(token, '<') AS is_text, lower(regexp_extract(token, '^<[{WS}]*(/?)[{WS}]*([a-zA-Z0-9]+)', 2)) AS tag, regexp_extract(token, '^<[{WS}]*(/?)[{WS}]*([a-zA-Z0-9]+)', 1) = '/' AS closing FROM tokens)"
@@ -151,7 +162,7 @@ MERGED = f"""changes AS (SELECT *, CASE WHEN italic IS NOT DISTINCT FROM lag(ita
  runs AS (SELECT grp, g, italic, bold, string_agg(text, '' ORDER BY o) AS t FROM islands GROUP BY ALL),
  merged AS (SELECT grp, string_agg(CASE WHEN italic THEN '<em>' ELSE '' END || CASE WHEN bold THEN '<strong>' ELSE '' END || {esc('t')} || CASE WHEN bold THEN '</strong>' ELSE '' END || CASE WHEN italic THEN '</em>' ELSE '' END, '' ORDER BY g) AS runs, string_agg(t, '' ORDER BY g) AS raw FROM runs WHERE t <> '' GROUP BY 1)"""
 NAME_SQL = "p_partkey % 113 || CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '_' END || replace(p_name, ' ', '_') || CASE p_partkey % 11 WHEN 0 THEN '.docx' WHEN 1 THEN '.TXT' WHEN 2 THEN '.pdf' WHEN 3 THEN '.markdown' ELSE '.md' END"
-NAMES = f"names AS (SELECT p_partkey % 401 AS book_id, row_number() OVER (PARTITION BY p_partkey % 401 ORDER BY p_partkey) - 1 AS file_ord, {NAME_SQL} AS file_name FROM part)"
+NAMES = f"names AS (SELECT {NAMED_BOOK} AS book_id, row_number() OVER (PARTITION BY {NAMED_BOOK} ORDER BY p_partkey) - 1 AS file_ord, {NAME_SQL} AS file_name, p_partkey FROM part)"
 ROUTED = rf"{NAMES}, routed AS (SELECT *, CASE WHEN regexp_matches(file_name, '(?i)\.(md|markdown|mdown|txt)$') THEN 'text' WHEN regexp_matches(file_name, '(?i)\.docx$') THEN 'docx' ELSE 'other' END AS route FROM names)"
 
 
@@ -166,8 +177,8 @@ def add(name: str, ctes: str, select: str) -> None:
 add("manuscript_words", "", f"SELECT doc_id, {words('text')} AS words, {about(words('text'))} AS about_words FROM documents")
 add("source_words", f"c AS (SELECT source, lang, sum({words('text')})::BIGINT AS words FROM documents GROUP BY 1, 2)", f"SELECT *, {about('words')} AS about_words FROM c")
 add("lines", LINES, "SELECT * FROM lines")
-add("route_files", ROUTED, "SELECT * FROM routed")
-add("ingest_status", ROUTED, "SELECT book_id, CASE WHEN count(*) FILTER (route = 'text') > 0 AND count(*) FILTER (route = 'docx') > 0 THEN 'mixed' WHEN count(*) FILTER (route = 'docx') > 1 THEN 'multi_docx' WHEN count(*) FILTER (route <> 'other') = 0 THEN 'unsupported' ELSE 'ok' END AS status FROM routed WHERE file_ord < book_id % 4 GROUP BY 1")
+add("route_files", ROUTED, "SELECT book_id, file_ord, file_name, route FROM routed")
+add("ingest_status", ROUTED, "SELECT book_id, CASE WHEN count(*) FILTER (route = 'text') > 0 AND count(*) FILTER (route = 'docx') > 0 THEN 'mixed' WHEN count(*) FILTER (route = 'docx') > 1 THEN 'multi_docx' WHEN count(*) FILTER (route <> 'other') = 0 THEN 'unsupported' ELSE 'ok' END AS status FROM routed GROUP BY 1")
 add("natural_sort", NAMES, "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY regexp_extract(file_name, '^[0-9]+')::INT, lower(regexp_replace(file_name, '^[0-9]+', '')), file_ord) - 1 AS file_ord, file_name FROM names")
 add("neutralize_tildes", FILES, r"SELECT book_id, regexp_replace(content, '(?m)^[ \t]{0,3}~{3,}[ \t]*$', '* * *', 'g') AS content FROM files")
 add("scene_breaks", LINES, f"SELECT book_id, line_no FROM lines WHERE {scene('line')}")
@@ -183,6 +194,7 @@ add("bulk_decisions", DECIDED, "SELECT book_id, id, coalesce(is_title, CASE WHEN
 add("apply_decisions_text", f"{DECIDED}, {OPENS}, {DEPTHS}", f"SELECT l.book_id, string_agg(CASE WHEN is_title IS NULL THEN line WHEN is_title THEN repeat('#', depth) || ' ' || {trim('line')} ELSE {trim('line')} END, {NL} ORDER BY line_no) AS content FROM lines l JOIN depths USING (book_id) LEFT JOIN asked a ON a.book_id = l.book_id AND a.idx = l.line_no GROUP BY 1")
 add("centered_paras", PARA_FOUND, "SELECT * FROM found")
 add("plausible_candidates", "e AS (SELECT user_id AS book_id, event_id, event_type IN ('signup', 'error') AND value < 60 + user_id % 40 AS hit FROM events), g AS (SELECT book_id, count(*) FILTER (hit) AS n, count(*) AS pop FROM e GROUP BY 1)", "SELECT book_id, event_id FROM e JOIN g USING (book_id) WHERE hit AND NOT (n > 20 AND n * 5 > pop)")
+add("apply_decisions_paras", f"{PARA_FOUND}, {PARA_DEPTHS}, asked AS (SELECT book_id, idx AS para_no, (book_id + idx) % 3 = 1 AS is_title FROM found WHERE (book_id + idx) % 3 <> 0)", f"SELECT s.book_id, s.para_no, CASE WHEN heading IS NULL AND is_title THEN depth ELSE heading END AS heading, CASE WHEN heading IS NULL AND is_title THEN {esc('text')} WHEN heading IS NULL AND is_title IS NOT NULL THEN {EDGED} ELSE '<em>' || {esc('left(raw, 3)')} || '</em>' || {esc('substring(raw, 4)')} END AS runs FROM spt s JOIN depths USING (book_id) LEFT JOIN asked USING (book_id, para_no)")
 add("trim_edges", SPOKEN, f"SELECT book_id, para_no, {EDGED} AS runs FROM (SELECT book_id, para_no, raw FROM sp)")
 add("chapter_lines", PARAS, f"SELECT book_id, para_no, text AS title FROM spt WHERE {chapter_line('raw')}")
 add("para_outline", PARAS, f"SELECT book_id, para_no AS item_no, CASE WHEN {scene('raw')} THEN 'scene-break' WHEN heading IS NOT NULL THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN NOT {scene('raw')} THEN heading END AS depth, CASE WHEN NOT {scene('raw')} AND heading IS NOT NULL THEN text ELSE raw END AS text FROM spt WHERE {scene('raw')} OR text <> ''")
@@ -249,9 +261,22 @@ _SAFE = r"regexp_replace(regexp_replace(regexp_replace(lower(coalesce(nullif(tit
 add("safe_filename", BOOKS, f"SELECT book_id, coalesce(nullif(left({_SAFE}, 60), ''), 'untitled') || '.epub' AS file_name FROM books")
 _EVENT = "event_type || ' ' || event_id || ' & <' || props || '>'"
 add("escape_xml", "", f"SELECT event_id, {esc(_EVENT)} AS s FROM events")
-_AFTER = "' <b> &amp; \"x'' &nbsp; < ' || chr((65 + event_id % 20)::INT) || ' ' || chr((97 + event_id % 26)::INT)"
-add("decode_entities", "", f"SELECT event_id, {_EVENT} || {_AFTER} AS s FROM events")
+_CODED = f"{_EVENT} || ' &lt;b&gt; &amp;amp; &quot;x&apos; &nbsp; &#38;lt; &#x' || lower(hex(65 + event_id % 20)) || '; &#' || (97 + event_id % 26) || ';'"
+_POINT = "CASE WHEN i = 1 THEN p WHEN regexp_matches(p, '^[xX][0-9a-fA-F]+;') THEN chr(try_cast('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]+);', 1) AS INT)) || regexp_replace(p, '^[^;]*;', '') WHEN regexp_matches(p, '^[0-9]+;') THEN chr(try_cast(regexp_extract(p, '^[0-9]+', 0) AS INT)) || regexp_replace(p, '^[^;]*;', '') ELSE '&#' || p END"
+add("decode_entities", f"coded AS (SELECT event_id, array_to_string(list_transform(string_split({_CODED}, '&#'), lambda p, i: {_POINT}), '') AS token FROM events)", f"SELECT event_id, {DECODED} AS s FROM coded")
 add("last_name", "", f"SELECT c_custkey, regexp_extract({trim(repr('') + ' || c_name || ' + repr(' ') + ' || c_mktsegment || ' + repr('  '))}, '[^{WS}]+$') AS name FROM customer")
-add("short_title", f"t AS (SELECT doc_id, regexp_split_to_array({trim('left(text, 10 + (doc_id % 40))')}, '[{WS}]+') AS w FROM documents)", f"SELECT doc_id, {_SHORT} AS title FROM t")
-add("clip", "", f"SELECT doc_id, {clip('left(text, 135 + (doc_id % 10))')} AS text FROM documents")
-add("finish_book", BOOKS, "SELECT book_id, coalesce(nullif(title, ''), 'my book ' || book_id) AS title, coalesce(author, '') AS author FROM books")
+add("short_title", f"t AS (SELECT doc_id, regexp_split_to_array({trim('text')}, '[{WS}]+') AS w FROM documents)", f"SELECT doc_id, {_SHORT} AS title FROM t")
+add("clip", "", f"SELECT doc_id, {clip('text')} AS text FROM documents")
+_FROM_NAME = trim(f"regexp_replace({_BASE}, '^[0-9]+[{WS}]*', '')")
+add("finish_book", f"{BOOKS}, saved AS (SELECT *, '0' || book_id || ' my-book_' || book_id || '.md' AS file_name FROM books)", f"SELECT book_id, coalesce(nullif(title, ''), {_FROM_NAME}, '') AS title, coalesce(author, '') AS author FROM saved")
+
+_NAMES = "numbered ev outline sizes lows titles rest first_level levels sections in_section shapes roles segs kept chapters".split()
+#: The same tables where no heading is taken for a file's title.
+UNTITLED = re.sub(rf"\b({'|'.join(_NAMES)})\b", r"\1_2", SEGMENTS.replace("AND n_low = 1)", "AND false)"))
+add("multi_file_chapters", f"""{SEGMENTS}, {UNTITLED}, {NAMES}, titled AS (SELECT c.*, book_title, count(*) OVER (PARTITION BY book_id) AS n FROM chapters c LEFT JOIN titles USING (book_id)),
+ lone AS (SELECT book_id FROM titled WHERE book_title IS NOT NULL AND n = 1),
+ by_user AS (SELECT book_id AS u, seg, title, coalesce(part, book_title) AS part, n_blocks, n FROM titled ANTI JOIN lone USING (book_id)
+   UNION ALL SELECT book_id, seg, title, part, n_blocks, count(*) OVER (PARTITION BY book_id) FROM chapters_2 SEMI JOIN lone USING (book_id)),
+ all_files AS (SELECT coalesce(p_partkey, u) AS u, coalesce(file_name, (u % 5) || '-part_' || (u // 5) || '.md') AS file_name FROM names FULL JOIN (SELECT DISTINCT user_id AS u FROM events) e ON p_partkey = e.u),
+ together AS (SELECT u // 5 AS book_id, u % 5 AS file_ord, coalesce(seg, 0) AS seg, CASE WHEN coalesce(n, 1) = 1 AND coalesce(title, '') = '' THEN {_FROM_NAME} ELSE title END AS title, part, coalesce(n_blocks, 0) AS n_blocks FROM all_files LEFT JOIN by_user USING (u))""",
+    "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY file_ord, seg) - 1 AS chapter_no, file_ord, title, part, n_blocks FROM together WHERE title <> '' OR n_blocks > 0")

@@ -334,9 +334,9 @@ def merge(runs: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:
     for t, i, b in runs:
         if out and out[-1][1:] == (i, b):
             out[-1] = (out[-1][0] + t, i, b)
-        elif t:
+        else:
             out.append((t, i, b))
-    return out
+    return [r for r in out if r[0]]  # empty runs part others until they are merged
 
 
 def trim(s: str) -> str:
