@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,9 +20,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session, or the
-    context's checkpoint folder. Only where neither is set (local tests) a temporary one is made."""
+    context's checkpoint folder. Where neither is set, a temporary one is made if the driver is all
+    there is (local tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quire-checkpoints-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -33,6 +37,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder of the shared store, by Spark's own file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable eager checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)

@@ -14,7 +14,7 @@ manifest is a reliable checkpoint, so a lost executor or a second attempt leaves
 unlisted file and never a doubled or missing shard.
 
 Defined results: null or empty text is a document of its end id only; null ids sort first;
-repeated ids are kept, each with its own span; an empty table gives no shard. Only the id and
+repeated ids are kept, each with its own span, in the order of a hash of their texts; an empty table gives no shard. Only the id and
 text columns are read, so other columns may have any names.
 """
 
@@ -112,8 +112,10 @@ def write_token_files(docs: DataFrame, path: str, end_id: int | None = None, len
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "path": [name], "n_docs": [n], "n_tokens": [writer.total]})
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = cols.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # ids that many rows share, or null ones, are ranges of their own by the second key
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("second"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("second")]
+    dealt = cols.repartitionByRange(*order).sortWithinPartitions(*order).drop("second")
     return cut_lineage(map_batches(dealt, write, MANIFEST))
 
 

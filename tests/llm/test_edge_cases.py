@@ -95,7 +95,9 @@ def test_stages(spark, docs, empty, sf, k):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     out = corpus_pipeline.STAGES[k][1](spark, docs, sf)
     assert out.columns == columns
-    kept = {r.doc_id for r in out.collect()}
+    rows = [r.doc_id for r in out.collect()]
+    kept = set(rows)
+    assert rows.count(5) == 2 and len(rows) == len(kept) + 1  # repeated rows of an id go together
     clean = {1, 2, 3, 5, 6, 7, None} if k == 0 else {1, 4, 5, 6, 7, None} if k == 1 else {1, 2, 3, 4, 5, 6, 7, None}
     assert clean <= kept
     assert corpus_pipeline.STAGES[k][1](spark, empty, sf).count() == 0
