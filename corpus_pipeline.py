@@ -5,6 +5,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writ
 the shared folder and rereads for the next stage. All but the last return the columns of
 `documents`, with n_chars of the text as it then is. No stage drops a row for another reason than
 its decision: documents that substring dedup leaves empty stay, with an empty text.
+
+Repeated rows: toxicity, the secret scan and packing judge each row by itself; for near-duplicates
+and substring dedup rows of one id are one document, which stays or goes as a whole, with as many
+rows as it had. Null texts count as empty; rows without an id are never dropped as duplicates and
+lose no passages; other columns than those of `documents` are left out, whatever their names; an
+empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import cut_lineage, read, scratch_dir
+from quire.llm._common import cut_lineage, drop_folder, read, scratch_dir
 from quire.llm.packing import pack
 from quire.llm.queries import vocabulary
 from quire.llm.secret_scan import redacted
@@ -72,10 +78,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to `documents`, with each result written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """Applies STAGES to `documents`, with each result written and read again; a result is deleted
+    when the next one is written."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         path = scratch_dir(spark, f"stage-{i}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            drop_folder(spark, last)
+        last = path
     return docs
