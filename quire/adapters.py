@@ -18,6 +18,7 @@ SHARED = {
     "language": "CASE WHEN book_id % 6 = 0 THEN 'de' END",
     "uuid": "'urn:uuid:' || book_id",
     "modified": "'2024-01-01T00:00:00Z'",
+    "cover": "CASE WHEN book_id % 4 = 1 THEN 'png' WHEN book_id % 4 = 3 THEN 'jpg' END",
 }
 #: What stands at line n of document d (x) in a manuscript: the line whole, marked or after a line that gives the text structure.
 GAP = "chr(10) || chr(10)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -95,11 +95,47 @@ def chapter_list(counted: DataFrame) -> DataFrame:
     return rows.select("book_id", (F.row_number().over(w) - 1).alias("seq"), "kind", "label", "words")
 
 
-def preview(blocks: DataFrame, k: int) -> DataFrame:
-    """book_id, para, text: the first k paragraphs of the first chapter."""
+def _opening(blocks: DataFrame, k: int) -> DataFrame:
+    """The first k paragraphs of the first chapter, numbered from 1 as para."""
     w = Window.partitionBy("book_id").orderBy("block_no")
-    rows = blocks.where("chapter_no = 0 and kind = 'paragraph'").withColumn("para", F.row_number().over(w))
-    return rows.where(F.col("para") <= k).select("book_id", "para", T.run_text(F.col("runs")).alias("text"))
+    return blocks.where("chapter_no = 0 and kind = 'paragraph'").withColumn("para", F.row_number().over(w)).where(F.col("para") <= k)
+
+
+def _lines(df: DataFrame, *lines: tuple[str, Column]) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(i - len(lines)).alias("o"), F.lit(role).alias("role"), text.alias("text")) for i, (role, text) in enumerate(lines)])
+    return df.select("book_id", F.explode(F.filter(rows, lambda r: r["text"].isNotNull())).alias("x")).select("book_id", "x.*")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    w = Window.partitionBy("book_id").orderBy("o")
+    return rows.select("book_id", (F.row_number().over(w) - 1).cast("int").alias("seq"), "role", "text")
+
+
+def manuscript_preview(books: DataFrame, words: DataFrame, blocks: DataFrame, k: int = 2) -> DataFrame:
+    """book_id, seq, role, text: contact, email, count, title, byline and the first k paragraphs."""
+    b = books.join(words.select("book_id", "about_words"), "book_id", "left")
+    about = F.coalesce("about_words", T.manuscript_words(F.lit(0)))
+    name = T.first_filled(F.col("legal_name"), F.col("author"), "Your Name")
+    head = _lines(
+        b,
+        ("contact", name),
+        ("email", F.nullif("email", F.lit(""))),
+        ("count", F.concat(F.lit("about "), F.format_number(about, 0), F.lit(" words"))),
+        ("title", T.first_filled(F.col("title"), "Untitled")),
+        ("byline", F.concat(F.lit("by "), T.first_filled(F.col("author"), "Anonymous"))),
+    )
+    body = _opening(blocks, k).select("book_id", F.col("para").alias("o"), F.lit("paragraph").alias("role"), T.run_text(F.col("runs")).alias("text"))
+    return _numbered(head.unionByName(body))
+
+
+def ebook_preview(books: DataFrame, chapters: DataFrame, blocks: DataFrame, k: int = 3) -> DataFrame:
+    """book_id, seq, role (title, first, paragraph), text (styled runs): the first chapter's title,
+    or the book's, and its first k paragraphs. Books without chapters have none."""
+    b = chapters.where("chapter_no = 0").select("book_id", F.col("title").alias("chapter_title")).join(books, "book_id")
+    head = _lines(b, ("title", T.first_filled(F.col("chapter_title"), F.col("title"), "Chapter One")))
+    role = F.when(F.col("para") == 1, "first").otherwise("paragraph")
+    body = _opening(blocks, k).select("book_id", F.col("para").alias("o"), role.alias("role"), T.runs_xhtml(F.col("runs")).alias("text"))
+    return _numbered(head.unionByName(body))
 
 
 def finish(books: DataFrame) -> DataFrame:

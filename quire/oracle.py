@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 
 from quire.adapters import LINE, NAMED_BOOK, SHARED, SPOKEN_LINE
+from quire.plans.epub import CONTAINER, STYLESHEET
 
 #: Fixed values, written again here so that a slip in the engine's lists shows.
 NUMBER_WORDS = (
@@ -122,7 +123,7 @@ DOCS = f"""{BLOCKS}, {BOOKS}, {PARTED}, counted_parts AS (SELECT s.*, count(*) F
  both_kinds AS (SELECT book_id, chapter_no, 0 AS k, 'part-' || CASE WHEN part_no < 1000 THEN lpad(part_no::VARCHAR, 3, '0') ELSE part_no::VARCHAR END AS id, part AS title, 'part' AS kind, false AS nested FROM counted_parts WHERE new_part
    UNION ALL SELECT c.book_id, chapter_no, 1, 'chapter-' || CASE WHEN chapter_no < 999 THEN lpad((chapter_no + 1)::VARCHAR, 3, '0') ELSE (chapter_no + 1)::VARCHAR END, coalesce(nullif(c.title, ''), CASE WHEN n > 1 THEN 'Chapter ' || (chapter_no + 1) ELSE {FALLBACK.replace('title', 'b.title')} END), 'chapter', coalesce(part, '') <> '' FROM counted_parts c JOIN books b USING (book_id)),
  docs AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_no, k) - 1 AS ord FROM both_kinds)"""
-SHOWN = f"shown AS (SELECT book_id, {FALLBACK} AS b_title, coalesce(nullif(author, ''), 'Anonymous') AS b_author, coalesce(nullif(language, ''), 'en') AS b_language, uuid AS b_uuid, modified AS b_modified FROM books)"
+SHOWN = f"shown AS (SELECT book_id, {FALLBACK} AS b_title, coalesce(nullif(author, ''), 'Anonymous') AS b_author, coalesce(nullif(language, ''), 'en') AS b_language, uuid AS b_uuid, modified AS b_modified, cover AS b_cover FROM books)"
 XML = '<?xml version="1.0" encoding="UTF-8"?>\n'
 
 SPOKEN = f"""sl AS (SELECT conv_id, turn, conv_id // 4 AS book_id, 0 AS k, {SPOKEN_LINE} AS raw FROM conversations UNION ALL SELECT conv_id, turn, conv_id // 4, 1, text FROM conversations),
@@ -170,6 +171,10 @@ def link(x: str = "") -> str:
     return f"'<a href=\"text/' || id || '.xhtml\">' || {esc('title')} || '</a>'"
 
 
+def if_cover(line: str) -> str:
+    return f"CASE WHEN b_cover IS NULL THEN '' ELSE '{line}' || chr(10) END"
+
+
 def add(name: str, ctes: str, select: str) -> None:
     ORACLE_SQL[name] = f"WITH {ctes} {select}" if ctes else select
 
@@ -223,18 +228,23 @@ add("chapter_words", COUNTED, "SELECT book_id, chapter_no, title, words FROM cou
 ABOUT_TEXT = "'about ' || format('{:,}', about_words) || ' words'"
 add("book_summary", f"{COUNTED}, g AS (SELECT book_id, sum(words)::BIGINT AS words, count(*) AS n FROM counted GROUP BY 1), a AS (SELECT *, {about('words')} AS about_words FROM g)", f"SELECT book_id, words, about_words, CASE WHEN n > 1 THEN format('{{:,}}', n) || ' chapters, ' ELSE '' END || {ABOUT_TEXT} AS summary FROM a")
 add("chapter_list", f"{COUNTED}, {PARTED}, r AS (SELECT book_id, chapter_no, 0 AS k, 'part' AS kind, part AS label, NULL::BIGINT AS words FROM starts WHERE new_part UNION ALL SELECT book_id, chapter_no, 1, 'chapter', coalesce(nullif(title, ''), 'Chapter ' || (chapter_no + 1)), words FROM counted)", "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter_no, k) - 1 AS seq, kind, label, words FROM r")
-for _name, _k in (("ms_preview", 2), ("ebook_preview", 3)):
-    add(_name, BLOCKS, f"SELECT * FROM (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY block_no) AS para, plain AS text FROM blocks WHERE chapter_no = 0 AND kind = 'paragraph') WHERE para <= {_k}")
+_OPENING = "opening AS (SELECT * FROM (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY block_no) AS o, plain, styled FROM blocks WHERE chapter_no = 0 AND kind = 'paragraph'))"
+_PREVIEW = "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY o) - 1 AS seq, role, text FROM l WHERE text IS NOT NULL"
+add("ms_preview", f"""{COUNTED}, {BOOKS}, {_OPENING}, g AS (SELECT book_id, sum(words)::BIGINT AS words FROM counted GROUP BY 1), a AS (SELECT b.*, {about('coalesce(words, 0)')} AS about_words FROM books b LEFT JOIN g USING (book_id)),
+ l AS (SELECT book_id, -5 AS o, 'contact' AS role, coalesce(nullif(legal_name, ''), nullif(author, ''), 'Your Name') AS text FROM a UNION ALL SELECT book_id, -4, 'email', nullif(email, '') FROM a UNION ALL SELECT book_id, -3, 'count', {ABOUT_TEXT} FROM a
+   UNION ALL SELECT book_id, -2, 'title', {FALLBACK} FROM a UNION ALL SELECT book_id, -1, 'byline', 'by ' || coalesce(nullif(author, ''), 'Anonymous') FROM a UNION ALL SELECT book_id, o, 'paragraph', plain FROM opening WHERE o <= 2)""", _PREVIEW)
+add("ebook_preview", f"""{BLOCKS}, {BOOKS}, {_OPENING}, l AS (SELECT c.book_id, -1 AS o, 'title' AS role, coalesce(nullif(c.title, ''), nullif(b.title, ''), 'Chapter One') AS text FROM chapters c JOIN books b USING (book_id) WHERE chapter_no = 0
+   UNION ALL SELECT book_id, o, CASE WHEN o = 1 THEN 'first' ELSE 'paragraph' END, styled FROM opening WHERE o <= 3)""", _PREVIEW)
 add("chapter_ids", SEGMENTS, "SELECT book_id, chapter_no, 'chapter-' || CASE WHEN (chapter_no + 1) * 37 < 1000 THEN lpad(((chapter_no + 1) * 37)::VARCHAR, 3, '0') ELSE ((chapter_no + 1) * 37)::VARCHAR END AS id FROM chapters")
 PARA_XML = "CASE WHEN kind = 'scene-break' THEN '    <p class=\"scene-break\">* * *</p>' ELSE '    <p' || CASE WHEN is_first THEN ' class=\"first\"' ELSE '' END || '>' || styled || '</p>' END"
 add("chapter_xhtml", f"{BLOCKS}, {FIRST}", f"SELECT book_id, chapter_no, string_agg({PARA_XML}, {NL} ORDER BY block_no) AS body FROM firsts GROUP BY 1, 2")
 add("epub_documents", DOCS, "SELECT book_id, ord, id, title, kind FROM docs")
 NAV_ITEM = "CASE WHEN n > 0 THEN '    <li>' || top || chr(10) || '      <ol>' || chr(10) || below || chr(10) || '      </ol>' || chr(10) || '    </li>' ELSE '    <li>' || top || '</li>' END"
 HEAD_XML = f"'{XML}<html xmlns=\"http://www.w3.org/1999/xhtml\" xmlns:epub=\"http://www.idpf.org/2007/ops\" xml:lang=\"' || {esc('b_language')} || '\" lang=\"' || {esc('b_language')} || '\">\n'"
-add("epub_nav", f"{DOCS}, {SHOWN}, e AS (SELECT *, count(*) FILTER (NOT nested) OVER (PARTITION BY book_id ORDER BY ord) AS entry, {link()} AS a FROM docs), top AS (SELECT book_id, entry, max(a) FILTER (NOT nested) AS top, count(*) FILTER (nested) AS n, string_agg('        <li>' || a || '</li>', {NL} ORDER BY ord) FILTER (nested) AS below FROM e GROUP BY 1, 2), items AS (SELECT book_id, string_agg({NAV_ITEM}, {NL} ORDER BY entry) AS items FROM top GROUP BY 1)", f"SELECT book_id, {HEAD_XML} || '<head><title>Contents</title></head>\n<body>\n  <nav epub:type=\"toc\" id=\"toc\">\n    <h1>Contents</h1>\n    <ol>\n    <li><a href=\"text/titlepage.xhtml\">Title Page</a></li>\n' || items || '\n    </ol>\n  </nav>\n</body>\n</html>\n' AS content FROM items JOIN shown USING (book_id)")
+add("epub_nav", f"{DOCS}, {SHOWN}, e AS (SELECT *, count(*) FILTER (NOT nested) OVER (PARTITION BY book_id ORDER BY ord) AS entry, {link()} AS a FROM docs), top AS (SELECT book_id, entry, max(a) FILTER (NOT nested) AS top, count(*) FILTER (nested) AS n, string_agg('        <li>' || a || '</li>', {NL} ORDER BY ord) FILTER (nested) AS below FROM e GROUP BY 1, 2), items AS (SELECT book_id, string_agg({NAV_ITEM}, {NL} ORDER BY entry) AS items FROM top GROUP BY 1)", f"SELECT book_id, {HEAD_XML} || '<head><title>Contents</title></head>\n<body>\n  <nav epub:type=\"toc\" id=\"toc\">\n    <h1>Contents</h1>\n    <ol>\n' || {if_cover('    <li><a href="text/cover.xhtml">Cover</a></li>')} || '    <li><a href=\"text/titlepage.xhtml\">Title Page</a></li>\n' || items || '\n    </ol>\n  </nav>\n</body>\n</html>\n' AS content FROM items JOIN shown USING (book_id)")
 POINT = f"'    <navPoint id=\"' || id || '\" playOrder=\"' || (ord + 2) || '\">\n      <navLabel><text>' || {esc('title')} || '</text></navLabel>\n      <content src=\"text/' || id || '.xhtml\"/>\n    </navPoint>'"
 add("epub_ncx", f"{DOCS}, {SHOWN}, p AS (SELECT book_id, string_agg({POINT}, {NL} ORDER BY ord) AS points FROM docs GROUP BY 1)", f"SELECT book_id, '{XML}<ncx xmlns=\"http://www.daisy.org/z3986/2005/ncx/\" version=\"2005-1\">\n  <head>\n    <meta name=\"dtb:uid\" content=\"' || {esc('b_uuid')} || '\"/>\n    <meta name=\"dtb:depth\" content=\"1\"/>\n    <meta name=\"dtb:totalPageCount\" content=\"0\"/>\n    <meta name=\"dtb:maxPageNumber\" content=\"0\"/>\n  </head>\n  <docTitle><text>' || {esc('b_title')} || '</text></docTitle>\n  <navMap>\n    <navPoint id=\"titlepage\" playOrder=\"1\">\n      <navLabel><text>Title Page</text></navLabel>\n      <content src=\"text/titlepage.xhtml\"/>\n    </navPoint>\n' || points || '\n  </navMap>\n</ncx>\n' AS content FROM p JOIN shown USING (book_id)")
-add("epub_opf", f"{DOCS}, {SHOWN}, p AS (SELECT book_id, string_agg('    <item id=\"' || id || '\" href=\"text/' || id || '.xhtml\" media-type=\"application/xhtml+xml\"/>', {NL} ORDER BY ord) AS manifest, string_agg('    <itemref idref=\"' || id || '\"/>', {NL} ORDER BY ord) AS spine FROM docs GROUP BY 1)", f"SELECT book_id, '{XML}<package xmlns=\"http://www.idpf.org/2007/opf\" version=\"3.0\" unique-identifier=\"pub-id\" xml:lang=\"' || {esc('b_language')} || '\">\n  <metadata xmlns:dc=\"http://purl.org/dc/elements/1.1/\">\n    <dc:identifier id=\"pub-id\">' || {esc('b_uuid')} || '</dc:identifier>\n    <dc:title>' || {esc('b_title')} || '</dc:title>\n    <dc:creator id=\"creator\">' || {esc('b_author')} || '</dc:creator>\n    <meta refines=\"#creator\" property=\"role\" scheme=\"marc:relators\">aut</meta>\n    <dc:language>' || {esc('b_language')} || '</dc:language>\n    <meta property=\"dcterms:modified\">' || {esc('b_modified')} || '</meta>\n    <meta name=\"cover\" content=\"cover-image\"/>\n  </metadata>\n  <manifest>\n    <item id=\"nav\" href=\"nav.xhtml\" media-type=\"application/xhtml+xml\" properties=\"nav\"/>\n    <item id=\"ncx\" href=\"toc.ncx\" media-type=\"application/x-dtbncx+xml\"/>\n    <item id=\"style\" href=\"styles/style.css\" media-type=\"text/css\"/>\n    <item id=\"titlepage\" href=\"text/titlepage.xhtml\" media-type=\"application/xhtml+xml\"/>\n    <item id=\"cover-image\" href=\"images/cover.png\" media-type=\"image/png\" properties=\"cover-image\"/>\n    <item id=\"cover\" href=\"text/cover.xhtml\" media-type=\"application/xhtml+xml\"/>\n' || manifest || '\n  </manifest>\n  <spine toc=\"ncx\">\n    <itemref idref=\"cover\" linear=\"yes\"/>\n    <itemref idref=\"titlepage\"/>\n' || spine || '\n  </spine>\n</package>\n' AS content FROM p JOIN shown USING (book_id)")
+add("epub_opf", f"{DOCS}, {SHOWN}, p AS (SELECT book_id, string_agg('    <item id=\"' || id || '\" href=\"text/' || id || '.xhtml\" media-type=\"application/xhtml+xml\"/>', {NL} ORDER BY ord) AS manifest, string_agg('    <itemref idref=\"' || id || '\"/>', {NL} ORDER BY ord) AS spine FROM docs GROUP BY 1)", f"SELECT book_id, '{XML}<package xmlns=\"http://www.idpf.org/2007/opf\" version=\"3.0\" unique-identifier=\"pub-id\" xml:lang=\"' || {esc('b_language')} || '\">\n  <metadata xmlns:dc=\"http://purl.org/dc/elements/1.1/\">\n    <dc:identifier id=\"pub-id\">' || {esc('b_uuid')} || '</dc:identifier>\n    <dc:title>' || {esc('b_title')} || '</dc:title>\n    <dc:creator id=\"creator\">' || {esc('b_author')} || '</dc:creator>\n    <meta refines=\"#creator\" property=\"role\" scheme=\"marc:relators\">aut</meta>\n    <dc:language>' || {esc('b_language')} || '</dc:language>\n    <meta property=\"dcterms:modified\">' || {esc('b_modified')} || '</meta>\n' || {if_cover('    <meta name="cover" content="cover-image"/>')} || '  </metadata>\n  <manifest>\n    <item id=\"nav\" href=\"nav.xhtml\" media-type=\"application/xhtml+xml\" properties=\"nav\"/>\n    <item id=\"ncx\" href=\"toc.ncx\" media-type=\"application/x-dtbncx+xml\"/>\n    <item id=\"style\" href=\"styles/style.css\" media-type=\"text/css\"/>\n    <item id=\"titlepage\" href=\"text/titlepage.xhtml\" media-type=\"application/xhtml+xml\"/>\n' || coalesce('    <item id=\"cover-image\" href=\"images/cover.' || b_cover || '\" media-type=\"image/' || replace(b_cover, 'jpg', 'jpeg') || '\" properties=\"cover-image\"/>\n', '') || {if_cover('    <item id="cover" href="text/cover.xhtml" media-type="application/xhtml+xml"/>')} || manifest || '\n  </manifest>\n  <spine toc=\"ncx\">\n' || {if_cover('    <itemref idref="cover" linear="yes"/>')} || '    <itemref idref=\"titlepage\"/>\n' || spine || '\n  </spine>\n</package>\n' AS content FROM p JOIN shown USING (book_id)")
 
 
 def rows(*items: tuple[str, str, str, str]) -> str:
@@ -280,3 +290,31 @@ add("multi_file_chapters", f"""{SEGMENTS}, {UNTITLED}, {NAMES}, titled AS (SELEC
  all_files AS (SELECT coalesce(p_partkey, u) AS u, coalesce(file_name, (u % 5) || '-part_' || (u // 5) || '.md') AS file_name FROM names FULL JOIN (SELECT DISTINCT user_id AS u FROM events) e ON p_partkey = e.u),
  together AS (SELECT u // 5 AS book_id, u % 5 AS file_ord, coalesce(seg, 0) AS seg, CASE WHEN coalesce(n, 1) = 1 AND coalesce(title, '') = '' THEN {_FROM_NAME} ELSE title END AS title, part, coalesce(n_blocks, 0) AS n_blocks FROM all_files LEFT JOIN by_user USING (u))""",
     "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY file_ord, seg) - 1 AS chapter_no, file_ord, title, part, n_blocks FROM together WHERE title <> '' OR n_blocks > 0")
+
+_RUN = lambda text, look: f"'<w:r>' || CASE WHEN {look} = '' THEN '' ELSE '<w:rPr>' || {look} || '</w:rPr>' END || '<w:t xml:space=\"preserve\">' || {text} || '</w:t></w:r>'"
+_LOOK = lambda slant: f"(CASE WHEN event_id % 7 = 0 THEN '<w:b/>' ELSE '' END || CASE WHEN event_id % 5 = 0 THEN '{slant}' ELSE '' END)"
+_WORD = lambda slant: f"CASE kind WHEN 'heading' THEN {_RUN(esc('s.text'), repr('<w:b/>'))} ELSE {_RUN(esc('s.text'), _LOOK(slant))} || {_RUN(repr(' end'), repr(''))} END"
+add("docx_runs", SEGMENTS, f"SELECT s.book_id, chapter_no, block_no, slanted, underlined FROM (SELECT s.*, row_number() OVER (PARTITION BY s.book_id, seg ORDER BY item_no) - 1 AS block_no, {_WORD('<w:i/>')} AS slanted, {_WORD('<w:u w:val=' + chr(34) + 'single' + chr(34) + '/>')} AS underlined FROM segs s WHERE NOT is_part AND NOT is_chapter) s JOIN chapters c USING (book_id, seg) WHERE kind <> 'scene-break'")
+add("patched_books", BOOKS, "SELECT book_id, CASE WHEN book_id % 3 = 1 THEN 'New ' || book_id ELSE title END AS title, CASE WHEN book_id % 7 = 0 THEN '' ELSE author END AS author, CASE WHEN book_id % 2 <> 0 THEN email END AS email, CASE WHEN book_id % 5 = 0 THEN '555-0' || book_id ELSE phone END AS phone, address FROM books")
+add("centered_class", TAGS.replace("regexp_replace(html,", """regexp_replace(replace(html, '<p><b>', '<p class="lead is-centered"><b>'),"""), r"""SELECT book_id, tok_no FROM tags WHERE tag IN ('p', 'li') AND NOT closing AND regexp_matches(token, 'class="[^"]*\bis-centered\b')""")
+
+
+def page(title: str, body: str) -> str:
+    return f"{HEAD_XML} || '<head>\n  <title>' || {esc(title)} || '</title>\n  <link rel=\"stylesheet\" type=\"text/css\" href=\"../styles/style.css\"/>\n</head>\n<body>\n  <section ' || {body} || '\n  </section>\n</body>\n</html>\n'"
+
+
+def entry(a: int, path: str, content: str, source: str = "shown", order: str = "0") -> str:
+    return f"SELECT book_id, {a} AS a, {order} AS o, {path} AS path, {content} AS content FROM {source}"
+
+
+_PARTS = [
+    entry(0, "'mimetype'", "'application/epub+zip'"),
+    entry(1, "'META-INF/container.xml'", f"repeat('c', {len(CONTAINER)})"),
+    entry(2, "'OEBPS/styles/style.css'", f"repeat('s', {len(STYLESHEET)})"),
+    entry(3, "'OEBPS/text/titlepage.xhtml'", page("b_title", f"""'class="titlepage" epub:type="titlepage">\n    <h1>' || {esc('b_title')} || '</h1>\n    <p class="author">' || {esc('b_author')} || '</p>'""")),
+    entry(4, "'OEBPS/text/' || id || '.xhtml'", f"""CASE WHEN kind = 'part' THEN {page('title', f"'class=" + '"partpage" epub:type="part">' + f"\n    <h1>' || {esc('title')} || '</h1>'")} ELSE {page('title', f"'epub:type=" + '"chapter">' + f"\n    <h1 class=" + '"chapter-title">' + f"' || {esc('title')} || '</h1>\n' || coalesce(body, '')")} END""", "docs JOIN shown USING (book_id) LEFT JOIN bodies USING (book_id, chapter_no)", "ord"),
+    entry(5, "'OEBPS/images/cover.' || b_cover", "NULL", "shown WHERE b_cover IS NOT NULL"),
+    entry(6, "'OEBPS/text/cover.xhtml'", page("'Cover'", """'epub:type="cover" style="text-align:center">\n    <img class="cover" src="../images/cover.' || b_cover || '" alt="Cover"/>'"""), "shown WHERE b_cover IS NOT NULL"),
+    *[entry(a, f"'OEBPS/{path}'", "content", f"({ORACLE_SQL[made]})") for a, path, made in ((7, "nav.xhtml", "epub_nav"), (8, "toc.ncx", "epub_ncx"), (9, "package.opf", "epub_opf"))],
+]
+add("epub_entries", f"{DOCS}, {SHOWN}, {FIRST}, bodies AS (SELECT book_id, chapter_no, string_agg({PARA_XML}, {NL} ORDER BY block_no) AS body FROM firsts GROUP BY 1, 2), files AS ({' UNION ALL '.join(_PARTS)})", "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY a, o) - 1 AS seq, path, path = 'mimetype' AS stored, length(content) AS n_chars FROM files")

@@ -5,15 +5,15 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from quire.functions import text as T
 from quire.operators import outline as O
+from quire.plans.batches import row_by_row
 
 INCH = 1440  # twentieths of a point
 DOUBLE, SINGLE = 480, 240
@@ -78,27 +78,37 @@ OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 WORD_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml"
 
 
-def run_xml(text: str, italic: bool, bold: bool, underline: bool) -> str:
-    look = ("<w:b/>" if bold else "") + (("<w:u w:val=\"single\"/>" if underline else "<w:i/>") if italic else "")
-    return f"<w:r>{f'<w:rPr>{look}</w:rPr>' if look else ''}<w:t xml:space=\"preserve\">{escape(CONTROL.sub('', text))}</w:t></w:r>"
+def runs_xml(runs: Column, underline_italics: bool = False) -> Column:
+    """Runs as Word's markup; italics can be set as underlines, as in typescripts."""
+    slant = '<w:u w:val="single"/>' if underline_italics else "<w:i/>"
+
+    def one(r: Column) -> Column:
+        look = F.concat(F.when(r["bold"], "<w:b/>").otherwise(""), F.when(r["italic"], slant).otherwise(""))
+        return F.concat(F.lit("<w:r>"), F.when(look == "", "").otherwise(F.concat(F.lit("<w:rPr>"), look, F.lit("</w:rPr>"))), F.lit('<w:t xml:space="preserve">'), T.escape_xml(r["text"]), F.lit("</w:t></w:r>"))
+
+    return F.array_join(F.transform(runs, one), "")
+
+
+def run_xml(text: str) -> str:
+    return f"<w:r><w:t xml:space=\"preserve\">{escape(CONTROL.sub('', text))}</w:t></w:r>"
 
 
 CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
-def para_xml(p: dict, underline: bool) -> str:
+def para_xml(p: dict) -> str:
     look = ("<w:pageBreakBefore/>" if p["page_break_before"] else "") + (f'<w:spacing w:before="{DOUBLE}"/>' if p["role"] == "end" else "")
     if p["role"] != "body":
         look += '<w:ind w:firstLine="0"/>' if p["role"] != "break" else ""
     look += '<w:jc w:val="center"/>' if p["align"] == "center" else ""
-    return f"<w:p>{f'<w:pPr>{look}</w:pPr>' if look else ''}{''.join(run_xml(r['text'], r['italic'], r['bold'], underline) for r in p['runs'])}</w:p>"
+    return f"<w:p>{f'<w:pPr>{look}</w:pPr>' if look else ''}{p['xml']}</w:p>"
 
 
 def single_xml(text: str, align: str) -> str:
-    return f'<w:p><w:pPr><w:spacing w:line="{SINGLE}"/><w:ind w:firstLine="0"/><w:jc w:val="{align}"/></w:pPr>{run_xml(text, False, False, False)}</w:p>'
+    return f'<w:p><w:pPr><w:spacing w:line="{SINGLE}"/><w:ind w:firstLine="0"/><w:jc w:val="{align}"/></w:pPr>{run_xml(text)}</w:p>'
 
 
-def package(paras: list[dict], contact: list[str], words: int, header: str, underline: bool) -> bytes:
+def package(paras: list[dict], contact: list[str], words: int, header: str) -> bytes:
     cell = lambda inner: f'<w:tc><w:tcPr><w:tcW w:w="2500" w:type="pct"/></w:tcPr>{inner}</w:tc>'
     table = f'<w:tbl><w:tblPr><w:tblW w:w="5000" w:type="pct"/></w:tblPr><w:tr>{cell("".join(single_xml(x, "left") for x in contact or [""]))}{cell(single_xml(f"about {words:,} words", "right"))}</w:tr></w:tbl>'
     section = f'<w:sectPr><w:headerReference w:type="default" r:id="rId2"/><w:headerReference w:type="first" r:id="rId3"/><w:pgSz w:w="{INCH * 17 // 2}" w:h="{INCH * 11}"/><w:pgMar w:top="{INCH}" w:right="{INCH}" w:bottom="{INCH}" w:left="{INCH}" w:header="708" w:footer="708" w:gutter="0"/><w:titlePg/></w:sectPr>'
@@ -111,9 +121,9 @@ def package(paras: list[dict], contact: list[str], words: int, header: str, unde
         "_rels/.rels": relations(relation(1, "officeDocument", "word/document.xml")),
         "word/_rels/document.xml.rels": relations(relation(1, "styles", "styles.xml"), relation(2, "header", "header1.xml"), relation(3, "header", "header2.xml")),
         "word/styles.xml": f'{HEAD}<w:styles {NS}><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii="Times New Roman" w:hAnsi="Times New Roman" w:cs="Times New Roman"/><w:sz w:val="24"/></w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:spacing w:line="{DOUBLE}"/><w:ind w:firstLine="{INCH // 2}"/></w:pPr></w:pPrDefault></w:docDefaults></w:styles>',
-        "word/header1.xml": f'{HEAD}<w:hdr {NS}><w:p><w:pPr><w:spacing w:line="{SINGLE}"/><w:ind w:firstLine="0"/><w:jc w:val="right"/></w:pPr>{run_xml(header, False, False, False)}{page}</w:p></w:hdr>',
+        "word/header1.xml": f'{HEAD}<w:hdr {NS}><w:p><w:pPr><w:spacing w:line="{SINGLE}"/><w:ind w:firstLine="0"/><w:jc w:val="right"/></w:pPr>{run_xml(header)}{page}</w:p></w:hdr>',
         "word/header2.xml": f"{HEAD}<w:hdr {NS}><w:p/></w:hdr>",
-        "word/document.xml": f"{HEAD}<w:document {NS}><w:body>{table}{''.join(para_xml(p, underline) for p in paras)}{section}</w:body></w:document>",
+        "word/document.xml": f"{HEAD}<w:document {NS}><w:body>{table}{''.join(para_xml(p) for p in paras)}{section}</w:body></w:document>",
     }
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
@@ -124,12 +134,9 @@ def package(paras: list[dict], contact: list[str], words: int, header: str, unde
 
 def pack(books: DataFrame, paras: DataFrame, words: DataFrame, underline_italics: bool = False) -> DataFrame:
     """book_id, file_name, data: a Word file for each book. words: book_id, about_words."""
-    listed = paras.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "align", "page_break_before", "runs"))).alias("paras"))
+    marked = paras.withColumn("xml", runs_xml(F.col("runs"), underline_italics))
+    listed = marked.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "align", "page_break_before", "xml"))).alias("paras"))
     rows = listed.join(contact_lines(books), "book_id").join(running_header(books), "book_id").join(words.select("book_id", "about_words"), "book_id").join(books.select("book_id", T.safe_filename(F.col("title"), "-manuscript.docx").alias("file_name")), "book_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [package(r["paras"], r["lines"], r["about_words"], r["header"], underline_italics) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("book_id"), batch.column("file_name"), pa.array(data, pa.binary())], names=["book_id", "file_name", "data"])
-
-    return rows.mapInArrow(run, f"book_id {paras.schema['book_id'].dataType.simpleString()}, file_name string, data binary")
+    make = lambda r: {"book_id": r["book_id"], "file_name": r["file_name"], "data": package(r["paras"], r["lines"], r["about_words"], r["header"])}
+    return rows.mapInArrow(row_by_row(make, {"book_id": paras.schema["book_id"].dataType, "file_name": StringType(), "data": BinaryType()}), f"book_id {paras.schema['book_id'].dataType.simpleString()}, file_name string, data binary")

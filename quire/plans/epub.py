@@ -9,9 +9,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from quire.functions import text as T
 from quire.operators import outline as O
+from quire.plans.batches import row_by_row
 
 XML = '<?xml version="1.0" encoding="UTF-8"?>\n'
 
@@ -132,9 +134,21 @@ def _joined(order: Column, line: Column, sep: str = "\n") -> Column:
     return F.array_join(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l"))))["l"], sep)
 
 
+def with_covers(books: DataFrame, covers: DataFrame) -> DataFrame:
+    """Adds cover, the extension of each book's image or null, from covers (book_id, mime): anything
+    but image/png counts as a JPEG."""
+    kinds = covers.select("book_id", F.when(F.col("mime") == "image/png", "png").otherwise("jpg").alias("cover"))
+    return books.drop("cover").join(kinds, "book_id", "left")
+
+
+def if_cover(text: Column | str) -> Column:
+    return F.when(F.col("b_cover").isNull(), F.lit("")).otherwise(F.lit(text) if isinstance(text, str) else text)
+
+
 def defaults(books: DataFrame) -> DataFrame:
-    """book_id, b_title, b_author, b_language, b_uuid, b_modified: what a book prints. Identifier and
-    time are made up where books has none."""
+    """book_id, b_title, b_author, b_language, b_uuid, b_modified, b_cover: what a book prints.
+    Identifier and time are made up where books has none; b_cover is null for books without one."""
+    cover = F.col("cover") if "cover" in books.columns else F.lit(None).cast("string")
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return books.select(
         "book_id",
@@ -143,10 +157,11 @@ def defaults(books: DataFrame) -> DataFrame:
         T.first_filled(F.col("language"), "en").alias("b_language"),
         F.coalesce("uuid", cat("urn:uuid:", F.uuid())).alias("b_uuid"),
         F.coalesce("modified", now).alias("b_modified"),
+        cover.alias("b_cover"),
     )
 
 
-def nav(docs: DataFrame, shown: DataFrame, cover: bool = False) -> DataFrame:
+def nav(docs: DataFrame, shown: DataFrame) -> DataFrame:
     """book_id, content of the navigation document. shown: what `defaults` gives."""
     language = F.col("b_language")
     link = cat('<a href="text/', F.col("id"), '.xhtml">', T.escape_xml(F.col("title")), "</a>")
@@ -154,7 +169,7 @@ def nav(docs: DataFrame, shown: DataFrame, cover: bool = False) -> DataFrame:
     d = docs.withColumn("link", link).withColumn("entry", F.sum((~F.col("nested")).cast("int")).over(w))
     e = d.groupBy("book_id", "entry").agg(F.max(F.when(~F.col("nested"), F.col("link"))).alias("top"), _joined(F.col("ord"), F.when(F.col("nested"), cat("        <li>", F.col("link"), "</li>"))).alias("below"), F.count_if("nested").alias("n"))
     item = F.when(F.col("n") > 0, cat("    <li>", F.col("top"), "\n      <ol>\n", F.col("below"), "\n      </ol>\n    </li>")).otherwise(cat("    <li>", F.col("top"), "</li>"))
-    first = ('    <li><a href="text/cover.xhtml">Cover</a></li>\n' if cover else "") + '    <li><a href="text/titlepage.xhtml">Title Page</a></li>'
+    first = cat(if_cover('    <li><a href="text/cover.xhtml">Cover</a></li>\n'), '    <li><a href="text/titlepage.xhtml">Title Page</a></li>')
     body = e.groupBy("book_id").agg(_joined(F.col("entry"), item).alias("items"))
     text = cat(head(language), '<head><title>Contents</title></head>\n<body>\n  <nav epub:type="toc" id="toc">\n    <h1>Contents</h1>\n    <ol>\n', first, "\n", F.col("items"), "\n    </ol>\n  </nav>\n</body>\n</html>\n")
     return body.join(shown, "book_id").select("book_id", text.alias("content"))
@@ -180,44 +195,44 @@ def item(id_: Column | str, href: Column | str, kind: str, more: str = "") -> Co
     return cat('    <item id="', id_, '" href="', href, f'" media-type="{kind}"{more}/>')
 
 
-def package(docs: DataFrame, shown: DataFrame, cover: str | None = None) -> DataFrame:
-    """book_id, content of the package document. cover: the image's extension."""
+def package(docs: DataFrame, shown: DataFrame) -> DataFrame:
+    """book_id, content of the package document."""
     uuid, modified, language, title, author = (F.col(f"b_{c}") for c in ("uuid", "modified", "language", "title", "author"))
     xhtml = "application/xhtml+xml"
     d = docs.groupBy("book_id").agg(_joined(F.col("ord"), item(F.col("id"), cat("text/", F.col("id"), ".xhtml"), xhtml)).alias("manifest"), _joined(F.col("ord"), cat('    <itemref idref="', F.col("id"), '"/>')).alias("spine"))
     x = T.escape_xml
     fixed = [item("nav", "nav.xhtml", xhtml, ' properties="nav"'), item("ncx", "toc.ncx", "application/x-dtbncx+xml"), item("style", "styles/style.css", "text/css"), item("titlepage", "text/titlepage.xhtml", xhtml)]
-    if cover:
-        fixed += [item("cover-image", f"images/cover.{cover}", f"image/{'png' if cover == 'png' else 'jpeg'}", ' properties="cover-image"'), item("cover", "text/cover.xhtml", xhtml)]
+    image = [item("cover-image", cat("images/cover.", kind), f"image/{mime}", ' properties="cover-image"') for kind, mime in (("png", "png"), ("jpg", "jpeg"))]
+    images = if_cover(cat(F.when(F.col("b_cover") == "png", image[0]).otherwise(image[1]), "\n", item("cover", "text/cover.xhtml", xhtml), "\n"))
     text = cat(
         XML, '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="pub-id" xml:lang="', x(language), '">\n  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n',
         '    <dc:identifier id="pub-id">', x(uuid), "</dc:identifier>\n    <dc:title>", x(title), '</dc:title>\n    <dc:creator id="creator">', x(author), "</dc:creator>\n",
         '    <meta refines="#creator" property="role" scheme="marc:relators">aut</meta>\n    <dc:language>', x(language), '</dc:language>\n    <meta property="dcterms:modified">', x(modified), "</meta>\n",
-        '    <meta name="cover" content="cover-image"/>\n' if cover else "", "  </metadata>\n  <manifest>\n", *(p for f in fixed for p in (f, "\n")), F.col("manifest"),
-        '\n  </manifest>\n  <spine toc="ncx">\n', '    <itemref idref="cover" linear="yes"/>\n' if cover else "", '    <itemref idref="titlepage"/>\n', F.col("spine"), "\n  </spine>\n</package>\n",
+        if_cover('    <meta name="cover" content="cover-image"/>\n'), "  </metadata>\n  <manifest>\n", *(p for f in fixed for p in (f, "\n")), images, F.col("manifest"),
+        '\n  </manifest>\n  <spine toc="ncx">\n', if_cover('    <itemref idref="cover" linear="yes"/>\n'), '    <itemref idref="titlepage"/>\n', F.col("spine"), "\n  </spine>\n</package>\n",
     )
     return d.join(shown, "book_id").select("book_id", text.alias("content"))
 
 
-def entries(books: DataFrame, chapters: DataFrame, blocks: DataFrame, cover: str | None = None) -> DataFrame:
-    """book_id, seq, path, stored, content: the archive's text files in order. books has book_id,
-    title, author, language, uuid, modified. cover: png or jpg for books that have a cover image of
-    that kind, which `pack` takes; other books go through a call of their own."""
+def entries(books: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFrame:
+    """book_id, seq, path, stored, content: the archive's files in order. books has book_id, title,
+    author, language, uuid, modified and, if any has one, cover (see `with_covers`). The image of a
+    cover has no content here; `pack` takes its bytes."""
     b = defaults(books)
     docs = documents(books, chapters)
-    at = lambda n, path, content, stored=False: F.struct(F.lit(n).alias("a"), F.lit(path).alias("path"), F.lit(stored).alias("stored"), (F.lit(content) if isinstance(content, str) else content).alias("content"))
+    at = lambda n, path, content, stored=False: F.struct(F.lit(n).alias("a"), (F.lit(path) if isinstance(path, str) else path).alias("path"), F.lit(stored).alias("stored"), (F.lit(content) if isinstance(content, str) else content).alias("content"))
     own = b.select("book_id", F.explode(F.array(at(0, "mimetype", "application/epub+zip", True), at(1, "META-INF/container.xml", CONTAINER), at(2, "OEBPS/styles/style.css", STYLESHEET), at(3, "OEBPS/text/titlepage.xhtml", title_page(F.col("b_title"), F.col("b_author"), F.col("b_language"))))).alias("x")).select("book_id", "x.*", F.lit(0).alias("o"))
     d = docs.join(chapter_pages(blocks), ["book_id", "chapter_no"], "left").join(b, "book_id")
     body = page(F.col("title"), section("chapter", cat('    <h1 class="chapter-title">', T.escape_xml(F.col("title")), "</h1>\n", F.coalesce("body", F.lit("")))), F.col("b_language"))
     content = F.when(F.col("kind") == "part", part_page(F.col("title"), F.col("b_language"))).otherwise(body)
     pages = d.select("book_id", F.lit(4).alias("a"), cat("OEBPS/text/", F.col("id"), ".xhtml").alias("path"), F.lit(False).alias("stored"), content.alias("content"), F.col("ord").alias("o"))
-    tables = (("OEBPS/nav.xhtml", nav(docs, b, bool(cover))), ("OEBPS/toc.ncx", ncx(docs, b)), ("OEBPS/package.opf", package(docs, b, cover)))
+    tables = (("OEBPS/nav.xhtml", nav(docs, b)), ("OEBPS/toc.ncx", ncx(docs, b)), ("OEBPS/package.opf", package(docs, b)))
     last = [
-        made.select("book_id", F.lit(5 + n).alias("a"), F.lit(path).alias("path"), F.lit(False).alias("stored"), "content", F.lit(0).alias("o"))
+        made.select("book_id", F.lit(6 + n).alias("a"), F.lit(path).alias("path"), F.lit(False).alias("stored"), "content", F.lit(0).alias("o"))
         for n, (path, made) in enumerate(tables, 1)
     ]
-    if cover:
-        last.append(b.select("book_id", F.lit(5).alias("a"), F.lit("OEBPS/text/cover.xhtml").alias("path"), F.lit(False).alias("stored"), cover_page(F.lit(cover), F.col("b_language")).alias("content"), F.lit(0).alias("o")))
+    shown = F.array(at(5, cat("OEBPS/images/cover.", F.col("b_cover")), F.lit(None).cast("string")), at(6, "OEBPS/text/cover.xhtml", cover_page(F.col("b_cover"), F.col("b_language"))))
+    last.append(b.where("b_cover is not null").select("book_id", F.explode(shown).alias("x")).select("book_id", "x.*", F.lit(0).alias("o")))
     rows = own.unionByName(pages)
     for t in last:
         rows = rows.unionByName(t)
@@ -225,30 +240,24 @@ def entries(books: DataFrame, chapters: DataFrame, blocks: DataFrame, cover: str
     return rows.select("book_id", (F.row_number().over(w) - 1).cast("int").alias("seq"), "path", "stored", "content")
 
 
-def pack(rows: DataFrame, covers: DataFrame | None = None) -> DataFrame:
+def pack(rows: DataFrame, covers: DataFrame | None = None, limit: int = 32 << 20) -> DataFrame:
     """book_id, data: the zipped archive of each book, its first entry stored. covers: book_id, image
-    (bytes), mime; anything but image/png counts as a JPEG."""
+    (bytes); a cover without bytes leaves its entry out. A batch of archives has about `limit` bytes."""
     listed = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("seq", "path", "stored", "content"))).alias("files"))
-    none = F.lit(None)
     if covers is None:
-        listed = listed.select("*", none.cast("binary").alias("image"), none.cast("string").alias("image_path"))
+        listed = listed.withColumn("image", F.lit(None).cast("binary"))
     else:
-        path = cat("OEBPS/images/cover.", F.when(F.col("mime") == "image/png", "png").otherwise("jpg"))
-        listed = listed.join(covers.select("book_id", "image", path.alias("image_path")), "book_id", "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                    for f in row["files"]:
-                        info = zipfile.ZipInfo(f["path"], (1980, 1, 1, 0, 0, 0))
-                        info.compress_type = zipfile.ZIP_STORED if f["stored"] else zipfile.ZIP_DEFLATED
-                        z.writestr(info, f["content"].encode())
-                    if row["image"] is not None:
-                        z.writestr(zipfile.ZipInfo(row["image_path"], (1980, 1, 1, 0, 0, 0)), row["image"])
-                out.append(buffer.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column("book_id"), pa.array(out, pa.binary())], names=["book_id", "data"])
-
-    return listed.mapInArrow(run, f"book_id {rows.schema['book_id'].dataType.simpleString()}, data binary")
+        listed = listed.join(covers.select("book_id", "image"), "book_id", "left")
+
+    def zipped(row: dict) -> bytes:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in row["files"]:
+                data = row["image"] if f["content"] is None else f["content"].encode()
+                if data is not None:
+                    info = zipfile.ZipInfo(f["path"], (1980, 1, 1, 0, 0, 0))
+                    info.compress_type = zipfile.ZIP_STORED if f["stored"] or f["content"] is None else zipfile.ZIP_DEFLATED
+                    z.writestr(info, data)
+        return buffer.getvalue()
+
+    return listed.mapInArrow(row_by_row(lambda r: {"book_id": r["book_id"], "data": zipped(r)}, {"book_id": rows.schema["book_id"].dataType, "data": BinaryType()}, limit), f"book_id {rows.schema['book_id'].dataType.simpleString()}, data binary")

@@ -16,6 +16,7 @@ from quire.operators import lines as L
 from quire.operators import outline as O
 from quire.sources.docx import parse_docx
 from quire.sources.markdown import metadata, outline, parse_files
+from quire.plans.batches import parts
 
 
 @dataclass
@@ -100,7 +101,7 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
 
         where, top = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         where.create_dir(top, recursive=True)
-        for batch in batches:
+        for batch in parts(batches):
             paths = []
             for row in batch.to_pylist():
                 path, own = f"{top}/{row['book_id']}-{row['file_name']}", f"{top}/.{uuid.uuid4().hex}"

@@ -317,12 +317,14 @@ def chapter_list(s, d):
 
 @query
 def ms_preview(s, d):
-    return B.preview(built(s, d)[1], 2)
+    found, blocks = built(s, d)
+    return B.manuscript_preview(A.books(s, d), B.book_words(B.chapter_words(found, blocks)), blocks)
 
 
 @query
 def ebook_preview(s, d):
-    return B.preview(built(s, d)[1], 3)
+    found, blocks = built(s, d)
+    return B.ebook_preview(A.books(s, d), found, blocks)
 
 
 @query
@@ -353,7 +355,7 @@ def epub_ncx(s, d):
 
 @query
 def epub_opf(s, d):
-    return E.package(E.documents(A.books(s, d), chapters(s, d)), E.defaults(A.books(s, d)), cover="png")
+    return E.package(E.documents(A.books(s, d), chapters(s, d)), E.defaults(A.books(s, d)))
 
 
 @query
@@ -369,6 +371,27 @@ def docx_layout(s, d):
     return p.select("book_id", "seq", "role", "align", "page_break_before", T.run_text(F.col("runs")).alias("text"))
 
 
+@query
+def docx_runs(s, d):
+    b = built(s, d)[1].where("kind = 'paragraph'")
+    return b.select("book_id", "chapter_no", "block_no", D.runs_xml(F.col("runs")).alias("slanted"), D.runs_xml(F.col("runs"), underline_italics=True).alias("underlined"))
+
+
+@query
+def patched_books(s, d):
+    b = A.books(s, d)
+    change = lambda test, field, value: F.when(F.expr(test), F.struct(F.lit(field).alias("field"), F.expr(value).alias("value")))
+    made = F.array(change("book_id % 3 = 1", "title", "'New ' || book_id"), change("book_id % 2 = 0", "email", "''"), change("book_id % 5 = 0", "phone", "'555-0' || book_id"), change("book_id % 7 = 0", "author", "''"))
+    changes = b.select("book_id", F.explode(F.filter(made, lambda c: c.isNotNull())).alias("c")).select("book_id", "c.*")
+    return B.patch(b, changes).select("book_id", "title", "author", "email", "phone", "address")
+
+
+@query
+def centered_class(s, d):
+    h = A.html(s, d).withColumn("html", F.expr("""replace(html, '<p><b>', '<p class="lead is-centered"><b>')"""))
+    return H.tags(H.tokens(h)).where("is_center and not closing").select("book_id", "tok_no")
+
+
 @query
 def contact_block(s, d):
     return D.contact_lines(A.books(s, d)).select("book_id", F.array_join("lines", "|").alias("lines"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.sources.markdown import RUNS, merge, trim
+from quire.plans.batches import parts
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -68,7 +69,7 @@ def parse_docx(files: DataFrame) -> DataFrame:
     para = pa.struct([("heading", pa.int32()), ("centered", pa.bool_()), ("runs", pa.list_(pa.struct([("text", pa.string()), ("italic", pa.bool_()), ("bold", pa.bool_())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = []
             for data in batch.column("content").to_pylist():
                 try:

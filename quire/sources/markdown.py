@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from quire.plans.batches import parts
 
 RUNS = "array<struct<text:string,italic:boolean,bold:boolean>>"
 ITEM = f"struct<item_no:int,kind:string,depth:int,text:string,runs:{RUNS}>"
@@ -417,7 +418,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     item = pa.struct([("item_no", pa.int32()), ("kind", pa.string()), ("depth", pa.int32()), ("text", pa.string()), ("runs", pa.list_(pa.struct([("text", pa.string()), ("italic", pa.bool_()), ("bold", pa.bool_())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = [parse(c or "") for c in batch.column("content").to_pylist()]
             cols = [batch.column("book_id"), batch.column("file_ord"), batch.column("file_name"), pa.array([list(m.items()) for m, _ in found], pa.map_(pa.string(), pa.string())), pa.array([i for _, i in found], pa.list_(item))]
             yield pa.RecordBatch.from_arrays(cols, names=["book_id", "file_ord", "file_name", "meta", "items"])

@@ -215,7 +215,7 @@ def test_epub(spark):
 def test_cover(spark):
     _, found, blocks = book_of(spark, SAMPLE)
     covers = spark.createDataFrame([(1, bytearray(b"png bytes"), "image/png")], "book_id long, image binary, mime string")
-    data = E.pack(E.entries(meta(spark), found, blocks, cover="png"), covers).first().data
+    data = E.pack(E.entries(E.with_covers(meta(spark), covers), found, blocks), covers).first().data
     with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
         assert z.read("OEBPS/images/cover.png") == b"png bytes" and "cover.png" in z.read("OEBPS/text/cover.xhtml").decode()
         assert 'properties="cover-image"' in z.read("OEBPS/package.opf").decode() and ">Cover</a>" in z.read("OEBPS/nav.xhtml").decode()
