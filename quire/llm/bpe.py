@@ -37,11 +37,12 @@ from quire.llm._common import map_batches, slices, texts_of
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-BATCH = 2 << 20  # bytes of text that are encoded together
+BATCH = 4 << 20  # bytes of text that are encoded together
 
 _SPACES = re.compile(f"[{SPACE}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _MARKS = ".,;:!?%&$*#|"
+_NEWER = "\U0002ebf0"  # from here on this Python knows letters that the library may not (see `unassigned`)
 
 
 @lru_cache(maxsize=1)
@@ -177,23 +178,23 @@ class LibraryMerges:
         return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-class Cache(dict):
-    """Two generations: entries that were used since the last turn stay."""
+class Cache:
+    """Two generations of plain dicts: entries that were used since the last turn stay."""
 
     def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit, {}
+        self.limit, self.new, self.old = limit, {}, {}
 
-    def recall(self, key):
-        value = self.old.get(key)
-        if value is not None:
-            self[key] = value
-        return value
+    def missing(self, keys: set) -> set:
+        """Those of the keys that neither generation has; others are brought into the new one."""
+        keys = keys.difference(self.new)
+        old = self.old
+        known = [k for k in keys if k in old]
+        self.new.update(zip(known, map(old.__getitem__, known), strict=True))
+        return keys.difference(known)
 
     def turn(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
 
 
 class Encoder:
@@ -202,7 +203,7 @@ class Encoder:
     cache_words: entries of each of two cache generations, which bounds memory, not results. One
     cache holds words and the pieces they are cut into: a piece by itself is a word of one piece."""
 
-    def __init__(self, path: str, engine: str = "rounds", cache_words: int = 200_000):
+    def __init__(self, path: str, engine: str = "rounds", cache_words: int = 400_000):
         self.vocab = Vocabulary(path)
         self.merge = MergeRounds(self.vocab) if engine == "rounds" else LibraryMerges(self.vocab)
         self.library = None
@@ -222,11 +223,11 @@ class Encoder:
         return text.split()
 
     def pieces(self, word: str) -> list[str]:
+        core = word if word.isalpha() else word.rstrip(_MARKS)
+        if core.isalpha() and (core.isascii() or max(core) < _NEWER):
+            return [core, word[len(core) :]] if len(core) < len(word) else [core]
         if not word.isascii() and unassigned().search(word):
             return self.library_pieces(word)
-        core = word.rstrip(_MARKS)
-        if core.isalpha():
-            return [core, word[len(core) :]] if len(core) < len(word) else [core]
         return PRE_TOKEN.findall(word)
 
     def library_pieces(self, word: str) -> list[str]:
@@ -242,27 +243,26 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         """Fills the cache for words that it hasn't."""
         cut = {w: self.pieces(w) for w in words}
-        known, recall = self.words, self.words.recall
-        new = list({p for ps in cut.values() for p in ps if p not in known and recall(p) is None})
+        new = list(self.words.missing({p for ps in cut.values() for p in ps}))
+        known = self.words.new
         known.update(zip(new, self.merge(new), strict=True))
         known.update((w, b"".join([known[p] for p in ps])) for w, ps in cut.items() if len(ps) != 1 or ps[0] != w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = []
         segments: list[list] = []
+        seen: set[str] = set()
         for t in texts:
             if self.special and "<|" in t and (found := self.special.split(t))[1:]:
                 row = [s if i % 2 else self.split(s) for i, s in enumerate(found)]
             else:
                 row = [self.split(t)]
             segments.append(row)
-        words, recall = self.words, self.words.recall
-        unseen: set[str] = set()
-        for row in segments:
             for seg in row:
                 if not isinstance(seg, str):
-                    unseen.update([w for w in seg if w not in words])
-        self.learn({w for w in unseen if recall(w) is None})
+                    seen.update(seg)
+        self.learn(self.words.missing(seen))
+        words = self.words.new
         for row in segments:
             out.append(b"".join([self.vocab.special[seg].to_bytes(4, "little") if isinstance(seg, str) else b"".join([words[w] for w in seg]) for seg in row]))
         self.words.turn()
@@ -275,7 +275,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, engine: str, cache_words: int = 200_000) -> Encoder:
+def encoder(path: str, engine: str, cache_words: int = 400_000) -> Encoder:
     """One for each Python worker, so that its cache serves all tasks of the worker."""
     return Encoder(path, engine, cache_words)
 

@@ -31,7 +31,7 @@ from quire.llm.bpe import BATCH, encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, engine: str = "library", cache_words: int = 200_000) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, engine: str = "library", cache_words: int = 400_000) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ def ranked(pieces: DataFrame) -> DataFrame:
     return salted.withColumn("rank", F.row_number().over(within) - 1).join(sizes, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("shift")).drop("shift", "salt")
 
 
-def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, engine: str = "library", cache_words: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 4096, engine: str = "library", cache_words: int = 400_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece. cache_words bounds
     the encoder's memory, which a worker keeps for later tasks, not results."""
     spark = docs.sparkSession
