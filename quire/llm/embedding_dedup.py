@@ -1,12 +1,14 @@
 """Near-duplicates among embeddings: cross-polytope hashing after fast Hadamard rotations.
 
-Equal vectors are one class from the start, with their count. Each class is hashed in several
-tables: a vector is rotated at random (sign flips and Hadamard transforms, three times), and its
-hash is the axis it lies closest to; a table joins two such hashes. Besides its own bucket a
-vector probes those it was closest to falling into. In a bucket all pairs are verified in double
+Equal vectors (by a hash of 128 bits) are one class from the start, with their count. Each class
+is hashed in several tables: a vector is rotated at random (sign flips and Hadamard transforms,
+three times), and its hash is the axis it lies closest to; a table joins three such hashes. Besides
+its own bucket a vector probes those it was closest to falling into. Ids meet in buckets first, and
+vectors are sent only to buckets where they meet another. There all pairs are verified in double
 precision. A pair that meets in several buckets counts in the first of them only, which both
 vectors' codes tell, so buckets give counts and the links of a spanning forest, never pairs. A
-bucket of a great part of all rows is split into cells.
+bucket of a great part of all rows is split into cells. A class goes by its smallest id, which is
+then the name of its component, so nothing is grouped by component.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing (n_links 0, component_id their own id); vectors of unlike lengths don't link; equal
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm._common import cut_lineage, map_batches
-from quire.llm.components import Forest, connected_components, group_runs, in_cells
+from quire.llm.components import Forest, connected_components, group_runs, named_nodes
 
 
 def rotated(x: np.ndarray, rotations: int, seed: int) -> np.ndarray:
@@ -45,9 +47,10 @@ def rotated(x: np.ndarray, rotations: int, seed: int) -> np.ndarray:
     return y
 
 
-def codes(x: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
-    """(rows, tables, 1 + probes): a table's own bucket first, then the likeliest others."""
-    y = rotated(x, 2 * tables, seed)
+def codes(x: np.ndarray, tables: int, axes: int, probes: int, seed: int) -> np.ndarray:
+    """(rows, tables, 1 + probes): a table's own bucket first, then the likeliest others. Where a
+    code could pass 31 bits its remainder stands for it, which may join buckets but parts none."""
+    y = rotated(x, axes * tables, seed)
     n, _, width = y.shape
     take = min(4, 2 * width)
     both = np.concatenate([y, -y], axis=2)
@@ -55,44 +58,37 @@ def codes(x: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
     value = np.take_along_axis(both, axis, 2)
     order = np.argsort(-value, axis=2, kind="stable")
     axis, value = np.take_along_axis(axis, order, 2), np.take_along_axis(value, order, 2)
-    loss = (value[:, :, :1] - value) ** 2
-    axis, loss = axis.reshape(n, tables, 2, take), loss.reshape(n, tables, 2, take)
-    total = (loss[:, :, 0, :, None] + loss[:, :, 1, None, :]).reshape(n, tables, -1)
-    code = (axis[:, :, 0, :, None].astype(np.int64) * 2 * width + axis[:, :, 1, None, :]).reshape(n, tables, -1)
+    axis, loss = axis.reshape(n, tables, axes, take).astype(np.int64), ((value[:, :, :1] - value) ** 2).reshape(n, tables, axes, take)
+    total, code = loss[:, :, 0], axis[:, :, 0]
+    for k in range(1, axes):
+        total = (total[..., :, None] + loss[:, :, k, None, :]).reshape(n, tables, -1)
+        code = (code[..., :, None] * 2 * width + axis[:, :, k, None, :]).reshape(n, tables, -1)
     best = np.argsort(total, axis=2, kind="stable")[:, :, : 1 + probes]
-    return np.take_along_axis(code, best, 2).astype(np.int32)
+    return (np.take_along_axis(code, best, 2) % 0x7FFFFFFF).astype(np.int32)
 
 
-def hashed(batches: Iterator[pa.RecordBatch], tables: int, probes: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """A row for each class, table and bucket: d, bucket, code, probe, cid, n, vector, codes."""
+def unit(flat: np.ndarray, d: int) -> np.ndarray:
+    """Rows of d components in double precision, of length one."""
+    x = flat.astype(np.float64).reshape(-1, d)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow of squares
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def hashed(batches: Iterator[pa.RecordBatch], tables: int, axes: int, probes: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """rep, n, h1, h2, d, vector (the components' bytes) and codes of each class."""
     for whole in batches:
-        for lo in range(0, whole.num_rows, 1000):
-            batch = whole.slice(lo, 1000)
-            sizes = batch.column("d").to_numpy()
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        for lo in range(0, whole.num_rows, 500):
+            batch = whole.slice(lo, 500)
+            lists = batch.column("embedding")
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
             starts = np.cumsum(sizes) - sizes
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
                 x = flat[starts[at][:, None] + np.arange(d)]
-                x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow of squares
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                c = codes(x.astype(np.float32), tables, probes, seed)
-                raw, own = [r.tobytes() for r in x], [r.tobytes() for r in c]
-                cid, n = batch.column("cid").to_numpy()[at], batch.column("n").to_numpy()[at]
-                m = tables * (1 + probes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(at) * m, d, np.int32)),
-                        pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + probes), len(at))),
-                        pa.array(c.ravel()),
-                        pa.array(np.tile(np.arange(1 + probes, dtype=np.int32), tables * len(at))),
-                        pa.array(np.repeat(cid, m)),
-                        pa.array(np.repeat(n, m)),
-                        pa.array([r for r in raw for _ in range(m)], pa.binary()),
-                        pa.array([r for r in own for _ in range(m)], pa.binary()),
-                    ],
-                    names=["d", "bucket", "code", "probe", "cid", "n", "vector", "codes"],
-                )
+                c = codes(unit(x, d).astype(np.float32), tables, axes, probes, seed)
+                some = batch.take(pa.array(at))
+                cols = [*(some.column(k) for k in ("rep", "n", "h1", "h2")), pa.array(np.full(len(at), d, np.int32)), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(c.reshape(len(at), -1)), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["rep", "n", "h1", "h2", "d", "vector", "codes"])
 
 
 def first_met(cx: np.ndarray, cy: np.ndarray, x_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,12 +105,12 @@ def first_met(cx: np.ndarray, cy: np.ndarray, x_first: np.ndarray) -> tuple[np.n
     return table, np.where(own | ~at_y, hx, hy)
 
 
-def verified(tables: int, probes: int, least: float, block: int = 1024):
+def verified(tables: int, probes: int, least: float, kind: type, block: int = 1024):
     """From buckets: rows a, b, w - with b null w more links of class a, else a link a-b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, first in group_runs(batches, ["d", "bucket", "code", "cell_i", "cell_j"], limit=1 << 17):
-            cid, n, probe, bucket, code, part = (table.column(c).to_numpy() for c in ("cid", "n", "probe", "bucket", "code", "part"))
+            cid, n, probe, bucket, code, part = (table.column(c).to_numpy() for c in ("rep", "n", "probe", "bucket", "code", "part"))
             cut = table.column("cell_i").to_numpy() != table.column("cell_j").to_numpy()
             ends = np.r_[first[1:], len(cid)]
             counts: list = []
@@ -123,8 +119,8 @@ def verified(tables: int, probes: int, least: float, block: int = 1024):
                 if e - s < 2 or not (probe[s:e] == 0).any():
                     continue
                 m = e - s
-                v = np.frombuffer(b"".join(table.column("vector").slice(s, m).to_pylist()), np.float64).reshape(m, -1)
-                c = np.frombuffer(b"".join(table.column("codes").slice(s, m).to_pylist()), np.int32).reshape(m, tables, 1 + probes)
+                v = unit(np.frombuffer(b"".join(table.column("vector").slice(s, m).to_pylist()), kind), table.column("d")[s].as_py())
+                c = table.column("codes").slice(s, m).combine_chunks().flatten().to_numpy().reshape(m, tables, 1 + probes)
                 base = np.flatnonzero(probe[s:e] == 0)
                 gain, forest = np.zeros(m, np.int64), Forest(m)
                 for i in range(0, m, block):
@@ -155,28 +151,38 @@ def verified(tables: int, probes: int, least: float, block: int = 1024):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, tables: int = 8, probes: int = 3, seed: int = 7, split_over: int = 20_000) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row. tables and probes set the recall."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+def near_duplicates(vectors: DataFrame, least: float = 0.9, tables: int = 12, axes: int = 3, probes: int = 2, seed: int = 7, split_over: int = 20_000) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row. tables, axes and probes set the recall."""
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    real = "float" if single else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{real}>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     ok = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = rows.select("vec_id", F.when(ok, F.col("embedding")).alias("embedding"))
-    classes = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("d", F.size("embedding")))
+    plain = F.transform("embedding", lambda x: x + F.lit(0.0).cast(real))  # one zero only
+    keyed = rows.where(ok).withColumn("embedding", plain).withColumns({f"h{k}": F.xxhash64(F.lit(k), "embedding") for k in (1, 2)})
+    classes = keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+    classes, top = named_nodes(cut_lineage(classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return hashed(batches, tables, probes, seed)
+        return hashed(batches, tables, axes, probes, seed)
 
-    cols = "d int, bucket int, code int, probe int, cid long, n long, vector binary, codes binary"
+    classes = cut_lineage(map_batches(classes.select("rep", "n", "h1", "h2", "embedding"), run, "rep long, n long, h1 long, h2 long, d int, vector binary, codes array<int>"))
     keys = ["d", "bucket", "code"]
-    cells = in_cells(map_batches(classes.select("embedding", "d", "cid", "n"), run, cols), keys, "cid", split_over)
+    met = classes.select("rep", "d", F.posexplode("codes").alias("at", "code"))
+    met = met.select("rep", "d", F.expr(f"at div {1 + probes}").cast("int").alias("bucket"), (F.col("at") % (1 + probes)).alias("probe"), "code")
+    # buckets of one class, or of probes only, are left before any vector is sent
+    busy = met.groupBy(*keys).agg(F.count("*").alias("size"), F.min("probe").alias("least")).where("size > 1 and least = 0").drop("least")
+    parts = F.greatest(F.ceil(F.col("size") / split_over), F.lit(1)).cast("int")
+    cells = met.join(busy, keys).join(classes.select("rep", "n", "vector", "codes"), "rep")
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cells = cells.withColumn("cell_i", F.least("part", "other")).withColumn("cell_j", F.greatest("part", "other")).drop("size", "other")
     keys += ["cell_i", "cell_j"]
     dealt = cells.repartition(*keys).sortWithinPartitions(*keys)
-    found = cut_lineage(map_batches(dealt, verified(tables, probes, least), "a long, b long, w long"))
-    links = found.where("b is null").groupBy("a").agg(F.sum("w").alias("more")).withColumnRenamed("a", "cid")
-    roots = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
-    all_ = classes.join(links, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least_id = all_.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = all_.join(least_id, "root").select("embedding", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = rows.join(named, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("embedding").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    found = cut_lineage(map_batches(dealt, verified(tables, probes, least, np.float32 if single else np.float64), "a long, b long, w long"))
+    links = found.where("b is null").groupBy("a").agg(F.sum("w").alias("more")).withColumnRenamed("a", "rep")
+    roots = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
+    named = classes.select("rep", "n", "h1", "h2").join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = named.select("h1", "h2", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.when(F.col("root") <= top, F.col("root")).alias("component_id"))
+    out = keyed.select("vec_id", "h1", "h2").join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
