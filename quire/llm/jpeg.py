@@ -6,6 +6,10 @@ transforms it back, and upsamples chroma to full resolution. Parts of a scan in
 one bit repeats, and refinements of whole runs of blocks, are read by array operations; all else
 bit by bit. Both ways give the same coefficients.
 
+Components are taken as Y, Cb and Cr: files in other colour spaces (CMYK, or RGB by an application
+marker) give values but not their colours. A header that claims more blocks than the file has bits
+is an error, found before memory is taken for them.
+
 The writer puts 192 bytes into one 8x8 place of three components. A block's first byte is its DC
 coefficient (0 to 255); each other byte is the magnitude code of a coefficient of eight bits, so
 values of 128 and more stand for themselves and smaller ones for themselves less 255.
@@ -181,6 +185,8 @@ class Reader:
             c.first, c.wide, c.tall = first, self.across * c.h, self.down * c.v
             c.used_wide, c.used_tall = -(-width * c.h // (8 * hm)), -(-height * c.v // (8 * vm))
             first += c.wide * c.tall
+        if first > 8 * len(self.data):  # each block takes a bit of the first scan at least
+            raise ValueError("more blocks than the file can hold")
         im.coef = np.zeros((first, 64), np.int32)
 
     def huffman_tables(self, body: bytes) -> None:

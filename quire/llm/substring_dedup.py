@@ -5,7 +5,7 @@ A text is cut into sentences, and every run of `run` consecutive sentences - mor
 it (smallest doc_id, then the earliest run). Runs at other places that follow each other as those
 of their owner do are one match. Matches are verified: the owner's words come to the document and
 are compared one by one, inwards for equality and outwards as far as they agree, since a passage
-may begin and end in mid-sentence. Verified stretches that overlap are one, and those of at least
+may begin and end in mid-sentence; outwards they are compared for a run and a sentence more. Verified stretches that overlap are one, and those of at least
 `passage` words are removed; shorter ones, such as licence lines and stock phrases, stay. All else
 of a text stays as it is, character by character.
 
@@ -119,7 +119,9 @@ def matches(docs: DataFrame, run: int, min_words: int) -> DataFrame:
 def owners_words(docs: DataFrame, found: DataFrame, run: int, min_words: int) -> DataFrame:
     """owner, owner_lo, owner_hi, words, lead for each stretch that is asked for: the owner's words
     with a run and a sentence more on each side, lead of which lie before it. What agrees beyond
-    the stretch is shorter than that, or it would be part of it."""
+    the stretch is shorter than that, or its runs are matches too: of this stretch, or of another
+    owner's, since each run has the first place that has it as its owner. In the latter case a few
+    words beyond the other owner's stretch may stay."""
     asked = found.groupBy("owner").agg(F.collect_set(F.struct("owner_lo", "owner_hi")).alias("asked")).withColumnRenamed("owner", "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -344,8 +344,9 @@ def test_progressive_420_with_runs():
 def test_rgb_tensors(spark, docs):
     rows = media.rgb_tensors(media.text_images(docs)).collect()
     assert all(len(r.rgb) == 3 * r.height * r.width for r in rows)
-    bad = spark.createDataFrame([(1, None), (2, bytearray(b"no jpeg"))], "doc_id long, jpeg binary")
-    assert [r.rgb for r in media.rgb_tensors(bad).collect()] == [None, None]
+    claims = b"\xff\xd8" + jpeg.segment(0xC2, struct.pack(">BHHB", 8, 65_535, 65_535, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    bad = spark.createDataFrame([(1, None), (2, bytearray(b"no jpeg")), (3, bytearray(claims))], "doc_id long, jpeg binary")
+    assert [r.rgb for r in media.rgb_tensors(bad).collect()] == [None, None, None]
 
 
 def test_substrings(spark):
@@ -361,7 +362,8 @@ def test_substrings(spark):
 
 
 def slow_dedup(rows, run=2, least=8, passage=30):
-    """Compares the words of all runs of sentences with those of all earlier places."""
+    """Compares the words of all runs of sentences with those of all earlier places, and outwards
+    for a run and a sentence more of the earlier place."""
     texts = {}
     for i, t in rows.items():
         words = [(m.start(), m[0]) for m in re.finditer(r"\S+", t)]
@@ -380,13 +382,17 @@ def slow_dedup(rows, run=2, least=8, passage=30):
             # sentence ends are part of what is compared
             key = tuple(w[at[a] : at[b]]), tuple(x - at[a] for x in at[a : b + 1])
             if key not in first:
-                first[key] = i, at[a]
-            elif first[key] != (i, at[a]):
-                j, p = first[key]
-                v, lo, hi, end = [x for _, x in texts[j][0]], at[a], at[b], p + at[b] - at[a]
-                while lo and p and w[lo - 1] == v[p - 1]:
+                first[key] = i, a
+            elif first[key] != (i, a):
+                j, c = first[key]
+                v, own, lo, hi = [x for _, x in texts[j][0]], texts[j][1], at[a], at[b]
+                p, d = own[c], c + b - a
+                end = own[d]
+                low = max(min(c - run, max((k for k in range(c) if own[k] <= p - least), default=-1)) - 1, 0)
+                high = min(max(d + run, min((k for k in range(d, len(own)) if own[k] >= end + least), default=len(own))) + 1, len(own) - 1)
+                while lo and p > own[low] and w[lo - 1] == v[p - 1]:
                     lo, p = lo - 1, p - 1
-                while hi < len(w) and end < len(v) and w[hi] == v[end]:
+                while hi < len(w) and end < own[high] and w[hi] == v[end]:
                     hi, end = hi + 1, end + 1
                 hits.append((lo, hi))
         joined = []
