@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: White space, and lines that mean a break between scenes.
 WS = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+WS_CHARACTERS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 SCENE_BREAK = rf"\A[{WS}]*(?:#|\*[{WS}]*\*[{WS}]*\*|~+|·+)[{WS}]*\z"
 
 #: Words that count in chapter lines.
@@ -30,12 +31,17 @@ def chapter_pattern() -> str:
 
 
 def trim(s: Column) -> Column:
-    return F.regexp_replace(s, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(s, F.lit(WS_CHARACTERS))
 
 
 def utf16_length(s: Column) -> Column:
     """Code units: letters beyond the basic plane count twice."""
-    return F.length(s) + F.length(F.regexp_replace(s, "[^\\x{10000}-\\x{10FFFF}]", ""))
+    return F.length(s) + F.length(F.regexp_replace(s, "[^\\x{10000}-\\x{10FFFF}]+", ""))
+
+
+def at_most(s: Column, n: int) -> Column:
+    """Is utf16_length at most n? Letters are counted first, which decides long texts without a pattern."""
+    return (F.length(s) <= n) & (utf16_length(s) <= n)
 
 
 def first_of(*cols: Column) -> Column:
@@ -69,7 +75,7 @@ def leading_weight(line: Column) -> Column:
 
 
 def is_title_shaped(s: Column) -> Column:
-    return (utf16_length(s) > 0) & (utf16_length(s) <= 60) & s.rlike(r"[\p{L}\p{N}]") & ~is_scene_break(s)
+    return (s != "") & at_most(s, 60) & s.rlike(r"[\p{L}\p{N}]") & ~is_scene_break(s)
 
 
 def is_centered_shaped(line: Column) -> Column:
@@ -78,7 +84,7 @@ def is_centered_shaped(line: Column) -> Column:
 
 def is_chapter_line(s: Column) -> Column:
     t = F.regexp_replace(trim(s), rf"[{WS}.!?:]+\z", "")
-    return (utf16_length(t) <= 48) & t.rlike(chapter_pattern())
+    return at_most(t, 48) & t.rlike(chapter_pattern())
 
 
 def atx_depth(line: Column) -> Column:
@@ -88,7 +94,7 @@ def atx_depth(line: Column) -> Column:
 
 
 def clip(s: Column) -> Column:
-    return F.when(utf16_length(s) > 140, F.concat(F.substring(s, 1, 139), F.lit("…"))).otherwise(s)
+    return F.when(~at_most(s, 140), F.concat(F.substring(s, 1, 139), F.lit("…"))).otherwise(s)
 
 
 def neutralize_tildes(s: Column) -> Column:

@@ -28,19 +28,16 @@ def plausible(rows: DataFrame, found: Column, population: Column, keys: list[str
 
 def centered_lines(rows: DataFrame, check: bool = True) -> DataFrame:
     """book_id, file_ord, idx, text, before, after: lines that stand alone and look centered, with the
-    nearest text on both sides. check: drop all of a file if they are implausibly many."""
+    nearest text on both sides. check: drop all of a file if they are implausibly many. Only lines
+    with text are sorted: their neighbours are the nearest text, and gaps in their numbers are the
+    empty lines."""
     w = Window.partitionBy(*KEYS).orderBy("line_no")
-    t = rows.withColumn("text", T.trim(F.col("line")))
-    filled = F.nullif(F.col("text"), F.lit(""))
-    t = (
-        t.withColumn("prev", F.coalesce(F.lag("text").over(w), F.lit("")))
-        .withColumn("next", F.coalesce(F.lead("text").over(w), F.lit("")))
-        .withColumn("before", T.clip(F.last(filled, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
-        .withColumn("after", T.clip(F.first(filled, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))))
-    )
-    found = T.is_centered_shaped(F.col("line")) & (F.col("prev") == "") & (F.col("next") == "")
-    t = plausible(t, found, F.col("text") != "", KEYS) if check else t.where(found)
-    return t.select(*KEYS, F.col("line_no").alias("idx"), "text", "before", "after")
+    t = rows.withColumn("text", T.trim(F.col("line"))).where("text <> ''")
+    t = t.withColumns({"before": F.lag("text").over(w), "after": F.lead("text").over(w), "_prev": F.lag("line_no").over(w), "_next": F.lead("line_no").over(w)})
+    alone = F.coalesce(F.col("line_no") - F.col("_prev") > 1, F.lit(True)) & F.coalesce(F.col("_next") - F.col("line_no") > 1, F.lit(True))
+    found = alone & T.is_centered_shaped(F.col("line"))
+    t = plausible(t, found, F.lit(True), KEYS) if check else t.where(found)
+    return t.select(*KEYS, F.col("line_no").alias("idx"), "text", T.clip(F.col("before")).alias("before"), T.clip(F.col("after")).alias("after"))
 
 
 def centered_paragraphs(paras: DataFrame) -> DataFrame:
@@ -96,11 +93,29 @@ def opens_with_heading(rows: DataFrame) -> DataFrame:
     return t.groupBy(*KEYS).agg(F.coalesce(F.min_by(T.atx_depth(F.col("line")).isNotNull(), F.when(content, F.col("line_no"))), F.lit(False)).alias("opens"))
 
 
-def apply_decisions(rows: DataFrame, decisions: DataFrame, depths: DataFrame) -> DataFrame:
-    """book_id, file_ord, content: confirmed lines become headings, declined ones lose their indent."""
-    t = rows.join(decisions.select(*KEYS, F.col("idx").alias("line_no"), "is_title"), [*KEYS, "line_no"], "left").join(depths, KEYS)
-    text = T.trim(F.col("line"))
-    new = F.when(F.col("is_title").isNull() | (text == ""), F.col("line")).when(F.col("is_title"), F.concat(F.repeat(F.lit("#"), F.col("depth")), F.lit(" "), text)).otherwise(text)
-    rows = t.select(*KEYS, "line_no", new.alias("line"))
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return rows.groupBy(*KEYS).agg(F.array_join(ordered["line"], "\n").alias("content"))
+def apply_decisions(files: DataFrame, decisions: DataFrame, depths: DataFrame) -> DataFrame:
+    """files (book_id, file_ord, content, ...) with new content: confirmed lines become headings,
+    declined ones lose their indent. decisions: book_id, file_ord, idx, is_title; null answers change
+    nothing, and of two answers for one line the confirming one holds. Only the answers are grouped;
+    a file stays one row, and its lines between two answers are copied in one piece."""
+    sorted_answers = F.array_sort(F.collect_set(F.struct(F.col("idx").cast("int").alias("no"), F.col("is_title").alias("yes"))))
+    answers = decisions.where("is_title is not null").groupBy(*KEYS).agg(sorted_answers.alias("_answers"))
+    last_of_line = lambda a: F.filter(a, lambda x, i: ~F.coalesce(F.get(a, i + 1)["no"] == x["no"], F.lit(False)))
+
+    def joined(lines: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(F.col("_answers"), i)["no"] + 1, F.lit(0))
+
+        def piece(a: Column, i: Column) -> Column:
+            text = T.trim(F.get(lines, a["no"]))
+            new = F.when(text == "", F.get(lines, a["no"])).when(a["yes"], F.concat(F.repeat(F.lit("#"), F.col("depth")), F.lit(" "), text)).otherwise(text)
+            return F.array_join(F.concat(F.slice(lines, after(i - 1) + 1, a["no"] - after(i - 1)), F.array(new)), "\n")
+
+        start = after(F.size("_answers") - 1)
+        rest = F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0)))
+        pieces = F.transform("_answers", piece)
+        return F.array_join(F.when(F.size(rest) > 0, F.concat(pieces, F.array(F.array_join(rest, "\n")))).otherwise(pieces), "\n")
+
+    t = files.join(answers.withColumn("_answers", last_of_line(F.col("_answers"))), KEYS, "left").join(depths, KEYS)
+    # one bound variable, so that the text is split once
+    new = F.element_at(F.transform(F.array(F.split("content", "\n")), joined), 1)
+    return t.withColumn("content", F.when(F.col("_answers").isNull(), F.col("content")).otherwise(new)).drop("_answers", "depth")

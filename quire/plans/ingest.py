@@ -45,7 +45,7 @@ def ingest_text(files: DataFrame, decisions: DataFrame | None = None) -> Ingeste
     if decisions is not None:
         answers = L.answered(found, decisions).where("is_title is not null").select("book_id", "file_ord", "idx", "is_title")
         depths = L.promotion_depth(L.headings(rows).withColumnRenamed("line_no", "ord"), L.opens_with_heading(rows))
-        ok = L.apply_decisions(rows, answers, depths).join(ok.drop("content"), ["book_id", "file_ord"])
+        ok = L.apply_decisions(ok, answers, depths)
     parsed = parse_files(ok).persist()
     items = outline(parsed)
     n_files = ok.groupBy("book_id").agg(F.count("*").alias("n_files"), F.min_by("file_name", "file_ord").alias("file_name"))

@@ -149,7 +149,7 @@ def bulk_decisions(s, d):
 @query
 def apply_decisions_text(s, d):
     found, answers = decisions(s, d)
-    return L.apply_decisions(L.lines(A.files(s, d)), L.answered(found, answers), depths(s, d)).drop("file_ord")
+    return L.apply_decisions(A.files(s, d), L.answered(found, answers), depths(s, d)).drop("file_ord", "file_name")
 
 
 @query

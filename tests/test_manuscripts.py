@@ -99,10 +99,29 @@ def test_centered_lines(spark):
     assert listed(found, "idx", "text", "before", "after") == [(0, "One", None, "Text of it."), (4, "Two", "Text of it.", "only one tab")]
     answers = spark.createDataFrame([(1, 0, 0, True), (1, 0, 4, False)], "book_id long, file_ord int, idx int, is_title boolean")
     depths = spark.createDataFrame([(1, 0, 2)], "book_id long, file_ord int, depth int")
-    text = L.apply_decisions(rows, answers, depths).first().content
+    text = L.apply_decisions(files, answers, depths).first().content
     assert text.split("\n")[0] == "## One" and text.split("\n")[4] == "Two" and text.split("\n")[6] == "\tonly one tab"
 
 
+@pytest.mark.parametrize(
+    ("text", "answers", "want"),
+    [
+        ("", [], ""),
+        ("\ta\n\n\tb", [], "\ta\n\n\tb"),
+        ("\ta\n\n\tb", [(0, True)], "# a\n\n\tb"),
+        ("\ta\n\n\tb", [(2, True), (0, None)], "\ta\n\n# b"),
+        ("\ta\n\n\tb\n", [(2, False), (0, True)], "# a\n\nb\n"),
+        ("\ta\nx\n\tb\ny", [(0, False), (2, True), (2, False), (0, False)], "a\nx\n# b\ny"),
+        ("\n\n", [(1, True)], "\n\n"),
+    ],
+)
+def test_apply_decisions(spark, text, answers, want):
+    files, _ = lines_of(spark, text)
+    given = spark.createDataFrame([(1, 0, *a) for a in answers], "book_id long, file_ord int, idx int, is_title boolean")
+    depths = spark.createDataFrame([(1, 0, 1)], "book_id long, file_ord int, depth int")
+    assert L.apply_decisions(files, given, depths).first().content == want
+
+
 @pytest.mark.parametrize(("n", "plain", "kept"), [(20, 0, 20), (21, 0, 0), (21, 84, 21), (21, 83, 0)])
 def test_plausible(spark, n, plain, kept):
     _, rows = lines_of(spark, "\n\n".join(["        t"] * n + ["p"] * plain))
