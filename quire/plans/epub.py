@@ -161,57 +161,78 @@ def defaults(books: DataFrame) -> DataFrame:
     )
 
 
-def nav(docs: DataFrame, shown: DataFrame) -> DataFrame:
-    """book_id, content of the navigation document. shown: what `defaults` gives."""
-    language = F.col("b_language")
-    link = cat('<a href="text/', F.col("id"), '.xhtml">', T.escape_xml(F.col("title")), "</a>")
+def point(id_: Column | str, order: Column | str, title: Column | str) -> Column:
+    return cat('    <navPoint id="', id_, '" playOrder="', order, '">\n      <navLabel><text>', title, '</text></navLabel>\n      <content src="text/', id_, '.xhtml"/>\n    </navPoint>')
+
+
+def item(id_: Column | str, href: Column | str, kind: str, more: str = "") -> Column:
+    return cat('    <item id="', id_, '" href="', href, f'" media-type="{kind}"{more}/>')
+
+
+def listings(docs: DataFrame) -> DataFrame:
+    """book_id and, of each book's documents in order, one text each: items (of the contents), points
+    (of the flat table), manifest and spine. All come from one grouping by entries of the contents and
+    one by books, which the order by book before them already deals out."""
+    name, nested = F.col("id"), F.col("nested")
+    link = cat('<a href="text/', name, '.xhtml">', T.escape_xml(F.col("title")), "</a>")
+    lines = {
+        "points": point(name, (F.col("ord") + 2).cast("string"), T.escape_xml(F.col("title"))),
+        "manifest": item(name, cat("text/", name, ".xhtml"), "application/xhtml+xml"),
+        "spine": cat('    <itemref idref="', name, '"/>'),
+    }
     w = Window.partitionBy("book_id").orderBy("ord")
-    d = docs.withColumn("link", link).withColumn("entry", F.sum((~F.col("nested")).cast("int")).over(w))
-    e = d.groupBy("book_id", "entry").agg(F.max(F.when(~F.col("nested"), F.col("link"))).alias("top"), _joined(F.col("ord"), F.when(F.col("nested"), cat("        <li>", F.col("link"), "</li>"))).alias("below"), F.count_if("nested").alias("n"))
-    item = F.when(F.col("n") > 0, cat("    <li>", F.col("top"), "\n      <ol>\n", F.col("below"), "\n      </ol>\n    </li>")).otherwise(cat("    <li>", F.col("top"), "</li>"))
-    first = cat(if_cover('    <li><a href="text/cover.xhtml">Cover</a></li>\n'), '    <li><a href="text/titlepage.xhtml">Title Page</a></li>')
-    body = e.groupBy("book_id").agg(_joined(F.col("entry"), item).alias("items"))
-    text = cat(head(language), '<head><title>Contents</title></head>\n<body>\n  <nav epub:type="toc" id="toc">\n    <h1>Contents</h1>\n    <ol>\n', first, "\n", F.col("items"), "\n    </ol>\n  </nav>\n</body>\n</html>\n")
-    return body.join(shown, "book_id").select("book_id", text.alias("content"))
+    d = docs.withColumn("entry", F.sum((~nested).cast("int")).over(w))
+    e = d.groupBy("book_id", "entry").agg(
+        F.max(F.when(~nested, link)).alias("top"),
+        _joined(F.col("ord"), F.when(nested, cat("        <li>", link, "</li>"))).alias("below"),
+        F.count_if(nested).alias("n"),
+        *[_joined(F.col("ord"), line).alias(k) for k, line in lines.items()],
+    )
+    top = F.when(F.col("n") > 0, cat("    <li>", F.col("top"), "\n      <ol>\n", F.col("below"), "\n      </ol>\n    </li>")).otherwise(cat("    <li>", F.col("top"), "</li>"))
+    return e.groupBy("book_id").agg(_joined(F.col("entry"), top).alias("items"), *[_joined(F.col("entry"), F.col(k)).alias(k) for k in lines])
 
 
-def point(id_: Column | str, order: Column | str, title: Column | str) -> Column:
-    return cat('    <navPoint id="', id_, '" playOrder="', order, '">\n      <navLabel><text>', title, '</text></navLabel>\n      <content src="text/', id_, '.xhtml"/>\n    </navPoint>')
+def nav_text() -> Column:
+    first = cat(if_cover('    <li><a href="text/cover.xhtml">Cover</a></li>\n'), '    <li><a href="text/titlepage.xhtml">Title Page</a></li>')
+    return cat(head(F.col("b_language")), '<head><title>Contents</title></head>\n<body>\n  <nav epub:type="toc" id="toc">\n    <h1>Contents</h1>\n    <ol>\n', first, "\n", F.col("items"), "\n    </ol>\n  </nav>\n</body>\n</html>\n")
 
 
-def ncx(docs: DataFrame, shown: DataFrame) -> DataFrame:
-    """book_id, content of the older, flat table of contents."""
-    uuid, title = F.col("b_uuid"), F.col("b_title")
-    points = docs.groupBy("book_id").agg(_joined(F.col("ord"), point(F.col("id"), (F.col("ord") + 2).cast("string"), T.escape_xml(F.col("title")))).alias("points"))
+def ncx_text() -> Column:
     meta = lambda name, value: cat(f'    <meta name="dtb:{name}" content="', value, '"/>\n')
-    text = cat(
-        XML, '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1">\n  <head>\n', meta("uid", T.escape_xml(uuid)), meta("depth", "1"), meta("totalPageCount", "0"), meta("maxPageNumber", "0"),
-        "  </head>\n  <docTitle><text>", T.escape_xml(title), "</text></docTitle>\n  <navMap>\n", point("titlepage", "1", "Title Page"), "\n", F.col("points"), "\n  </navMap>\n</ncx>\n",
+    return cat(
+        XML, '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1">\n  <head>\n', meta("uid", T.escape_xml(F.col("b_uuid"))), meta("depth", "1"), meta("totalPageCount", "0"), meta("maxPageNumber", "0"),
+        "  </head>\n  <docTitle><text>", T.escape_xml(F.col("b_title")), "</text></docTitle>\n  <navMap>\n", point("titlepage", "1", "Title Page"), "\n", F.col("points"), "\n  </navMap>\n</ncx>\n",
     )
-    return points.join(shown, "book_id").select("book_id", text.alias("content"))
 
 
-def item(id_: Column | str, href: Column | str, kind: str, more: str = "") -> Column:
-    return cat('    <item id="', id_, '" href="', href, f'" media-type="{kind}"{more}/>')
-
-
-def package(docs: DataFrame, shown: DataFrame) -> DataFrame:
-    """book_id, content of the package document."""
+def package_text() -> Column:
     uuid, modified, language, title, author = (F.col(f"b_{c}") for c in ("uuid", "modified", "language", "title", "author"))
-    xhtml = "application/xhtml+xml"
-    d = docs.groupBy("book_id").agg(_joined(F.col("ord"), item(F.col("id"), cat("text/", F.col("id"), ".xhtml"), xhtml)).alias("manifest"), _joined(F.col("ord"), cat('    <itemref idref="', F.col("id"), '"/>')).alias("spine"))
-    x = T.escape_xml
+    xhtml, x = "application/xhtml+xml", T.escape_xml
     fixed = [item("nav", "nav.xhtml", xhtml, ' properties="nav"'), item("ncx", "toc.ncx", "application/x-dtbncx+xml"), item("style", "styles/style.css", "text/css"), item("titlepage", "text/titlepage.xhtml", xhtml)]
     image = [item("cover-image", cat("images/cover.", kind), f"image/{mime}", ' properties="cover-image"') for kind, mime in (("png", "png"), ("jpg", "jpeg"))]
     images = if_cover(cat(F.when(F.col("b_cover") == "png", image[0]).otherwise(image[1]), "\n", item("cover", "text/cover.xhtml", xhtml), "\n"))
-    text = cat(
+    return cat(
         XML, '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="pub-id" xml:lang="', x(language), '">\n  <metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n',
         '    <dc:identifier id="pub-id">', x(uuid), "</dc:identifier>\n    <dc:title>", x(title), '</dc:title>\n    <dc:creator id="creator">', x(author), "</dc:creator>\n",
         '    <meta refines="#creator" property="role" scheme="marc:relators">aut</meta>\n    <dc:language>', x(language), '</dc:language>\n    <meta property="dcterms:modified">', x(modified), "</meta>\n",
         if_cover('    <meta name="cover" content="cover-image"/>\n'), "  </metadata>\n  <manifest>\n", *(p for f in fixed for p in (f, "\n")), images, F.col("manifest"),
         '\n  </manifest>\n  <spine toc="ncx">\n', if_cover('    <itemref idref="cover" linear="yes"/>\n'), '    <itemref idref="titlepage"/>\n', F.col("spine"), "\n  </spine>\n</package>\n",
     )
-    return d.join(shown, "book_id").select("book_id", text.alias("content"))
+
+
+def nav(docs: DataFrame, shown: DataFrame) -> DataFrame:
+    """book_id, content of the navigation document. shown: what `defaults` gives."""
+    return listings(docs).join(shown, "book_id").select("book_id", nav_text().alias("content"))
+
+
+def ncx(docs: DataFrame, shown: DataFrame) -> DataFrame:
+    """book_id, content of the older, flat table of contents."""
+    return listings(docs).join(shown, "book_id").select("book_id", ncx_text().alias("content"))
+
+
+def package(docs: DataFrame, shown: DataFrame) -> DataFrame:
+    """book_id, content of the package document."""
+    return listings(docs).join(shown, "book_id").select("book_id", package_text().alias("content"))
 
 
 def entries(books: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -221,21 +242,15 @@ def entries(books: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFra
     b = defaults(books)
     docs = documents(books, chapters)
     at = lambda n, path, content, stored=False: F.struct(F.lit(n).alias("a"), (F.lit(path) if isinstance(path, str) else path).alias("path"), F.lit(stored).alias("stored"), (F.lit(content) if isinstance(content, str) else content).alias("content"))
-    own = b.select("book_id", F.explode(F.array(at(0, "mimetype", "application/epub+zip", True), at(1, "META-INF/container.xml", CONTAINER), at(2, "OEBPS/styles/style.css", STYLESHEET), at(3, "OEBPS/text/titlepage.xhtml", title_page(F.col("b_title"), F.col("b_author"), F.col("b_language"))))).alias("x")).select("book_id", "x.*", F.lit(0).alias("o"))
+    always = [at(0, "mimetype", "application/epub+zip", True), at(1, "META-INF/container.xml", CONTAINER), at(2, "OEBPS/styles/style.css", STYLESHEET), at(3, "OEBPS/text/titlepage.xhtml", title_page(F.col("b_title"), F.col("b_author"), F.col("b_language")))]
+    tables = [F.when(F.col("items").isNotNull(), at(n, f"OEBPS/{path}", text)) for n, path, text in ((7, "nav.xhtml", nav_text()), (8, "toc.ncx", ncx_text()), (9, "package.opf", package_text()))]
+    shown = [F.when(F.col("b_cover").isNotNull(), x) for x in (at(5, cat("OEBPS/images/cover.", F.col("b_cover")), F.lit(None).cast("string")), at(6, "OEBPS/text/cover.xhtml", cover_page(F.col("b_cover"), F.col("b_language"))))]
+    own = b.join(listings(docs), "book_id", "left").select("book_id", F.explode(F.array_compact(F.array(*always, *tables, *shown))).alias("x")).select("book_id", "x.*", F.lit(0).alias("o"))
     d = docs.join(chapter_pages(blocks), ["book_id", "chapter_no"], "left").join(b, "book_id")
     body = page(F.col("title"), section("chapter", cat('    <h1 class="chapter-title">', T.escape_xml(F.col("title")), "</h1>\n", F.coalesce("body", F.lit("")))), F.col("b_language"))
     content = F.when(F.col("kind") == "part", part_page(F.col("title"), F.col("b_language"))).otherwise(body)
     pages = d.select("book_id", F.lit(4).alias("a"), cat("OEBPS/text/", F.col("id"), ".xhtml").alias("path"), F.lit(False).alias("stored"), content.alias("content"), F.col("ord").alias("o"))
-    tables = (("OEBPS/nav.xhtml", nav(docs, b)), ("OEBPS/toc.ncx", ncx(docs, b)), ("OEBPS/package.opf", package(docs, b)))
-    last = [
-        made.select("book_id", F.lit(6 + n).alias("a"), F.lit(path).alias("path"), F.lit(False).alias("stored"), "content", F.lit(0).alias("o"))
-        for n, (path, made) in enumerate(tables, 1)
-    ]
-    shown = F.array(at(5, cat("OEBPS/images/cover.", F.col("b_cover")), F.lit(None).cast("string")), at(6, "OEBPS/text/cover.xhtml", cover_page(F.col("b_cover"), F.col("b_language"))))
-    last.append(b.where("b_cover is not null").select("book_id", F.explode(shown).alias("x")).select("book_id", "x.*", F.lit(0).alias("o")))
     rows = own.unionByName(pages)
-    for t in last:
-        rows = rows.unionByName(t)
     w = Window.partitionBy("book_id").orderBy("a", "o")
     return rows.select("book_id", (F.row_number().over(w) - 1).cast("int").alias("seq"), "path", "stored", "content")
 
