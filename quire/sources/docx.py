@@ -2,7 +2,9 @@
 
 Paragraph styles named or numbered Heading 1-6 give the heading depth, `w:jc` center without a
 style gives the centered flag, bold and italic come from run properties, breaks and tabs become
-white space. Tables' and lists' paragraphs count as body paragraphs.
+white space. Tables' and lists' paragraphs count as body paragraphs, those of a text box come after
+the paragraph that holds it. Tracked deletions, and of two alternatives the one for newer readers,
+are left out.
 """
 
 from __future__ import annotations
@@ -21,6 +23,17 @@ from quire.sources.markdown import RUNS, merge, trim
 from quire.plans.batches import parts
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+LEFT_OUT = {W + "del", W + "moveFrom", "{http://schemas.openxmlformats.org/markup-compatibility/2006}Choice"}
+
+
+def below(root: ElementTree.Element, stop: str | None = None) -> Iterator[ElementTree.Element]:
+    """Elements below root in document order, but for what is left out and for `stop` elements."""
+    waiting = list(root)[::-1]
+    while waiting:
+        x = waiting.pop()
+        if x.tag not in LEFT_OUT and x.tag != stop:
+            yield x
+            waiting.extend(list(x)[::-1])
 
 
 def on(properties: ElementTree.Element | None, name: str) -> bool:
@@ -44,7 +57,7 @@ def paragraphs(data: bytes) -> list[dict]:
         styles = heading_styles(archive)
         root = ElementTree.fromstring(archive.read("word/document.xml"))
     out = []
-    for p in root.iter(W + "p"):
+    for p in (x for x in below(root) if x.tag == W + "p"):
         properties = p.find(W + "pPr")
         style = properties.find(W + "pStyle") if properties is not None else None
         name = style.get(W + "val", "") if style is not None else ""
@@ -52,7 +65,7 @@ def paragraphs(data: bytes) -> list[dict]:
         heading = styles.get(name) or (int(m[1]) if m else None)
         jc = properties.find(W + "jc") if properties is not None else None
         runs = []
-        for r in p.iter(W + "r"):
+        for r in (x for x in below(p, stop=W + "p") if x.tag == W + "r"):
             look = r.find(W + "rPr")
             text = "".join(x.text or "" if x.tag == W + "t" else "\t" if x.tag == W + "tab" else " " if x.tag in (W + "br", W + "cr") and x.get(W + "type") != "page" else "" for x in r)
             runs.append((text, on(look, "i"), on(look, "b")))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,21 +34,27 @@ RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
 ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 FENCE = re.compile(r"( {0,3})(`{3,}|~{3,})[ \t]*([^`]*)$")
 BULLET = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])(?:([ \t]+)(?=\S)|[ \t]*$)")
+PREFIX = re.compile(r"[ \t]*(?:(?:>[ \t]*|(?:[-+*]|\d{1,9}[.)])[ \t]+))*")
 QUOTE = re.compile(r" {0,3}> ?")
 DEFINITION = re.compile(r" {0,3}\[((?:\\.|[^\[\]\\])+)\]:[ \t]*\n?[ \t]*(<[^<>\n]*>|\S+)(?:[ \t]+(?:\n[ \t]*)?(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*(?:\n|\Z)")
 TAG = re.compile(r"<(?:[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w:.-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?|/[A-Za-z][A-Za-z0-9-]*\s*)>|<!--.*?-->|<\?.*?\?>|<![A-Za-z][^>]*>|<!\[CDATA\[.*?\]\]>", re.S)
 AUTO = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[\w-]+(?:\.[\w-]+)*)>")
-TARGET = re.compile(r"\(\s*(?:<[^<>\n]*>|(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*)(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)")
+ANGLE = re.compile(r"<[^<>\n]*>")
+TARGET_END = re.compile(r"(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)")
+MARKS = {c: re.compile(f"[{c}]+") for c in "`*_"}
 PUNCTUATION = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
 def expand(line: str) -> str:
-    """Tabs in the indent to the next multiple of four columns."""
-    body = line.lstrip(" \t")
-    width = 0
-    for c in line[: len(line) - len(body)]:
-        width += 4 - width % 4 if c == "\t" else 1
-    return " " * width + body
+    """Tabs in the indent and after the marks of quotes and list items to the next multiple of four
+    columns of the whole line, so that what is inside a mark needs no columns of its own."""
+    out, width = [], 0
+    end = PREFIX.match(line).end() if "\t" in line else 0
+    for c in line[:end]:
+        n = 4 - width % 4 if c == "\t" else 1
+        out.append(" " * n if c == "\t" else c)
+        width += n
+    return "".join(out) + line[end:]
 
 
 class Blocks:
@@ -97,7 +104,7 @@ class Blocks:
                 elif m[1][0] == "-" and RULE.match(line):
                     out.append(("rule",))
                 else:
-                    para.append(line)
+                    para.append(lines[i])
                 i += 1
             elif indent < 4 and RULE.match(line):
                 close()
@@ -136,7 +143,7 @@ class Blocks:
                         break
                 out.append(("html",))
             else:
-                para.append(line)
+                para.append(lines[i])
                 i += 1
         close()
         return out
@@ -189,6 +196,29 @@ class Blocks:
         return i
 
 
+def target_end(s: str, at: int) -> int | None:
+    """Where the (destination "title") that opens at `at` ends; parentheses in a bare destination
+    balance, at most 32 deep."""
+    if not s.startswith("(", at):
+        return None
+    i, depth = at + 1, 0
+    while i < len(s) and s[i].isspace():
+        i += 1
+    if s.startswith("<", i):
+        m = ANGLE.match(s, i)
+        if not m:
+            return None
+        i = m.end()
+    else:
+        while i < len(s) and not s[i].isspace() and (s[i] != ")" or depth) and depth <= 32:
+            depth += (s[i] == "(") - (s[i] == ")")
+            i += 2 if s[i] == "\\" and s[i + 1 : i + 2] in PUNCTUATION else 1
+        if depth:
+            return None
+    m = TARGET_END.match(s, i)
+    return m.end() if m else None
+
+
 def label(text: str) -> str:
     return " ".join(text.split()).casefold()
 
@@ -206,6 +236,9 @@ class Inline:
         nodes: list[list] = []  # [text, style] or ["", 0, delimiter fields]
         delims: list[int] = []
         brackets: list[tuple[int, bool, int]] = []  # node, image?, place in s
+        ticks: dict[int, list[int]] = {}  # where backticks in a row stand, by their number
+        for m in MARKS["`"].finditer(s):
+            ticks.setdefault(len(m[0]), []).append(m.start())
         i = 0
 
         def text(t: str) -> None:
@@ -225,15 +258,16 @@ class Inline:
                     text(c)
                     i += 1
             elif c == "`":
-                n = len(s) - i - len(s[i:].lstrip("`"))
-                end = next((m.start() for m in re.finditer(r"`+", s[i + n :]) if len(m[0]) == n), None)
-                if end is None:
+                n = MARKS[c].match(s, i).end() - i
+                same = ticks.get(n, [])
+                k = bisect_left(same, i + n)
+                if k == len(same):
                     text("`" * n)
                     i += n
                 else:
-                    code = s[i + n : i + n + end].replace("\n", " ")
+                    code = s[i + n : same[k]].replace("\n", " ")
                     text(code[1:-1] if code[:1] == code[-1:] == " " and code.strip() and len(code) > 1 else code)
-                    i += 2 * n + end
+                    i = same[k] + n
             elif c == "<" and (m := AUTO.match(s, i)):
                 text(m[1])
                 i = m.end()
@@ -245,7 +279,7 @@ class Inline:
                 text(html.unescape(m[0]))
                 i = m.end()
             elif c in "*_":
-                n = len(s) - i - len(s[i:].lstrip(c))
+                n = MARKS[c].match(s, i).end() - i
                 before, after = s[i - 1] if i else "\n", s[i + n] if i + n < len(s) else "\n"
                 left = not after.isspace() and (not self.mark(after) or before.isspace() or self.mark(before))
                 right = not before.isspace() and (not self.mark(before) or after.isspace() or self.mark(after))
@@ -269,9 +303,9 @@ class Inline:
                     text("]")
                     i += 1
                 else:
-                    inside = [d for d in delims if d > at]
-                    self.emphasis(nodes, inside)
-                    delims[:] = [d for d in delims if d < at]
+                    k = bisect_left(delims, at)
+                    self.emphasis(nodes, delims[k:])
+                    del delims[k:]
                     nodes[at][0] = ""
                     if image:
                         del nodes[at:]
@@ -299,35 +333,47 @@ class Inline:
         return c in PUNCTUATION or not (c.isalnum() or c.isspace() or c == "_" or ord(c) < 128) and not c.isalpha()
 
     def link_end(self, s: str, start: int, close: int) -> int | None:
-        if m := TARGET.match(s, close + 1):
-            return m.end()
+        if end := target_end(s, close + 1):
+            return end
         if (m := re.compile(r"\[((?:\\.|[^\[\]\\])*)\]").match(s, close + 1)) and label(m[1] or s[start:close]) in self.refs:
             return m.end()
         return close + 1 if label(s[start:close]) in self.refs else None
 
     @staticmethod
     def emphasis(nodes: list[list], delims: list[int]) -> None:
-        k = 0
-        while k < len(delims):
-            closer = nodes[delims[k]]
-            if not closer[6] or not closer[3]:
-                k += 1
-                continue
-            for j in range(k - 1, -1, -1):
-                opener = nodes[delims[j]]
-                odd = (opener[6] or closer[5]) and (opener[4] + closer[4]) % 3 == 0 and (opener[4] % 3 or closer[4] % 3)
-                if opener[2] == closer[2] and opener[5] and opener[3] and not odd:
-                    n = 2 if opener[3] >= 2 and closer[3] >= 2 else 1
-                    for x in nodes[delims[j] + 1 : delims[k]]:
-                        x[1] |= 2 if n == 2 else 1
-                    for x in (opener, closer):
-                        x[3] -= n
-                        x[0] = x[2] * x[3]
-                    del delims[j + 1 : k]
-                    k = j + 1
+        """Pairs delimiters with the nearest openers of their kind and styles what is between them.
+        Openers that a kind of closer looked at in vain aren't looked at again for that kind, and
+        styles are added up at the end, so that long paragraphs take time in proportion."""
+        openers: list[int] = []
+        seen: dict[tuple, int] = {}
+        changes: dict[int, list[int]] = {}
+        for d in delims:
+            closer = nodes[d]
+            kind = (closer[2], closer[5], closer[4] % 3)
+            while closer[6] and closer[3]:
+                for j in range(len(openers) - 1, seen.get(kind, 0) - 1, -1):
+                    opener = nodes[openers[j]]
+                    odd = (opener[6] or closer[5]) and (opener[4] + closer[4]) % 3 == 0 and (opener[4] % 3 or closer[4] % 3)
+                    if opener[2] == closer[2] and not odd:
+                        break
+                else:
+                    seen[kind] = len(openers)
                     break
-            else:
-                k += 1
+                n = 2 if opener[3] >= 2 and closer[3] >= 2 else 1
+                changes.setdefault(openers[j] + 1, [0, 0])[n - 1] += 1
+                changes.setdefault(d, [0, 0])[n - 1] -= 1
+                for x in (opener, closer):
+                    x[3] -= n
+                    x[0] = x[2] * x[3]
+                del openers[j + (opener[3] > 0) :]
+                seen = {k: min(v, len(openers)) for k, v in seen.items()}
+            if closer[5] and closer[3]:
+                openers.append(d)
+        italic = bold = 0
+        for i in range(delims[0], delims[-1] + 1) if changes else ():
+            if i in changes:
+                italic, bold = italic + changes[i][0], bold + changes[i][1]
+            nodes[i][1] |= (italic > 0) + 2 * (bold > 0)
 
 
 def merge(runs: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:

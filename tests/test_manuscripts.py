@@ -1,6 +1,7 @@
 """Fixtures with known results for the manuscript operators."""
 
 import io
+import time
 import zipfile
 
 import pytest
@@ -14,7 +15,7 @@ from quire.operators import outline as O
 from quire.plans import docx as D
 from quire.plans import epub as E
 from quire.sources import markdown as M
-from quire.sources.docx import parse_docx
+from quire.sources.docx import paragraphs, parse_docx
 
 RUNS = "array<struct<text:string,italic:boolean,bold:boolean>>"
 
@@ -170,6 +171,46 @@ def test_lone_title_and_empty_book(spark):
     assert listed(O.with_empty_books(found, books).orderBy("book_id"), "book_id", "chapter_no", "title", "n_blocks") == [(1, 0, "", 0), (2, 0, "", 0)]
 
 
+def plain_text(t):
+    return "|".join("".join(r["text"] for r in i["runs"]) for i in M.parse(t)[1] if i["runs"])
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("[a](x(y(z)w)v) b", "a b"),
+        ("[a](x(y b", "[a](x(y b"),
+        ("[a](x\\)y) b", "a b"),
+        ("-\tone\n\n\ttwo", "one|two"),
+        ("-\t\tcode\n\nx", "x"),
+        ("- -\ta\n\n    b", "a|b"),
+        (">\tquoted", "quoted"),
+        ("text\n7.\tmore", "text\n7.\tmore"),
+    ],
+)
+def test_markdown_destinations_and_tabs(text, want):
+    assert plain_text(text) == want
+
+
+@pytest.mark.parametrize("part", ["a* ", "*a ", "_a b* ", "`a ``b ", "* x", "[a](", "[a](b) ", "a**b", "("])
+def test_long_paragraphs_take_time_in_proportion(part):
+    start = time.process_time()
+    M.Inline(set()).runs(part * 20_000)
+    assert time.process_time() - start < 10
+
+
+def test_text_boxes_and_deletions():
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    run = lambda t: f"<w:r><w:t>{t}</w:t></w:r>"
+    box = f"<w:txbxContent><w:p>{run('boxed')}</w:p></w:txbxContent>"
+    either = f"<mc:AlternateContent><mc:Choice>{box}</mc:Choice><mc:Fallback><w:pict>{box}</w:pict></mc:Fallback></mc:AlternateContent>"
+    body = f"<w:p>{run('before ')}<w:r>{either}</w:r><w:del><w:r><w:tab/><w:delText>gone</w:delText></w:r></w:del>{run('after')}</w:p><w:p>{run('next')}</w:p>"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"><w:body>{body}</w:body></w:document>')
+    assert ["".join(r["text"] for r in p["runs"]) for p in paragraphs(data.getvalue())] == ["before after", "boxed", "next"]
+
+
 def test_markdown_details(spark):
     runs = lambda t: "|".join("".join(r["text"] for r in i["runs"]) for i in M.parse(t)[1] if i["runs"])
     assert [i["kind"] for i in M.parse("One.\n\n#\n\nTwo.")[1]] == ["paragraph", "scene-break", "paragraph"]
