@@ -26,6 +26,13 @@ LINE = (
     f"CASE (d + n) % 9 WHEN 0 THEN '# ' || x WHEN 2 THEN '          Scene ' || n || {GAP} || x WHEN 3 THEN chr(9) || chr(9) || x WHEN 4 THEN chr(9) || chr(9) || 'Song of ' || (d + n) || {GAP} || x WHEN 5 THEN '  ## ' || x "
     f"WHEN 7 THEN '* * *' || {GAP} || x WHEN 8 THEN '~~~~' || {GAP} || x ELSE x END"
 )
+#: Front matter of document doc_id: quoted values, values that aren't strings, second names of a field, none, one that comes too late.
+FRONT = (
+    "CASE doc_id % 5 WHEN 0 THEN '---' || chr(10) || 'title: \"The ' || doc_id || '\"' || chr(10) || 'author: Ann B ' || doc_id || chr(10) || 'email: 12' || chr(10) || '---' || chr(10) "
+    "WHEN 1 THEN '---' || chr(10) || 'title: ' || doc_id || chr(10) || 'name: Real Name' || chr(10) || 'lang: de' || chr(10) || '---' || chr(10) "
+    "WHEN 3 THEN chr(10) || '---' || chr(10) || 'title: late' || chr(10) || '---' || chr(10) "
+    "WHEN 4 THEN '---' || chr(10) || 'legalName: A B' || chr(10) || 'legal-name: C D' || chr(10) || 'language: true' || chr(10) || 'lang: fr' || chr(10) || 'email: a@b.example.com' || chr(10) || '---' || chr(10) ELSE 'Title: none' || chr(10) END"
+)
 #: A line of structure before turn `turn` of conversation `conv_id`, or null.
 SPOKEN_LINE = (
     "CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN 'Chapter ' || (conv_id % 30) || ': Rain' WHEN turn = 0 AND conv_id % 3 = 1 THEN '  Part two.  ' WHEN turn = 1 AND conv_id % 4 = 0 THEN chr(9) || chr(9) || 'Voice ' || conv_id || ' ' "
@@ -47,6 +54,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.lit(0).alias("file_ord"), F.expr("'book-' || doc_id || '.md'").alias("file_name"), content.alias("content"))
 
 
+def front_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file a document, with front matter of several kinds before the whole text."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.lit(0).alias("file_ord"), F.lit("a.md").alias("file_name"), F.expr(f"{FRONT} || chr(10) || text").alias("content"))
+
+
 def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book_id, file_ord, file_name, p_partkey: names with numbers and extensions of all kinds."""
     name = F.expr("p_partkey % 113 || CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '_' END || replace(p_name, ' ', '_') || CASE p_partkey % 11 WHEN 0 THEN '.docx' WHEN 1 THEN '.TXT' WHEN 2 THEN '.pdf' WHEN 3 THEN '.markdown' ELSE '.md' END")

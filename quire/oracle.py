@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from quire.adapters import LINE, NAMED_BOOK, SHARED, SPOKEN_LINE
+from quire.adapters import FRONT, LINE, NAMED_BOOK, SHARED, SPOKEN_LINE
 from quire.plans.epub import CONTAINER, STYLESHEET
 
 #: Fixed values, written again here so that a slip in the engine's lists shows.
@@ -318,3 +318,17 @@ _PARTS = [
     *[entry(a, f"'OEBPS/{path}'", "content", f"({ORACLE_SQL[made]})") for a, path, made in ((7, "nav.xhtml", "epub_nav"), (8, "toc.ncx", "epub_ncx"), (9, "package.opf", "epub_opf"))],
 ]
 add("epub_entries", f"{DOCS}, {SHOWN}, {FIRST}, bodies AS (SELECT book_id, chapter_no, string_agg({PARA_XML}, {NL} ORDER BY block_no) AS body FROM firsts GROUP BY 1, 2), files AS ({' UNION ALL '.join(_PARTS)})", "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY a, o) - 1 AS seq, path, path = 'mimetype' AS stored, length(content) AS n_chars FROM files")
+
+
+def _field(*names: str) -> str:
+    """The first of some fields that is a string: quoted, or neither a number nor true or false."""
+    raw = [f"regexp_extract(block, '(?m)^{n}: (.*)$', 1)" for n in names]
+    return f"coalesce({', '.join(f"""CASE WHEN NOT regexp_full_match({r}, '[0-9]*|true|false') THEN trim({r}, '"') END""" for r in raw)})"
+
+
+add(
+    "front_matter",
+    f"fronts AS (SELECT doc_id, regexp_extract({FRONT} || {NL} || text, '^---\\n((?s:.*?)\\n)---\\n', 1) AS block FROM documents)",
+    f"SELECT doc_id AS book_id, {_field('title')} AS title, {_field('author')} AS author, {_field('legal-name', 'legalName', 'name')} AS legal_name, {_field('email')} AS email, {_field('language', 'lang')} AS language FROM fronts",
+)
+add("ingest_candidates", CENTERED_ALL, "SELECT book_id, file_name || ':' || idx AS id, text, before, after FROM found JOIN files USING (book_id)")

@@ -457,6 +457,31 @@ def finish_book(s, d):
     return B.finish(b).select("book_id", "title", "author")
 
 
+@query
+def front_matter(s, d):
+    from quire.sources.markdown import metadata, parse_files
+
+    return metadata(parse_files(A.front_files(s, d))).select("book_id", "title", "author", "legal_name", "email", "language")
+
+
+@query
+def ingest_candidates(s, d):
+    from quire.plans.ingest import ingest_text
+
+    return ingest_text(A.files(s, d)).candidates
+
+
+@query
+def ingested_books(s, d):
+    from quire.plans.ingest import ingest_text
+
+    _, answers = decisions(s, d)
+    got = ingest_text(A.files(s, d), answers)
+    words = B.book_words(B.chapter_words(got.chapters, got.blocks)).select("book_id", "words", "about_words")
+    counted = got.chapters.groupBy("book_id").agg(F.count("*").alias("n_chapters"))
+    return got.books.select("book_id", "title").join(counted, "book_id", "left").join(words, "book_id", "left")
+
+
 @query
 def parsed_markdown(s, d):
     from quire.sources.markdown import outline, parse_files
