@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,9 +33,22 @@ class Ingested:
     blocks: DataFrame
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written once, with a plan that starts from them: in the shared folder that the session
+    names (a temporary one where driver and executors are one process). Without a folder on a cluster
+    the rows are persisted, and released with spark.catalog.clearCache()."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            return df.persist()
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-"))
+    return df.checkpoint()
+
+
 def ingest_text(files: DataFrame, decisions: DataFrame | None = None) -> Ingested:
     """files: book_id, file_ord, file_name, content. decisions: book_id, id, is_title. The parsed
-    outlines are persisted, as all results use them; release them with spark.catalog.clearCache().
+    outlines are kept (see `kept`), as all results use them and their plan is long.
 
     Without decisions the books are what the undecided text gives, and candidates are to be asked
     about; with decisions confirmed lines are headings and declined ones prose."""
@@ -46,15 +61,16 @@ def ingest_text(files: DataFrame, decisions: DataFrame | None = None) -> Ingeste
         answers = L.answered(found, decisions).where("is_title is not null").select("book_id", "file_ord", "idx", "is_title")
         depths = L.promotion_depth(L.headings(rows).withColumnRenamed("line_no", "ord"), L.opens_with_heading(rows))
         ok = L.apply_decisions(ok, answers, depths)
-    parsed = parse_files(ok).persist()
+    parsed = kept(parse_files(ok))
     items = outline(parsed)
-    n_files = ok.groupBy("book_id").agg(F.count("*").alias("n_files"), F.min_by("file_name", "file_ord").alias("file_name"))
+    named = parsed.select("book_id", "file_ord", "file_name")  # what is kept has the files' names, so the texts' plan is used once
+    n_files = named.groupBy("book_id").agg(F.count("*").alias("n_files"), F.min_by("file_name", "file_ord").alias("file_name"))
     items = items.join(n_files, "book_id")
     single = items.where("n_files = 1")
     segments = O.segments(single, ["book_id"])
     chapters = O.chapters(segments, ["book_id"])
     blocks = O.blocks(segments, chapters, ["book_id"])
-    several = ok.join(n_files.where("n_files > 1").select("book_id"), "book_id", "left_semi")
+    several = named.join(n_files.where("n_files > 1").select("book_id"), "book_id", "left_semi")
     multi = B.multi_file_chapters(items.where("n_files > 1"), several)
     multi_blocks = B.multi_file_blocks(items.where("n_files > 1"), several, multi)
     titles = single.transform(lambda o: O.detect_title(o, ["book_id"])).groupBy("book_id").agg(F.max("book_title").alias("found_title"))
