@@ -76,6 +76,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.centroids import clusters
+
+    return clusters(read(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed="3")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_bpe": op2_bpe,
@@ -87,6 +93,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_centroids": op11_centroids,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def centroid_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """The rounds written out, one pair of tables each: components lie in rows, sums are HUGEINT."""
+    far = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) ** 2))"
+    floor = "(s - ((s % n) + n) % n) // n"
+    ctes = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::HUGEINT) AS x FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM kept ORDER BY h, x LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT row, vec_id, x, min(struct_pack(d := d, c := c)) AS best FROM (SELECT v.row, v.vec_id, v.x, c.c, {far}::HUGEINT AS d FROM kept v CROSS JOIN c{r} c) GROUP BY ALL)")
+        if r < rounds:
+            ctes.append(
+                f"m{r} AS (SELECT c, list({floor} ORDER BY i) AS x FROM (SELECT best.c AS c, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT best, x, unnest(range(1, {dims + 1})) AS i FROM a{r}) GROUP BY 1, 2) GROUP BY 1),"
+                f" c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.x, o.x) AS x FROM c{r} o LEFT JOIN m{r} m USING (c))"
+            )
+    return f"""WITH {", ".join(ctes)} SELECT a.vec_id, a.best.c::INTEGER AS cluster, a.best.d::BIGINT AS distance, (sum(a.best.d) OVER (PARTITION BY a.best.c))::BIGINT AS cluster_inertia,
+ (sum(a.best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best.c"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_centroids": centroid_sql()}
