@@ -82,6 +82,15 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(read(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed="3")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quire.llm.alignment import Tokenizers, alignment
+
+    which = Tokenizers(vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return alignment(read(spark, sf_dir, "documents"), which)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_bpe": op2_bpe,
@@ -94,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
     "op11_centroids": op11_centroids,
+    "op13_alignment": op13_alignment,
 }
 
 
