@@ -82,6 +82,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(read(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed="3")
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.context_mixing import scores
+
+    return scores(read(spark, sf_dir, "documents"), dictionary=65_536, slots=21, tuning=512)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
     "op11_centroids": op11_centroids,
+    "op12_context_mixing": op12_context_mixing,
     "op13_alignment": op13_alignment,
 }
 
