@@ -36,7 +36,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.substring_dedup import dedup
 
-    return dedup(read(spark, sf_dir, "documents"), run=2, min_words=8, passage=30)
+    return dedup(read(spark, sf_dir, "documents"), run=2, min_words=15)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

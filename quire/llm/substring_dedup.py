@@ -1,18 +1,19 @@
 """Substring deduplication over sliding spans of sentences.
 
 A text is cut into sentences, and every run of `run` consecutive sentences - more, until it has
-`min_words` words - is hashed, once. Over the corpus each hash belongs to the first place that has
-it (smallest doc_id, then the earliest run). Runs at other places that follow each other as those
-of their owner do are one match. Matches are verified: the owner's words come to the document and
-are compared one by one, inwards for equality and outwards as far as they agree, since a passage
-may begin and end in mid-sentence; outwards they are compared for a run and a sentence more. Verified stretches that overlap are one, and those of at least
-`passage` words are removed; shorter ones, such as licence lines and stock phrases, stay. All else
-of a text stays as it is, character by character.
-
-Counts are pre-aggregated before they are shuffled; an owner is asked for each of its stretches
-once, however many documents share it; the joins that bring owners to matches and stretches to
-documents have one row a key on one side, so adaptive execution can split a passage that a third
-of all documents share.
+`min_words` words - is hashed, once. Over the corpus each span belongs to the first place that has
+it (smallest doc_id, then the earliest run). A sentence that lies in a span at any other place is
+removed, with the white space up to the next sentence; all else of a text stays as it is, character
+by character. A span's key are two hashes of 64 bits by different polynomials.
+
+Runs of fewer than `min_words` words are no spans, so licence lines and stock phrases stay where
+they stand alone, and so do the last sentences of a repeated passage if they have fewer words and no
+run within the passage ends with them. `passage` (words; 0 by default) leaves shorter stretches of
+covered sentences in.
+
+Spans' places are grouped by their keys with map-side aggregation; the join that brings first places
+to the others has one row a key on one side, so adaptive execution can split a passage that a third
+of all documents share. Texts are read twice (hash and rebuild) and shuffled once.
 
 Defined results: null text counts as empty; texts of fewer sentences than a run stay; a row with a
 null id stays whole, and nobody loses text to it; rows of one id are one document: what they have
@@ -31,25 +32,28 @@ from pyspark.sql import functions as F
 
 from quire.llm._common import cut_lineage, map_batches, slices, texts_of
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)  # odd, so they have inverses modulo 2**64
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STOP = np.isin(np.arange(256), list(b".!?"))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(2 * n, base, np.uint64)
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        found = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(2 * n, x, np.uint64)
             steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+            found.append(np.cumprod(steps))
+        _powers[base] = (found[0], found[1])
+    up, down = _powers[base]
+    return up[:n], down[:n]
 
 
-def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASES[0]) -> np.ndarray:
     """A hash of values[start:end] for each range, by prefix sums of a polynomial."""
-    up, down = powers(len(values) + 1)
+    up, down = powers(len(values) + 1, base)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values.astype(np.uint64) * up[:-1], out=total[1:])
     h = (total[end] - total[start]) * down[start]
@@ -58,160 +62,96 @@ def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
 
 
 def units(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where each word begins, and of each sentence the first word, the hash and the number of
-    words. Words lie between ASCII white space; a sentence ends after . ! ? or with the line."""
+    """Where each word begins, and of each sentence the first word, the two hashes and the number
+    of words. Words lie between ASCII white space; a sentence ends after . ! ? or with the line."""
     data = np.frombuffer(raw, np.uint8)
     space = np.ones(len(data) + 2, bool)
     space[1:-1] = _SPACE[data]
     start, end = np.flatnonzero(space[:-2] & ~space[1:-1]), np.flatnonzero(~space[1:-1] & space[2:]) + 1
     if not len(start):
-        return start, start, np.zeros(0, np.uint64), start
-    words = range_hashes(data, start, end)
+        return start, start, np.zeros((2, 0), np.uint64), start
     lines = np.cumsum(np.r_[0, data == 10])
     stop = _STOP[data[end - 1]]
     stop[:-1] |= lines[start[1:]] > lines[end[:-1]]
     stop[-1] = True
     last = np.flatnonzero(stop)
     first = np.r_[0, last[:-1] + 1]
-    return start, first, range_hashes(words, first, last + 1), last + 1 - first
+    hashes = [range_hashes(range_hashes(data, start, end, base), first, last + 1, base) for base in _BASES]
+    return start, first, np.stack(hashes), last + 1 - first
 
 
 def spans(hashes: np.ndarray, sizes: np.ndarray, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, end and hash of the run from each sentence on: `run` of them, and more until
-    it has `min_words` words. Runs that the text ends before are none."""
+    """First sentence, end and hashes of the run from each sentence on: `run` of them, and more
+    until it has `min_words` words. Runs that the text ends before are none."""
     words = np.r_[0, np.cumsum(sizes)]
     first = np.arange(len(sizes))
     end = np.maximum(np.searchsorted(words, words[:-1] + min_words), first + run)
     first, end = first[end <= len(sizes)], end[end <= len(sizes)]
-    return first, end, range_hashes(hashes, first, end).view(np.int64)
+    return first, end, np.stack([range_hashes(h, first, end, base).view(np.int64) for h, base in zip(hashes, _BASES, strict=True)])
 
 
-def matches(docs: DataFrame, run: int, min_words: int) -> DataFrame:
-    """doc_id, lo, hi (sentences), owner, owner_lo, owner_hi: stretches whose runs have the hashes of
-    an earlier place, as long as both go on together."""
+def repeated(docs: DataFrame, run: int, min_words: int) -> DataFrame:
+    """doc_id, place (first sentence << 32 | end): the spans that an earlier place has."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [spans(*units(t.encode())[2:], run, min_words) for t in texts_of(batch)]
             again = []
-            for _, _, h in found:
+            for _, _, (h, _) in found:
                 a = np.ones(len(h), bool)
                 a[np.unique(h, return_index=True)[1]] = False
                 again.append(a)
-            first, end, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            first, end = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            span, check = np.concatenate([f[2] for f in found], axis=1)
             ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
-            yield pa.RecordBatch.from_arrays([pa.array(h), ids, pa.array(first << 32 | end), pa.array(np.concatenate(again))], names=["span", "doc_id", "place", "again"])
-
-    rows = cut_lineage(map_batches(docs.where("doc_id is not null").select("doc_id", "text"), hashed, "span long, doc_id long, place long, again boolean"))
-    owners = rows.groupBy("span").agg(F.min_by("place", F.when(~F.col("again"), F.col("doc_id"))).alias("owner_place"), F.min("doc_id").alias("owner"), F.count("*").alias("n"))
-    pairs = rows.join(owners.where("n > 1").drop("n"), "span").where("doc_id != owner or place != owner_place")
-    part = lambda c, low: F.shiftright(c, 32) if low else F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-    pairs = pairs.select("doc_id", "owner", part("place", True).alias("lo"), part("place", False).alias("hi"), part("owner_place", True).alias("owner_lo"), part("owner_place", False).alias("owner_hi"))
-    keys = ["doc_id", "owner", "shift"]
-    w = Window.partitionBy(*keys).orderBy("lo")
-    pairs = pairs.withColumn("shift", F.col("lo") - F.col("owner_lo"))
-    pairs = pairs.withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
-    pairs = pairs.withColumn("stretch", F.sum(F.col("new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("owner_lo").alias("owner_lo"), F.max("owner_hi").alias("owner_hi")]
-    return pairs.groupBy(*keys, "stretch").agg(*ends).drop("shift", "stretch")
-
-
-def owners_words(docs: DataFrame, found: DataFrame, run: int, min_words: int) -> DataFrame:
-    """owner, owner_lo, owner_hi, words, lead for each stretch that is asked for: the owner's words
-    with a run and a sentence more on each side, lead of which lie before it. What agrees beyond
-    the stretch is shorter than that, or its runs are matches too: of this stretch, or of another
-    owner's, since each run has the first place that has it as its owner. In the latter case a few
-    words beyond the other owner's stretch may stay."""
-    asked = found.groupBy("owner").agg(F.collect_set(F.struct("owner_lo", "owner_hi")).alias("asked")).withColumnRenamed("owner", "doc_id")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows: list[tuple] = []
-            size = 0
-            for doc, text, want in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("asked").to_pylist(), strict=True):
-                raw = text.encode()
-                start, first, _, _ = units(raw)
-                at, end = np.r_[first, len(start)], np.r_[start, len(raw)]
-                for w in want:
-                    lo, hi = w["owner_lo"], w["owner_hi"]
-                    if hi < len(at):  # else a row of the same id with another text
-                        a = min(lo - run, int(np.searchsorted(at, at[lo] - min_words, side="right")) - 1) - 1
-                        b = max(hi + run, int(np.searchsorted(at, at[hi] + min_words))) + 1
-                        a, b = max(a, 0), min(b, len(at) - 1)
-                        rows.append((doc, lo, hi, raw[end[at[a]] : end[at[b]]], int(at[lo] - at[a])))
-                        size += len(rows[-1][3])
-                        if size > 4 << 20:
-                            yield batch_of(rows)
-                            rows, size = [], 0
-            if rows:
-                yield batch_of(rows)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["owner", "owner_lo", "owner_hi", "words", "lead"])
-
-    return map_batches(docs.join(asked, "doc_id").select("doc_id", "text", "asked"), cut, "owner long, owner_lo long, owner_hi long, words binary, lead long")
-
-
-def agreeing(mine: list[bytes], lo: int, hi: int, owner: list[bytes], lead: int) -> tuple[int, int] | None:
-    """The words of `mine` that agree with the owner's, from the stretch lo to hi outwards; None if
-    the stretch itself doesn't."""
-    n = hi - lo
-    if mine[lo:hi] != owner[lead : lead + n]:
-        return None
-    while lo and lead and mine[lo - 1] == owner[lead - 1]:
-        lo, lead, n = lo - 1, lead - 1, n + 1
-    end = lead + n
-    while hi < len(mine) and end < len(owner) and mine[hi] == owner[end]:
-        hi, end = hi + 1, end + 1
-    return lo, hi
-
-
-def without_matches(text: str, found: list[dict], passage: int) -> tuple[str, int, int, int]:
-    """The text without verified stretches of at least `passage` words; the number of sentences, of
-    sentences that lost words, and of removed words."""
+            place = first << 32 | end | np.concatenate(again).astype(np.int64) << 63
+            yield pa.RecordBatch.from_arrays([pa.array(span), pa.array(check), ids, pa.array(place)], names=["span", "check", "doc_id", "place"])
+
+    # the place of a span that the text has before is negative
+    rows = cut_lineage(map_batches(docs.where("doc_id is not null").select("doc_id", "text"), hashed, "span long, check long, doc_id long, place long"))
+    key = ["span", "check"]
+    owners = rows.groupBy(*key).agg(F.min_by("place", F.when(F.col("place") >= 0, F.col("doc_id"))).alias("owner_place"), F.min("doc_id").alias("owner"), F.count("*").alias("n"))
+    return rows.join(owners.where("n > 1").drop("n"), key).where("doc_id != owner or place != owner_place").select("doc_id", F.col("place").bitwiseAND(F.lit((1 << 63) - 1)).alias("place"))
+
+
+def without_covered(text: str, places: list[int], passage: int) -> tuple[str, int, int, int]:
+    """The text without the sentences that the places cover, in stretches of at least `passage`
+    words; the number of sentences, of removed sentences, and of removed words."""
     raw = text.encode()
     start, first, _, sizes = units(raw)
-    if not found:
-        return text, len(first), 0, 0
-    words, at = raw.split(), np.r_[first, len(start)]
-    stretches = []
-    for m in found:
-        if m["hi"] < len(at) and (got := agreeing(words, int(at[m["lo"]]), int(at[m["hi"]]), m["words"].split(), m["lead"])):
-            stretches.append(got)
-    merged: list[list[int]] = []
-    for lo, hi in sorted(stretches):
-        if merged and lo < merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], hi)
-        else:
-            merged.append([lo, hi])
-    merged = [m for m in merged if m[1] - m[0] >= passage]
-    if not merged:
-        return text, len(first), 0, 0
-    end, kept, done, hurt = np.r_[start, len(raw)].tolist(), [], 0, np.zeros(len(first), bool)
-    for lo, hi in merged:
-        kept.append(raw[done : end[lo]])
-        done = end[hi]
-        hurt[np.searchsorted(first, lo, side="right") - 1 : np.searchsorted(first, hi)] = True
-    kept.append(raw[done:])
-    return b"".join(kept).decode().rstrip(), len(first), int(hurt.sum()), sum(hi - lo for lo, hi in merged)
-
-
-def dedup(docs: DataFrame, run: int = 2, min_words: int = 8, passage: int = 30, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, text (what is left of it), n_units (sentences), n_removed (those that lost words),
-    removed_words of each document, and the columns named in carry."""
+    n = len(first)
+    edge = np.zeros(n + 1, np.int64)
+    at = np.array(places, np.int64)
+    lo, hi = at >> 32, at & ((1 << 32) - 1)
+    inside = hi <= n  # else a row of the same id with another text
+    np.add.at(edge, lo[inside], 1)
+    np.add.at(edge, hi[inside], -1)
+    covered = np.diff(np.r_[False, np.cumsum(edge)[:-1] > 0, False].astype(np.int8))
+    begin, end = np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
+    words = np.r_[0, np.cumsum(sizes)]
+    long = words[end] - words[begin] >= passage
+    begin, end = begin[long], end[long]
+    if not len(begin):
+        return text, n, 0, 0
+    byte = np.r_[start[first], len(raw)]
+    cuts = [0, *np.c_[byte[begin], byte[end]].ravel().tolist(), len(raw)]
+    left = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+    return left.decode(), n, int((end - begin).sum()), int((words[end] - words[begin]).sum())
+
+
+def dedup(docs: DataFrame, run: int = 2, min_words: int = 15, passage: int = 0, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, text (what is left of it), n_units (sentences), n_removed, removed_words of each
+    document, and the columns named in carry."""
     carry = carry or []
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = batch.column("found")
-            rows = [without_matches(t, found[i].as_py() or [], passage) for i, t in enumerate(texts_of(batch))]
+            places = batch.column("places")
+            rows = [without_covered(t, places[i].as_py() or [], passage) for i, t in enumerate(texts_of(batch))]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols, *(batch.column(c) for c in carry)], names=["doc_id", "text", "n_units", "n_removed", "removed_words", *carry])
 
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
-    found = cut_lineage(matches(cols, run, min_words))
-    answered = found.join(owners_words(cols, found, run, min_words), ["owner", "owner_lo", "owner_hi"])
-    by_doc = answered.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "words", "lead")).alias("found"))
+    by_doc = repeated(cols, run, min_words).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     return map_batches(cols.join(by_doc, "doc_id", "left"), rebuild, f"doc_id long, text string, n_units long, n_removed long, removed_words long{more}")
