@@ -51,8 +51,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages out that an earlier document has."""
-    return columns_of(dedup(docs, run=2, min_words=8, passage=30, carry=COLUMNS[2:]))
+    """Removes the sentences of spans that an earlier document has."""
+    return columns_of(dedup(docs, run=2, min_words=15, carry=COLUMNS[2:]))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
