@@ -100,3 +100,20 @@ def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = F.array(F.struct(F.substring("text", 1, 3).alias("text"), F.lit(True).alias("italic"), F.lit(False).alias("bold")), F.struct(F.expr("substring(text, 4)").alias("text"), F.lit(False).alias("italic"), F.lit(False).alias("bold")))
     heading = F.expr("CASE WHEN book_id % 2 = 1 AND turn = 0 AND k = 1 AND conv_id % 5 = 0 THEN 1 + conv_id % 2 END").cast("int")
     return c.select("book_id", "para_no", heading.alias("heading"), F.expr("conv_id % 6 = 0 AND turn = 3").alias("centered"), runs.alias("runs"), "text")
+
+
+#: What event event_id says as a reviewer's action.
+ACTION = "CASE event_type WHEN 'click' THEN 'yes' WHEN 'view' THEN 'no' WHEN 'error' THEN 'back' WHEN 'signup' THEN CASE WHEN event_id % 40 = 0 THEN 'all' WHEN event_id % 40 = 1 THEN 'none' ELSE 'yes' END ELSE CASE WHEN event_id % 3 = 0 THEN 'back' ELSE 'pause' END END"
+
+
+def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as the log of a review: book_id, seq, action."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("book_id"), F.struct("ts", "event_id").alias("seq"), F.expr(ACTION).alias("action"))
+
+
+def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked about a user's book: its purchases of some value, in order."""
+    w = Window.partitionBy("book_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").where("event_type = 'purchase' and value > 20").withColumnRenamed("user_id", "book_id")
+    return e.select("book_id", (F.row_number().over(w) - 1).alias("place"), F.expr("'e:' || event_id").alias("id"))

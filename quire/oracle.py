@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from quire.adapters import FRONT, LINE, NAMED_BOOK, SHARED, SPOKEN_LINE
+from quire.adapters import ACTION, FRONT, LINE, NAMED_BOOK, SHARED, SPOKEN_LINE
 from quire.plans.epub import CONTAINER, STYLESHEET
 
 #: Fixed values, written again here so that a slip in the engine's lists shows.
@@ -196,6 +196,15 @@ add("standalone_centered", CENTERED_ALL, "SELECT * FROM everything")
 add("centered_lines", CENTERED_ALL, "SELECT * FROM found")
 add("candidate_decisions", DECIDED, "SELECT book_id, id, text, is_title FROM asked")
 add("bulk_decisions", DECIDED, "SELECT book_id, id, coalesce(is_title, CASE WHEN idx >= (SELECT min(b.idx) FROM asked b WHERE b.book_id = a.book_id AND b.is_title IS NULL) THEN false END) AS is_title FROM asked a")
+add(
+    "answer_log",
+    f"""RECURSIVE asked AS (SELECT user_id AS book_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, 'e:' || event_id AS id, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type = 'purchase' AND value > 20),
+ log AS (SELECT user_id AS book_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, {ACTION} AS action FROM events WHERE {ACTION} <> 'pause'),
+ walk AS (SELECT book_id, n, 0 AS k, 0 AS pos, false AS over, NULL::BIGINT AS lo, NULL::BIGINT AS hi, NULL::BOOLEAN AS yes FROM (SELECT DISTINCT book_id, n FROM asked)
+   UNION ALL SELECT w.book_id, n, w.k + 1, CASE action WHEN 'back' THEN greatest(pos - 1, 0) ELSE pos + 1 END, action IN ('all', 'none') OR action <> 'back' AND pos + 1 = n, CASE WHEN action <> 'back' THEN pos END, CASE WHEN action IN ('all', 'none') THEN n - 1 WHEN action <> 'back' THEN pos END, action IN ('yes', 'all')
+   FROM walk w JOIN log l ON l.book_id = w.book_id AND l.k = w.k + 1 WHERE NOT over)""",
+    "SELECT a.book_id, a.place, a.id, (SELECT arg_max(w.yes, w.k) FROM walk w WHERE w.book_id = a.book_id AND a.place BETWEEN w.lo AND w.hi) AS is_title, (SELECT bool_or(w.over) FROM walk w WHERE w.book_id = a.book_id) AS finished FROM asked a",
+)
 add("apply_decisions_text", f"{DECIDED}, {OPENS}, {DEPTHS}", f"SELECT l.book_id, string_agg(CASE WHEN is_title IS NULL THEN line WHEN is_title THEN repeat('#', depth) || ' ' || {trim('line')} ELSE {trim('line')} END, {NL} ORDER BY line_no) AS content FROM lines l JOIN depths USING (book_id) LEFT JOIN asked a ON a.book_id = l.book_id AND a.idx = l.line_no GROUP BY 1")
 add("centered_paras", PARA_FOUND, "SELECT * FROM found")
 add("plausible_candidates", "e AS (SELECT user_id AS book_id, event_id, event_type IN ('signup', 'error') AND value < 60 + user_id % 40 AS hit FROM events), g AS (SELECT book_id, count(*) FILTER (hit) AS n, count(*) AS pop FROM e GROUP BY 1)", "SELECT book_id, event_id FROM e JOIN g USING (book_id) WHERE hit AND NOT (n > 20 AND n * 5 > pop)")

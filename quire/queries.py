@@ -11,6 +11,7 @@ from quire.operators import books as B
 from quire.operators import html as H
 from quire.operators import lines as L
 from quire.operators import outline as O
+from quire.operators import reviews as R
 from quire.plans import docx as D
 from quire.plans import epub as E
 
@@ -146,6 +147,11 @@ def bulk_decisions(s, d):
     return L.bulk_answer(L.answered(found, answers), False, ["idx"]).select("book_id", "id", "is_title")
 
 
+@query
+def answer_log(s, d):
+    return R.reduce_answers(A.review_log(s, d), A.review_candidates(s, d)).select("book_id", "place", "id", "is_title", "finished")
+
+
 @query
 def apply_decisions_text(s, d):
     found, answers = decisions(s, d)
