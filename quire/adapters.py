@@ -117,3 +117,10 @@ def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("book_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").where("event_type = 'purchase' and value > 20").withColumnRenamed("user_id", "book_id")
     return e.select("book_id", (F.row_number().over(w) - 1).alias("place"), F.expr("'e:' || event_id").alias("id"))
+
+
+def hostile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text files, some of which nest deeper than any reader goes or are of no kind that is read."""
+    f = files(spark, sf_dir)
+    name = F.expr("CASE WHEN book_id % 13 = 0 THEN 'book-' || book_id || '.pdf' ELSE file_name END")
+    return f.withColumn("file_name", name).withColumn("content", F.expr("CASE WHEN book_id % 11 = 0 THEN repeat('>', 1500) || ' ' || content ELSE content END"))

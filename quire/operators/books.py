@@ -24,6 +24,13 @@ def ingest_status(files: DataFrame) -> DataFrame:
     return g.select("book_id", status.alias("status"))
 
 
+def with_unreadable(status: DataFrame, failed: DataFrame) -> DataFrame:
+    """status (book_id, status) in which books of `failed` (book_id, a row each) that were ok are
+    unreadable: what can't be told from names comes last."""
+    f = failed.select("book_id", F.lit(True).alias("_failed"))
+    return status.join(f, "book_id", "left").select("book_id", F.when((F.col("status") == "ok") & F.col("_failed"), "unreadable").otherwise(F.col("status")).alias("status"))
+
+
 def natural_order(files: DataFrame) -> DataFrame:
     """Replaces file_ord by the place in natural order of names; ties keep their order."""
     w = Window.partitionBy("book_id").orderBy(T.natural_key(F.col("file_name")), "file_ord")
@@ -44,45 +51,41 @@ def book_words(counted: DataFrame) -> DataFrame:
     return g.withColumn("summary", F.when(F.col("n_chapters") > 1, F.concat(F.format_number("n_chapters", 0), F.lit(" chapters, "), about)).otherwise(about))
 
 
-def file_segments(outlines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments of each file (book_id, file_ord) and its chapters with book_title and n, their number.
-    Under a lone heading with one chapter the outline is read again without a title."""
+def file_segments(outlines: DataFrame, files: DataFrame) -> DataFrame:
+    """Segments of each file (book_id, file_ord) of `files`, with n_files, the files of its book."""
     keys = ["book_id", "file_ord"]
-    w = Window.partitionBy(*keys)
-    titled = O.segments(outlines, keys, detect=True)
-    with_title = O.chapters(titled, keys).join(outlines_titles(outlines, keys), keys, "left").withColumn("n", F.count("*").over(w))
-    lone = with_title.where("book_title is not null and n = 1").select(*keys).distinct()
-    again = O.segments(outlines.join(lone, keys, "left_semi"), keys, detect=False)
-    plain = O.chapters(again, keys).withColumn("book_title", F.lit(None).cast("string")).withColumn("n", F.count("*").over(w))
-    return titled.join(lone, keys, "left_anti").unionByName(again), with_title.join(lone, keys, "left_anti").unionByName(plain)
+    o = outlines.join(files.select(*keys, "n_files"), keys)
+    return O.segments(o, keys, by_file=F.col("n_files") > 1)
 
 
-def multi_file_chapters(outlines: DataFrame, files: DataFrame) -> DataFrame:
-    """book_id, chapter_no, file_ord, seg, title, part, n_blocks of books of several files, whose
-    outlines are keyed by book_id, file_ord.
+def file_chapters(segmented: DataFrame, files: DataFrame) -> DataFrame:
+    """book_id, chapter_no, file_ord, seg, title, part, n_blocks of books whose segments are keyed by
+    book_id, file_ord. files: book_id, file_ord, file_name, n_files.
 
-    In a file, a lone top heading over several chapters is their part; over one chapter it was the
-    chapter's title. A single untitled chapter is named after its file."""
+    In a book of several files, a lone top heading over several chapters of a file is their part;
+    over one chapter it was the chapter's title. A file's single untitled chapter is named after it,
+    as a file without any chapter is. A book of one file without any has one untitled chapter."""
     keys = ["book_id", "file_ord"]
-    _, found = file_segments(outlines)
-    found = found.withColumn("part", F.coalesce("part", "book_title"))
-    # a file without any chapter stands for one empty chapter, which its name then titles
-    both = files.select(*keys, "file_name").join(found, keys, "left")
-    alone = (F.coalesce("n", F.lit(1)) == 1) & (F.coalesce("title", F.lit("")) == "")
-    both = both.withColumn("title", F.when(alone, T.title_from_filename(F.col("file_name"))).otherwise(F.col("title"))).withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
-    both = both.where("title <> '' or n_blocks > 0").withColumn("seg", F.coalesce("seg", F.lit(0)))
+    found = O.chapters(segmented, keys, carry=("book_title",)).withColumn("n", F.count("*").over(Window.partitionBy(*keys))).drop("chapter_no")
+    both = files.select(*keys, "file_name", "n_files").join(found, keys, "left")
+    several = F.col("n_files") > 1
+    title = F.coalesce("title", F.lit(""))
+    alone = several & (F.coalesce("n", F.lit(1)) == 1) & (title == "")
+    both = both.withColumn("title", F.when(alone, T.title_from_filename(F.col("file_name"))).otherwise(title)).withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+    both = both.withColumn("part", F.coalesce("part", F.when(several, F.col("book_title")))).withColumn("seg", F.coalesce("seg", F.lit(0)))
+    both = both.where(~several | (F.col("title") != "") | (F.col("n_blocks") > 0))
     order = Window.partitionBy("book_id").orderBy("file_ord", "seg")
     return both.select("book_id", (F.row_number().over(order) - 1).cast("int").alias("chapter_no"), "file_ord", "seg", "title", "part", "n_blocks")
 
 
-def multi_file_blocks(outlines: DataFrame, files: DataFrame, chapters: DataFrame) -> DataFrame:
-    """book_id, chapter_no, block_no, kind, runs of what multi_file_chapters gives."""
-    segments, _ = file_segments(outlines)
-    return O.blocks(segments, chapters, ["book_id", "file_ord"])
-
-
-def outlines_titles(outlines: DataFrame, keys: list[str]) -> DataFrame:
-    return O.detect_title(outlines, keys).groupBy(*keys).agg(F.max("book_title").alias("book_title"))
+def file_blocks(segmented: DataFrame, chapters: DataFrame) -> DataFrame:
+    """book_id, chapter_no, block_no, kind, runs: blocks with the numbers that file_chapters gave.
+    One row a chapter is joined."""
+    keys = ["book_id", "file_ord", "seg"]
+    body = segmented.where("chapter_no is not null and not is_chapter")
+    w = Window.partitionBy(*keys).orderBy("item_no")
+    body = body.select(*keys, (F.row_number().over(w) - 1).cast("int").alias("block_no"), "kind", "runs")
+    return body.join(chapters.select(*keys, "chapter_no"), keys).drop("file_ord", "seg")
 
 
 def chapter_list(counted: DataFrame) -> DataFrame:

@@ -184,6 +184,7 @@ add("source_words", f"c AS (SELECT source, lang, sum({words('text')})::BIGINT AS
 add("lines", LINES, "SELECT * FROM lines")
 add("route_files", ROUTED, "SELECT book_id, file_ord, file_name, route FROM routed")
 add("ingest_status", ROUTED, "SELECT book_id, CASE WHEN count(*) FILTER (route = 'text') > 0 AND count(*) FILTER (route = 'docx') > 0 THEN 'mixed' WHEN count(*) FILTER (route = 'docx') > 1 THEN 'multi_docx' WHEN count(*) FILTER (route <> 'other') = 0 THEN 'unsupported' ELSE 'ok' END AS status FROM routed GROUP BY 1")
+add("read_status", "", "SELECT doc_id AS book_id, CASE WHEN doc_id % 13 = 0 THEN 'unsupported' WHEN doc_id % 11 = 0 THEN 'unreadable' ELSE 'ok' END AS status FROM documents")
 add("natural_sort", NAMES, "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY regexp_extract(file_name, '^[0-9]+')::INT, lower(regexp_replace(file_name, '^[0-9]+', '')), file_ord) - 1 AS file_ord, file_name FROM names")
 add("neutralize_tildes", FILES, r"SELECT book_id, regexp_replace(content, '(?m)^[ \t]{0,3}~{3,}[ \t]*$', '* * *', 'g') AS content FROM files")
 add("scene_breaks", LINES, f"SELECT book_id, line_no FROM lines WHERE {scene('line')}")

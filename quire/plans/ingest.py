@@ -2,110 +2,143 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import books as B
 from quire.operators import lines as L
 from quire.operators import outline as O
-from quire.sources.docx import parse_docx
-from quire.sources.markdown import metadata, outline, parse_files
 from quire.plans.batches import parts
+from quire.plans.folders import kept
+from quire.sources.docx import explode_docx, read_docx
+from quire.sources.markdown import metadata, outline, parse_files
+
+CHAPTER = ["book_id", "chapter_no", "title", "part", "n_blocks"]
+BLOCK = ["book_id", "chapter_no", "block_no", "kind", "runs"]
 
 
-@dataclass
 class Ingested:
     """status: book_id, status. candidates: book_id, id, text, before, after (none in a second pass).
-    books, chapters, blocks: the books of status ok."""
+    books, chapters, blocks: the books of status ok. counts: files, unreadable and items, observed
+    while the files were parsed.
+
+    Files are parsed when something that needs it is asked for, once, and the parsed rows are kept
+    in the shared folder; candidates of texts don't need it. A book with a file that can't be read
+    has status unreadable and no rows; other books aren't touched by it."""
+
+    def __init__(self, routed: DataFrame, parse: Callable[[], DataFrame], candidates: Callable[[Ingested], DataFrame], build: Callable[[Ingested], tuple[DataFrame, DataFrame, DataFrame]]):
+        self._routed, self._parse, self._candidates, self._build = routed, parse, candidates, build
+        self._seen = Observation()
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        counts = [F.count("*").alias("files"), F.count("error").alias("unreadable"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("items")]
+        return kept(self._parse().observe(self._seen, *counts))
+
+    @property
+    def counts(self) -> dict[str, int]:
+        _ = self.parsed
+        return self._seen.get
+
+    @cached_property
+    def failed(self) -> DataFrame:
+        """book_id, error: one of each book that can't be read."""
+        return self.parsed.where("error is not null").groupBy("book_id").agg(F.min("error").alias("error"))
 
-    status: DataFrame
-    candidates: DataFrame
-    books: DataFrame
-    chapters: DataFrame
-    blocks: DataFrame
+    @cached_property
+    def readable(self) -> DataFrame:
+        return self.parsed.join(self.failed, "book_id", "left_anti")
 
+    @cached_property
+    def status(self) -> DataFrame:
+        return B.with_unreadable(self._routed, self.failed)
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows written once, with a plan that starts from them: in the shared folder that the session
-    names (a temporary one where driver and executors are one process). Without a folder on a cluster
-    the rows are persisted, and released with spark.catalog.clearCache()."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            return df.persist()
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-"))
-    return df.checkpoint()
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return self._candidates(self)
+
+    @cached_property
+    def _built(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return self._build(self)
+
+    @property
+    def books(self) -> DataFrame:
+        return self._built[0]
+
+    @property
+    def chapters(self) -> DataFrame:
+        return self._built[1]
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self._built[2]
 
 
 def ingest_text(files: DataFrame, decisions: DataFrame | None = None) -> Ingested:
-    """files: book_id, file_ord, file_name, content. decisions: book_id, id, is_title. The parsed
-    outlines are kept (see `kept`), as all results use them and their plan is long.
+    """files: book_id, file_ord, file_name, content. decisions: book_id, id, is_title.
 
     Without decisions the books are what the undecided text gives, and candidates are to be asked
     about; with decisions confirmed lines are headings and declined ones prose."""
-    status = B.ingest_status(files)
-    ok = B.route(files).where("route = 'text'").drop("route").join(status.where("status = 'ok'").select("book_id"), "book_id", "left_semi")
+    routed = B.ingest_status(files)
+    ok = B.route(files).where("route = 'text'").drop("route").join(routed.where("status = 'ok'").select("book_id"), "book_id", "left_semi")
     ok = B.natural_order(ok).select("book_id", "file_ord", "file_name", "content")
     rows = L.lines(ok)
     found = L.with_ids(L.centered_lines(rows), ok)
+    text = ok
     if decisions is not None:
         answers = L.answered(found, decisions).where("is_title is not null").select("book_id", "file_ord", "idx", "is_title")
         depths = L.promotion_depth(L.headings(rows).withColumnRenamed("line_no", "ord"), L.opens_with_heading(rows))
-        ok = L.apply_decisions(ok, answers, depths)
-    parsed = kept(parse_files(ok))
-    items = outline(parsed)
-    named = parsed.select("book_id", "file_ord", "file_name")  # what is kept has the files' names, so the texts' plan is used once
-    n_files = named.groupBy("book_id").agg(F.count("*").alias("n_files"), F.min_by("file_name", "file_ord").alias("file_name"))
-    items = items.join(n_files, "book_id")
-    single = items.where("n_files = 1")
-    segments = O.segments(single, ["book_id"])
-    chapters = O.chapters(segments, ["book_id"])
-    blocks = O.blocks(segments, chapters, ["book_id"])
-    several = named.join(n_files.where("n_files > 1").select("book_id"), "book_id", "left_semi")
-    multi = B.multi_file_chapters(items.where("n_files > 1"), several)
-    multi_blocks = B.multi_file_blocks(items.where("n_files > 1"), several, multi)
-    titles = single.transform(lambda o: O.detect_title(o, ["book_id"])).groupBy("book_id").agg(F.max("book_title").alias("found_title"))
-    meta = metadata(parsed).join(n_files, "book_id").join(titles, "book_id", "left").withColumn("title", F.coalesce("title", "found_title"))
-    meta = meta.withColumn("file_name", F.when(F.col("n_files") == 1, F.col("file_name")))
-    books = B.finish(meta).drop("found_title", "n_files", "file_name")
-    cols = ["book_id", "chapter_no", "title", "part", "n_blocks"]
-    all_chapters = O.with_empty_books(chapters.select(cols), n_files.where("n_files = 1")).unionByName(multi.select(cols))
-    block_cols = ["book_id", "chapter_no", "block_no", "kind", "runs"]
+        text = L.apply_decisions(ok, answers, depths)
     asked = found.drop("file_ord", "idx", "file_name")
-    return Ingested(status, asked if decisions is None else asked.where("false"), books, all_chapters, blocks.select(block_cols).unionByName(multi_blocks.select(block_cols)))
+
+    def build(self: Ingested) -> tuple[DataFrame, DataFrame, DataFrame]:
+        parsed = self.readable
+        n_files = F.count("*").over(Window.partitionBy("book_id"))
+        named = kept(parsed.select("book_id", "file_ord", "file_name", n_files.cast("int").alias("n_files")))
+        segments = kept(B.file_segments(outline(parsed), named))
+        chapters = B.file_chapters(segments, named)
+        titles = segments.where("n_files = 1").groupBy("book_id").agg(F.max("book_title").alias("found_title"))
+        single = named.where("n_files = 1").select("book_id", "file_name")
+        meta = metadata(parsed).join(single, "book_id", "left").join(titles, "book_id", "left").withColumn("title", F.coalesce("title", "found_title"))
+        return B.finish(meta).drop("found_title", "file_name"), chapters.select(CHAPTER), B.file_blocks(segments, chapters).select(BLOCK)
+
+    return Ingested(routed, lambda: parse_files(text), lambda _: asked if decisions is None else asked.where("false"), build)
 
 
 def ingest_docx(files: DataFrame, decisions: DataFrame | None = None) -> Ingested:
     """The same for Word files (book_id, file_name, content), one a book. Books without any heading
     are cut at lines that read as chapter titles."""
-    status = B.ingest_status(files)
-    ok = files.join(status.where("status = 'ok'").select("book_id"), "book_id", "left_semi")
-    paras = parse_docx(ok)
-    found = L.with_ids(L.centered_paragraphs(paras))
-    if decisions is not None:
-        answers = L.answered(found, decisions).where("is_title is not null").select("book_id", F.col("idx").alias("para_no"), "is_title")
-        paras = B.apply_paragraph_decisions(paras, answers)
-    marked = paras.withColumn("any", F.max(F.col("heading").isNotNull()).over(Window.partitionBy("book_id")))
-    styled = O.segments(O.paragraph_outline(marked.where("any")), ["book_id"])
-    plain = O.segments(O.line_outline(marked.where("not any")), ["book_id"], detect=False)
-    cols, block_cols = ["book_id", "chapter_no", "title", "part", "n_blocks"], ["book_id", "chapter_no", "block_no", "kind", "runs"]
-    chapters = [O.chapters(s, ["book_id"]) for s in (styled, plain)]
-    blocks = [O.blocks(s, c, ["book_id"]).select(block_cols) for s, c in zip((styled, plain), chapters, strict=True)]
-    titles = O.detect_title(O.paragraph_outline(marked.where("any")), ["book_id"]).groupBy("book_id").agg(F.max("book_title").alias("found"))
-    none = F.lit(None).cast("string")
-    books = ok.select("book_id", "file_name").join(titles, "book_id", "left").select("book_id", F.coalesce("found", T.title_from_filename(F.col("file_name"), keep_number=True)).alias("title"), F.lit("").alias("author"), *[none.alias(c) for c in ("legal_name", "address", "email", "phone", "language")])
-    all_chapters = O.with_empty_books(chapters[0].select(cols).unionByName(chapters[1].select(cols)), books)
-    asked = found.drop("idx")
-    return Ingested(status, asked if decisions is None else asked.where("false"), books, all_chapters, blocks[0].unionByName(blocks[1]))
+    routed = B.ingest_status(files)
+    ok = files.join(routed.where("status = 'ok'").select("book_id"), "book_id", "left_semi")
+
+    def found(self: Ingested) -> DataFrame:
+        return L.with_ids(L.centered_paragraphs(explode_docx(self.readable)))
+
+    def build(self: Ingested) -> tuple[DataFrame, DataFrame, DataFrame]:
+        paras = explode_docx(self.readable)
+        if decisions is not None:
+            answers = L.answered(found(self), decisions).where("is_title is not null").select("book_id", F.col("idx").alias("para_no"), "is_title")
+            paras = B.apply_paragraph_decisions(paras, answers)
+        marked = paras.withColumn("any", F.max(F.col("heading").isNotNull()).over(Window.partitionBy("book_id")))
+        styled = O.segments(O.paragraph_outline(marked.where("any")), ["book_id"])
+        plain = O.segments(O.line_outline(marked.where("not any")), ["book_id"], detect=False)
+        segments = kept(styled.unionByName(plain))
+        titles = segments.groupBy("book_id").agg(F.max("book_title").alias("found"))
+        none = F.lit(None).cast("string")
+        books = self.readable.select("book_id", "file_name").join(titles, "book_id", "left").select("book_id", F.coalesce("found", T.title_from_filename(F.col("file_name"), keep_number=True)).alias("title"), F.lit("").alias("author"), *[none.alias(c) for c in ("legal_name", "address", "email", "phone", "language")])
+        return books, O.with_empty_books(O.chapters(segments, ["book_id"]).select(CHAPTER), books), O.blocks(segments, ["book_id"]).select(BLOCK)
+
+    def asked(self: Ingested) -> DataFrame:
+        rows = found(self).drop("idx")
+        return rows if decisions is None else rows.where("false")
+
+    return Ingested(routed, lambda: read_docx(ok), asked, build)
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:

@@ -38,8 +38,7 @@ def chapters(s, d):
 
 def built(s, d):
     seg = segmented(s, d)
-    found = O.chapters(seg, KEY)
-    return found, O.blocks(seg, found, KEY)
+    return O.chapters(seg, KEY), O.blocks(seg, KEY)
 
 
 def events_text(s, d):
@@ -248,18 +247,17 @@ def merged_runs(s, d):
 
 @query
 def depth_levels(s, d):
-    o = O.levels(O.detect_title(A.outline(s, d), KEY), KEY)
-    return o.groupBy("book_id").agg(F.max("d0").alias("d0"), F.max("d1").alias("d1"))
+    return O.shapes(A.outline(s, d), KEY).select("book_id", "titled.d0", "titled.d1")
 
 
 @query
 def detect_title(s, d):
-    return O.detect_title(A.outline(s, d), KEY).where("is_title").select("book_id", "book_title")
+    return O.shapes(A.outline(s, d), KEY).where("title_no is not null").select("book_id", "book_title")
 
 
 @query
 def part_shaped(s, d):
-    return O.levels(O.detect_title(A.outline(s, d), KEY), KEY).groupBy("book_id").agg(F.bool_or("part_shaped").alias("part_shaped"))
+    return O.shapes(A.outline(s, d), KEY).select("book_id", "titled.part_shaped")
 
 
 @query
@@ -417,7 +415,8 @@ def multi_file_chapters(s, d):
     o = o.select(*keys("user_id"), *[c for c in o.columns if c not in ("user_id", "file_ord")])
     users = A.books(s, d).select(*keys("book_id"))
     files = names.join(users, KEY + ["file_ord"], "full").withColumn("file_name", F.coalesce("file_name", F.expr("file_ord || '-part_' || book_id || '.md'")))
-    return B.multi_file_chapters(o, files).drop("seg")
+    files = files.withColumn("n_files", F.lit(5))
+    return B.file_chapters(B.file_segments(o, files), files).drop("seg")
 
 
 @query
@@ -477,6 +476,13 @@ def ingest_candidates(s, d):
     return ingest_text(A.files(s, d)).candidates
 
 
+@query
+def read_status(s, d):
+    from quire.plans.ingest import ingest_text
+
+    return ingest_text(A.hostile_files(s, d)).status
+
+
 @query
 def ingested_books(s, d):
     from quire.plans.ingest import ingest_text

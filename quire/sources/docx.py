@@ -76,24 +76,36 @@ def paragraphs(data: bytes) -> list[dict]:
     return out
 
 
-def parse_docx(files: DataFrame) -> DataFrame:
-    """From book_id, content (bytes): book_id, para_no, heading, centered, runs. Files that aren't
-    Word documents give no rows."""
+def read_docx(files: DataFrame) -> DataFrame:
+    """From book_id, content (bytes) and, if there is one, file_name: book_id, file_name, items
+    (paragraphs: heading, centered, runs), error. A file that is no Word document, or is broken, has
+    no items but an error, the kind of failure; it ends neither its task nor other files."""
     para = pa.struct([("heading", pa.int32()), ("centered", pa.bool_()), ("runs", pa.list_(pa.struct([("text", pa.string()), ("italic", pa.bool_()), ("bold", pa.bool_())])))])
 
+    def one(data: bytes | None) -> tuple[list, str | None]:
+        try:
+            return paragraphs(data or b""), None
+        except Exception as e:  # archives of unknown origin fail in many ways
+            return [], type(e).__name__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            found = []
-            for data in batch.column("content").to_pylist():
-                try:
-                    found.append(paragraphs(data or b""))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    found.append([])
-            yield pa.RecordBatch.from_arrays([batch.column("book_id"), pa.array(found, pa.list_(para))], names=["book_id", "paras"])
-
-    cols = files.select(F.col("book_id").cast("long").alias("book_id"), "content")
-    parsed = cols.mapInArrow(run, f"book_id long, paras array<struct<heading:int,centered:boolean,runs:{RUNS}>>")
-    return parsed.select("book_id", F.posexplode("paras").alias("para_no", "p")).select("book_id", "para_no", "p.*")
+            items, error = zip(*[one(d) for d in batch.column("content").to_pylist()], strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("book_id"), batch.column("file_name"), pa.array(items, pa.list_(para)), pa.array(error, pa.string())], names=["book_id", "file_name", "items", "error"])
+
+    name = F.col("file_name") if "file_name" in files.columns else F.lit(None).cast("string")
+    cols = files.select(F.col("book_id").cast("long").alias("book_id"), name.alias("file_name"), "content")
+    return cols.mapInArrow(run, f"book_id long, file_name string, items array<struct<heading:int,centered:boolean,runs:{RUNS}>>, error string")
+
+
+def explode_docx(read: DataFrame) -> DataFrame:
+    """book_id, para_no, heading, centered, runs of what read_docx gives."""
+    return read.select("book_id", F.posexplode("items").alias("para_no", "p")).select("book_id", "para_no", "p.*")
+
+
+def parse_docx(files: DataFrame) -> DataFrame:
+    """The paragraphs of Word files; files that can't be read give none."""
+    return explode_docx(read_docx(files))
 
 
 def read_docx_files(spark: SparkSession, path: str) -> DataFrame:

@@ -460,17 +460,26 @@ def parse(content: str) -> tuple[dict[str, str], list[dict]]:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """book_id, file_ord, file_name, meta (map of front matter strings), items (outline items)."""
+    """book_id, file_ord, file_name, meta (map of front matter strings), items (outline items), error.
+    A text that can't be parsed (quotes or lists nested deeper than Python's stack, say) has no items
+    but an error, the kind of failure; it ends neither its task nor other files."""
     item = pa.struct([("item_no", pa.int32()), ("kind", pa.string()), ("depth", pa.int32()), ("text", pa.string()), ("runs", pa.list_(pa.struct([("text", pa.string()), ("italic", pa.bool_()), ("bold", pa.bool_())])))])
 
+    def one(text: str) -> tuple[list, list, str | None]:
+        try:
+            meta, items = parse(text)
+            return list(meta.items()), items, None
+        except Exception as e:  # whatever a text of unknown origin does to the parser
+            return [], [], type(e).__name__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            found = [parse(c or "") for c in batch.column("content").to_pylist()]
-            cols = [batch.column("book_id"), batch.column("file_ord"), batch.column("file_name"), pa.array([list(m.items()) for m, _ in found], pa.map_(pa.string(), pa.string())), pa.array([i for _, i in found], pa.list_(item))]
-            yield pa.RecordBatch.from_arrays(cols, names=["book_id", "file_ord", "file_name", "meta", "items"])
+            meta, items, error = zip(*[one(c or "") for c in batch.column("content").to_pylist()], strict=True)
+            cols = [batch.column("book_id"), batch.column("file_ord"), batch.column("file_name"), pa.array(meta, pa.map_(pa.string(), pa.string())), pa.array(items, pa.list_(item)), pa.array(error, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["book_id", "file_ord", "file_name", "meta", "items", "error"])
 
     cols = files.select(F.col("book_id").cast("long").alias("book_id"), F.col("file_ord").cast("int").alias("file_ord"), "file_name", "content")
-    return cols.mapInArrow(run, f"book_id long, file_ord int, file_name string, meta map<string,string>, items array<{ITEM}>")
+    return cols.mapInArrow(run, f"book_id long, file_ord int, file_name string, meta map<string,string>, items array<{ITEM}>, error string")
 
 
 def outline(parsed: DataFrame) -> DataFrame:

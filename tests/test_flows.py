@@ -26,6 +26,29 @@ def test_two_passes(spark):
     assert second.books.where("book_id = 1").first().title == "b"
 
 
+def test_candidates_need_no_parse(spark):
+    first = ingest_text(spark.createDataFrame([(1, 0, "b.md", TEXT)], FILES))
+    assert first.candidates.count() == 3 and "parsed" not in vars(first)
+
+
+def test_unreadable_files(spark):
+    """A hostile text and a broken archive cost their own books only, and are counted."""
+    texts = [(1, 0, "a.md", "# A\n\nx"), (2, 0, "b.md", ">" * 1500 + " x"), (3, 0, "c.md", "- " * 1200 + "x"), (4, 0, "d.md", "fine"), (5, 0, "e.md", "good\n"), (5, 1, "f.md", ">" * 5000), (6, 0, "g.pdf", "x"), (7, 0, "h.md", None)]
+    got = ingest_text(spark.createDataFrame(texts, FILES).coalesce(1))
+    status = {1: "ok", 2: "unreadable", 3: "unreadable", 4: "ok", 5: "unreadable", 6: "unsupported", 7: "ok"}
+    assert dict(r for r in got.status.collect()) == status
+    assert {r.book_id for r in got.books.collect()} == {r.book_id for r in got.chapters.collect()} == {1, 4, 7}
+    assert got.counts == {"files": 7, "unreadable": 3, "items": 4}
+    assert {r.error for r in got.failed.collect()} == {"RecursionError"}
+    whole = D.pack(got.books.where("book_id = 1"), D.paragraphs(got.books, got.chapters, got.blocks).where("book_id = 1"), B.book_words(B.chapter_words(got.chapters, got.blocks)))
+    data = bytes(whole.first().data)
+    broken = data[: len(data) // 2] + b"xx" + data[len(data) // 2 + 40 :]
+    files = spark.createDataFrame([(1, "a.docx", data), (2, "b.docx", b"no archive"), (3, "c.docx", None), (4, "d.docx", broken)], "book_id long, file_name string, content binary")
+    read = ingest_docx(files.coalesce(1))
+    assert dict(r for r in read.status.collect()) == {1: "ok", 2: "unreadable", 3: "unreadable", 4: "unreadable"}
+    assert {r.book_id for r in read.chapters.collect()} == {1} == {r.book_id for r in read.books.collect()} and read.counts["unreadable"] == 3
+
+
 def test_several_files(spark):
     files = spark.createDataFrame([(1, 0, "10-c.md", "# Ten\n\nx"), (1, 1, "2-b.txt", "text two words"), (1, 2, "1-a.md", "# P\n\n## A\n\nx\n\n## B\n\ny")], FILES)
     got = ingest_text(files)

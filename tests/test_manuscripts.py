@@ -35,7 +35,7 @@ def book_of(spark, text, name="book.md"):
     parsed, o = outline_of(spark, text, name)
     seg = O.segments(o, ["book_id"]).cache()
     found = O.chapters(seg, ["book_id"])
-    return parsed, found, O.blocks(seg, found, ["book_id"])
+    return parsed, found, O.blocks(seg, ["book_id"])
 
 
 def listed(df, *cols):
@@ -165,7 +165,8 @@ def test_chapters(spark, text, expected):
 
 def test_lone_title_and_empty_book(spark):
     _, o = outline_of(spark, "# T\n\n## C1\n\na\n\n## C2\n\nb")
-    assert O.detect_title(o, ["book_id"]).where("is_title").first().book_title == "T"
+    row = O.shapes(o, ["book_id"]).first()
+    assert (row.title_no, row.book_title, row.titled.chapter_depth, row.plain.chapter_depth) == (0, "T", 2, 1)
     books = spark.createDataFrame([(1,), (2,)], "book_id long")
     _, found, _ = book_of(spark, "")
     assert listed(O.with_empty_books(found, books).orderBy("book_id"), "book_id", "chapter_no", "title", "n_blocks") == [(1, 0, "", 0), (2, 0, "", 0)]
@@ -225,10 +226,47 @@ def test_markdown_details(spark):
 def test_multi_file(spark):
     texts = ["# P one\n\n## A\n\nx\n\n## B\n\ny", "# Alone\n\n## C\n\nz", "just text", ""]
     files = spark.createDataFrame([(1, i, f"{i + 1}-file_{i}.md", t) for i, t in enumerate(texts)], "book_id long, file_ord int, file_name string, content string")
-    found = B.multi_file_chapters(M.outline(M.parse_files(files)), files)
+    files = files.withColumn("n_files", F.lit(4))
+    seg = B.file_segments(M.outline(M.parse_files(files)), files)
+    found = B.file_chapters(seg, files)
+    assert listed(B.file_blocks(seg, found).orderBy("chapter_no", "block_no").select("chapter_no", "block_no", T.run_text(F.col("runs")).alias("t")), "chapter_no", "block_no", "t") == [(0, 0, "x"), (1, 0, "y"), (2, 0, "C"), (2, 1, "z"), (3, 0, "just text")]
     assert listed(found.orderBy("chapter_no"), "title", "part", "n_blocks") == [("A", "P one", 1), ("B", "P one", 1), ("Alone", None, 2), ("file 2", None, 1), ("file 3", None, 0)]
 
 
+def slow_shape(depths):
+    """Sections walked one by one."""
+    if not depths:
+        return None, None, False
+    d0 = min(depths)
+    d1 = min((d for d in depths if d > d0), default=None)
+    counts = []
+    for d in depths:
+        if d == d0:
+            counts.append(0)
+        elif d == d1 and counts:
+            counts[-1] += 1
+    return d0, d1, d1 is not None and len(counts) >= 2 and min(counts) >= 1 and max(counts) >= 2
+
+
+def test_shapes(spark):
+    import random
+
+    rng = random.Random(2)
+    books = {b: [rng.choice([None, 1, 1, 2, 2, 2, 3]) for _ in range(rng.randint(1, 9))] for b in range(300)}
+    rows = [(b, i * 2, d, f"t{i}") for b, ds in books.items() for i, d in enumerate(ds)]
+    rng.shuffle(rows)
+    shapes = O.shapes(spark.createDataFrame(rows, "book_id long, item_no int, depth int, text string"), ["book_id"])
+    assert "Window" not in shapes._jdf.queryExecution().executedPlan().toString()
+    found = {r.book_id: r for r in shapes.collect()}
+    for b, ds in books.items():
+        heads = [d for d in ds if d]
+        titled = ds[0] is not None and len(heads) >= 2 and ds[0] == min(heads) and heads.count(min(heads)) == 1
+        r = found[b]
+        assert (r.title_no, r.book_title) == ((0, "t0") if titled else (None, None))
+        assert tuple(r.plain)[:3] == slow_shape(heads) and tuple(r.titled)[:3] == slow_shape(heads[1:] if titled else heads), (b, ds)
+    assert sum(r.titled.part_shaped for r in found.values()) > 10
+
+
 def test_html_paragraphs(spark):
     html = '<h1>Title</h1><p>A <em>b</em> <strong>c</p><p class="x is-centered">d</strong> e</p>out<p> </p><li>***<p>x<br>&amp;y'
     p = H.paragraphs(spark.createDataFrame([(1, html)], "book_id long, html string")).orderBy("para_no")
