@@ -279,6 +279,7 @@ _BASE = r"regexp_replace(regexp_replace(file_name, '\.[^.]+$', ''), '[-_]+', ' '
 add("title_from_filename", NAMES, f"SELECT book_id, file_ord, {trim(f'regexp_replace({_BASE}, {chr(39)}^[0-9]+[{WS}]*{chr(39)}, {chr(39)}{chr(39)})')} AS title, {trim(_BASE)} AS docx_title FROM names")
 _SAFE = r"regexp_replace(regexp_replace(regexp_replace(lower(coalesce(nullif(title, ''), 'untitled')), '[''’]', '', 'g'), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g')"
 add("safe_filename", BOOKS, f"SELECT book_id, coalesce(nullif(left({_SAFE}, 60), ''), 'untitled') || '.epub' AS file_name FROM books")
+add("saved_files", f"{BOOKS}, named AS (SELECT *, coalesce(nullif(left({_SAFE}, 60), ''), 'untitled') || '.txt' AS file_name, concat_ws(chr(10), title, author, address, book_id::VARCHAR) AS content FROM books WHERE book_id % 3 <> 0)", "SELECT 'shelf-' || book_id % 7 || '/' || book_id AS folder, file_name, strlen(content) AS size, md5(content) AS digest FROM named")
 _EVENT = "event_type || ' ' || event_id || ' & <' || props || '>'"
 add("escape_xml", "", f"SELECT event_id, {esc(_EVENT)} AS s FROM events")
 _CODED = f"{_EVENT} || ' &lt;b&gt; &amp;amp; &quot;x&apos; &nbsp; &#38;lt; &#x' || lower(hex(65 + event_id % 20)) || '; &#' || (97 + event_id % 26) || ';'"

@@ -430,6 +430,19 @@ def safe_filename(s, d):
     return A.books(s, d).select("book_id", T.safe_filename(F.col("title"), ".epub").alias("file_name"))
 
 
+@query
+def saved_files(s, d):
+    from quire.plans.folders import new_folder
+    from quire.sources.files import read_files, save_files
+
+    b = A.books(s, d)
+    suffix = F.when(F.col("book_id") % 3 == 0, ".bin").otherwise(".txt")
+    lines = F.concat_ws("\n", "title", "author", "address", F.col("book_id").cast("string"))
+    target = new_folder(s, "saved")
+    save_files(b.select(F.expr("'shelf-' || book_id % 7 || '/' || book_id").alias("folder"), F.concat(T.safe_filename(F.col("title"), ""), suffix).alias("file_name"), lines.cast("binary").alias("data")), target)
+    return read_files(s, target, "kind = 'text'").select("folder", "file_name", "size", F.md5("content").alias("digest"))
+
+
 @query
 def escape_xml(s, d):
     return events_text(s, d).select("event_id", T.escape_xml(F.col("s")).alias("s"))
