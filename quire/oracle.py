@@ -206,6 +206,7 @@ add(
    FROM walk w JOIN log l ON l.book_id = w.book_id AND l.k = w.k + 1 WHERE NOT over)""",
     "SELECT a.book_id, a.place, a.id, (SELECT arg_max(w.yes, w.k) FROM walk w WHERE w.book_id = a.book_id AND a.place BETWEEN w.lo AND w.hi) AS is_title, (SELECT bool_or(w.over) FROM walk w WHERE w.book_id = a.book_id) AS finished FROM asked a",
 )
+add("changed_books", DECIDED, "SELECT book_id, book_id % 50 = 7 AS gone FROM files WHERE book_id % 50 = 7 OR book_id % 20 = 9 OR book_id % 10 = 3 AND book_id IN (SELECT book_id FROM asked WHERE is_title IS NOT NULL)")
 add("apply_decisions_text", f"{DECIDED}, {OPENS}, {DEPTHS}", f"SELECT l.book_id, string_agg(CASE WHEN is_title IS NULL THEN line WHEN is_title THEN repeat('#', depth) || ' ' || {trim('line')} ELSE {trim('line')} END, {NL} ORDER BY line_no) AS content FROM lines l JOIN depths USING (book_id) LEFT JOIN asked a ON a.book_id = l.book_id AND a.idx = l.line_no GROUP BY 1")
 add("centered_paras", PARA_FOUND, "SELECT * FROM found")
 add("plausible_candidates", "e AS (SELECT user_id AS book_id, event_id, event_type IN ('signup', 'error') AND value < 60 + user_id % 40 AS hit FROM events), g AS (SELECT book_id, count(*) FILTER (hit) AS n, count(*) AS pop FROM e GROUP BY 1)", "SELECT book_id, event_id FROM e JOIN g USING (book_id) WHERE hit AND NOT (n > 20 AND n * 5 > pop)")

@@ -496,6 +496,17 @@ def read_status(s, d):
     return ingest_text(A.hostile_files(s, d)).status
 
 
+@query
+def changed_books(s, d):
+    from quire.plans.incremental import changes, digests
+
+    files = A.files(s, d)
+    _, answers = decisions(s, d)
+    later = files.where("book_id % 50 <> 7").withColumn("content", F.expr("CASE WHEN book_id % 20 = 9 THEN content || ' more' ELSE content END"))
+    other = answers.withColumn("is_title", F.expr("CASE WHEN book_id % 10 = 3 THEN NOT is_title ELSE is_title END"))
+    return changes(digests(files, answers), digests(later, other)).select("book_id", F.col("digest").isNull().alias("gone"))
+
+
 @query
 def ingested_books(s, d):
     from quire.plans.ingest import ingest_text
