@@ -6,8 +6,9 @@ apart by depth: page parts (menu, header, footer, sidebar, form) and names that
 notices or widgets count below the innermost article element and above it separately, since a
 page's wrappers are often called after what stands beside the article. Besides there are what an
 element says of reader comments, which of the page's articles a block is in, and how that one
-compares in words with the largest. A decision tree (CART) that is trained on a small labelled
-table says which blocks are main text.
+compares in words with the largest, and whether it is a paragraph, a list item or a table cell. A
+decision tree (CART) that is trained on a small labelled table says which blocks are main text; the
+table has pages that mark their article and pages that don't, short ones among both.
 
 Defined results: null and empty html, and pages without main text, give an empty text; broken
 markup is read as far as it goes (a tag that never ends is text, an element that never ends lasts
@@ -24,7 +25,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -35,11 +36,12 @@ from pyspark.sql import functions as F
 from quire.llm._common import map_batches, slices, texts_of
 
 #: Names of HTML elements.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder mstyle".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("button canvas datalist iframe math noscript object option script select style svg template textarea title audio video".split())
+SKIPPED = frozenset("annotation annotation-xml button canvas datalist iframe noscript object option script select style svg template textarea title audio video".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ELEMENTS = dict.fromkeys("p blockquote pre figcaption".split(), 1) | dict.fromkeys("li dt dd".split(), 2) | dict.fromkeys("td th caption".split(), 3)
 PARTS = frozenset("nav header footer aside form menu dialog fieldset".split())
 #: Words of class, id and role values that hint at what isn't article.
 HINTS = frozenset(
@@ -61,7 +63,7 @@ _SPLIT = re.compile(r"[^a-z]+")
 _CLOSED_BY = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     words: int
@@ -69,7 +71,7 @@ class Block:
     place: Place
 
 
-@dataclass
+@dataclass(slots=True)
 class Place:
     """What is known of an element's surroundings. kind: 2 in an article element, 1 in one that
     only its names call so, 0 in none; article: which of them; parts and hints are counted below
@@ -87,24 +89,27 @@ class Place:
     heading: int = 0
 
 
+def named(attributes: str) -> tuple[bool, bool, bool]:
+    """Do class, id and role hint at what isn't article, at an article, at reader comments? A name
+    of several words hints if half of them do: a search-results-explained is no search form."""
+    names = [[w for w in _SPLIT.split(x) if w] for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()]
+    hint = any(2 * sum(w in HINTS for w in ws) >= len(ws) for ws in names if ws)
+    words = {w for ws in names for w in ws}
+    return hint or bool(_HIDDEN.search(attributes)), bool(words & MAIN_HINTS), any(2 * sum(w in TALK for w in ws) >= len(ws) for ws in names if ws)
+
+
 def inside(up: Place, name: str, attributes: str, articles: int) -> Place:
     """The surroundings of what lies in an element, from those of the element."""
-    names = {w for m in _NAMES.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower())} if attributes else set()
-    kind = 2 if name in ("article", "main") else int(bool(names & MAIN_HINTS) and name in ("div", "section"))
+    hint, main, talk = named(attributes) if attributes else (False, False, False)
+    kind = 2 if name in ("article", "main") else int(main and name in ("div", "section"))
     frame = name in ("html", "body")
-    hint = int(bool(names & HINTS) or bool(attributes and _HIDDEN.search(attributes)))
-    here = replace(up, name=name, talk=up.talk or int(bool(names & TALK) and not frame), heading=up.heading or int(name in HEADINGS))
+    talk, heading = up.talk or int(talk and not frame), up.heading or int(name in HEADINGS)
     if kind == 2 or kind > up.kind:
-        here.kind, here.article = kind, articles
-        here.parts_above, here.hints_above = up.parts_above + up.parts + up.header, up.hints_above + up.hints + hint
-        here.parts = here.header = here.hints = 0
-    elif frame:
-        here.hints_above += hint
-    else:
-        here.parts += int(name in PARTS and name != "header")
-        here.header += int(name == "header")
-        here.hints += hint
-    return here
+        return Place(name, kind, articles, 0, 0, 0, up.parts_above + up.parts + up.header, up.hints_above + up.hints + hint, talk, heading)
+    if frame:
+        return Place(name, up.kind, up.article, up.parts, up.header, up.hints, up.parts_above, up.hints_above + hint, talk, heading)
+    header = name == "header"
+    return Place(name, up.kind, up.article, up.parts + (name in PARTS and not header), up.header + header, up.hints + hint, up.parts_above, up.hints_above, talk, heading)
 
 
 class TagEnds:
@@ -243,7 +248,7 @@ def blocks(page: str) -> list[Block]:
 
 
 FEATURES = (
-    "words", "density", "words_before", "density_before", "words_after", "density_after", "kind", "parts", "hints", "parts_above", "hints_above", "talk", "heading", "article", "share", "best_kind",
+    "words", "density", "words_before", "density_before", "words_after", "density_after", "kind", "parts", "hints", "parts_above", "hints_above", "talk", "heading", "element", "article", "share", "best_kind",
 )
 
 
@@ -261,7 +266,7 @@ def features(found: list[Block]) -> np.ndarray:
     for b in found:
         p = b.place
         parts = p.parts + (p.header if not (p.kind and p.heading) else 0)  # an article's own header may hold its heading
-        rest.append((p.kind, min(parts, 2), min(p.hints, 2), min(p.parts_above, 2), min(p.hints_above, 2), p.talk, p.heading, min(order.get(p.article, 0), 3), sizes[p.article] / most if p.kind else 0.0, best))
+        rest.append((p.kind, min(parts, 2), min(p.hints, 2), min(p.parts_above, 2), min(p.hints_above, 2), p.talk, p.heading, ELEMENTS.get(p.name, 0), min(order.get(p.article, 0), 3), sizes[p.article] / most if p.kind else 0.0, best))
     return np.hstack([own, np.vstack([edge, own])[:-1], np.vstack([own, edge])[1:], np.array(rest, float).reshape(-1, len(FEATURES) - 6)])
 
 
@@ -308,7 +313,7 @@ def decide(node: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled_table(pages: int = 400, seed: int = 11) -> list[tuple[str, str]]:
+def labelled_table(pages: int = 1000, seed: int = 11) -> list[tuple[str, str]]:
     """Small pages, and for each of their blocks in turn 1 (main text) or 0. Prose of n words is
     written w*n here, so that the table stays readable."""
     rng = random.Random(seed)
@@ -350,12 +355,17 @@ def labelled_table(pages: int = 400, seed: int = 11) -> list[tuple[str, str]]:
             lambda: (f"<p>{n(6, 30)} <a>{n(1, 9)}</a></p>", "1"),
             lambda: (f"<p>{n(20, 60)}</p><p><a>{n(3, 12)}</a></p><p>{n(20, 60)}</p>", "111"),  # a linked line within prose
             lambda: (f"<ul><li>{n(3, 20)}</li><li><a>{n(1, 4)}</a></li><li>{n(3, 20)}</li></ul>", "111"),
+            lambda: (f"<ul>{''.join(f'<li><a>{n(1, 8)}</a></li>' for _ in range(3))}</ul>", "111"),  # sources, say
+            lambda: (f"<blockquote>{n(2, 40)}</blockquote><figure><figcaption>{n(2, 12)}</figcaption></figure>", "11"),
+            lambda: (f"<table><tr><th>{n(1, 3)}</th><td>{n(1, 5)}</td></tr><tr><td><a>{n(1, 2)}</a></td></tr></table>", "111"),
+            lambda: (f"<div>{n(10, 90)}</div>", "1"),
             lambda: (f"<h2>{n(1, 9)}</h2>" + prose(9)[0], "11"),
         ]
         inner = [rng.choice(kinds)() for _ in range(rng.randint(1, 6))]
         for k in rng.sample("ad aside form notice".split(), rng.randint(0, 2)):
             inner.insert(rng.randint(0, len(inner)), noise(k))
-        return inner + ([prose(15), noise(rng.choice(["links", "cards"]))] if rng.random() < 0.4 else [])
+        teaser = [(f"<div><a>{n(8, 60)}</a></div><div>{n(5, 80)}</div>", "00")] if rng.random() < 0.8 else []  # of what the link before leads to
+        return inner + ([prose(15), noise(rng.choice(["links", "cards"])), *teaser] if rng.random() < 0.4 else [])
 
     out = []
     for _ in range(pages):
@@ -364,7 +374,7 @@ def labelled_table(pages: int = 400, seed: int = 11) -> list[tuple[str, str]]:
         for markup, close, chance in (("<body class='right-sidebar comments'>", "</body>", 0.2), ("<form id=aspnetForm>", "</form>", 0.15), ("<div class='page-with-sidebar'>", "</div>", 0.2), ("<div class='content-with-sidebar'>", "</div>", 0.2)):
             if rng.random() < chance:
                 wrap, unwrap = wrap + markup, close + unwrap
-        if rng.random() < 0.7:  # a page that marks its article
+        if rng.random() < 0.6:  # a page that marks its article
             name = rng.choice(["article", "article", "main", "div"])
             names = "class=post" if name == "div" else rng.choice(["", "", "class='post tag-news tags'", "class=search", "class='entry share'", "class='story comments-open'"])
             stray = [noise("stray") for _ in range(rng.randint(0, 2))] if "content" not in wrap else []
@@ -372,8 +382,25 @@ def labelled_table(pages: int = 400, seed: int = 11) -> list[tuple[str, str]]:
             more = [x for _ in range(rng.randint(1, 2)) for x in ((f"<{name} {names}>", ""), *body(), (f"</{name}>", ""))] if rng.random() < 0.15 else []
             out.append(page(*(before if "content" not in wrap else []), (wrap, ""), *stray, (f"<{name} {names}>", ""), head, *body(), (f"</{name}>", ""), *more, *some("talk talks", 1), (unwrap, ""), *after, *stray))
         else:  # one that doesn't
-            text = [prose(25) for _ in range(rng.randint(1, 4))]
-            out.append(page(*before, *text, (f"<p>{n(18, 40)} <a>{n(1, 4)}</a></p>", "1"), *text, *after, noise("foot")))
+            plain = [
+                lambda: prose(1),
+                lambda: prose(1),
+                lambda: prose(25),
+                lambda: (f"<p>{n(6, 40)} <a>{n(1, 4)}</a></p>", "1"),
+                lambda: (f"<h2>{n(1, 9)}</h2>{prose(3)[0]}", "11"),
+                lambda: (f"<ul><li>{n(1, 20)}</li><li>{n(1, 20)}</li><li>{n(3, 9)} <a>{n(1, 3)}</a></li></ul>", "111"),
+                lambda: (f"<blockquote>{n(2, 40)}</blockquote><pre>{n(2, 40)}</pre>", "11"),
+                lambda: (f"<figure><figcaption>{n(2, 12)}</figcaption></figure>{prose(9)[0]}", "11"),
+                lambda: (f"<table><tr><th>{n(1, 3)}</th><td>{n(1, 5)}</td></tr></table>", "11"),
+                lambda: (f"<div>{n(30, 120)}</div>", "1"),
+                lambda: (f"<div>{n(20, 120)}</div>", "1"),
+            ]
+            head = [(f"<h1>{n(1, 12)}</h1>", "1")] if rng.random() < 0.6 else []
+            text = [rng.choice(plain)() for _ in range(rng.choice([1, 1, 1, 2, 3, 5]))]
+            short = [(f"<div>{n(1, 12)}</div>", "0")] if rng.random() < 0.4 else []
+            if rng.random() < 0.2:  # text without any elements of its own
+                text, short = [(f"<div>{n(15, 120)}</div>", "1") for _ in range(rng.randint(1, 2))], []
+            out.append(page(*before, *head, *text, *after, *short))
     return out
 
 
