@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,29 +95,94 @@ def opens_with_heading(rows: DataFrame) -> DataFrame:
     return t.groupBy(*KEYS).agg(F.coalesce(F.min_by(T.atx_depth(F.col("line")).isNotNull(), F.when(content, F.col("line_no"))), F.lit(False)).alias("opens"))
 
 
-def apply_decisions(files: DataFrame, decisions: DataFrame, depths: DataFrame) -> DataFrame:
-    """files (book_id, file_ord, content, ...) with new content: confirmed lines become headings,
-    declined ones lose their indent. decisions: book_id, file_ord, idx, is_title; null answers change
-    nothing, and of two answers for one line the confirming one holds. Only the answers are grouped;
-    a file stays one row, and its lines between two answers are copied in one piece."""
-    sorted_answers = F.array_sort(F.collect_set(F.struct(F.col("idx").cast("int").alias("no"), F.col("is_title").alias("yes"))))
-    answers = decisions.where("is_title is not null").groupBy(*KEYS).agg(sorted_answers.alias("_answers"))
-    last_of_line = lambda a: F.filter(a, lambda x, i: ~F.coalesce(F.get(a, i + 1)["no"] == x["no"], F.lit(False)))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value as a lambda's variable, so that it is computed once for a row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def review(files: DataFrame, check: bool = True) -> DataFrame:
+    """files (book_id, file_ord, file_name, content) with candidates (array of idx, text, before,
+    after, as `centered_lines` finds them) and depth (what a confirmed title gets, as
+    `promotion_depth`). A file is one row all along: no line is exploded, sorted or shuffled."""
+    at = lambda array, i: F.get(array, i)
+
+    def candidates(lines: Column, texts: Column, full: Column) -> Column:
+        near = F.transform(full, lambda i, k: F.struct(i.alias("idx"), at(full, k - 1).alias("prev"), at(full, k + 1).alias("next")))
+        apart = lambda gap: F.coalesce(gap > 1, F.lit(True))
+        found = F.filter(near, lambda r: apart(r["idx"] - r["prev"]) & apart(r["next"] - r["idx"]) & T.is_centered_shaped(at(lines, r["idx"])))
+        made = lambda r: F.struct(r["idx"].alias("idx"), at(texts, r["idx"]).alias("text"), T.clip(at(texts, r["prev"])).alias("before"), T.clip(at(texts, r["next"])).alias("after"))
+        many = lambda f: (F.size(f) > 20) & (F.size(f) * 5 > F.size(full)) if check else F.lit(False)
+        return bound(found, lambda f: F.transform(F.filter(f, lambda _: ~many(f)), made))
+
+    def depth(lines: Column, texts: Column, full: Column) -> Column:
+        heads = F.filter(F.transform(lines, lambda x: T.atx_depth(x)), lambda d: d.isNotNull())
+        first = at(full, F.lit(0))
+        closed = F.array_min(F.filter(full, lambda i: (i > first) & (at(texts, i) == "---")))
+        content = F.when(at(texts, first) == "---", F.array_min(F.filter(full, lambda i: i > closed))).otherwise(first)
+        opens = F.coalesce(T.atx_depth(at(lines, content)).isNotNull(), F.lit(False))
+
+        def of(h: Column) -> Column:
+            low = F.array_min(h)
+            lone = opens & (at(h, F.lit(0)) == low) & (F.size(F.filter(h, lambda d: d == F.array_min(h))) == 1)
+            return F.when(F.size(h) == 0, 1).when(lone, F.least(low + 1, F.lit(6))).otherwise(low)
+
+        return bound(heads, of).cast("int")
+
+    def facts(lines: Column) -> Column:
+        def of(texts: Column) -> Column:
+            full = F.filter(F.transform(texts, lambda t, i: F.when(t != "", i)), lambda i: i.isNotNull())
+            return bound(full, lambda f: F.struct(candidates(lines, texts, f).alias("candidates"), depth(lines, texts, f).alias("depth")))
+
+        return bound(F.transform(lines, lambda x: T.trim(x)), of)
+
+    found = bound(F.split(F.coalesce("content", F.lit("")), "\n"), facts)
+    return files.withColumn("_facts", found).select(*files.columns, "_facts.candidates", "_facts.depth")
+
+
+def candidate_rows(reviewed: DataFrame) -> DataFrame:
+    """book_id, file_ord, file_name, idx, id, text, before, after of what `review` found."""
+    rows = reviewed.select(*KEYS, "file_name", F.explode("candidates").alias("c")).select(*KEYS, "file_name", "c.*")
+    return rows.withColumn("id", F.concat_ws(":", "file_name", "idx"))
+
+
+def with_answers(reviewed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Adds answers (array of no, yes, by line) to what `review` gives: the decisions (book_id, id,
+    is_title) about its candidates. Only decisions are grouped; of two about one line the confirming
+    one holds, null ones are none."""
+    given = decisions.where("is_title is not null").groupBy("book_id", "id").agg(F.bool_or("is_title").alias("yes"))
+    given = given.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "yes"))).alias("_given"))
+    said = lambda c: F.struct(c["idx"].alias("no"), F.col("_given")[F.concat_ws(":", F.col("file_name"), c["idx"])].alias("yes"))
+    answers = F.filter(F.transform("candidates", said), lambda a: a["yes"].isNotNull())
+    return reviewed.join(given, "book_id", "left").withColumn("answers", F.when(F.col("_given").isNotNull(), answers)).drop("_given")
+
+
+def apply_answers(files: DataFrame) -> DataFrame:
+    """Files with content, depth and answers (array of no, yes, sorted by no, each line once) become
+    files with new content: confirmed lines become headings, declined ones lose their indent. Lines
+    between two answers are copied in one piece; answers and depth go."""
 
     def joined(lines: Column) -> Column:
-        after = lambda i: F.coalesce(F.get(F.col("_answers"), i)["no"] + 1, F.lit(0))
+        after = lambda i: F.coalesce(F.get(F.col("answers"), i)["no"] + 1, F.lit(0))
 
         def piece(a: Column, i: Column) -> Column:
             text = T.trim(F.get(lines, a["no"]))
             new = F.when(text == "", F.get(lines, a["no"])).when(a["yes"], F.concat(F.repeat(F.lit("#"), F.col("depth")), F.lit(" "), text)).otherwise(text)
             return F.array_join(F.concat(F.slice(lines, after(i - 1) + 1, a["no"] - after(i - 1)), F.array(new)), "\n")
 
-        start = after(F.size("_answers") - 1)
+        start = after(F.size("answers") - 1)
         rest = F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0)))
-        pieces = F.transform("_answers", piece)
+        pieces = F.transform("answers", piece)
         return F.array_join(F.when(F.size(rest) > 0, F.concat(pieces, F.array(F.array_join(rest, "\n")))).otherwise(pieces), "\n")
 
-    t = files.join(answers.withColumn("_answers", last_of_line(F.col("_answers"))), KEYS, "left").join(depths, KEYS)
-    # one bound variable, so that the text is split once
-    new = F.element_at(F.transform(F.array(F.split("content", "\n")), joined), 1)
-    return t.withColumn("content", F.when(F.col("_answers").isNull(), F.col("content")).otherwise(new)).drop("_answers", "depth")
+    new = bound(F.split("content", "\n"), joined)
+    none = F.col("answers").isNull() | (F.size("answers") == 0)
+    return files.withColumn("content", F.when(none, F.col("content")).otherwise(new)).drop("answers", "depth")
+
+
+def apply_decisions(files: DataFrame, decisions: DataFrame, depths: DataFrame) -> DataFrame:
+    """The same for answers by line (book_id, file_ord, idx, is_title) and depths of files; null
+    answers change nothing, and of two for one line the confirming one holds."""
+    sorted_answers = F.array_sort(F.collect_set(F.struct(F.col("idx").cast("int").alias("no"), F.col("is_title").alias("yes"))))
+    answers = decisions.where("is_title is not null").groupBy(*KEYS).agg(sorted_answers.alias("answers"))
+    last_of_line = F.filter("answers", lambda x, i: ~F.coalesce(F.get(F.col("answers"), i + 1)["no"] == x["no"], F.lit(False)))
+    return apply_answers(files.join(answers.withColumn("answers", last_of_line), KEYS, "left").join(depths, KEYS))

@@ -208,6 +208,7 @@ add(
 )
 add("changed_books", DECIDED, "SELECT book_id, book_id % 50 = 7 AS gone FROM files WHERE book_id % 50 = 7 OR book_id % 20 = 9 OR book_id % 10 = 3 AND book_id IN (SELECT book_id FROM asked WHERE is_title IS NOT NULL)")
 add("apply_decisions_text", f"{DECIDED}, {OPENS}, {DEPTHS}", f"SELECT l.book_id, string_agg(CASE WHEN is_title IS NULL THEN line WHEN is_title THEN repeat('#', depth) || ' ' || {trim('line')} ELSE {trim('line')} END, {NL} ORDER BY line_no) AS content FROM lines l JOIN depths USING (book_id) LEFT JOIN asked a ON a.book_id = l.book_id AND a.idx = l.line_no GROUP BY 1")
+ORACLE_SQL["joined_decisions_text"] = ORACLE_SQL["apply_decisions_text"]
 add("centered_paras", PARA_FOUND, "SELECT * FROM found")
 add("plausible_candidates", "e AS (SELECT user_id AS book_id, event_id, event_type IN ('signup', 'error') AND value < 60 + user_id % 40 AS hit FROM events), g AS (SELECT book_id, count(*) FILTER (hit) AS n, count(*) AS pop FROM e GROUP BY 1)", "SELECT book_id, event_id FROM e JOIN g USING (book_id) WHERE hit AND NOT (n > 20 AND n * 5 > pop)")
 add("apply_decisions_paras", f"{PARA_FOUND}, {PARA_DEPTHS}, asked AS (SELECT book_id, idx AS para_no, (book_id + idx) % 3 = 1 AS is_title FROM found WHERE (book_id + idx) % 3 <> 0)", f"SELECT s.book_id, s.para_no, CASE WHEN heading IS NULL AND is_title THEN depth ELSE heading END AS heading, CASE WHEN heading IS NULL AND is_title THEN {esc('text')} WHEN heading IS NULL AND is_title IS NOT NULL THEN {EDGED} ELSE '<em>' || {esc('left(raw, 3)')} || '</em>' || {esc('substring(raw, 4)')} END AS runs FROM spt s JOIN depths USING (book_id) LEFT JOIN asked USING (book_id, para_no)")

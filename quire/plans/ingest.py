@@ -88,14 +88,9 @@ def ingest_text(files: DataFrame, decisions: DataFrame | None = None) -> Ingeste
     routed = B.ingest_status(files)
     ok = B.route(files).where("route = 'text'").drop("route").join(routed.where("status = 'ok'").select("book_id"), "book_id", "left_semi")
     ok = B.natural_order(ok).select("book_id", "file_ord", "file_name", "content")
-    rows = L.lines(ok)
-    found = L.with_ids(L.centered_lines(rows), ok)
-    text = ok
-    if decisions is not None:
-        answers = L.answered(found, decisions).where("is_title is not null").select("book_id", "file_ord", "idx", "is_title")
-        depths = L.promotion_depth(L.headings(rows).withColumnRenamed("line_no", "ord"), L.opens_with_heading(rows))
-        text = L.apply_decisions(ok, answers, depths)
-    asked = found.drop("file_ord", "idx", "file_name")
+    reviewed = L.review(ok)
+    text = ok if decisions is None else L.apply_answers(L.with_answers(reviewed, decisions)).drop("candidates")
+    asked = L.candidate_rows(reviewed).select("book_id", "id", "text", "before", "after")
 
     def build(self: Ingested) -> tuple[DataFrame, DataFrame, DataFrame]:
         parsed = self.readable

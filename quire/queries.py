@@ -130,7 +130,7 @@ def centered_lines(s, d):
 
 
 def decisions(s, d):
-    found = L.with_ids(L.centered_lines(L.lines(A.files(s, d))), A.files(s, d))
+    found = L.candidate_rows(L.review(A.files(s, d)))
     return found, found.where("(book_id + idx) % 3 <> 0").select("book_id", "id", F.expr("(book_id + idx) % 3 = 1").alias("is_title"))
 
 
@@ -153,8 +153,15 @@ def answer_log(s, d):
 
 @query
 def apply_decisions_text(s, d):
-    found, answers = decisions(s, d)
-    return L.apply_decisions(A.files(s, d), L.answered(found, answers), depths(s, d)).drop("file_ord", "file_name")
+    reviewed = L.review(A.files(s, d))
+    said = F.expr("transform(filter(candidates, c -> (book_id + c.idx) % 3 <> 0), c -> named_struct('no', c.idx, 'yes', (book_id + c.idx) % 3 = 1))")
+    return L.apply_answers(reviewed.withColumn("answers", said)).select("book_id", "content")
+
+
+@query
+def joined_decisions_text(s, d):
+    _, answers = decisions(s, d)
+    return L.apply_answers(L.with_answers(L.review(A.files(s, d)), answers)).select("book_id", "content")
 
 
 @query

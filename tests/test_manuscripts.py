@@ -129,6 +129,34 @@ def test_plausible(spark, n, plain, kept):
     assert L.centered_lines(rows).count() == kept
 
 
+def test_review_in_the_row(spark):
+    """What is found within a file's row is what sorted lines give."""
+    import random
+
+    rng = random.Random(8)
+    parts = ["", "", "", "text", "\t\tSong", "        Two of them", "# A", "  ## B", "---", "* * *", "\t\t\u3000", " \t", "\t\t" + "x" * 61, "\r", "###### Z", "z" * 150]
+    texts = ["\n".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(150)]
+    texts += ["\n\n".join(["        t"] * 21 + ["p"] * n) for n in (83, 84)] + ["---\na\n---\n\n# T", "---\n# T", "\n\n---\n---\n# T", "# T", None]
+    files = spark.createDataFrame([(i // 2, i % 2, f"f{i % 2}.md", t) for i, t in enumerate(texts)], "book_id long, file_ord int, file_name string, content string")
+    rows, reviewed = L.lines(files.fillna("")), L.review(files).cache()
+    assert "Exchange" not in reviewed._jdf.queryExecution().executedPlan().toString()
+    cols = ["book_id", "file_ord", "idx", "text", "before", "after"]
+    sorted_rows = lambda df: sorted(map(repr, df.select(cols).collect()))
+    found = L.candidate_rows(reviewed)
+    assert sorted_rows(found) == sorted_rows(L.centered_lines(rows)) and found.count() > 40
+    assert sorted_rows(L.candidate_rows(L.review(files, check=False))) == sorted_rows(L.centered_lines(rows, check=False))
+    depths = L.promotion_depth(L.headings(rows).withColumnRenamed("line_no", "ord"), L.opens_with_heading(rows))
+    depth = lambda df: sorted(map(tuple, df.select("book_id", "file_ord", "depth").collect()))
+    assert depth(reviewed) == depth(depths)
+    # answers: some twice, some null, some about nothing
+    given = found.where("idx % 4 < 3").select("book_id", "id", F.expr("CASE idx % 4 WHEN 0 THEN true WHEN 1 THEN false END").alias("is_title"))
+    given = given.unionByName(found.where("idx % 4 = 1 and idx % 3 = 0").select("book_id", "id", F.lit(True).alias("is_title"))).unionByName(spark.createDataFrame([(0, "f0.md:9999", True), (999, "f0.md:0", True)], given.schema))
+    new = L.apply_answers(L.with_answers(reviewed, given))
+    want = L.apply_decisions(files, L.answered(found, given).select("book_id", "file_ord", "idx", "is_title"), depths)
+    text = lambda df: sorted(map(repr, df.select("book_id", "file_ord", "content").collect()))
+    assert text(new) == text(want) and new.columns == [*files.columns, "candidates"]
+
+
 @pytest.mark.parametrize(("text", "depth"), [("", 1), ("# T\n\ntext", 2), ("---\na: b\n---\n\n# T", 2), ("x\n\n# T", 1), ("# A\n\n# B", 1), ("###### T", 6), ("---\n# T", 1)])
 def test_promotion_depth(spark, text, depth):
     _, rows = lines_of(spark, text)
