@@ -40,6 +40,11 @@ SPOKEN_LINE = (
 )
 #: Files of a part number's books: one to six, by number.
 NAMED_BOOK = "p_partkey - p_partkey % (1 + cast(floor(p_partkey / 60) as bigint) % 6)"
+#: Names with several numbers, letters with accents and of both cases, and names that are the same.
+VARIED = (
+    "CASE file_ord % 6 WHEN 0 THEN 'Teil ' || (book_id % 12) || ' Kap ' || (file_ord * 7 % 13) || '.md' WHEN 1 THEN 'teil ' || (book_id % 12) || ' kap ' || (file_ord * 5 % 13) || '.md' WHEN 2 THEN 'téil 00' || (file_ord * 3 % 12) || '.md' "
+    "WHEN 3 THEN 'Äpfel-' || (file_ord % 2) || '_' || (book_id % 10) || '.txt' WHEN 4 THEN 'zebra10b' || (file_ord * 11 % 102) || '.md' ELSE file_name END"
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -162,11 +162,13 @@ def numbered(prefix: str, n: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts names with their numbers by value: digit runs are padded to 40 places (longer ones sort
-    as text), letters sort without case first. Use with the name and the input's order as ties."""
+    """Sorts names with their numbers by value and their letters by the root collation: by letter,
+    then accent, then case. Digit runs lose leading zeros and are padded to 40 places (longer ones
+    sort as text). Names that differ in leading zeros only are ties; use the input's order for them."""
     runs = F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), 1)
     bare = lambda r: F.regexp_replace(r, r"\A0+(?=.)", "")
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"\A[0-9]+\z"), F.lpad(bare(r), F.greatest(F.lit(40), F.length(bare(r))), F.lit("0"))).otherwise(F.lower(r))), "")
+    padded = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"\A[0-9]+\z"), F.lpad(bare(r), F.greatest(F.lit(40), F.length(bare(r))), F.lit("0"))).otherwise(r)), "")
+    return F.collate(padded, "UNICODE")
 
 
 def run_text(runs: Column) -> Column:

@@ -73,7 +73,7 @@ def ingest_status(s, d):
 
 @query
 def natural_sort(s, d):
-    return B.natural_order(A.named_files(s, d)).select("book_id", "file_ord", "file_name")
+    return B.natural_order(A.named_files(s, d).withColumn("file_name", F.expr(A.VARIED))).select("book_id", "file_ord", "file_name")
 
 
 @query
@@ -372,7 +372,7 @@ def epub_opf(s, d):
 @query
 def epub_entries(s, d):
     found, blocks = built(s, d)
-    return E.entries(A.books(s, d), found, blocks).select("book_id", "seq", "path", "stored", F.length("content").alias("n_chars"))
+    return E.entries(A.books(s, d), found, blocks).select("book_id", "seq", "path", "stored", F.md5("content").alias("digest"))
 
 
 @query

@@ -78,6 +78,11 @@ def test_strings(spark):
 def test_natural_order(spark):
     files = spark.createDataFrame([(1, i, n) for i, n in enumerate(["10-a.md", "2-a.md", "1-a.md", "b10.md", "b2.md"])], "book_id long, file_ord int, file_name string")
     assert [r.file_name for r in B.natural_order(files).orderBy("file_ord").collect()] == ["1-a.md", "2-a.md", "10-a.md", "b2.md", "b10.md"]
+    names = ["z1", "Z1", "é2", "e10", "E2", "e2", "é10", "a_1", "a-1", "a1", "A01b", "a1b", "a 1", "a1.10.2", "a1.9.11", "a1.9.2", "ß", "ss", "st", "12", "9", "09", "100"]
+    rows = spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "book_id long, file_ord int, file_name string")
+    want = ["9", "09", "12", "100", "a_1", "a-1", "a 1", "a1", "a1.9.2", "a1.9.11", "a1.10.2", "a1b", "A01b", "e2", "E2", "é2", "e10", "é10", "ss", "ß", "st", "z1", "Z1"]
+    got = [r.file_name for r in B.natural_order(rows).orderBy("file_ord").collect()]
+    assert [x for x in got if " " not in x] == [x for x in want if " " not in x] and got.index("a 1") < got.index("a_1")
 
 
 def test_ingest_status(spark):
