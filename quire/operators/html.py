@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -25,14 +25,19 @@ def tags(rows: DataFrame, centered: str = CENTERED) -> DataFrame:
     return rows.withColumn("is_center", F.col("tag").isin("p", "li") & F.col("token").rlike(rf'class="[^"]*\b{centered}\b'))
 
 
+def style_steps() -> dict[str, Column]:
+    """What a token adds to the open tags of italic and bold."""
+    step = lambda *kinds: F.when(F.col("tag").isin(*kinds) & ~F.col("is_text"), F.when(F.col("closing"), -1).otherwise(1)).otherwise(0)
+    return {"italic": step("em", "i"), "bold": step("strong", "b")}
+
+
 def styles(rows: DataFrame) -> DataFrame:
-    """Adds italic and bold: open tags of each, never below zero, over the whole document."""
+    """Adds italic and bold: open tags of each, never below zero, over the whole document. For
+    documents larger than a task see `ranges.clamped`."""
     w = Window.partitionBy("book_id").orderBy("tok_no")
-    for name, kinds in (("italic", ("em", "i")), ("bold", ("strong", "b"))):
-        step = F.when(F.col("tag").isin(*kinds) & ~F.col("is_text"), F.when(F.col("closing"), -1).otherwise(1)).otherwise(0)
-        rows = rows.withColumn(f"_{name}", F.sum(step).over(w))
-        rows = rows.withColumn(name, (F.col(f"_{name}") - F.least(F.lit(0), F.min(f"_{name}").over(w))).cast("int")).drop(f"_{name}")
-    return rows
+    rows = rows.withColumns({f"_{n}": F.sum(c).over(w) for n, c in style_steps().items()})
+    rows = rows.withColumns({n: (F.col(f"_{n}") - F.least(F.lit(0), F.min(f"_{n}").over(w))).cast("int") for n in ("italic", "bold")})
+    return rows.drop("_italic", "_bold")
 
 
 def pieces(rows: DataFrame) -> DataFrame:

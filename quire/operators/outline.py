@@ -91,11 +91,15 @@ def segments(outline: DataFrame, keys: list[str], detect: bool = True, by_file:
     before = F.last(F.when(F.col("_mark"), F.col("seg")), ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1))
     o = o.withColumn("_new", F.col("_mark") & ~F.col("seg").eqNullSafe(before))
     o = o.withColumn("chapter_no", F.when(F.col("_mark"), F.sum(F.col("_new").cast("int")).over(run) - 1).cast("int"))
-    deep = (F.col("kind") == "heading") & ~F.col("is_part") & ~F.col("is_chapter") & ~F.col("is_title")
+    return demoted(o.where("not is_title")).select(*outline.columns, "seg", "part", "is_part", "is_chapter", "chapter_no", "book_title", "demoted")
+
+
+def demoted(rows: DataFrame) -> DataFrame:
+    """Adds demoted: headings that are neither parts nor chapters, which become bold paragraphs."""
+    deep = (F.col("kind") == "heading") & ~F.col("is_part") & ~F.col("is_chapter")
     bold = F.array(F.struct(F.col("text"), F.lit(False).alias("italic"), F.lit(True).alias("bold")))
-    o = o.withColumn("runs", F.when(deep, bold).otherwise(F.col("runs"))).withColumn("demoted", deep)
-    o = o.withColumn("kind", F.when(deep, "paragraph").otherwise(F.col("kind"))).where("not is_title")
-    return o.select(*outline.columns, "seg", "part", "is_part", "is_chapter", "chapter_no", "book_title", "demoted")
+    o = rows.withColumn("runs", F.when(deep, bold).otherwise(F.col("runs"))).withColumn("demoted", deep)
+    return o.withColumn("kind", F.when(deep, "paragraph").otherwise(F.col("kind")))
 
 
 def chapters(segmented: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:

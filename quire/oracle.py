@@ -230,6 +230,8 @@ add("detect_title", TITLES, "SELECT book_id, book_title FROM titles")
 add("part_shaped", LEVELS, "SELECT book_id, part_shaped FROM shapes")
 add("book_chapters", f"{SEGMENTS}, {BOOKS}", "SELECT b.book_id, coalesce(chapter_no, 0) AS chapter_no, coalesce(c.title, '') AS title, part, coalesce(n_blocks, 0) AS n_blocks FROM books b LEFT JOIN chapters c USING (book_id)")
 add("chapter_parts", SEGMENTS, "SELECT book_id, item_no, part FROM segs WHERE is_chapter")
+add("ranged_segments", SEGMENTS, "SELECT s.book_id, item_no, chapter_no, s.part, kind = 'heading' AND NOT is_chapter AS demoted FROM segs s JOIN chapters c USING (book_id, seg) WHERE NOT is_part")
+ORACLE_SQL["ranged_styles"] = ORACLE_SQL["style_state"]
 add("demoted_headings", SEGMENTS, f"SELECT book_id, item_no, '<strong>' || {esc('text')} || '</strong>' AS runs FROM segs WHERE kind = 'heading' AND NOT is_part AND NOT is_chapter")
 add("part_breaks_epub", f"{SEGMENTS}, {PARTED}", "SELECT book_id, chapter_no, part FROM starts WHERE new_part")
 GAPS = f"{SEGMENTS.replace('chapters AS (SELECT *,', 'whole AS (SELECT *,')}, chapters AS (SELECT book_id, chapter_no, CASE WHEN chapter_no % 3 <> 1 THEN 'Part ' || (chapter_no // 5) END AS part FROM whole)"

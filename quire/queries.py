@@ -11,9 +11,11 @@ from quire.operators import books as B
 from quire.operators import html as H
 from quire.operators import lines as L
 from quire.operators import outline as O
+from quire.operators import ranges as W
 from quire.operators import reviews as R
 from quire.plans import docx as D
 from quire.plans import epub as E
+from quire.plans.folders import kept
 
 KEY = ["book_id"]
 QUERIES: dict = {}
@@ -41,6 +43,12 @@ def built(s, d):
     return O.chapters(seg, KEY), O.blocks(seg, KEY)
 
 
+def written(s, d):
+    """The same from segments that are written once: for what uses them many times."""
+    seg = kept(segmented(s, d))
+    return O.chapters(seg, KEY), O.blocks(seg, KEY)
+
+
 def events_text(s, d):
     return A.table(s, d, "events").select("event_id", F.expr("event_type || ' ' || event_id || ' & <' || props || '>'").alias("s"))
 
@@ -277,6 +285,18 @@ def chapter_parts(s, d):
     return segmented(s, d).where("is_chapter").select("book_id", "item_no", "part")
 
 
+@query
+def ranged_segments(s, d):
+    seg = W.segments(A.outline(s, d), KEY, width=16)
+    return seg.where("chapter_no is not null").select("book_id", "item_no", "chapter_no", "part", "demoted")
+
+
+@query
+def ranged_styles(s, d):
+    t = H.tags(H.tokens(A.html(s, d)))
+    return W.clamped(t, KEY, "tok_no", H.style_steps(), width=8).select("book_id", "tok_no", "italic", "bold")
+
+
 @query
 def demoted_headings(s, d):
     return segmented(s, d).where("demoted").select("book_id", "item_no", T.runs_xhtml(F.col("runs")).alias("runs"))
@@ -371,13 +391,13 @@ def epub_opf(s, d):
 
 @query
 def epub_entries(s, d):
-    found, blocks = built(s, d)
+    found, blocks = written(s, d)
     return E.entries(A.books(s, d), found, blocks).select("book_id", "seq", "path", "stored", F.md5("content").alias("digest"))
 
 
 @query
 def docx_layout(s, d):
-    found, blocks = built(s, d)
+    found, blocks = written(s, d)
     p = D.paragraphs(A.books(s, d), found, blocks)
     return p.select("book_id", "seq", "role", "align", "page_break_before", T.run_text(F.col("runs")).alias("text"))
 
@@ -535,13 +555,13 @@ def parsed_markdown(s, d):
 
 @query
 def packed_epub(s, d):
-    found, blocks = built(s, d)
+    found, blocks = written(s, d)
     return E.pack(E.entries(A.books(s, d), found, blocks)).select("book_id", F.length("data").alias("n_bytes"), F.hex(F.substring("data", 31, 28)).alias("head"))
 
 
 @query
 def packed_docx(s, d):
-    found, blocks = built(s, d)
+    found, blocks = written(s, d)
     words = B.book_words(B.chapter_words(found, blocks))
     books = A.books(s, d)
     return D.pack(books, D.paragraphs(books, found, blocks), words).select("book_id", "file_name", F.length("data").alias("n_bytes"))
@@ -551,7 +571,7 @@ def packed_docx(s, d):
 def docx_round_trip(s, d):
     from quire.sources.docx import parse_docx
 
-    found, blocks = built(s, d)
+    found, blocks = written(s, d)
     books = A.books(s, d)
     files = D.pack(books, D.paragraphs(books, found, blocks), B.book_words(B.chapter_words(found, blocks)))
     return parse_docx(files.select("book_id", F.col("data").alias("content"))).select("book_id", "para_no", "centered", T.runs_xhtml(F.col("runs")).alias("runs"))
