@@ -111,7 +111,9 @@ def repeated(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     rows = cut_lineage(map_batches(docs.where("doc_id is not null").select("doc_id", "text"), hashed, "span long, check long, doc_id long, place long"))
     key = ["span", "check"]
     owners = rows.groupBy(*key).agg(F.min_by("place", F.when(F.col("place") >= 0, F.col("doc_id"))).alias("owner_place"), F.min("doc_id").alias("owner"), F.count("*").alias("n"))
-    return rows.join(owners.where("n > 1").drop("n"), key).where("doc_id != owner or place != owner_place").select("doc_id", F.col("place").bitwiseAND(F.lit((1 << 63) - 1)).alias("place"))
+    # written, so that the join deals out both sides and a span of many rows can be split
+    owners = cut_lineage(owners.where("n > 1").drop("n"))
+    return rows.join(owners, key).where("doc_id != owner or place != owner_place").select("doc_id", F.col("place").bitwiseAND(F.lit((1 << 63) - 1)).alias("place"))
 
 
 def without_covered(text: str, places: list[int], passage: int) -> tuple[str, int, int, int]:
