@@ -197,6 +197,7 @@ add("promotion_depth", f"{CENTERED_ALL}, {OPENS}, {DEPTHS}", "SELECT * FROM dept
 add("standalone_centered", CENTERED_ALL, "SELECT * FROM everything")
 add("centered_lines", CENTERED_ALL, "SELECT * FROM found")
 add("candidate_decisions", DECIDED, "SELECT book_id, id, text, is_title FROM asked")
+ORACLE_SQL["stored_decisions"] = ORACLE_SQL["candidate_decisions"]
 add("bulk_decisions", DECIDED, "SELECT book_id, id, coalesce(is_title, CASE WHEN idx >= (SELECT min(b.idx) FROM asked b WHERE b.book_id = a.book_id AND b.is_title IS NULL) THEN false END) AS is_title FROM asked a")
 add(
     "answer_log",

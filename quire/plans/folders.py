@@ -32,3 +32,9 @@ def kept(df: DataFrame) -> DataFrame:
     with its last reference where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def drop_folder(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder by Spark's own file systems."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -148,6 +148,14 @@ def candidate_decisions(s, d):
     return L.answered(found, answers).select("book_id", "id", "text", "is_title")
 
 
+@query
+def stored_decisions(s, d):
+    from quire.plans.stored import store
+
+    found, answers = (store(x, ["book_id", "id"], 8) for x in decisions(s, d))
+    return L.answered(found, answers).select("book_id", "id", "text", "is_title")
+
+
 @query
 def bulk_decisions(s, d):
     found, answers = decisions(s, d)
