@@ -171,6 +171,14 @@ def natural_key(name: Column) -> Column:
     return F.collate(padded, "UNICODE")
 
 
+def named_uuid(name: Column, namespace: str = "6ba7b812-9dad-11d1-80b4-00c04fd430c8") -> Column:
+    """The identifier of version 5 (by SHA-1) of a name: the same for the same name, in any task."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    part = lambda start, n: F.substring(h, start, n)
+    variant = F.lower(F.hex(F.conv(part(17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
 def run_text(runs: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: r["text"]), "")
 

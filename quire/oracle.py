@@ -358,3 +358,11 @@ add(
     f"SELECT doc_id AS book_id, {_field('title')} AS title, {_field('author')} AS author, {_field('legal-name', 'legalName', 'name')} AS legal_name, {_field('email')} AS email, {_field('language', 'lang')} AS language FROM fronts",
 )
 add("ingest_candidates", CENTERED_ALL, "SELECT book_id, file_name || ':' || idx AS id, text, before, after FROM found JOIN files USING (book_id)")
+
+
+_SHA = "sha1(from_hex('6ba7b8129dad11d180b400c04fd430c8') || encode(concat_ws(chr(10), book_id::VARCHAR, title, author)))"
+add(
+    "book_identifiers",
+    f"{BOOKS}, hashed AS (SELECT *, {_SHA} AS h FROM books), {SHOWN}",
+    "SELECT h.book_id, 'urn:uuid:' || h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substring('89ab89ab89ab89ab', strpos('0123456789abcdef', h[17:17])::BIGINT, 1) || h[18:20] || '-' || h[21:32] AS b_uuid, b_title, b_author, b_language FROM hashed h JOIN shown USING (book_id)",
+)

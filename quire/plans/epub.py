@@ -147,7 +147,8 @@ def if_cover(text: Column | str) -> Column:
 
 def defaults(books: DataFrame) -> DataFrame:
     """book_id, b_title, b_author, b_language, b_uuid, b_modified, b_cover: what a book prints.
-    Identifier and time are made up where books has none; b_cover is null for books without one."""
+    An identifier is derived from book_id, title and author where books has none, so that a task that
+    runs again gives the same; the time is the query's. b_cover is null for books without one."""
     cover = F.col("cover") if "cover" in books.columns else F.lit(None).cast("string")
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return books.select(
@@ -155,7 +156,7 @@ def defaults(books: DataFrame) -> DataFrame:
         T.first_filled(F.col("title"), "Untitled").alias("b_title"),
         T.first_filled(F.col("author"), "Anonymous").alias("b_author"),
         T.first_filled(F.col("language"), "en").alias("b_language"),
-        F.coalesce("uuid", cat("urn:uuid:", F.uuid())).alias("b_uuid"),
+        F.coalesce("uuid", cat("urn:uuid:", T.named_uuid(F.concat_ws("\n", F.col("book_id").cast("string"), "title", "author")))).alias("b_uuid"),
         F.coalesce("modified", now).alias("b_modified"),
         cover.alias("b_cover"),
     )

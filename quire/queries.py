@@ -382,6 +382,11 @@ def epub_documents(s, d):
     return E.documents(A.books(s, d), chapters(s, d)).select("book_id", "ord", "id", "title", "kind")
 
 
+@query
+def book_identifiers(s, d):
+    return E.defaults(A.books(s, d).withColumn("uuid", F.lit(None).cast("string"))).select("book_id", "b_uuid", "b_title", "b_author", "b_language")
+
+
 @query
 def epub_nav(s, d):
     return E.nav(E.documents(A.books(s, d), chapters(s, d)), E.defaults(A.books(s, d)))

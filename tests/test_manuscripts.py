@@ -381,3 +381,10 @@ def test_patch_and_finish(spark):
     assert (row.title, row.email, row.author) == ("New", None, "A. Writer")
     b = spark.createDataFrame([(1, None, None, "01_my-book.md")], "book_id long, title string, author string, file_name string")
     assert listed(B.finish(b), "title", "author") == [("my book", "")]
+
+
+def test_named_identifiers(spark):
+    import uuid
+
+    names = ["", "a", "7\nSalt & Sänd", "x" * 300]
+    assert values(spark, names, T.named_uuid) == [str(uuid.uuid5(uuid.NAMESPACE_OID, n)) for n in names]
