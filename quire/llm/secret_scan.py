@@ -5,7 +5,8 @@ transitions, share of letters and digits, coverage by dictionary words, whether
 path, address or number, and what the neighbouring words name - and a random forest scores it. The
 forest is trained by Spark's own library on labelled findings, which a rule makes from examples of
 secrets and of look-alikes (hashes of commits, identifiers, placeholders, paths), and is then
-written out as conditional expressions, so that scoring is part of the query's generated code.
+written out as conditional expressions over arrays of candidates, which Spark's array functions
+evaluate within the row: no Python, and no shuffle to put a text together again.
 
 Defined results: null text counts as empty and has no findings; a candidate that occurs again is
 a finding again, with its own neighbours; overlapping candidates are one, that which begins first
