@@ -25,8 +25,12 @@ stay distributed; the rarer words of documents are joined to them by the word, a
 many rows. Only the code (at most `dictionary` words of 65 bytes at most) and the contexts' slots
 (2^`slots` each, added up over all training documents) are broadcast, both of a size that the
 parameters fix. Slots that contexts share blur what they predict, which the gates and weights learn.
-Weights are fitted on at most about `tuning` training documents, which the slots used for the fit
-leave out; the slots used for scores have them too.
+
+Weights are fitted on all training documents. These are in FOLDS folds by their text's hash, and a
+document's contexts are looked up in slots that its own fold is left out of, so that copies don't
+tell about each other; the slots used for scores have all folds. Newton steps over some `tuning`
+documents give weights to start from, steps over sixteen times as many follow, and so on up to steps
+over all, which end when one promises less than ENOUGH; so few of them are needed.
 
 Defined results: null and empty texts have the end token alone; a null id counts as an empty one
 for the division; rows are scored one by one, repeated or not; without training documents every
@@ -54,10 +58,11 @@ from quire.llm._common import cut_lineage, map_batches, slices, texts_of
 END = b""  # no word is empty
 LONGEST = 64
 ORDERS, BLOCKS = 3, 1024
-BATCH, PART = 1 << 19, 1 << 17  # bytes of text and tokens that are worked on together
+BATCH, PART, CHUNK = 1 << 19, 1 << 17, 1 << 14  # bytes of text, tokens and bits that are worked on together
 SEGMENT, STEP = 1024, 16
 INPUTS, GATES, INTERVALS = 5, 32, 24
 RATE, DRIFT = 0.04, 0.02
+FOLDS, ROUNDS, GROWTH, ENOUGH = 2, 12, 16, 1e-4  # the last in nats a bit
 CLIP = 2.0**-16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _FOLD = np.uint32(0x9E3779B1)
@@ -109,7 +114,8 @@ class Code:
         self.start = np.cumsum(self.size, dtype=np.int32) - self.size
         self.nodes = np.array([x for p in paths for x, _ in p], np.int32)
         self.bits, self.logit = np.array([b for p in paths for _, b in p], np.int8), logit[self.nodes]
-        self.marks = ((self.nodes.astype(np.uint64) + np.uint64(1)) * _MIX[1] >> np.uint64(32)).astype(np.uint32)
+        marks = ((self.nodes.astype(np.uint64) + np.uint64(1)) * _MIX[1] >> np.uint64(32)).astype(np.uint32)
+        self.marks = marks & ~np.uint32(1) | self.bits.view(np.uint8)  # the bit lies beside its place's mark
         self.aligned = np.array([sum(b << (51 - i) for i, (_, b) in enumerate(p)) for p in paths], np.int64)
 
 
@@ -203,9 +209,11 @@ class Bits:
     def __init__(self, code: Code, sym: np.ndarray):
         self.size = code.size[sym]
         first = np.cumsum(self.size, dtype=np.int32) - self.size
-        self.at = np.repeat(code.start[sym] - first, self.size)
-        self.at += np.arange(len(self.at), dtype=np.int32)
-        self.bit, self.mark = np.take(code.bits, self.at), np.take(code.marks, self.at)
+        self.at = np.repeat((code.start[sym] - first).astype(np.intp), self.size)
+        self.at += np.arange(len(self.at))
+        self.mark = code.marks[self.at]
+        self.bit = (self.mark & np.uint32(1)).astype(np.int8)
+        self.mark |= np.uint32(1)
 
     def slot(self, hashes: np.ndarray, slots: int) -> np.ndarray:
         """Where the bits' contexts lie in a table of 2^slots."""
@@ -254,63 +262,67 @@ def skeleton(counts: DataFrame, dictionary: int, slots: int) -> Model:
     return Model(b"\n".join(top.column("word").to_pylist()), top.column("n").to_numpy().astype(np.int64), int(n), int(v), slots, least)
 
 
-def context_slots(docs: DataFrame, model: Model) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """What the slots predict: without the tuning documents, and with them. Rows of `docs` have
-    text and tune. Tasks add up their documents and hand on compressed blocks of slots."""
+def context_slots(docs: DataFrame, model: Model) -> tuple[list[list[np.ndarray]], list[np.ndarray]]:
+    """What the slots predict: without each of the folds, and with all of them. Rows of `docs` have
+    text and fold. Tasks add up their documents and hand on compressed blocks of slots."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     width = (2 << model.slots) // BLOCKS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        held: dict[tuple[int, bool], np.ndarray] = {}
-        waiting: dict[tuple[int, bool], list[np.ndarray]] = {}
+        held: dict[tuple[int, int], np.ndarray] = {}
+        waiting: dict[tuple[int, int], list[np.ndarray]] = {}
 
-        def count(key: tuple[int, bool]) -> None:
+        def count(key: tuple[int, int]) -> None:
             if key not in held:
                 held[key] = np.zeros(2 << m.slots, np.int32)
             held[key] += np.bincount(np.concatenate(waiting.pop(key)), minlength=2 << m.slots)
 
         for batch in slices(batches, limit=BATCH):
-            tune = batch.column("tune").to_pylist()
-            texts = texts_of(batch)
-            for part in set(tune):
-                t = Tokens(m, [words_of(x) for x, p in zip(texts, tune, strict=True) if p == part])
+            for fold, t in by_fold(m, batch):
                 for some in t.parts():
                     bits = Bits(m.code, t.sym[some])
                     for order, h in enumerate(t.hashes(some)):
                         at = bits.slot(h, m.slots)
                         at <<= 1
                         at |= bits.bit.view(np.uint8)
-                        waiting.setdefault((order, part), []).append(at)
-                        if sum(map(len, waiting[order, part])) > 1 << 22:
-                            count((order, part))
+                        waiting.setdefault((order, fold), []).append(at)
+                        if sum(map(len, waiting[order, fold])) > 1 << 21:
+                            count((order, fold))
         for key in list(waiting):
             count(key)
-        for (order, part), x in held.items():
+        for (order, fold), x in held.items():
             blocks = [pa.compress(x[i * width : (i + 1) * width].astype("<i8").tobytes(), codec="zstd", asbytes=True) for i in range(BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS) + order * BLOCKS), pa.array([part] * BLOCKS), pa.array(blocks, pa.binary())], names=["block", "tune", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS) + order * BLOCKS), pa.array([fold] * BLOCKS, pa.int32()), pa.array(blocks, pa.binary())], names=["block", "fold", "slots"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, tune, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, fold, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(pa.decompress(raw, width * 8, codec="zstd", asbytes=True), "<i8")
-                held.setdefault(block, np.zeros((2, width), np.int64))[int(tune)] += x
+                held.setdefault(block, np.zeros((FOLDS, width), np.int64))[fold] += x
         if held:
-            cols = [[states(x).tobytes() for x in (v[0], v[0] + v[1])] for v in held.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(held), *(pa.array(c, pa.binary()) for c in zip(*cols, strict=True))], names=["block", "without", "whole"])
+            cols = [[states(v.sum(0) - x).tobytes() for x in (*v, 0)] for v in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(held), *(pa.array(c, pa.binary()) for c in zip(*cols, strict=True))], names=["block", *sides])
 
-    parts = map_batches(docs.select("text", "tune"), add, "block long, tune boolean, slots binary")
+    sides = [*(f"without{k}" for k in range(FOLDS)), "whole"]
+    parts = map_batches(docs.select("text", "fold"), add, "block long, fold int, slots binary")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = map_batches(parts.repartition(n, "block"), merge, "block long, without binary, whole binary").toArrow().to_pylist()
+    merged = map_batches(parts.repartition(n, "block"), merge, ", ".join(["block long", *(f"{x} binary" for x in sides)])).toArrow().to_pylist()
     out = []
-    for side in ("without", "whole"):
+    for side in sides:
         tables = [np.full(1 << model.slots, 512, np.uint16) for _ in range(ORDERS)]
         for r in merged:
             order, i = divmod(r["block"], BLOCKS)
             tables[order][i * width // 2 : (i + 1) * width // 2] = np.frombuffer(r[side], np.uint16)
         out.append(tables)
-    return out[0], out[1]
+    return out[:-1], out[-1]
+
+
+def by_fold(model: Model, batch: pa.RecordBatch) -> Iterator[tuple[int, Tokens]]:
+    folds, rows = batch.column("fold").to_pylist(), [words_of(x) for x in texts_of(batch)]
+    for fold in sorted(set(folds)):
+        yield fold, Tokens(model, [r for r, k in zip(rows, folds, strict=True) if k == fold])
 
 
 def states(pairs: np.ndarray) -> np.ndarray:
@@ -321,7 +333,8 @@ def states(pairs: np.ndarray) -> np.ndarray:
     return (logit << 2 | np.digitize(n, [1, 3, 20])).astype(np.uint16)
 
 
-_LOGIT = ((np.arange(1024) >> 2) - 128).astype(np.float32) / 16
+UPPER = [(i, j) for i in range(INPUTS) for j in range(i, INPUTS)]
+WIDTH = INPUTS + len(UPPER) + 1
 
 
 class Features:
@@ -341,11 +354,13 @@ class Features:
         last = np.repeat((model.code.start[sym] + np.where(guess < 0, -1, common)).astype(np.int32), bits.size)
         told = bits.at <= last
         expected = bits.bit ^ (bits.at == last)
-        found = [np.take(table, bits.slot(h[order], model.slots)) for table, h in zip(model.tables, tokens.hashes(part), strict=True)]
+        found = [table[bits.slot(h[order], model.slots).astype(np.intp)] for table, h in zip(model.tables, tokens.hashes(part), strict=True)]
         self.x = np.empty((INPUTS, len(bits.at)), np.float32)
-        np.take(model.code.logit, bits.at, out=self.x[0])
+        self.x[0] = model.code.logit[bits.at]
         for i, f in enumerate(found):
-            np.take(_LOGIT, f, out=self.x[1 + i])
+            self.x[1 + i] = f >> 2
+        self.x[1:-1] -= 128
+        self.x[1:-1] /= 16
         np.multiply(told, expected * np.float32(4) - np.float32(2), out=self.x[-1])
         self.gate = (found[1] & 3) << 3 | (found[0] & 3) << 1 | told
         self.bit = bits.bit
@@ -364,7 +379,11 @@ def first_weights() -> np.ndarray:
 
 def gated(f: Features, weights: np.ndarray) -> np.ndarray:
     """The mixed logit of each bit by its gate's weights."""
-    return sum(np.take(w, f.gate) * x for w, x in zip(weights.T.astype(np.float32), f.x, strict=True))
+    out = np.empty(len(f.gate), np.float32)
+    for a in range(0, len(out), CHUNK):
+        gate = f.gate[a : a + CHUNK].astype(np.intp)
+        out[a : a + CHUNK] = sum(w[gate] * x[a : a + CHUNK] for w, x in zip(weights.T.astype(np.float32), f.x, strict=True))
+    return out
 
 
 def mixed(f: Features, weights: np.ndarray) -> np.ndarray:
@@ -379,8 +398,8 @@ def mixed(f: Features, weights: np.ndarray) -> np.ndarray:
         x, seg = f.x[:, a:b], f.segment[a:b]
         first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if b > a else np.zeros(0, np.int64)
         here, n = seg[first], np.diff(np.r_[first, b - a])  # a stretch's bits of a step lie together
-        logit = base[a:b] + np.einsum("ij,ij->j", np.repeat(own[:, here], n, axis=1), x)
-        place = seg * INTERVALS + np.clip(logit * 2 + 12, 0, INTERVALS - 1).astype(np.int32)
+        logit = base[a:b] + sum(np.repeat(w, n) * row for w, row in zip(own[:, here], x, strict=True))
+        place = (seg * INTERVALS + np.clip(logit * 2 + 12, 0, INTERVALS - 1).astype(np.int32)).astype(np.intp)
         p = 1 / (1 + np.exp(-(logit + shift[place])))
         err = f.bit[a:b] - np.clip(p, CLIP, 1 - CLIP, out=p)
         out[a:b] = 1 - np.abs(err)
@@ -390,39 +409,64 @@ def mixed(f: Features, weights: np.ndarray) -> np.ndarray:
     return np.log2(out)
 
 
-def fitted(docs: DataFrame, model: Model, rounds: int = 5, ridge: float = 20.0) -> np.ndarray:
-    """Weights of a logistic regression for each gate, over the bits of `docs`, held to the first
-    weights by a ridge. Tasks hand on sums of gradients and curvatures, a row a gate."""
-    upper = [(i, j) for i in range(INPUTS) for j in range(i, INPUTS)]
-    weights = first_weights()
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    for _ in range(rounds):
-
-        def sums(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
-            m, total = sent.value, np.zeros((GATES, INPUTS + len(upper)))
+def regression_sums(f: Features, weights: np.ndarray) -> np.ndarray:
+    """Of the bits of each gate: the gradient, the curvatures, and their number."""
+    total, gates, rows = np.zeros((GATES, WIDTH)), f.gate.astype(np.uint8), weights.T.astype(np.float32)
+    for a in range(0, len(gates), CHUNK):
+        here = slice(a, a + CHUNK)
+        order, n = np.argsort(gates[here], kind="stable"), np.bincount(gates[here], minlength=GATES)
+        some = np.flatnonzero(n)
+        first = (np.cumsum(n) - n)[some]
+        x = [row[here][order] for row in f.x]
+        logit = sum(np.repeat(w[some], n[some]) * row for w, row in zip(rows, x, strict=True))
+        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        err, bent = f.bit[here][order] - p, [p * (1 - p) * row for row in x]
+        each = [*(err * row for row in x), *(bent[i] * x[j] for i, j in UPPER)]
+        total[some] += np.column_stack([*(np.add.reduceat(v, first, dtype=np.float64) for v in each), n[some]])
+    return total
+
+
+def fitted(docs: DataFrame, model: Model, tables: list[list[np.ndarray]], every: int, ridge: float = 20.0) -> np.ndarray:
+    """Weights of a logistic regression for each gate, over the bits of all `docs`, held to the
+    first weights by a ridge. Rows have h, fold and text. Tasks hand on sums of gradients and
+    curvatures, a row a gate. Where the steps over all documents start is found by steps over one
+    document in `every`, then over GROWTH times as many, and so on."""
+    sent = docs.sparkSession.sparkContext.broadcast((model, tables))
+
+    def step(docs: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, total = sent.value[0], np.zeros((GATES, WIDTH))
+            without = [replace(m, tables=x) for x in sent.value[1]]
             for batch in slices(batches, limit=BATCH):
-                t = Tokens(m, [words_of(x) for x in texts_of(batch)])
-                for part in t.parts():
-                    f = Features(m, t, part)
-                    p = 1 / (1 + np.exp(-np.clip(gated(f, weights), -30, 30)))
-                    for i in range(INPUTS):
-                        total[:, i] += np.bincount(f.gate, (f.bit - p) * f.x[i], minlength=GATES)
-                    for k, (i, j) in enumerate(upper):
-                        total[:, INPUTS + k] += np.bincount(f.gate, p * (1 - p) * f.x[i] * f.x[j], minlength=GATES)
+                for fold, t in by_fold(m, batch):
+                    for part in t.parts():
+                        total += regression_sums(Features(without[fold], t, part), weights)
             yield pa.RecordBatch.from_arrays([pa.array(range(GATES), pa.int64()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["gate", "sums"])
 
-        width = INPUTS + len(upper)
-        rows = map_batches(docs.select("text"), sums, "gate long, sums array<double>").groupBy("gate").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(width)]).collect()
-        after = weights.copy()
+        rows = map_batches(docs.select("text", "fold"), sums, "gate long, sums array<double>").groupBy("gate").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(WIDTH)]).collect()
+        after, gain, bits = weights.copy(), 0.0, 0.0
         for r in rows:
-            s = [r[f"s{k}"] for k in range(width)]
+            s = [r[f"s{k}"] for k in range(WIDTH)]
             h = np.eye(INPUTS) * ridge
-            for k, (i, j) in enumerate(upper):
+            for k, (i, j) in enumerate(UPPER):
                 h[i, j] += s[INPUTS + k]
                 h[j, i] = h[i, j]
-            after[r.gate] += np.linalg.solve(h, np.array(s[:INPUTS]) - ridge * (weights[r.gate] - first_weights()[r.gate]))
-        weights = np.round(after, 6)  # sums in another order differ by less
-    return weights
+            slope = np.array(s[:INPUTS]) - ridge * (weights[r.gate] - first_weights()[r.gate])
+            move = np.linalg.solve(h, slope)
+            after[r.gate] += move
+            gain, bits = gain + slope @ move / 2, bits + s[-1]
+        return np.round(after, 6), gain / max(bits, 1)  # sums in another order differ by less
+
+    weights = first_weights()
+    while True:
+        some = docs if every == 1 else cut_lineage(docs.where(F.pmod("h", F.lit(every)) == 0).select("text", "fold").repartition(16))
+        for _ in range(ROUNDS):
+            weights, gain = step(some, weights)
+            if gain < ENOUGH:
+                break
+        if every == 1:
+            return weights
+        every = max(every // GROWTH, 1)
 
 
 def train(docs: DataFrame, dictionary: int = 65_536, slots: int = 21, tuning: int = 512) -> tuple[Model, DataFrame]:
@@ -431,14 +475,12 @@ def train(docs: DataFrame, dictionary: int = 65_536, slots: int = 21, tuning: in
     counts = count_words(cols)
     model = skeleton(counts, dictionary, slots)
     n_docs = int(model.counts[model.symbols[END]]) if END in model.symbols else 0
-    every = max(8, -(-n_docs // max(tuning, 1)))
-    cols = cols.withColumn("tune", F.pmod("h", F.lit(every)) == 0)
     if not n_docs:
         return replace(model, tables=[np.full(1 << slots, 512, np.uint16)] * ORDERS, weights=first_weights()), counts
+    every = max(8, -(-n_docs // max(tuning, 1)))
+    cols = cols.withColumn("fold", F.pmod(F.shiftright("h", 32), F.lit(FOLDS)).cast("int"))
     without, whole = context_slots(cols, model)
-    chosen = cut_lineage(cols.where("tune").select("text").repartition(16))
-    weights = fitted(chosen, replace(model, tables=without))
-    return replace(model, tables=whole, weights=weights), counts
+    return replace(model, tables=whole, weights=fitted(cols, model, without, every)), counts
 
 
 def code_scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -138,3 +138,29 @@ def test_long_words_have_digests():
     long, longer = C.words_of("z" * 200 + " " + "z" * 201)
     assert long != longer and len(long) == C.LONGEST + 1 and C.words_of("Z" * 64) == [b"z" * 64]
     assert max(map(len, C.words_of(("y" * 64 + " ") * 3 + "z" * 65))) == C.LONGEST + 1
+
+
+def fit_alone(spark, rows, tuning):
+    docs = frame(spark, rows).select("text")
+    return C.train(docs, **SMALL | {"tuning": tuning})[0].weights
+
+
+def test_weights_come_from_all_training_documents(spark):
+    rows = some_rows(400, seed=4)
+    few, more = fit_alone(spark, rows, 1), fit_alone(spark, rows, 100)  # where the steps start doesn't matter
+    assert np.abs(few - more).max() < 0.02
+    assert np.abs(few - C.first_weights()).max() > 0.1
+
+
+def test_regression_sums(model):
+    rng = random.Random(6)
+    t = C.Tokens(model, [rng.choices([*model.symbols][1:] + [b"other"], k=n) for n in (0, 1, 40, 700, 1500)])
+    f = C.Features(model, t, slice(0, len(t.sym)))
+    weights = C.first_weights() + np.linspace(-0.2, 0.2, C.INPUTS)
+    got, x = C.regression_sums(f, weights), f.x.astype(np.float64)
+    p = 1 / (1 + np.exp(-(weights[f.gate].T * x).sum(0)))
+    for g in range(C.GATES):
+        at = f.gate == g
+        curve = (x[:, at] * (p * (1 - p))[at]) @ x[:, at].T
+        want = [*(x[:, at] @ (f.bit - p)[at]), *(curve[i, j] for i, j in C.UPPER), at.sum()]
+        assert np.allclose(got[g], want, rtol=1e-4, atol=1e-3)
