@@ -28,9 +28,9 @@ parameters fix. Slots that contexts share blur what they predict, which the gate
 
 Weights are fitted on all training documents. These are in FOLDS folds by their text's hash, and a
 document's contexts are looked up in slots that its own fold is left out of, so that copies don't
-tell about each other; the slots used for scores have all folds. Newton steps over some `tuning`
-documents give weights to start from, steps over sixteen times as many follow, and so on up to steps
-over all, which end when one promises less than ENOUGH; so few of them are needed.
+tell about each other; the slots used for scores have all folds. Newton steps over `tuning` documents
+or some more give weights to start from, steps over sixteen times as many follow, and so on up to
+steps over all, which end when one promises less than ENOUGH; so few of them are needed.
 
 Defined results: null and empty texts have the end token alone; a null id counts as an empty one
 for the division; rows are scored one by one, repeated or not; without training documents every
@@ -430,7 +430,8 @@ def fitted(docs: DataFrame, model: Model, tables: list[list[np.ndarray]], every:
     """Weights of a logistic regression for each gate, over the bits of all `docs`, held to the
     first weights by a ridge. Rows have h, fold and text. Tasks hand on sums of gradients and
     curvatures, a row a gate. Where the steps over all documents start is found by steps over one
-    document in `every`, then over GROWTH times as many, and so on."""
+    document in `every`, a power of GROWTH, then over GROWTH times as many, and so on; there are
+    ROUNDS at most each time."""
     sent = docs.sparkSession.sparkContext.broadcast((model, tables))
 
     def step(docs: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
@@ -457,16 +458,16 @@ def fitted(docs: DataFrame, model: Model, tables: list[list[np.ndarray]], every:
             gain, bits = gain + slope @ move / 2, bits + s[-1]
         return np.round(after, 6), gain / max(bits, 1)  # sums in another order differ by less
 
-    weights = first_weights()
+    weights, tasks = first_weights(), 16
     while True:
-        some = docs if every == 1 else cut_lineage(docs.where(F.pmod("h", F.lit(every)) == 0).select("text", "fold").repartition(16))
+        some = docs if every == 1 else cut_lineage(docs.where(F.pmod("h", F.lit(every)) == 0).select("text", "fold").repartition(tasks))
         for _ in range(ROUNDS):
             weights, gain = step(some, weights)
             if gain < ENOUGH:
                 break
         if every == 1:
             return weights
-        every = max(every // GROWTH, 1)
+        every, tasks = every // GROWTH, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def train(docs: DataFrame, dictionary: int = 65_536, slots: int = 21, tuning: int = 512) -> tuple[Model, DataFrame]:
@@ -477,7 +478,9 @@ def train(docs: DataFrame, dictionary: int = 65_536, slots: int = 21, tuning: in
     n_docs = int(model.counts[model.symbols[END]]) if END in model.symbols else 0
     if not n_docs:
         return replace(model, tables=[np.full(1 << slots, 512, np.uint16)] * ORDERS, weights=first_weights()), counts
-    every = max(8, -(-n_docs // max(tuning, 1)))
+    every = 1
+    while every * GROWTH * max(tuning, 1) <= n_docs:
+        every *= GROWTH
     cols = cols.withColumn("fold", F.pmod(F.shiftright("h", 32), F.lit(FOLDS)).cast("int"))
     without, whole = context_slots(cols, model)
     return replace(model, tables=whole, weights=fitted(cols, model, without, every)), counts
