@@ -164,3 +164,60 @@ def test_regression_sums(model):
         curve = (x[:, at] * (p * (1 - p))[at]) @ x[:, at].T
         want = [*(x[:, at] @ (f.bit - p)[at]), *(curve[i, j] for i, j in C.UPPER), at.sum()]
         assert np.allclose(got[g], want, rtol=1e-4, atol=1e-3)
+
+
+def test_texts_are_read_twice_however_many_steps_the_fit_takes(spark):
+    rows, seen = some_rows(200, seed=7), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    docs = frame(spark, rows).select("doc_id", "text").mapInPandas(counted, "doc_id long, text string")
+    assert C.scores(docs, **SMALL).count() == len(rows)
+    assert seen.value == 2 * len(rows)  # once for the counts of words, once for symbols
+
+
+def test_encoded_documents(spark):
+    rows = some_rows(80) + ODD
+    model, counts, cols = C.model_of(frame(spark, rows).selectExpr("doc_id", "false AS held_out", "text"), **SMALL)
+    known, total = model.symbols, {r.word: r.n for r in counts.collect()}
+    want = []
+    for doc, text in rows:
+        words = [*C.words_of(text or ""), C.END]
+        rare = Counter(bytes(w) for w in words if w not in known)
+        want.append((str(doc), [known.get(w, len(known)) for w in words], sorted(rare.items()), len((text or "").encode()), sum(math.log10(total[w] + 1) for w in words if w in known)))
+    got = [(str(r.doc_id), C.Tokens.stored(model, C.pa.array([bytes(r.sym)]), np.ones(1, bool)).sym.tolist(), sorted(zip(map(bytes, r.rare), r.times, strict=True)), r.n_bytes, r.base) for r in cols.collect()]
+    got, want = sorted(got), sorted(want)
+    assert [g[:4] for g in got] == [w[:4] for w in want] and np.allclose([g[4] for g in got], [w[4] for w in want])
+    assert len({r.row for r in cols.select("row").collect()}) == len(rows)
+
+
+def test_words_of_slices():
+    texts = [t for _, t in ODD] + ["\n a  b\t", "A b İ"]
+    split = lambda t: [C.key_of(w) for w in (t or "").encode().lower().split()]
+    for a, b in ((0, len(texts)), (1, 5), (3, 4), (2, 3)):
+        words, sizes = C.words_in(C.pa.array(texts).slice(a, b - a))
+        assert words.to_pylist() == [w for t in texts[a:b] for w in split(t)] and sizes.tolist() == [len(split(t)) for t in texts[a:b]]
+
+
+def test_earlier_symbols(model):
+    rng = random.Random(8)
+    t = C.Tokens(model, [rng.choices([b"w1", b"w2", b"w3", b"other"], k=n) for n in (0, 1, 2, 30, 400)])
+    last, want = {}, []
+    for i, sym in enumerate(t.sym.tolist()):
+        key = (t.doc[i], *t.sym[i - 2 : i].tolist())
+        want.append(last.get(key, -1) if t.at[i] > 1 else -1)
+        last[key] = sym if sym != t.esc else -1
+    assert t.earlier.tolist() == want
+
+
+def test_a_few_bits_of_a_token_lie_side_by_side(model):
+    sym = np.repeat(np.arange(len(model.counts) + 1), 20).astype(np.int32)
+    bits = C.Bits(model.code, sym)
+    slot = bits.slot(np.random.default_rng(2).integers(0, 2**63, len(sym)).astype(np.uint64), 12)
+    deep = np.arange(len(slot)) - np.repeat(np.cumsum(bits.size) - bits.size, bits.size)
+    group = np.cumsum(deep % C.LEVELS == 0)
+    assert (np.bincount(group, slot >> C.LEVELS)[1:] == (slot >> C.LEVELS)[deep % C.LEVELS == 0] * np.bincount(group)[1:]).all()
+    assert len(set(zip(group, slot, strict=True))) == len(slot)
